@@ -13,6 +13,7 @@ one text. Rows with equal doc_id are independent; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import os
@@ -28,7 +29,7 @@ from .common import batches, texts, whole_text
 
 BLANKS = b" \n\r\t\x0b\x0c"
 #: Distinct fragments that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -82,12 +83,43 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.tokens = token_bytes(said["model"]["vocab"], added)
-        self.split = splitter(inner_pairs(self.tokens))
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def learn(self, fragments: list[bytes]) -> None:
-        for f, e in zip(fragments, self.tokenizer.encode_batch([x.decode() for x in fragments], add_special_tokens=False), strict=True):
-            self.known[f] = (np.array(e.ids, "<u4").tobytes(), b"".join(self.tokens[i] for i in e.ids).decode("utf-8", "replace").encode())
+        seen = inner_pairs(self.tokens)
+        self.split = splitter(seen)
+        self.held = {b: bytes(x for x in range(256) if seen[x, b]) for b in BLANKS}
+        self.length = np.array([len(t) for t in self.tokens], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # fragment -> place in the two lists
+        self.ids: list[bytes] = []
+        self.texts: list[bytes] = []
+
+    def learn(self, new: list[bytes]) -> None:
+        """Encode fragments that are not known yet.
+
+        Those that start with a blank go to the tokenizer in short strings of several (its time grows faster than a string), since its tokens cannot cross the
+        certain cuts between them; token lengths then tell where each fragment's ids end.
+        """
+        apart, strings, size = [], [[]], 0
+        for f in new:
+            if f[0] not in self.held or f[-1] in BLANKS or (strings[-1] and strings[-1][-1][-1] in self.held[f[0]]):
+                apart.append(f)
+            else:
+                strings[-1].append(f)
+                size += len(f)
+                if size > 300:
+                    strings, size = [*strings, []], 0
+        strings += [[f] for f in apart]
+        strings = [x for x in strings if x]
+        for some, e in zip(strings, self.tokenizer.encode_batch_fast([b"".join(x).decode() for x in strings], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.length[ids]), np.cumsum([len(f) for f in some])) + 1
+            coded, lo = ids.astype("<u4"), 0
+            for f, hi in zip(some, ends.tolist(), strict=True):
+                self.known[f] = len(self.ids)
+                self.ids.append(coded[lo:hi].tobytes())
+                self.texts.append(b"".join([self.tokens[i] for i in e.ids[lo:hi]]) if hi - lo > 1 else self.tokens[ids[lo]])
+                lo = hi
 
     def code(self, some: list[bytes]) -> list[tuple[bytes, bytes]]:
         """Of each text the ids as little-endian 32-bit integers, and the decoded text in UTF-8."""
@@ -95,14 +127,14 @@ class Coder:
         every = set().union(*cut)
         new = every - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            self.forget()
             new = every
         self.learn(list(new))
-        known = self.known
+        place, ids, text = self.known.__getitem__, self.ids.__getitem__, self.texts.__getitem__
         out = []
         for fragments in cut:
-            got = [known[f] for f in fragments]
-            out.append((b"".join([x[0] for x in got]), b"".join([x[1] for x in got])))
+            at = list(map(place, fragments))
+            out.append((b"".join(map(ids, at)), b"".join(map(text, at))))
         return out
 
 
@@ -127,6 +159,7 @@ def _mapped(df: DataFrame, content: str, schema: str, row, id_col: str, text_col
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
+        gc.disable()  # hundreds of thousands of remembered fragments, no cycles
         for b in batches(it):
             coder = _coder(shared, kept)
             cols = list(zip(*(row(*x) for x in coder.code([valid(t) for t in texts(b.column(1))])), strict=True))
