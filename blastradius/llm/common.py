@@ -49,7 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.to_pylist()]
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def batches(it: Iterator[pa.RecordBatch], most: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
