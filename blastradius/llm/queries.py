@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, imatch, mixing, quality_classifier, quality_rules, sharding, simhash
+from . import bpe, imatch, mixing, quality_classifier, quality_rules, sharding, simhash, url_filter
 from .common import table
 
 
@@ -17,6 +18,28 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Verdict, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """url, bad: a page's path ends in the number of the document that it shows, and that document has the label."""
+    number = F.expr(r"try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)(\\.[a-z]+)?/?([?#]|$)', 1) as bigint)")
+    pages = table(spark, sf_dir, "pages").select("url", number.alias("doc_id")).where("doc_id is not null")
+    labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg((1 - F.avg("quality")).alias("bad"))
+    return pages.join(labels, "doc_id").select("url", "bad")
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.mine(labelled_urls(spark, sf_dir)))
+
+
 def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return imatch.compare_edited(docs, imatch.lexicon(docs))
@@ -53,6 +76,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_url_filter,
         op3_imatch,
         op4_mixing,
         op5_simhash,
