@@ -107,9 +107,12 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     units = units.withColumn("__slice", F.pmod(F.shiftright("__g", 32), F.lit(SLICES)).cast("int"))
     ordered = ["__slice", "__g", "text_crc32", "size", "__part"]
     totals = units.groupBy("hilbert", "__slice").agg(F.sum(F.col("__n") * F.col("size")).alias("__b"))
-    # at most 2^(3 bits) * SLICES rows, whatever the input
-    upto = Window.orderBy("hilbert", "__slice").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("hilbert").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    cells = totals.groupBy("hilbert").agg(F.sum("__b").alias("__cell"))
+    # one row for each cell: at most 2^(3 bits), whatever the input
+    cells = cells.select("hilbert", F.coalesce(F.sum("__cell").over(Window.orderBy("hilbert").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__from"))
     totals = totals.select("hilbert", "__slice", F.coalesce(F.sum("__b").over(upto), F.lit(0)).alias("__base"))
+    totals = totals.join(cells, "hilbert").select("hilbert", "__slice", (F.col("__from") + F.col("__base")).alias("__base"))
     inside = Window.partitionBy("hilbert", "__slice").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("__in", F.coalesce(F.sum(F.col("__n") * F.col("size")).over(inside), F.lit(0)))
     units = units.join(totals, ["hilbert", "__slice"])
