@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, mixing, quality_classifier, quality_rules, sharding, simhash, url_filter
+from . import bpe, imatch, mixing, pii, quality_classifier, quality_rules, sharding, simhash, url_filter
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs))
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash,
         op6_quality_rules,
         op7_sharding,
+        op8_pii,
         op9_quality_classifier,
         op10_bpe_encode_decode,
     )
