@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, mixing, pii, quality_classifier, quality_rules, sharding, simhash, url_filter
+from . import bpe, imatch, mixing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, url_filter
 from .common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 #: Verdict, host, path.
 URL_RULES = [
     ("allow", "com", "/"),
@@ -80,6 +84,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_dedup,
         op2_url_filter,
         op3_imatch,
         op4_mixing,
