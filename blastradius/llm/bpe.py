@@ -182,6 +182,12 @@ def encode_digests(df: DataFrame, content: str, id_col: str = "doc_id", text_col
     return _mapped(df, content, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, text: (len(ids) // 4, sha(ids), sha(text)), id_col, text_col)
 
 
+def encode_all(df: DataFrame, content: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: tokens and digests in one pass."""
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return _mapped(df, content, "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", lambda ids, text: (len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32), sha(ids), sha(text)), id_col, text_col)
+
+
 def decode(df: DataFrame, content: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id, text of rows with token ids."""
     shared = df.sparkSession.sparkContext.broadcast(content)

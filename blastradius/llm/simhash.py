@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, stash, texts, whole_text
@@ -166,8 +166,18 @@ def hex_fingerprint(c: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component (rows with equal doc_id: the first by text hash)."""
+    """The rows of docs whose doc_id is the smallest of its component.
+
+    Of rows with equal doc_id the ones with the same fingerprint as that component's stay one: the smallest text.
+    Null doc_id is the smallest.
+    """
     placed = near_duplicates(docs)
-    lead = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    lead = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__n"))
+    lead = stash(lead.select(F.col("doc_id").alias("__id"), "__n"), "simhash-lead")
+    kept = docs.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    once = kept.where("__n = 1").select(*docs.columns)
+    if lead.where("__n > 1").isEmpty():
+        return once
+    order = Window.partitionBy("__id").orderBy(F.xxhash64("text"), *[c for c in ("source", "lang") if c in docs.columns])
+    many = kept.where("__n > 1").withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*docs.columns)
+    return once.unionByName(many)
