@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from . import stats
+
 FLAGSHIP = "select_entities"
+MODULES = (stats,)
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+for _m in MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
