@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import stats
+from . import lookups, stats
 
 FLAGSHIP = "select_entities"
-MODULES = (stats,)
+MODULES = (stats, lookups)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:
