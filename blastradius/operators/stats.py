@@ -55,7 +55,7 @@ def majority(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def linkage(counts: DataFrame, n: str = "n") -> DataFrame:
-    return counts.withColumn("linkage", F.when(F.col(n) >= 10, "CROSS").when(F.col(n) <= 2, "STANDALONE").otherwise("MODERATE"))
+    return counts.withColumn("linkage", F.when(F.col(n) >= 10, "FULLY_CROSS_DEPENDENT").when(F.col(n) <= 2, "FULLY_STANDALONE").otherwise("MODERATE_LINKAGE"))
 
 
 def suite(path: Column) -> Column:

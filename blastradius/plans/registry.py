@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import lookups, stats
+from . import lookups, scoring, stats
 
 FLAGSHIP = "select_entities"
-MODULES = (stats, lookups)
+MODULES = (stats, lookups, scoring)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -143,7 +143,7 @@ def inverted_index(spark, d):
     return S.inverted(reverse_index(spark, d), "production_class", "test_id")
 
 
-@query(sql(ENT) + "SELECT e.test_id, count(l_orderkey) AS n, CASE WHEN count(l_orderkey) >= 10 THEN 'CROSS' WHEN count(l_orderkey) <= 2 THEN 'STANDALONE' ELSE 'MODERATE' END AS linkage FROM ent e LEFT JOIN lineitem ON l_orderkey = e.test_id GROUP BY 1")
+@query(sql(ENT) + "SELECT e.test_id, count(l_orderkey) AS n, CASE WHEN count(l_orderkey) >= 10 THEN 'FULLY_CROSS_DEPENDENT' WHEN count(l_orderkey) <= 2 THEN 'FULLY_STANDALONE' ELSE 'MODERATE_LINKAGE' END AS linkage FROM ent e LEFT JOIN lineitem ON l_orderkey = e.test_id GROUP BY 1")
 def linkage_profile(spark, d):
     return S.linkage(S.counted(entities(spark, d).select("test_id"), load(spark, d, "lineitem").select(F.col("l_orderkey").alias("test_id")), "test_id"))
 
