@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import lookups, scoring, stats
+from . import lookups, scoring, stats, texts
 
 FLAGSHIP = "select_entities"
-MODULES = (stats, lookups, scoring)
+MODULES = (stats, lookups, scoring, texts)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:
