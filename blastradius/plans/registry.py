@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import lookups, programs, scoring, stats, texts
+from . import lookups, programs, reports, scoring, stats, texts
 
 FLAGSHIP = "select_entities"
-MODULES = (stats, lookups, scoring, texts, programs)
+MODULES = (stats, lookups, scoring, texts, programs, reports)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:
