@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import lookup as L
-from .tables import ENT, REGISTRY, RI, TFM, entities, load, mapping, registry, reverse_index, sql
+from .tables import ENT, REGISTRY, RI, TFM, entities, load, mapping, registry, reverse_index, small, sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,11 +25,11 @@ def query(oracle: str):
 
 
 def terms(spark, values=TERMS):
-    return spark.createDataFrame([(v,) for v in values], "term string")
+    return small(spark, [(v,) for v in values], "term string")
 
 
 def function_terms(spark):
-    return spark.createDataFrame(FUNCTIONS, "module_name string, function_name string")
+    return small(spark, FUNCTIONS, "module_name string, function_name string")
 
 
 TERM_CTE = "terms AS (SELECT unnest(['" + "', '".join(TERMS) + "']) AS term)"
@@ -139,7 +139,7 @@ EDGES = "edges AS (SELECT DISTINCT 'p' || l_partkey % 40 AS src, 's' || l_suppke
 def transitive_closure(spark, d):
     pair = lambda t, a, b: load(spark, d, t).select(F.expr(a).alias("src"), F.expr(b).alias("dst")).distinct()
     edges = pair("lineitem", "concat('p', l_partkey % 40)", "concat('s', l_suppkey % 15)").union(pair("supplier", "concat('s', s_suppkey % 15)", "concat('n', s_nationkey)")).union(pair("nation", "concat('n', n_nationkey)", "concat('r', n_regionkey)"))
-    return L.closure(edges.distinct(), spark.createDataFrame([("p1",)], "node string"))
+    return L.closure(edges.distinct(), small(spark, [("p1",)], "node string"))
 
 
 @query(sql(REGISTRY) + "SELECT test_id, file_path, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic FROM registry LEFT JOIN labels l ON l.doc_id = test_id")
@@ -160,14 +160,14 @@ GONE = "gone AS (SELECT * FROM (VALUES ('promo.brand5.small_widget', 'deleted',
 @query(sql(RI, GONE) + "SELECT test_id, symbol, reason FROM ri JOIN gone ON production_class = symbol QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY p, reference_type, symbol) = 1")
 def breakage_map(spark, d):
     ev = reverse_index(spark, d).select("test_id", F.col("production_class").alias("symbol"), F.lit("exact").alias("type"), F.col("reference_type").alias("seq"))
-    return L.breakage(ev, spark.createDataFrame([(CLASS,)], "symbol string"), spark.createDataFrame([("promo.brand4.red_bolt",), ("small.brand10.hot_gear",)], "old string"))
+    return L.breakage(ev, small(spark, [(CLASS,)], "symbol string"), small(spark, [("promo.brand4.red_bolt",), ("small.brand10.hot_gear",)], "old string"))
 
 
 @query(sql(RI, TERM_CTE, GONE) + f"""SELECT 'COMPLETELY_UNTESTED' AS kind, term AS symbol, 0::BIGINT AS n_tests FROM terms WHERE NOT EXISTS (SELECT 1 FROM ri WHERE {MATCH} IS NOT NULL)
 UNION ALL SELECT upper(reason), symbol, count(DISTINCT test_id) FROM ri JOIN gone ON production_class = symbol GROUP BY 1, 2""")
 def coverage_gaps(spark, d):
     gaps = zero_coverage(spark, d).select(F.lit("COMPLETELY_UNTESTED").alias("kind"), F.col("term").alias("symbol"), F.lit(0).cast("long").alias("n_tests"))
-    gone = spark.createDataFrame([(CLASS, "DELETED"), ("promo.brand4.red_bolt", "RENAMED"), ("small.brand10.hot_gear", "RENAMED")], "symbol string, kind string")
+    gone = small(spark, [(CLASS, "DELETED"), ("promo.brand4.red_bolt", "RENAMED"), ("small.brand10.hot_gear", "RENAMED")], "symbol string, kind string")
     hit = reverse_index(spark, d).join(gone, F.col("production_class") == F.col("symbol")).groupBy("kind", "symbol").agg(F.countDistinct("test_id").alias("n_tests"))
     return gaps.unionByName(hit)
 
@@ -183,7 +183,7 @@ def dead_zone_files(spark, d):
 
 def _dead(spark, d, patterns):
     """Distinct symbols (few) meet the patterns; tests are counted by the symbols that matched."""
-    pats = F.broadcast(spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    pats = F.broadcast(small(spark, [(p,) for p in patterns], "pattern string"))
 
     def count(df, column, name):
         hit = df.select(column).distinct().join(pats, F.col(column).contains(F.col("pattern")))

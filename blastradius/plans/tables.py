@@ -10,6 +10,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A stated list of terms as a local relation: its size is known to the planner, which then broadcasts it."""
+    names = ", ".join(c.split()[0] for c in schema.split(", "))
+    values = ", ".join("(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({names})")
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each test."""
     d = load(spark, sf_dir, "documents")
