@@ -5,22 +5,24 @@ of equals) is the window's trigger. The windows with one trigger are a run, and
 trigger's phrase. Neighbouring phrases overlap by LENGTH - 1 bytes, so no phrase is a prefix of another text's
 continuation of it, and equal windows always lie at equal places of phrases with equal triggers.
 
-Dictionary and parse. Phrases are identified by hashes; the dictionary holds each trigger string's phrases with the
-smallest doc_id, the parse is each document's sequence of phrases. Corpus order is needed no deeper than LENGTH bytes
-and only for equality, so suffixes are ordered by dictionary lookup where that decides, and by 128-bit keys of their
-first LENGTH bytes where not:
- - a trigger string that occurs once in the corpus has no repeated window;
+Dictionary and parse. The dictionary has a row for each document and phrase, under the phrase's trigger string; the
+parse is each document's sequence of phrases. Corpus order is needed no deeper than LENGTH bytes and for equality only,
+so suffixes are settled by the dictionary where that decides, and compared themselves where not:
+ - a trigger string that one document has has no window in common with others;
  - a trigger string with one phrase (copies of a longer passage): all windows repeat but those of its first occurrence;
- - a trigger string with several phrases: the suffixes that start in those phrases (and no others) are sorted into
-   groups of equal keys, whose smallest doc_id is the first.
+ - a trigger string with several phrases: each window's second smallest hash splits the phrase into shorter ones, which
+   a second dictionary settles in the same way (most go on into text of their own, and drop out);
+ - what has several phrases there too: the suffixes that start in them are sorted into groups of equal 128-bit keys of
+   their first LENGTH bytes, whose smallest doc_id is the first.
 So highly repetitive text costs one row for a phrase, not one for a byte.
 
 Order: smaller doc_id, then smaller start. Null doc_id is the smallest, null text is empty. Rows that share a doc_id
 are judged as if each were alone with the rows of smaller doc_id: they don't remove from each other. Texts below
 LENGTH bytes lose nothing. Long texts are read in blocks of bounded memory. Other columns are ignored.
 
-Skew: a trigger string, however common, is one partial sum for each task; occurrences meet the (unique) dictionary
-rows in a join whose hot partitions can be split; documents get lists bounded by their own length.
+Skew: a document adds one row for each of its distinct phrases to the dictionary, so that a string that every third
+document has is still a small share of all rows (one in three for each document's hundred or so); suffixes are merged
+before they are shuffled; documents get lists bounded by their own length.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, stash, texts, whole_text
@@ -68,8 +70,8 @@ def _hashes(raw: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each phrase in order: its trigger's hash (signed), the first and the last window that it owns."""
+def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each phrase in order: its trigger's hash (signed), the first and the last window that it owns, the trigger's place."""
     raw = np.frombuffer(data, np.uint8)
     n, low = len(raw) - LENGTH + 1, np.uint64((1 << 22) - 1)
     at, grams, firsts = [], [], []
@@ -92,9 +94,9 @@ def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             grams.append(h[trigger[new]])
             firsts.append(new + lo)
     if not at:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 4
     first = np.concatenate(firsts)
-    return np.concatenate(grams).view(np.int64), first, np.append(first[1:] - 1, n - 1)
+    return np.concatenate(grams).view(np.int64), first, np.append(first[1:] - 1, n - 1), np.concatenate(at)
 
 
 def phrase_hash(data: bytes, first: int, last: int) -> int:
@@ -104,36 +106,84 @@ def phrase_hash(data: bytes, first: int, last: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def split_phrase(data: bytes, first: int, last: int, place: int) -> list[tuple[int, int, int]]:
+    """key, first and last window of the parts of a phrase whose windows have one second smallest hash."""
+    from xxhash import xxh3_64_intdigest
+
+    h = _hashes(np.frombuffer(data, np.uint8, last - first + LENGTH, first))
+    low = np.uint64((1 << 22) - 1)
+    m = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
+    n, a, reach = last - first + 1, place - first, LENGTH - W
+    none = np.full(1, ~np.uint64(0))
+    left = np.concatenate((np.minimum.accumulate(m[:a][::-1])[::-1], none))[:n] if a < n else np.minimum.accumulate(m[:a][::-1])[::-1][:n]
+    right = np.concatenate((none, np.minimum.accumulate(m[a + 1 :])))[np.arange(n) + reach - a]
+    second = (low - (np.minimum(left, right) & low)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate(([True], second[1:] != second[:-1])))
+    out = []
+    for lo, hi in zip(cut.tolist(), [*(cut[1:] - 1).tolist(), n - 1], strict=True):
+        s = int(second[lo])
+        k = xxh3_64_intdigest(h[a].tobytes() + h[s].tobytes() + (s - a).to_bytes(4, "big", signed=True))
+        out.append((k - (1 << 64) if k >> 63 else k, first + lo, first + hi))
+    return out
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), whole_text("text").alias("text"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return docs.select("doc_id", doc.alias("doc"), whole_text("text").alias("text"))
+
+
+def _out(doc: int, found: set[tuple[int, int]]) -> list[np.ndarray]:
+    x = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return [np.full(len(x), doc, np.int64), x[:, 0], x[:, 1]]
 
 
-def _phrases(docs: DataFrame) -> DataFrame:
-    """doc, gram, phrase: every phrase of the parse."""
+def _batch(parts: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(np.concatenate(c))) for c in zip(*parts, strict=True)], names=names)
+
+
+def _phrases(rows: DataFrame) -> DataFrame:
+    """doc, key (the trigger's hash), phrase: the distinct phrases of each document."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            doc, gram, phrase = [], [], []
+            parts = []
             for d, data in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                g, first, last = parse(data)
-                doc.append(np.full(len(g), d))
-                gram.append(g)
-                phrase += map(phrase_hash, [data] * len(g), first.tolist(), last.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(gram), pa.int64()), pa.array(phrase, pa.int64())], names=["doc", "gram", "phrase"])
+                gram, first, last, _ = parse(data)
+                parts.append(_out(d, set(zip(gram.tolist(), map(phrase_hash, [data] * len(gram), first.tolist(), last.tolist()), strict=True))))
+            yield _batch(parts, ["doc", "key", "phrase"])
+
+    return rows.select("doc", "text").mapInArrow(run, "doc long, key long, phrase long")
 
-    return _rows(docs).mapInArrow(run, "doc long, gram long, phrase long")
 
+def _settle(found: DataFrame, name: str) -> DataFrame:
+    """doc, <name>_repeated, <name>_contested: of each document the keys that an earlier document settles, and those
+    with several phrases. Keys that need nothing (one document, or first here) don't appear."""
+    w = Window.partitionBy("key")
+    met = found.select("doc", "key", F.min("phrase").over(w).alias("p"), F.max("phrase").over(w).alias("q"), F.min("doc").over(w).alias("first"))
+    contested = F.col("p") != F.col("q")
+    met = met.where(contested | (F.col("first") < F.col("doc"))).select("doc", "key", contested.alias("c"))
+    return met.groupBy("doc").agg(F.collect_set(F.when(~F.col("c"), F.col("key"))).alias(f"{name}_repeated"), F.collect_set(F.when(F.col("c"), F.col("key"))).alias(f"{name}_contested"))
 
-def _grams(docs: DataFrame) -> DataFrame:
-    """doc, gram: the distinct trigger strings of every document."""
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """doc, key, phrase of the parts of contested phrases."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            found = [np.unique(parse(data)[0]) for data in texts(b.column(1))]
-            doc = np.repeat(np.asarray(b.column(0)), [len(g) for g in found])
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.concatenate(found), pa.int64())], names=["doc", "gram"])
+            parts = []
+            for d, data, contested in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
+                if not contested:
+                    continue
+                gram, first, last, place = parse(data)
+                found = set()
+                for j in np.flatnonzero(np.isin(gram, np.array(contested, np.int64))).tolist():
+                    found |= {(k, phrase_hash(data, lo, hi)) for k, lo, hi in split_phrase(data, int(first[j]), int(last[j]), int(place[j]))}
+                parts.append(_out(d, found))
+            if parts:
+                yield _batch(parts, ["doc", "key", "phrase"])
 
-    return _rows(docs).mapInArrow(run, "doc long, gram long")
+    # doc_id comes along unused, so that all readers of the joined texts share one shuffle
+    return rows.select("doc", "text", "phrase_contested", "doc_id").mapInArrow(run, "doc long, key long, phrase long")
 
 
 def _window_keys(data: bytes, first: int, last: int) -> list[bytes]:
@@ -143,72 +193,75 @@ def _window_keys(data: bytes, first: int, last: int) -> list[bytes]:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """rows(doc, text, contested) -> doc, a, b: distinct keys of the suffixes that start in contested phrases."""
+    """doc, a, b: distinct keys of the suffixes that start in contested parts."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            for d, data, contested in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
-                gram, first, last = parse(data)
-                mine = np.flatnonzero(np.isin(gram, np.array(contested, np.int64)))
+            for d, data, contested, parts in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if not parts:
+                    continue
+                gram, first, last, place = parse(data)
+                mine, wanted = np.flatnonzero(np.isin(gram, np.array(contested, np.int64))), set(parts)
                 for lo in range(0, len(mine), 4096):
                     keys: set[bytes] = set()
                     for j in mine[lo : lo + 4096].tolist():
-                        keys.update(_window_keys(data, int(first[j]), int(last[j])))
+                        for k, x, y in split_phrase(data, int(first[j]), int(last[j]), int(place[j])):
+                            if k in wanted:
+                                keys.update(_window_keys(data, x, y))
                     k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), d), pa.int64()), pa.array(np.ascontiguousarray(k[:, 0])), pa.array(np.ascontiguousarray(k[:, 1]))], names=["doc", "a", "b"])
+                    yield _batch([[np.full(len(k), d, np.int64), k[:, 0], k[:, 1]]], ["doc", "a", "b"])
 
-    return rows.mapInArrow(run, "doc long, a long, b long")
+    return rows.select("doc", "text", "phrase_contested", "part_contested", "doc_id").mapInArrow(run, "doc long, a long, b long")
 
 
-def removed(data: bytes, repeated: np.ndarray, contested: np.ndarray, firsts: set[bytes]) -> np.ndarray:
-    """Whether each byte goes. repeated: grams whose windows all occur in an earlier document; contested: grams whose
-    windows are looked up one by one; firsts: keys of contested windows that no earlier document has."""
-    gram, first, last = parse(data)
-    n = len(data)
-    edge = np.zeros(n + 1, np.int64)  # +1 where a covered stretch starts, -1 where it ends
-    _, place = np.unique(gram, return_index=True)
+def removed(data: bytes, repeated: set[int], contested: set[int], part_repeated: set[int], part_contested: set[int], firsts: set[bytes]) -> np.ndarray:
+    """Whether each byte goes. repeated: keys of phrases (and of parts) whose windows all occur in an earlier document;
+    contested: those that are looked into; firsts: keys of suffixes that no earlier document has."""
+    gram, first, last, place = parse(data)
+    edge = np.zeros(len(data) + 1, np.int64)  # +1 where a covered stretch starts, -1 where it ends
+    # equal phrases of a document: all but the first go
+    _, at = np.unique(gram, return_index=True)
     again = np.ones(len(gram), bool)
-    again[place] = False  # a later occurrence in the same document
-    one_by_one = np.isin(gram, contested)
-    whole = (again | np.isin(gram, repeated)) & ~one_by_one
+    again[at] = False
+    look = np.isin(gram, np.array(list(contested), np.int64))
+    whole = (again | np.isin(gram, np.array(list(repeated), np.int64))) & ~look
     np.add.at(edge, first[whole], 1)
     np.add.at(edge, last[whole] + LENGTH, -1)
+    seen_parts: set[int] = set()
     seen: set[bytes] = set()
-    for j in np.flatnonzero(one_by_one).tolist():
-        lo = int(first[j])
-        for i, key in enumerate(_window_keys(data, lo, int(last[j])), lo):
-            if key not in firsts or key in seen:
-                edge[i] += 1
-                edge[i + LENGTH] -= 1
-            seen.add(key)
+    for j in np.flatnonzero(look).tolist():
+        for k, lo, hi in split_phrase(data, int(first[j]), int(last[j]), int(place[j])):
+            if k in part_contested:
+                for i, key in enumerate(_window_keys(data, lo, hi), lo):
+                    if key not in firsts or key in seen:
+                        edge[i] += 1
+                        edge[i + LENGTH] -= 1
+                    seen.add(key)
+            elif k in part_repeated or k in seen_parts:
+                edge[lo] += 1
+                edge[hi + LENGTH] -= 1
+            seen_parts.add(k)
     return np.cumsum(edge[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and kept (the remaining bytes) or, for digest, kept_sha256."""
-    # the dictionary: one row for each trigger string that occurs twice or more
-    dictionary = _phrases(docs).groupBy("gram").agg(F.count("*").alias("n"), F.min("phrase").alias("p"), F.max("phrase").alias("q"), F.min("doc").alias("first"))
-    dictionary = stash(dictionary.where("n > 1").select("gram", (F.col("p") != F.col("q")).alias("contested"), "first"), "repeats-dictionary")
-    # the parse, as far as it repeats
-    met = _grams(docs).join(dictionary, "gram").where(F.col("contested") | (F.col("first") < F.col("doc")))
-    lists = met.groupBy("doc").agg(F.collect_list(F.when(~F.col("contested"), F.col("gram"))).alias("repeated"), F.collect_list(F.when(F.col("contested"), F.col("gram"))).alias("contested"))
-    lists = stash(lists, "repeats-lists")
-    rows = docs.select("doc_id", "text").withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    rows = rows.select("doc_id", "doc", whole_text("text").alias("text"))
-    hard = lists.where(F.size("contested") > 0).select("doc", "contested")
-    keys = _windows(rows.join(hard, "doc").select("doc", "text", "contested"))
+    lists = stash(_settle(_phrases(_rows(docs)), "phrase"), "repeats-phrases")
+    # texts are shuffled once: what follows reads that shuffle three times
+    rows = _rows(docs).join(lists, "doc", "left").select("doc", "text", "doc_id", "phrase_repeated", "phrase_contested")
+    parts = _settle(_parts(rows), "part")
+    both = rows.join(parts, "doc", "left")
     # of each suffix the first document, and of each document the suffixes that it has first
-    firsts = keys.groupBy("a", "b").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    firsts = stash(firsts, "repeats-firsts")
-    joined = rows.join(lists, "doc", "left").join(firsts, "doc", "left").select("doc_id", "text", "repeated", "contested", "a", "b")
+    firsts = _windows(both).groupBy("a", "b").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("firsts"))
+    joined = both.join(firsts, "doc", "left").select("doc_id", "text", "phrase_repeated", "phrase_contested", "part_repeated", "part_contested", "firsts.a", "firsts.b")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             out = []
-            lists_ = [b.column(i).to_pylist() for i in range(2, 6)]
-            for data, repeated, contested, a, c in zip(texts(b.column(1)), *lists_, strict=True):
+            found = [b.column(i).to_pylist() for i in range(2, 8)]
+            for data, *four, a, c in zip(texts(b.column(1)), *found, strict=True):
                 pair = np.stack([np.array(a or [], np.int64), np.array(c or [], np.int64)], 1).tobytes()
-                gone = removed(data, np.array(repeated or [], np.int64), np.array(contested or [], np.int64), {pair[i : i + 16] for i in range(0, len(pair), 16)})
+                gone = removed(data, *[set(x or ()) for x in four], {pair[i : i + 16] for i in range(0, len(pair), 16)})
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 out.append((len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept))
