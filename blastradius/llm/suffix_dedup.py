@@ -28,6 +28,7 @@ before they are shuffled; documents get lists bounded by their own length.
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,9 +215,9 @@ def _windows(rows: DataFrame) -> DataFrame:
     return rows.select("doc", "text", "phrase_contested", "part_contested", "doc_id").mapInArrow(run, "doc long, a long, b long")
 
 
-def removed(data: bytes, repeated: set[int], contested: set[int], part_repeated: set[int], part_contested: set[int], firsts: set[bytes]) -> np.ndarray:
+def removed(data: bytes, repeated: set[int], contested: set[int], part_repeated: set[int], part_contested: set[int], firsts: set[int]) -> np.ndarray:
     """Whether each byte goes. repeated: keys of phrases (and of parts) whose windows all occur in an earlier document;
-    contested: those that are looked into; firsts: keys of suffixes that no earlier document has."""
+    contested: those that are looked into; firsts: first halves of the keys of suffixes that no earlier document has."""
     gram, first, last, place = parse(data)
     edge = np.zeros(len(data) + 1, np.int64)  # +1 where a covered stretch starts, -1 where it ends
     # equal phrases of a document: all but the first go
@@ -233,7 +234,7 @@ def removed(data: bytes, repeated: set[int], contested: set[int], part_repeated:
         for k, lo, hi in split_phrase(data, int(first[j]), int(last[j]), int(place[j])):
             if k in part_contested:
                 for i, key in enumerate(_window_keys(data, lo, hi), lo):
-                    if key not in firsts or key in seen:
+                    if int.from_bytes(key[:8], sys.byteorder, signed=True) not in firsts or key in seen:
                         edge[i] += 1
                         edge[i + LENGTH] -= 1
                     seen.add(key)
@@ -251,17 +252,17 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     rows = _rows(docs).join(lists, "doc", "left").select("doc", "text", "doc_id", "phrase_repeated", "phrase_contested")
     parts = _settle(_parts(rows), "part")
     both = rows.join(parts, "doc", "left")
-    # of each suffix the first document, and of each document the suffixes that it has first
-    firsts = _windows(both).groupBy("a", "b").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("firsts"))
-    joined = both.join(firsts, "doc", "left").select("doc_id", "text", "phrase_repeated", "phrase_contested", "part_repeated", "part_contested", "firsts.a", "firsts.b")
+    # of each suffix the first document, and of each document the suffixes that it has first: within a document half
+    # of the key tells them apart
+    firsts = _windows(both).groupBy("a", "b").agg(F.min("doc").alias("doc")).groupBy("doc").agg(F.collect_list("a").alias("firsts"))
+    joined = both.join(firsts, "doc", "left").select("doc_id", "text", "phrase_repeated", "phrase_contested", "part_repeated", "part_contested", "firsts")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             out = []
-            found = [b.column(i).to_pylist() for i in range(2, 8)]
-            for data, *four, a, c in zip(texts(b.column(1)), *found, strict=True):
-                pair = np.stack([np.array(a or [], np.int64), np.array(c or [], np.int64)], 1).tobytes()
-                gone = removed(data, *[set(x or ()) for x in four], {pair[i : i + 16] for i in range(0, len(pair), 16)})
+            found = [b.column(i).to_pylist() for i in range(2, 7)]
+            for data, *lists in zip(texts(b.column(1)), *found, strict=True):
+                gone = removed(data, *[set(x or ()) for x in lists])
                 kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
                 out.append((len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept))
