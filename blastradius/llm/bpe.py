@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, texts, whole_text
+from .common import batches, small_batches, texts, whole_text
 
 BLANKS = b" \n\r\t\x0b\x0c"
 #: Distinct fragments that a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 350_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -155,15 +155,20 @@ def _coder(shared, kept: list) -> Coder:
 
 
 def _mapped(df: DataFrame, content: str, schema: str, row, id_col: str, text_col: str) -> DataFrame:
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(content)  # one vocabulary file, whatever the input
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list = []
         gc.disable()  # hundreds of thousands of remembered fragments, no cycles
-        for b in batches(it):
-            coder = _coder(shared, kept)
-            cols = list(zip(*(row(*x) for x in coder.code([valid(t) for t in texts(b.column(1))])), strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(cols, fields, strict=True))], names=["doc_id", *(f.name for f in fields)])
+        try:
+            for b in batches(it):
+                coder = _coder(shared, kept)
+                cols = list(zip(*(row(*x) for x in coder.code([valid(t) for t in texts(b.column(1))])), strict=True))
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(cols, fields, strict=True))], names=["doc_id", *(f.name for f in fields)])
+        finally:  # the worker goes on with other tasks
+            kept.clear()
+            gc.enable()
 
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     fields = [pa.field(n, kinds[k]) for n, k in (x.split(" ", 1) for x in schema.split(", "))]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
 A_Z, a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,6 +53,11 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches end after BATCH_BYTES as well as after so many rows, so that long texts don't fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def batches(it: Iterator[pa.RecordBatch], most: int = 4 << 20, column: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the bytes of one column stay near `most` (a single row may exceed it)."""
     import numpy as np

@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, texts, whole_text
+from .common import batches, small_batches, texts, whole_text
 from .textstats import FEATURES, statistics
 
 #: Labellers: statistic, bad beyond, good within; a negative sign turns both round. Between the two they abstain.
@@ -96,10 +97,10 @@ def hashed(data: bytes, values: tuple[float, ...]) -> tuple[list[int], list[floa
     return at, weight
 
 
-def _train(at: list[list[int]], weight: list[list[float]], target: np.ndarray, share: np.ndarray, rounds: int = 80) -> np.ndarray:
+def _train(at: pa.ChunkedArray, weight: pa.ChunkedArray, target: np.ndarray, share: np.ndarray, rounds: int = 80) -> np.ndarray:
     """Logistic regression on soft targets, full-batch AdaGrad; the last weight is the bias."""
-    row = np.repeat(np.arange(len(at)), [len(x) for x in at])
-    col, val = np.concatenate([np.array(x, np.int32) for x in at]), np.concatenate([np.array(x, np.float32) for x in weight])
+    row = np.repeat(np.arange(len(at), dtype=np.int32), pc.list_value_length(at).to_numpy())
+    col, val = pc.list_flatten(at).to_numpy(), pc.list_flatten(weight).to_numpy()
     used, col = np.unique(col, return_inverse=True)
     w, past = np.zeros(len(used) + 1), np.full(len(used) + 1, 1e-8)
     for _ in range(rounds):
@@ -114,6 +115,7 @@ def _train(at: list[list[int]], weight: list[list[float]], target: np.ndarray, s
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
 
 
@@ -170,7 +172,7 @@ def train(docs: DataFrame, most: int = 4000) -> Scorer:
         return Scorer(None, posterior, rates)
     # both kinds weigh the same in training
     share = np.where(target >= 0.5, 1 / max(1, (target >= 0.5).sum()), 1 / max(1, (target < 0.5).sum())) * len(target) / 2
-    return Scorer(_train(rows["at"].to_pylist(), rows["weight"].to_pylist(), target, share), posterior, rates)
+    return Scorer(_train(rows["at"], rows["weight"], target, share), posterior, rates)
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
@@ -190,6 +192,7 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
 def keep_good(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """The rows of docs that the scorer keeps, all columns as they are."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     names = docs.columns
     where = names.index("text")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import batches, texts, whole_text
+from .common import batches, small_batches, texts, whole_text
 from .textstats import BASE, FEATURES, statistics
 
 #: -1: a larger value can only lower the score.
@@ -37,6 +37,8 @@ def labelled_sample(labels: DataFrame, most: int, id_col: str = "doc_id", label_
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the base counts and the features of every document."""
 
+    small_batches(docs.sparkSession)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             counts, values = zip(*map(statistics, texts(b.column(1))), strict=True)
@@ -59,6 +61,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> gbt.Forest
 
 def judge(docs: DataFrame, forest: gbt.Forest | None) -> DataFrame:
     """doc_id, the base counts, base_failed, score, kept."""
+    small_batches(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, stash, texts, whole_text
+from .common import batches, small_batches, stash, texts, whole_text
 from .components import components
 
 RADIUS = 3
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([simhash(t) for t in texts(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, stash, texts, whole_text
+from .common import batches, small_batches, stash, texts, whole_text
 
 LENGTH = 100
 W = 48
@@ -129,6 +129,7 @@ def split_phrase(data: bytes, first: int, last: int, place: int) -> list[tuple[i
 
 
 def _rows(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     return docs.select("doc_id", doc.alias("doc"), whole_text("text").alias("text"))
 
