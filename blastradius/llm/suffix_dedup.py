@@ -107,27 +107,51 @@ def phrase_hash(data: bytes, first: int, last: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def split_phrase(data: bytes, first: int, last: int, place: int) -> list[tuple[int, int, int]]:
-    """key, first and last window of the parts of a phrase whose windows have one second smallest hash."""
-    from xxhash import xxh3_64_intdigest
-
-    h = _hashes(np.frombuffer(data, np.uint8, last - first + LENGTH, first))
-    low = np.uint64((1 << 22) - 1)
-    m = (h & ~low) | (low - np.arange(len(h), dtype=np.uint64))
-    n, a, reach = last - first + 1, place - first, LENGTH - W
-    none = np.full(1, ~np.uint64(0))
-    left = np.concatenate((np.minimum.accumulate(m[:a][::-1])[::-1], none))[:n] if a < n else np.minimum.accumulate(m[:a][::-1])[::-1][:n]
-    right = np.concatenate((none, np.minimum.accumulate(m[a + 1 :])))[np.arange(n) + reach - a]
-    second = (low - (np.minimum(left, right) & low)).astype(np.int64)
-    cut = np.flatnonzero(np.concatenate(([True], second[1:] != second[:-1])))
-    out = []
-    for lo, hi in zip(cut.tolist(), [*(cut[1:] - 1).tolist(), n - 1], strict=True):
-        s = int(second[lo])
-        k = xxh3_64_intdigest(h[a].tobytes() + h[s].tobytes() + (s - a).to_bytes(4, "big", signed=True))
-        out.append((k - (1 << 64) if k >> 63 else k, first + lo, first + hi))
+def _smallest(levels: list[np.ndarray], lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The smallest of levels[0][lo : lo + n] for every pair; all ones where n is 0."""
+    out = np.full(len(lo), ~np.uint64(0))
+    for p, level in enumerate(levels):
+        at = np.flatnonzero((n >> p) == 1)  # 2^p <= n < 2^(p + 1): two overlapping stretches of 2^p
+        out[at] = np.minimum(level[lo[at]], level[lo[at] + n[at] - (1 << p)])
     return out
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def split_phrases(data: bytes, contested: list[int]) -> list[np.ndarray]:
+    """Of the phrases with these keys: key, first and last window of each part, in order.
+
+    A part's windows have one second smallest hash; its key is made of both hashes and their distance.
+    """
+    gram, first, last, place = parse(data)
+    mine = np.flatnonzero(np.isin(gram, np.array(contested, np.int64)))
+    raw, low, reach = np.frombuffer(data, np.uint8), np.uint64((1 << 22) - 1), LENGTH - W
+    counts = last[mine] - first[mine] + 1
+    window = np.repeat(first[mine] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+    trigger = np.repeat(place[mine], counts)
+    second, key = np.zeros(len(window), np.int64), np.zeros(len(window), np.uint64)
+    for lo in range(0, len(raw) - LENGTH + 1, BLOCK):
+        at = np.flatnonzero((window >= lo) & (window < lo + BLOCK))
+        if not len(at):
+            continue
+        h = _hashes(raw[lo : min(lo + BLOCK, len(raw) - LENGTH + 1) + LENGTH - 1])
+        levels = [(h & ~low) | (low - np.arange(len(h), dtype=np.uint64))]
+        while 2 << len(levels) - 1 <= reach:
+            span = 1 << len(levels) - 1
+            levels.append(np.minimum(levels[-1][:-span], levels[-1][span:]))
+        w, t = window[at] - lo, trigger[at] - lo
+        m = np.minimum(_smallest(levels, w, t - w), _smallest(levels, t + 1, w + reach - t))
+        s = (low - (m & low)).astype(np.int64)
+        second[at] = s + lo
+        key[at] = _mixed(_mixed(h[t] + (s - t).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + h[s])
+    new = np.flatnonzero(np.concatenate(([True], (second[1:] != second[:-1]) | (trigger[1:] != trigger[:-1])))) if len(window) else np.zeros(0, np.int64)
+    end = np.append(new[1:], len(window)) - 1
+    return [key[new].view(np.int64), window[new], window[end]]
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
@@ -176,11 +200,8 @@ def _parts(rows: DataFrame) -> DataFrame:
             for d, data, contested in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), strict=True):
                 if not contested:
                     continue
-                gram, first, last, place = parse(data)
-                found = set()
-                for j in np.flatnonzero(np.isin(gram, np.array(contested, np.int64))).tolist():
-                    found |= {(k, phrase_hash(data, lo, hi)) for k, lo, hi in split_phrase(data, int(first[j]), int(last[j]), int(place[j]))}
-                parts.append(_out(d, found))
+                key, lo, hi = (x.tolist() for x in split_phrases(data, contested))
+                parts.append(_out(d, set(zip(key, map(phrase_hash, [data] * len(key), lo, hi), strict=True))))
             if parts:
                 yield _batch(parts, ["doc", "key", "phrase"])
 
@@ -202,14 +223,12 @@ def _windows(rows: DataFrame) -> DataFrame:
             for d, data, contested, parts in zip(b.column(0).to_pylist(), texts(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if not parts:
                     continue
-                gram, first, last, place = parse(data)
-                mine, wanted = np.flatnonzero(np.isin(gram, np.array(contested, np.int64))), set(parts)
+                key, first, last = split_phrases(data, contested)
+                mine = np.flatnonzero(np.isin(key, np.array(parts, np.int64)))
                 for lo in range(0, len(mine), 4096):
                     keys: set[bytes] = set()
-                    for j in mine[lo : lo + 4096].tolist():
-                        for k, x, y in split_phrase(data, int(first[j]), int(last[j]), int(place[j])):
-                            if k in wanted:
-                                keys.update(_window_keys(data, x, y))
+                    for x, y in zip(first[mine[lo : lo + 4096]].tolist(), last[mine[lo : lo + 4096]].tolist(), strict=True):
+                        keys.update(_window_keys(data, x, y))
                     k = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
                     yield _batch([[np.full(len(k), d, np.int64), k[:, 0], k[:, 1]]], ["doc", "a", "b"])
 
@@ -219,7 +238,7 @@ def _windows(rows: DataFrame) -> DataFrame:
 def removed(data: bytes, repeated: set[int], contested: set[int], part_repeated: set[int], part_contested: set[int], firsts: set[int]) -> np.ndarray:
     """Whether each byte goes. repeated: keys of phrases (and of parts) whose windows all occur in an earlier document;
     contested: those that are looked into; firsts: first halves of the keys of suffixes that no earlier document has."""
-    gram, first, last, place = parse(data)
+    gram, first, last, _ = parse(data)
     edge = np.zeros(len(data) + 1, np.int64)  # +1 where a covered stretch starts, -1 where it ends
     # equal phrases of a document: all but the first go
     _, at = np.unique(gram, return_index=True)
@@ -231,18 +250,17 @@ def removed(data: bytes, repeated: set[int], contested: set[int], part_repeated:
     np.add.at(edge, last[whole] + LENGTH, -1)
     seen_parts: set[int] = set()
     seen: set[bytes] = set()
-    for j in np.flatnonzero(look).tolist():
-        for k, lo, hi in split_phrase(data, int(first[j]), int(last[j]), int(place[j])):
-            if k in part_contested:
-                for i, key in enumerate(_window_keys(data, lo, hi), lo):
-                    if int.from_bytes(key[:8], sys.byteorder, signed=True) not in firsts or key in seen:
-                        edge[i] += 1
-                        edge[i + LENGTH] -= 1
-                    seen.add(key)
-            elif k in part_repeated or k in seen_parts:
-                edge[lo] += 1
-                edge[hi + LENGTH] -= 1
-            seen_parts.add(k)
+    for k, lo, hi in zip(*(x.tolist() for x in split_phrases(data, list(contested))), strict=True) if look.any() else ():
+        if k in part_contested:
+            for i, key in enumerate(_window_keys(data, lo, hi), lo):
+                if int.from_bytes(key[:8], sys.byteorder, signed=True) not in firsts or key in seen:
+                    edge[i] += 1
+                    edge[i + LENGTH] -= 1
+                seen.add(key)
+        elif k in part_repeated or k in seen_parts:
+            edge[lo] += 1
+            edge[hi + LENGTH] -= 1
+        seen_parts.add(k)
     return np.cumsum(edge[:-1]) > 0
 
 

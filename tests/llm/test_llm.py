@@ -94,12 +94,16 @@ def test_op1_blocks(monkeypatch):
     random.seed(2)
     data = b"".join(random.choice([b"abc" * 70, bytes(random.choices(b"ab", k=200)), b"y" * 333]) for _ in range(12))
     whole = suffix_dedup.parse(data)
+    parts = suffix_dedup.split_phrases(data, whole[0].tolist())
     monkeypatch.setattr(suffix_dedup, "BLOCK", 211)
     suffix_dedup._powers.clear()
     for a, b in zip(whole, suffix_dedup.parse(data), strict=True):
         assert (a == b).all()
+    for a, b in zip(parts, suffix_dedup.split_phrases(data, whole[0].tolist()), strict=True):
+        assert (a == b).all()
     suffix_dedup._powers.clear()
     first, last = whole[1:3]
+    assert parts[1][0] == 0 and parts[2][-1] == last[-1] and (parts[1][1:] == parts[2][:-1] + 1).all()
     assert first[0] == 0 and last[-1] == len(data) - 100 and (first[1:] == last[:-1] + 1).all()
 
 
