@@ -28,7 +28,6 @@ before they are shuffled; documents get lists bounded by their own length.
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -248,19 +247,28 @@ def removed(data: bytes, repeated: set[int], contested: set[int], part_repeated:
     whole = (again | np.isin(gram, np.array(list(repeated), np.int64))) & ~look
     np.add.at(edge, first[whole], 1)
     np.add.at(edge, last[whole] + LENGTH, -1)
-    seen_parts: set[int] = set()
-    seen: set[bytes] = set()
-    for k, lo, hi in zip(*(x.tolist() for x in split_phrases(data, list(contested))), strict=True) if look.any() else ():
-        if k in part_contested:
-            for i, key in enumerate(_window_keys(data, lo, hi), lo):
-                if int.from_bytes(key[:8], sys.byteorder, signed=True) not in firsts or key in seen:
-                    edge[i] += 1
-                    edge[i + LENGTH] -= 1
-                seen.add(key)
-        elif k in part_repeated or k in seen_parts:
-            edge[lo] += 1
-            edge[hi + LENGTH] -= 1
-        seen_parts.add(k)
+    if look.any():
+        key, lo, hi = split_phrases(data, list(contested))
+        _, at = np.unique(key, return_index=True)
+        again = np.ones(len(key), bool)
+        again[at] = False
+        deep = np.isin(key, np.array(list(part_contested), np.int64))
+        whole = (again | np.isin(key, np.array(list(part_repeated), np.int64))) & ~deep
+        np.add.at(edge, lo[whole], 1)
+        np.add.at(edge, hi[whole] + LENGTH, -1)
+        mine = np.flatnonzero(deep)
+        keys: list[bytes] = []
+        for x, y in zip(lo[mine].tolist(), hi[mine].tolist(), strict=True):
+            keys += _window_keys(data, x, y)
+        counts = hi[mine] - lo[mine] + 1
+        starts = np.repeat(lo[mine] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        half = np.frombuffer(b"".join(keys), np.int64)[::2]
+        _, at = np.unique(half, return_index=True)
+        goes = np.ones(len(half), bool)
+        goes[at] = False
+        goes |= ~np.isin(half, np.array(list(firsts), np.int64))
+        np.add.at(edge, starts[goes], 1)
+        np.add.at(edge, starts[goes] + LENGTH, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
