@@ -5,6 +5,10 @@ confidence, lift or support go, and of rules that contain one another only the s
 an inverted index under its rarest token; a URL's tokens look their rules up there, and a rule matches if the URL
 has all of its tokens.
 
+Tokens that the same labelled URLs have are mined as one item, and each of them stands for it in a URL (column
+`alike`), as if there were a rule for every choice among them. Tokens that are rules alone, and tokens of all labelled
+URLs, are in no shortest rule of several tokens and aren't combined.
+
 Mining sees at most ITEMS tokens of a labelled URL (in order: host, path, query), which bounds the itemsets of one
 URL; matching sees all tokens of every URL. Null url, or one without ://, has empty host and path, no tokens, and is
 allowed. Repeated rows, also with equal page_id, are judged each. URLs with contradicting labels count by the mean.
@@ -13,6 +17,8 @@ Without labels of both kinds there are no mined rules. Other columns are ignored
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, stash
 
 ITEMS = 12
-BAD, GOOD = "=bad", "=good"
+BAD = "=bad"
+RULES = "tokens array<string>, anchor string, confidence double, lift double, support double, alike array<struct<token string, stands string>>"
 
 
 def host(url: Column) -> Column:
@@ -32,11 +39,12 @@ def path(url: Column) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Distinct tokens: the host, its words, scheme, path words, extension, query names."""
+    """Distinct tokens: host endings, host words, scheme, path words, extension, query names."""
     h, p = host(url), path(url)
     labels = F.filter(F.split(h, r"\."), lambda x: x != "")
+    endings = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, -F.least(i, F.size(labels)), i), ".")))
     kinds = [
-        F.when(F.size(labels) > 0, F.array(F.concat(F.lit("h:"), h))).otherwise(F.array().cast("array<string>")),
+        F.when(F.size(labels) > 0, endings).otherwise(F.array().cast("array<string>")),
         F.transform(F.filter(F.split(h, r"[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("w:"), x)),
         F.array(F.concat(F.lit("s:"), lower_ascii(F.regexp_extract(url, r"(?s)^(.*?)://", 1)))),
         F.transform(F.filter(F.split(F.regexp_replace(p, r"[0-9]+", "0"), r"[/._-]"), lambda x: x != ""), lambda x: F.concat(F.lit("p:"), x)),
@@ -50,36 +58,45 @@ def indexed(rules: DataFrame) -> DataFrame:
 
 
 def match(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """url, __need: which rules' tokens each distinct url of rows(url, tokens) has all of."""
-    found = rows.select("url", F.col("tokens").alias("__has"), F.explode("tokens").alias("anchor")).join(indexed(rules), "anchor")
+    """url, __need: which rules' tokens each distinct url of rows(url, tokens) has all of, or tokens alike."""
+    names = F.broadcast(rules.select(F.explode("alike").alias("__x")).select("__x.token", "__x.stands").distinct())  # frequent tokens only
+    has = rows.select("url", F.explode("tokens").alias("token")).join(names, "token").groupBy("url").agg(F.collect_set("stands").alias("__has"))
+    found = has.select("url", "__has", F.explode("__has").alias("anchor")).join(indexed(rules), "anchor")
     return found.where(F.size(F.array_except("__need", "__has")) == 0).select("url", "__need")
 
 
 def mine(labelled: DataFrame, min_support: float = 0.001, min_rows: int = 10, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame:
-    """labelled(url, bad 0..1) -> rules(tokens, anchor, confidence, lift, support)."""
+    """labelled(url, bad 0..1) -> rules(tokens, anchor, confidence, lift, support, alike)."""
     spark = labelled.sparkSession
     per = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.avg("bad").alias("bad"))
-    sets = stash(per.select(F.slice(tokens(F.col("url")), 1, ITEMS).alias("tokens"), (F.col("bad") >= 0.5).alias("bad")).where("size(tokens) > 0"), "url-items")
+    sets = per.select(F.slice(tokens(F.col("url")), 1, ITEMS).alias("tokens"), (F.col("bad") >= 0.5).alias("bad"), F.xxhash64("url").alias("h1"), F.xxhash64("url", F.lit(1)).alias("h2"))
+    sets = stash(sets.where("size(tokens) > 0"), "url-items")
     counts = sets.agg(F.count("*").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad")).first()
     if not counts["n"] or counts["bad"] in (0, counts["n"]):
-        return spark.createDataFrame([], "tokens array<string>, anchor string, confidence double, lift double, support double")
+        return spark.createDataFrame([], RULES)
     least = min(1.0, max(min_support, min_rows / counts["n"]))
+    share = counts["bad"] / counts["n"]
+    enough = (F.col("confidence") >= min_confidence) & (F.col("confidence") / share >= min_lift)
     # a rule for bad with this support needs tokens that often in bad URLs: others can't be part of one
-    # and one that more than half of all labelled URLs have says little, but doubles the itemsets
-    each = sets.select(F.explode("tokens").alias("t"), F.col("bad").cast("int").alias("bad")).groupBy("t").agg(F.sum("bad").alias("c"), F.count("*").alias("all"))
-    often = each.where((F.col("c") >= least * counts["n"]) & (F.col("all") <= counts["n"] / 2))
-    often = often.agg(F.collect_list("t").alias("ts")).first()["ts"]  # at most ITEMS / least tokens
-    kept = F.array_intersect("tokens", F.lit(sorted(often)) if often else F.array().cast("array<string>"))
-    items = sets.select(F.concat(kept, F.array(F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD)))).alias("items"))
+    each = sets.select(F.explode("tokens").alias("t"), F.col("bad").cast("int").alias("bad"), "h1", "h2")
+    each = each.groupBy("t").agg(F.sum("bad").alias("c"), F.count("*").alias("all"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where(F.col("c") >= math.ceil(least * counts["n"]))
+    # tokens of the same rows are one item, named by the first of them
+    classes = each.groupBy("c", "all", "h1", "h2").agg(F.array_sort(F.collect_set("t")).alias("ts"))
+    classes = stash(classes.select(F.element_at("ts", 1).alias("t"), "ts", "c", "all", (F.col("c") / F.col("all")).alias("confidence")), "url-tokens")
+    single = classes.where(enough).select(F.array("t").alias("tokens"), "confidence", (F.col("confidence") / share).alias("lift"), (F.col("c") / counts["n"]).alias("support"))
+    # a token that is a rule is in no other shortest rule, and one that every URL has adds nothing to one
+    open_ = F.broadcast(classes.where(~enough & (F.col("all") < counts["n"])).select("t", F.col("t").alias("item")))
+    rows = sets.select("h1", "h2", "bad", F.explode("tokens").alias("t")).join(open_, "t", "left").groupBy("h1", "h2", "bad").agg(F.collect_list("item").alias("items"))
+    items = rows.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence, numPartitions=parts).fit(items.repartition(parts))
-    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & ~F.array_contains("antecedent", GOOD) & (F.col("lift") >= min_lift))
-    rules = stash(rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support"), "url-rules")
-    # the rarest token of a rule among the labelled URLs
-    each = rules.select("tokens", F.explode("tokens").alias("t"))
-    common = sets.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c"))
-    anchors = each.join(common, "t").groupBy("tokens").agg(F.min(F.struct("c", "t"))["t"].alias("anchor"))
-    rules = stash(rules.join(anchors, "tokens").select("tokens", "anchor", "confidence", "lift", "support"), "url-anchored")
+    several = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") > 1) & enough)
+    rules = stash(single.unionByName(several.select(F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")), "url-rules")
+    # the rarest token of a rule among the labelled URLs, and what stands for its tokens
+    known = rules.select("tokens", F.explode("tokens").alias("t")).join(classes.select("t", "ts", "all"), "t")
+    stands = F.transform("ts", lambda x: F.struct(x.alias("token"), F.col("t").alias("stands")))
+    known = known.groupBy("tokens").agg(F.min(F.struct("all", "t"))["t"].alias("anchor"), F.flatten(F.collect_list(stands)).alias("alike"))
+    rules = stash(rules.join(known, "tokens").select("tokens", "anchor", "confidence", "lift", "support", "alike"), "url-anchored")
     # a rule that holds another rule's tokens and more says nothing new
     longer = match(rules.select(F.array_join("tokens", "\n").alias("url"), "tokens"), rules).where(F.array_join("__need", "\n") != F.col("url")).select(F.col("url").alias("__u")).distinct()
     return rules.join(longer, F.array_join("tokens", "\n") == F.col("__u"), "left_anti")

@@ -138,6 +138,29 @@ def test_op2_mines_combinations(spark):
     assert Counter(got.values())["block"] == sum(int(b) for _, b in rows)
 
 
+def verdicts(labelled, rules):
+    return {r["url"]: r["verdict"] for r in url_filter.judge(labelled.select("url", F.col("url").alias("page_id")), [], rules).withColumnRenamed("page_id", "url").collect()}
+
+
+def test_op2_hot_tokens_and_domains(spark):
+    # hot is on 60 % of the URLs, b on 35 %, both on 15 %, and only those are bad
+    rows = [(f"http://h{i}.org/{'hot' if i % 20 < 12 else 'cold'}/{'b' if i % 20 < 3 or i % 20 >= 16 else 'c'}/{i}", float(i % 20 < 3)) for i in range(400)]
+    labelled = spark.createDataFrame(rows, "url string, bad double")
+    assert verdicts(labelled, url_filter.mine(labelled)) == {u: "block" if b else "allow" for u, b in rows}
+    # a bad domain of many subdomains beside a larger good one of the same name; .com is on over half of the URLs
+    rows = [(f"http://s{i}.evil.com/", 1.0) for i in range(40)] + [(f"http://s{i}.evil.org/", 0.0) for i in range(60)] + [(f"http://s{i}.fine.com/", 0.0) for i in range(90)]
+    labelled = spark.createDataFrame(rows, "url string, bad double")
+    assert verdicts(labelled, url_filter.mine(labelled)) == {u: "block" if b else "allow" for u, b in rows}
+
+
+def test_op2_equal_tokens_stand_for_one_another(spark):
+    rows = [(f"http://a{i}.org/pills/cheap/", 1.0) for i in range(20)] + [(f"http://a{i}.org/news/", 0.0) for i in range(60)]
+    rules = url_filter.mine(spark.createDataFrame(rows, "url string, bad double"))
+    assert [r["tokens"] for r in rules.collect()] == [["p:cheap"]]
+    pages = spark.createDataFrame([("http://b.net/cheap",), ("http://b.net/pills",), ("http://b.net/news",)], "url string")
+    assert verdicts(pages, rules) == {"http://b.net/cheap": "block", "http://b.net/pills": "block", "http://b.net/news": "allow"}
+
+
 # 3. I-Match
 
 
