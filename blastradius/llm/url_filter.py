@@ -1,7 +1,7 @@
 """URL filters: given host/path rules first, mined association rules for the rest. DataFrame functions only.
 
 Spark's FP-growth mines token combinations of labelled URLs whose consequent is the label bad; rules below the given
-confidence, lift or support go, and of rules that contain one another only the shortest stays. Every rule stands in
+confidence, gain or support go, and of rules that contain one another only the shortest stays. Every rule stands in
 an inverted index under its rarest token; a URL's tokens look their rules up there, and a rule matches if the URL
 has all of its tokens.
 
@@ -9,8 +9,8 @@ Tokens that the same labelled URLs have are mined as one item, and each of them
 `alike`), as if there were a rule for every choice among them. Tokens that are rules alone, and tokens of all labelled
 URLs, are in no shortest rule of several tokens and aren't combined.
 
-Mining sees at most ITEMS tokens of a labelled URL (in order: host, path, query), which bounds the itemsets of one
-URL; matching sees all tokens of every URL. Null url, or one without ://, has empty host and path, no tokens, and is
+Mining and matching see all tokens of every URL; mining drops those too rare in bad URLs to be part of a rule.
+Null url, or one without ://, has empty host and path, no tokens, and is
 allowed. Repeated rows, also with equal page_id, are judged each. URLs with contradicting labels count by the mean.
 Without labels of both kinds there are no mined rules. Other columns are ignored. Empty input: no rows.
 """
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, stash
 
-ITEMS = 12
 BAD = "=bad"
 RULES = "tokens array<string>, anchor string, confidence double, lift double, support double, alike array<struct<token string, stands string>>"
 
@@ -65,18 +64,24 @@ def match(rows: DataFrame, rules: DataFrame) -> DataFrame:
     return found.where(F.size(F.array_except("__need", "__has")) == 0).select("url", "__need")
 
 
+def gain(share: float, times: float) -> float:
+    """The least confidence that counts as a gain over the share of bad URLs: bad is that many times as frequent, or
+    good that many times as rare. The latter is below 1 at any share."""
+    return min(share * times, 1 - (1 - share) / times)
+
+
 def mine(labelled: DataFrame, min_support: float = 0.001, min_rows: int = 10, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame:
     """labelled(url, bad 0..1) -> rules(tokens, anchor, confidence, lift, support, alike)."""
     spark = labelled.sparkSession
     per = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.avg("bad").alias("bad"))
-    sets = per.select(F.slice(tokens(F.col("url")), 1, ITEMS).alias("tokens"), (F.col("bad") >= 0.5).alias("bad"), F.xxhash64("url").alias("h1"), F.xxhash64("url", F.lit(1)).alias("h2"))
+    sets = per.select(tokens(F.col("url")).alias("tokens"), (F.col("bad") >= 0.5).alias("bad"), F.xxhash64("url").alias("h1"), F.xxhash64("url", F.lit(1)).alias("h2"))
     sets = stash(sets.where("size(tokens) > 0"), "url-items")
     counts = sets.agg(F.count("*").alias("n"), F.count(F.when(F.col("bad"), 1)).alias("bad")).first()
     if not counts["n"] or counts["bad"] in (0, counts["n"]):
         return spark.createDataFrame([], RULES)
     least = min(1.0, max(min_support, min_rows / counts["n"]))
     share = counts["bad"] / counts["n"]
-    enough = (F.col("confidence") >= min_confidence) & (F.col("confidence") / share >= min_lift)
+    enough = F.col("confidence") >= max(min_confidence, gain(share, min_lift))
     # a rule for bad with this support needs tokens that often in bad URLs: others can't be part of one
     each = sets.select(F.explode("tokens").alias("t"), F.col("bad").cast("int").alias("bad"), "h1", "h2")
     each = each.groupBy("t").agg(F.sum("bad").alias("c"), F.count("*").alias("all"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")).where(F.col("c") >= math.ceil(least * counts["n"]))

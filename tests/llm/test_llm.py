@@ -161,6 +161,23 @@ def test_op2_equal_tokens_stand_for_one_another(spark):
     assert verdicts(pages, rules) == {"http://b.net/cheap": "block", "http://b.net/pills": "block", "http://b.net/news": "allow"}
 
 
+def test_op2_sees_whole_urls(spark):
+    # what decides stands behind a long host and a slug of common words
+    slug = "-".join("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split())
+    rows = [(f"http://a.b.c.d.e.org/{slug}/{i}.{'exe' if i % 4 == 0 else 'html'}?{'aff' if i % 4 == 1 else 'page'}=1", float(i % 4 < 2)) for i in range(240)]
+    labelled = spark.createDataFrame(rows, "url string, bad double")
+    assert verdicts(labelled, url_filter.mine(labelled)) == {u: "block" if b else "allow" for u, b in rows}
+
+
+def test_op2_mines_where_most_are_bad(spark):
+    rows = [(f"http://h{i}.org/{'ok' if i % 5 == 0 else 'mixed' if i % 5 == 1 else 'pills'}/", float(i % 5 > 1 or i % 10 == 1)) for i in range(300)]
+    rows += [(f"http://k{i}.org/pills/", 1.0) for i in range(60)]
+    labelled = spark.createDataFrame(rows, "url string, bad double")
+    rules = url_filter.mine(labelled)
+    assert [r["tokens"] for r in rules.collect()] == [["p:pills"]]
+    assert all(1 - 1e-9 > url_filter.gain(b / 100, 1.5) > b / 100 for b in range(1, 100))
+
+
 # 3. I-Match
 
 
