@@ -125,7 +125,7 @@ def vector_upsert(spark, d):
 
 @query()
 def hashed_embeddings(spark, d):
-    docs = load(spark, d, "documents").select(F.col("doc_id").alias("test_id"), F.substring("text", 1, 1000).alias("body"))
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("test_id"), F.col("text").alias("body"))
     return R.hashing_vectors(docs)
 
 

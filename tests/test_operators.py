@@ -167,3 +167,26 @@ def test_windowed_counts(spark, tmp_path):
     q.awaitTermination(60)
     row = spark.table("audit").first()
     assert (row["event_type"], row["n"], row["total"]) == ("view", 1, 1.5)
+
+
+def test_hashed_embeddings_see_whole_texts(spark, tmp_path):
+    import math
+    import re
+
+    import xxhash
+
+    from blastradius.plans import reports
+
+    head = "the same words at the start " * 60
+    rows = [(1, head + "one ending"), (2, head + "another, longer ENDING"), (3, "short")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["test_id"]: r["embedding"] for r in reports.hashed_embeddings(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and got[1] != got[2]
+    for i, text in rows:
+        v = [0.0] * 32
+        for w in re.findall(r"\w+", text.lower(), re.ASCII):
+            h = xxhash.xxh64_intdigest(w.encode(), 42)
+            h -= (h >> 63) << 64
+            v[h % 32] += 1.0 if (h >> 40) % 2 == 0 else -1.0
+        norm = math.sqrt(sum(x * x for x in v)) or 1.0
+        assert all(abs(a - x / norm) < 1e-6 for a, x in zip(got[i], v, strict=True))
