@@ -9,7 +9,7 @@ from .common import stash
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) of longs -> node, component (the smallest node it reaches). Nodes without edges don't appear.
+    """edges(a, b) of longs, or of structs -> node, component (the smallest node it reaches). Nodes without edges don't appear.
 
     Each round hooks every component onto the smallest component next to it and then follows labels of labels, so
     the rounds grow with the logarithm of the longest chain. A round ends in one counted flag, never in collected

@@ -5,15 +5,15 @@ whose vector has an odd product with v. Any `radius` vectors are orthogonal to s
 that differ in at most `radius` bits agree on all of that mask's bits: they meet in one of the 2^(radius+1) - 1
 tables with certainty. For radius 3 that is 15 tables whose keys hold 32 to 40 bits.
 
-Equal fingerprints are one node (its smallest doc_id). Buckets of up to FEW nodes are compared at once, and only a
+Equal fingerprints are one node. Buckets of up to FEW nodes are compared at once, and only a
 spanning forest of the links found there is kept, never all pairs. A larger bucket is covered again, on the bits
 that its key leaves open (15 tables over about 30 bits, then again over the 13 or so that remain, which no more than
 a few hundred distinct fingerprints can share), so that every comparison stays in a small group and no link is lost.
 
 Texts: A-Z lower-cased, words of non-blank characters, 3-word shingles with repeats (fewer words: the whole
 sequence; none, or null: fingerprint zero). Null doc_id is a document of its own, smallest in order, and its
-component_id is null where it is the smallest. Rows with equal doc_id are one node if their fingerprints are equal,
-else linked through that doc_id's rows only as far as fingerprints link. Other columns are ignored by fingerprints()
+component_id is null where it is the smallest. Rows that share a doc_id, or have none, are linked only as far as
+their fingerprints are. Other columns are ignored by fingerprints()
 and near_duplicates(), kept by keep_one().
 """
 
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, small_batches, stash, texts, whole_text
@@ -54,16 +54,16 @@ def simhash(data: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long)."""
+def fingerprints(docs: DataFrame, longs: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long), and the given columns of longs."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
             fp = np.array([simhash(t) for t in texts(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *longs])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"), *longs).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *longs)))
 
 
 def masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -151,15 +151,21 @@ def links(nodes: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def components_of(fps: DataFrame) -> DataFrame:
+    """__fp, __component: of each distinct fingerprint the smallest (doc_id, fingerprint) that it is linked to."""
+    nodes = stash(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first")), "simhash-nodes")
+    # a node's name holds its fingerprint: different texts may share a doc_id, or have none
+    nodes = nodes.select("fp", F.struct(F.coalesce("first", F.lit(NULL_ID)).alias("first"), F.coalesce("fp", F.lit(0)).alias("fp")).alias("node"))
+    named = links(nodes).join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("__a")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("__b")), "b")
+    found = components(named.select(F.col("__a").alias("a"), F.col("__b").alias("b"))).withColumnRenamed("node", "__n")
+    return stash(nodes.join(found, F.col("node") == F.col("__n"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "node").alias("__component")), "simhash-place")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id."""
     fps = stash(fingerprints(docs), "simhash-fps")  # texts are read once
-    nodes = stash(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NULL_ID))).alias("first")), "simhash-nodes")
-    linked = links(nodes)
-    named = linked.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("__a")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("__b")), "b")
-    found = components(named.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
-    place = stash(nodes.join(found, F.col("first") == F.col("node"), "left").select(F.col("fp").alias("__fp"), F.coalesce("component", "first").alias("component_id")), "simhash-place")
-    return fps.join(place, F.col("fp") == F.col("__fp")).select("doc_id", "fp", F.when(F.col("component_id") != NULL_ID, F.col("component_id")).alias("component_id"))
+    first = F.col("__component.first")
+    return fps.join(components_of(fps), F.col("fp") == F.col("__fp")).select("doc_id", "fp", F.when(first != NULL_ID, first).alias("component_id"))
 
 
 def hex_fingerprint(c: Column) -> Column:
@@ -167,18 +173,23 @@ def hex_fingerprint(c: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component.
+    """One row of docs for each component of fingerprints: of its smallest doc_id, the text with the smallest hash.
 
-    Of rows with equal doc_id the ones with the same fingerprint as that component's stay one: the smallest text.
-    Null doc_id is the smallest.
+    Null doc_id is the smallest. Different texts that share a doc_id, or have none, stay apart unless they are linked.
     """
-    placed = near_duplicates(docs)
-    lead = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("__n"))
-    lead = stash(lead.select(F.col("doc_id").alias("__id"), "__n"), "simhash-lead")
-    kept = docs.join(lead, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
+    body = whole_text("text")
+    key = {"__h": F.xxhash64(body), "__c": F.crc32(body)}  # a row's text; the fingerprint follows from it
+    fps = stash(fingerprints(docs.withColumns(key), tuple(key)), "simhash-fps")
+    placed = fps.join(components_of(fps), F.col("fp") == F.col("__fp"))
+    lead = placed.where(F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("__component.first")).groupBy("__component", "doc_id", "__h", "__c").agg(F.count("*").alias("__n"))
+    lead = lead.groupBy("__component").agg(F.min(F.struct("__h", "__c", "doc_id", "__n")).alias("__x"))
+    lead = stash(lead.select(F.col("__x.doc_id").alias("__id"), F.col("__x.__h").alias("__h"), F.col("__x.__c").alias("__c"), "__x.__n"), "simhash-lead")
+    kept = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__dh": key["__h"], "__dc": key["__c"]})
+    kept = kept.join(lead, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__dh") == F.col("__h")) & (F.col("__dc") == F.col("__c")))
     once = kept.where("__n = 1").select(*docs.columns)
     if lead.where("__n > 1").isEmpty():
         return once
-    order = Window.partitionBy("__id").orderBy(F.xxhash64("text"), *[c for c in ("source", "lang") if c in docs.columns])
-    many = kept.where("__n > 1").withColumn("__k", F.row_number().over(order)).where("__k = 1").select(*docs.columns)
+    # rows of one doc_id and text: a minimum is merged before it is shuffled, however many there are
+    order = F.struct(*[c for c in ("source", "lang") if c in docs.columns], F.lit(0))
+    many = kept.where("__n > 1").groupBy("__id", "__h", "__c").agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
     return once.unionByName(many)

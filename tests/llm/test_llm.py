@@ -303,6 +303,18 @@ def test_op5(docs, edge, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_op5_shared_ids_and_none(spark):
+    text = [" ".join(f"{w}{i}" for w in "abcdefghijkl") for i in range(4)]
+    rows = [(None, text[0], "en", "a"), (None, text[1], "en", "a"), (None, text[1], "en", "b"), (3, text[2], "en", "a"), (3, text[3], "en", "a"), (4, text[3], "en", "a"), (5, text[0], "en", "a"), (6, text[2], "en", "a")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    kept = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect())
+    assert kept == Counter([(None, text[0]), (None, text[1]), (3, text[2]), (3, text[3])])
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect())
+    assert got == Counter({(None, None): 3, (3, 3): 2, (4, 3): 1, (5, None): 1, (6, 3): 1})
+    some = simhash.keep_one(df.where("doc_id is null and source = 'b' or doc_id is null and text like 'a1 %'"))
+    assert [(r["doc_id"], r["text"], r["source"]) for r in some.collect()] == [(None, text[1], "a")]
+
+
 def test_op5_covering():
     masks = simhash.masks(list(range(64)))
     assert len(masks) == 15 and all(any(not any(m >> i & 1 for i in t) for m in masks) for t in itertools.combinations(range(64), 3))
