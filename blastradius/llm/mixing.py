@@ -115,10 +115,12 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float =
     met = parts.join(slots, same(F.col("source"), F.col("__s")) & (F.col("block") == F.col("__b")))
     got = F.least(F.col("__a") + F.col("size"), F.col("block") * block + F.col("words")) - F.greatest(F.col("__a"), F.col("block") * block)
     met = met.select("__row", "slot", F.greatest(got, F.lit(0)).alias("__got"))
-    none = at.where("size = 0").select("__row", F.lit(None).cast("long").alias("slot"), F.lit(0).cast("long").alias("__got"))
     missed = at.where("size > 0").select("__row", F.lit(None).cast("long").alias("slot"), F.lit(0).cast("long").alias("__got"))
-    out = met.unionByName(none).unionByName(missed).groupBy("__row").agg(F.sum("__got").alias("taken"), F.min(F.when(F.col("__got") > 0, F.col("slot"))).alias("first_slot"))
-    return out.select("__row.doc_id", "__row.source", "__row.size", "__row.source_size", "__row.target", "taken", "first_slot")
+    out = met.unionByName(missed).groupBy("__row").agg(F.sum("__got").alias("taken"), F.min(F.when(F.col("__got") > 0, F.col("slot"))).alias("first_slot"))
+    out = out.select("__row.doc_id", "__row.source", "__row.size", "__row.source_size", "__row.target", "taken", "first_slot")
+    # rows without words start where others do, so that nothing tells equal ones apart: they aren't grouped
+    none = at.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    return out.unionByName(none)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -248,6 +248,12 @@ def test_op4(spark, docs, edge, none):
     assert mixed.columns == edge.columns and mixed.count() > 0
 
 
+def test_op4_keeps_rows_without_words(spark):
+    rows = [(1, None, "en", "a"), (1, " ", "en", "a"), (None, "", "en", "a"), (None, None, "en", "a"), (2, "one two", "en", "a"), (2, "one two", "en", "a"), (3, "", "en", None), (3, "", "en", None)]
+    got = Counter((r["doc_id"], r["source"], r["size"]) for r in mixing.plan(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == Counter({(1, "a", 0): 2, (None, "a", 0): 2, (2, "a", 2): 2, (3, None, 0): 2})
+
+
 def test_op4_prefixes_hold_the_weights(spark):
     per = spark.createDataFrame([("a", 1000, 5.0, 3000.0), ("b", 1000, 2.0, 1500.0), (None, 1000, 1.0, 500.0)], "source string, source_size long, weight double, target double")
     slots, block = mixing.schedule(per, slot_bits=8)
