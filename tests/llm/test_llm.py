@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from blastradius.llm import bpe, gbt, imatch, mixing, pii, quality_classifier, quality_rules, queries, sharding, simhash, suffix_dedup, textstats, url_filter
@@ -20,6 +21,7 @@ EDGE = [
     (1, None, None, None), (2, "", "en", "a"), (3, "  \n\t ", "en", "a"), (4, "word", None, "b"), (5, "word", "de", None), (5, "word", "de", None),
     (6, "one two three four " * 60, "en", "a"), (7, "x" * 30_000, "en", "a"), (8, "é\U0001f600 à b\u00a0 c " * 40, "fr", "a"), (None, "no id here at all", "en", "a"),
     (9, "call +1 (555) 123-4567 or a.b@c.de, 10.0.0.256 10.0.0.1 4111 1111 1111 1111", "en", "b"), (10, "1 " * 3000, "es", "b"),
+    (14, "one id and one text " * 9, "en", "a"), (14, "one id and another text " * 9, "en", "b"), (None, "no id either, " * 20, "en", "a"),
     (11, 'set token = "0123456789abcdef0123456789abcdef" now', "en", "a"), (12, "one two three four " * 60, "en", "c"), (13, "A\x1cB\x0bC", "en", "c"),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -49,20 +51,24 @@ def words(text):
 
 
 def repeats(rows):
-    """Plain version; rows of one doc_id don't see each other."""
-    seen, out = {}, []
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        b, own = (t or "").encode(), set()
+    """Plain version: null ids first, rows of one id by hash of text, equal rows are one document."""
+    seen, out = set(), []
+
+    def place(r):
+        h = xxhash.xxh64_intdigest((r[1] or "").encode(), 42)
+        return r[0] is not None, r[0] or 0, h - (h >> 63 << 64)
+
+    for _, same in itertools.groupby(sorted(rows, key=place), place):
+        i, t = (same := list(same))[0]
+        b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - 99):
             w = b[k : k + 100]
-            if w in own or (w in seen and seen[w] != i):
+            if w in seen:
                 gone[k : k + 100] = True
-            own.add(w)
-        for w in own:
-            seen.setdefault(w, i)
+            seen.add(w)
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        out.append((i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out += [(i, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())] * len(same)
     return sorted(out, key=repr)
 
 
@@ -92,19 +98,54 @@ def test_op1_random(spark):
 
 def test_op1_blocks(monkeypatch):
     random.seed(2)
-    data = b"".join(random.choice([b"abc" * 70, bytes(random.choices(b"ab", k=200)), b"y" * 333]) for _ in range(12))
-    whole = suffix_dedup.parse(data)
-    parts = suffix_dedup.split_phrases(data, whole[0].tolist())
+    data = [b"".join(random.choice([b"abc" * 70, bytes(random.choices(b"ab", k=200)), b"y" * 333]) for _ in range(n)) for n in (12, 0, 1, 7)] + [b"short", b"", b"z" * 100]
+    raw, ends = np.frombuffer(b"".join(data), np.uint8), np.cumsum(list(map(len, data)))
+    whole = suffix_dedup.parse(raw, ends)
     monkeypatch.setattr(suffix_dedup, "BLOCK", 211)
     suffix_dedup._powers.clear()
-    for a, b in zip(whole, suffix_dedup.parse(data), strict=True):
-        assert (a == b).all()
-    for a, b in zip(parts, suffix_dedup.split_phrases(data, whole[0].tolist()), strict=True):
+    for a, b in zip(whole, suffix_dedup.parse(raw, ends), strict=True):
         assert (a == b).all()
     suffix_dedup._powers.clear()
-    first, last = whole[1:3]
-    assert parts[1][0] == 0 and parts[2][-1] == last[-1] and (parts[1][1:] == parts[2][:-1] + 1).all()
-    assert first[0] == 0 and last[-1] == len(data) - 100 and (first[1:] == last[:-1] + 1).all()
+    _, _, first, last, place = whole
+    own = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
+    starts = ends - list(map(len, data))
+    assert own.tolist() == [i for a, b in zip(starts, ends, strict=True) for i in range(a, b - 99)]
+    assert (place >= last).all() and (place - first <= 63).all() and (first + 100 >= place + 37).all()
+
+
+def test_op1_suffix_order():
+    # the masks against a plain comparison of all windows, with phrases cut at either end, and zero bytes
+    random.seed(8)
+    trigger, phrases = b"T" * 37, []
+    for g in range(6):
+        for _ in range(30):
+            at = random.randint(0, 63)
+            after = random.randint(100 - at, 100)
+            left, right = (bytes(random.choices(b"\0a", weights=(1, 9), k=63)) for _ in range(2))
+            phrases.append((g, left[63 - at :] + trigger + right[: after - 37], at))
+    group, body, at = zip(*phrases, strict=True)
+    raw, ends = np.frombuffer(b"".join(body), np.uint8), np.cumsum(list(map(len, body)))
+    masks = suffix_dedup.first_windows(np.array(group), raw, ends, np.array(at))
+    seen = set()
+    for (g, b, a), mask in zip(phrases, masks.tolist(), strict=True):
+        for k in range(a, a - (len(b) - 100) - 1, -1):
+            window = (g, k, b[a - k : a - k + 100])
+            assert bool(mask >> k & 1) == (window not in seen)
+            seen.add(window)
+
+
+def test_op1_hot_strings(spark, monkeypatch):
+    # a line in every document, in ever new surroundings, and triggers with too many phrases for one task
+    monkeypatch.setattr(suffix_dedup, "FEW", 3)
+    random.seed(9)
+    line = "this line stands in every document of the collection, and it is longer than any window of one hundred bytes"
+    noise = lambda n: "".join(random.choice("abcdefghij ") for _ in range(n))
+    rows = [(i, noise(random.randint(0, 90)) + line + noise(random.randint(0, 90)) + (line if i % 3 else "") + noise(50)) for i in range(200)]
+    rows += [(None, rows[5][1]), (None, rows[6][1]), (7, rows[8][1]), (7, rows[7][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert removed(df) == repeats(rows)
+    monkeypatch.setattr(suffix_dedup, "FEW", 2000)
+    assert removed(df) == repeats(rows)
 
 
 # 2. URL filters
