@@ -240,6 +240,8 @@ def _entries(rows: DataFrame) -> DataFrame:
 
     # doc_id and repeated come along unused, so that both readers of the joined texts share one shuffle
     found = rows.select("doc", "h", "text", "contested", "repeated", "doc_id").mapInArrow(run, "key long, phrase long, doc long, h long, start long, at int, body binary")
+    # stated here, so that every reader of the dictionary has the same plan below it, and one shuffle
+    found = found.where("key is not null")
     return found.groupBy("key", "phrase", "at", "body").agg(F.min(F.struct("doc", "h", "start")).alias("first"))
 
 
@@ -314,7 +316,7 @@ def _masks(entries: DataFrame) -> DataFrame:
             cols = [np.asarray(b.column(i))[entry] for i in range(5)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), *map(pa.array, cols), pa.array((at[entry] - inner).astype(np.int32))], names=["a", "b", "key", "phrase", "doc", "h", "start", "k"])
 
-    many = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("key", F.lit(True).alias("many"))
+    many = entries.groupBy("key").agg(F.count("first").alias("n")).where(F.col("n") > FEW).select("key", F.lit(True).alias("many"))
     marked = entries.select("key", "phrase", "first.*", "at", "body").join(many, "key", "left")
     few = marked.where("many is null").groupBy("key").agg(F.collect_list(F.struct("doc", "h", "start", "phrase", "at", "body")).alias("entries"))
     few = few.mapInArrow(order, MASKS)
