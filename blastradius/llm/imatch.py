@@ -3,15 +3,20 @@
 Terms are lower-cased runs of letters and digits. Of a text's distinct terms, those stay whose document frequency
 over the whole corpus lies in a band (LOW to HIGH of the documents); they are sorted (by 64-bit hash) and hashed once
 for each of SUBSETS randomised parts of the lexicon (small ones, so that an edit leaves some parts whole; every term
-lies in one). The fingerprint is the list of those hashes; the likeness of two fingerprints is the share of equal ones among the parts that either text has terms
-in. Texts with fewer than LEAST terms in the band use all their terms, so that short texts are told apart too.
+lies in one). The fingerprint is the list of those hashes; the likeness of two fingerprints is the share of equal ones
+among the parts that either text has terms in. Texts without any term in the band use all their terms, so that they
+are told apart too.
 
 The lexicon has a proven size: a term of LOW of all documents or more is one of at most (mean distinct terms of a
 document) / LOW terms, at any corpus size. It is held in a two-place hash table, a constant array of the plan.
 
 Null text is empty; a text without terms has a fingerprint of zeros, equal to any other such one (likeness 1).
 Equal texts have equal fingerprints. Order for the edited texts: descending doc_id, null last, rows with equal doc_id
-by hash of the text; a single document is its own next one. Other columns are ignored. Empty input: no rows.
+by descending hash of the text; of rows equal in both, all but one have their like as the next one. A single document
+is its own next one. Other columns are ignored. Empty input: no rows.
+
+The order is found among keys (id, hash of the text) only; a text then goes to its own key, and the part of it that the
+document before it takes over to that one's key. So no task holds a run of texts, and no id is one task's.
 """
 
 from __future__ import annotations
@@ -19,11 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash
+
 LOW, HIGH = 0.002, 0.15
 SUBSETS = 64
-LEAST = 4
-#: Documents in one run of the order, and the most runs (their bounds are held by the driver).
-RUN_ROWS, RUNS = 4000, 10_000
+#: The order of keys is cut at up to CUTS ids; keys of an id that is a cut are cut again, into SUBS ranges of the hash.
+CUTS, SUBS = 1000, 256
 NULL_ID = -(2**63)
 
 
@@ -77,7 +83,7 @@ def fingerprint(text: Column, table: list[int]) -> Column:
         return (F.element_at(held, a) == h) | (F.element_at(held, b) == h)
 
     def parts(all_terms: Column) -> Column:
-        return F.transform(F.array(all_terms), lambda ts: F.transform(F.array(F.filter(ts, inside)), lambda band: F.array_sort(F.when(F.size(band) < LEAST, ts).otherwise(band)))[0])[0]
+        return F.transform(F.array(all_terms), lambda ts: F.transform(F.array(F.filter(ts, inside)), lambda band: F.array_sort(F.when(F.size(band) == 0, ts).otherwise(band)))[0])[0]
 
     def hashed(sorted_terms: Column) -> Column:
         def part(k: Column) -> Column:
@@ -87,63 +93,81 @@ def fingerprint(text: Column, table: list[int]) -> Column:
         return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SUBSETS - 1).cast("long")), part)
 
     # one-element arrays bind a value once for the lambda below them
-    return F.transform(F.array(parts(terms(text))), hashed)[0]
+    return F.transform(F.array(parts(terms(text))), hashed)[0].cast("array<int>")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    either = F.aggregate(F.zip_with(a, b, lambda x, y: ((x != 0) | (y != 0)).cast("int")), F.lit(0), lambda s, v: s + v)
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: ((x != 0) & (x == y)).cast("int")), F.lit(0), lambda s, v: s + v)
-    return F.when(either == 0, F.lit(1.0)).otherwise(both.cast("double") / either)
+    """The share of equal parts among those that either of two fingerprints has terms in."""
+    pairs = F.filter(F.zip_with(a, b, lambda x, y: F.when((x != 0) | (y != 0), x == y)), lambda x: x.isNotNull())
+    share = lambda p: F.when(F.size(p) == 0, F.lit(1.0)).otherwise(F.size(F.filter(p, lambda x: x)).cast("double") / F.size(p))
+    return F.transform(F.array(pairs), share)[0]
 
 
 def as_hex(fp: Column) -> Column:
     return F.array_join(F.transform(fp, lambda x: F.lower(F.lpad(F.hex(x), 4, "0"))), "")
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """rows(id, tie, ...) with next_<c> for each carried column: the next row's, descending id, after the last the first.
+def next_keys(keys: DataFrame, cuts: int = CUTS) -> DataFrame:
+    """keys(id, tie, ...), distinct -> with next_id and next_tie: the next key's, descending, after the last the first.
 
-    The order is cut into runs by quantiles of id; a run's last row meets the next run's first, which is copied to it.
-    So no task sees the whole order.
-    """
-    n = rows.count()
-    runs = min(RUNS, -(-n // RUN_ROWS))
-    share = F.array(*[F.lit(i / runs) for i in range(1, runs)]) if runs > 1 else F.expr("array()").cast("array<double>")
-    got = rows.agg(F.max("id").alias("top"), *([F.percentile_approx("id", share, 20 * runs).alias("cut")] if runs > 1 else [])).first()
-    top = got["top"]
-    cuts = sorted({c for c in (got["cut"] if runs > 1 else []) if c != top})
+    Runs lie between cuts, which are quantiles of id; an id that is a cut has runs of its own, by ranges of tie, so that
+    an id with many keys is many runs. The last key of a run meets the first one of the run after it, which is looked up
+    in a table with a row for each run (at most cuts * (SUBS + 1) + 1, whatever the input)."""
+    share = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
+    found = sorted(set(keys.agg(F.percentile_approx("id", share, 4 * cuts).alias("c")).first()["c"] or []))
+    wide = max(1, int(len(found) ** 0.5))
+    blocks = [found[i : i + wide] for i in range(0, len(found), wide)] or [[]]
     # two steps of about the square root of the number of cuts
-    wide = max(1, int(len(cuts) ** 0.5))
-    blocks = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
-    numbers = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
-    if cuts:
-        lists = F.transform(F.split(F.lit(";".join(",".join(map(str, b)) for b in blocks)), ";"), lambda s: F.split(s, ",").cast("array<bigint>")) if len(blocks) > 1 else F.array(numbers(blocks[0]))
-        before = F.size(F.filter(numbers([b[-1] for b in blocks]), lambda c: c < F.col("id")))  # whole blocks below
-        inner = F.when(before < len(blocks), F.size(F.filter(F.element_at(lists, F.least(before, F.lit(len(blocks) - 1)) + 1), lambda c: c < F.col("id")))).otherwise(0)
-        run = F.least(before * wide + inner, F.lit(len(cuts)))
-        is_cut = F.array_contains(F.element_at(lists, F.least(before, F.lit(len(blocks) - 1)) + 1), F.col("id"))
-    else:
-        run, is_cut = F.lit(0), F.lit(False)
-    own = F.struct(run.cast("int").alias("run"), F.lit(0).alias("copy"))
-    after = F.when(is_cut, F.struct((run + 1).cast("int").alias("run"), F.lit(1).alias("copy")))
-    first = F.when(F.col("id") == F.lit(top), F.struct(F.lit(0).alias("run"), F.lit(1).alias("copy")))
-    dealt = rows.select("*", F.explode(F.array_compact(F.array(own, after, first))).alias("__at"))
-    order = Window.partitionBy("__at.run").orderBy(F.col("__at.copy"), F.col("id").desc(), F.col("tie").desc())
-    return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried]).where("__at.copy = 0").drop("__at")
+    # constants without lambdas, which Spark folds once
+    numbers = lambda xs: F.array_remove(F.split(F.lit(",".join(map(str, xs))), ","), "").cast("array<bigint>")
+    lists, heads = F.array(*map(numbers, blocks)), numbers([b[-1] for b in blocks if b])
+    before = F.size(F.filter(heads, lambda c: c < F.col("id")))  # whole blocks below
+    inner = F.coalesce(F.try_element_at(lists, before + 1), F.array().cast("array<bigint>"))
+    place = before * wide + F.size(F.filter(inner, lambda c: c < F.col("id")))
+    is_cut = F.array_contains(inner, F.col("id"))
+    sub = F.when(is_cut, F.pmod(F.shiftright(F.col("tie"), 56) + 128, F.lit(SUBS)).cast("int")).otherwise(0)
+    rows = keys.withColumns({"__run": (2 * place + F.when(is_cut, 0).otherwise(-1)).cast("int"), "__sub": sub})
+    key = F.struct("id", "tie")
+    ends = rows.groupBy("__run", "__sub").agg(F.max(key).alias("__first"))
+    over = Window.orderBy(F.desc("__run"), F.desc("__sub"))  # a row for each run
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select(F.col("__run").alias("__r"), F.col("__sub").alias("__s"), F.coalesce(F.lead("__first").over(over), F.first("__first").over(whole)).alias("__after"))
+    inside = F.lead(key).over(Window.partitionBy("__run", "__sub").orderBy(F.desc("id"), F.desc("tie")))
+    rows = rows.withColumn("__next", inside).join(ends, (F.col("__run") == F.col("__r")) & (F.col("__sub") == F.col("__s")))
+    after = F.coalesce("__next", "__after")
+    return rows.select(*keys.columns, after["id"].alias("next_id"), after["tie"].alias("next_tie"))
 
 
 def compare_edited(docs: DataFrame, table: list[int]) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, next_doc_id."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    rows = with_next(rows.withColumn("fp", fingerprint(F.col("text"), table)), ["text", "fp"])
-    half = F.floor(F.length("text") / 2).cast("int")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next_text", F.lit(1), half))
-    rows = rows.select("doc_id", "fp", "next_fp", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
-    rows = rows.withColumn("edited_fp", fingerprint(F.col("edited"), table))
-    return rows.select(
+    keys = rows.groupBy("id", "tie").agg(F.count("*").alias("n"), F.max(F.floor(F.length("text") / 2)).cast("int").alias("half"))
+    chain = stash(next_keys(stash(keys, "imatch-keys")), "imatch-order")
+    # each key with the one before it, and how many code points that one takes over
+    taker = chain.select(F.col("next_id").alias("id"), F.col("next_tie").alias("tie"), F.col("id").alias("to_id"), F.col("tie").alias("to_tie"), F.col("half").alias("to_half"))
+    place = chain.select("id", "tie", "n").join(taker, ["id", "tie"])
+    every = rows.withColumn("fp", fingerprint(F.col("text"), table)).join(place, ["id", "tie"])
+    # both read the same columns of the texts, and so share one shuffle of them
+    head = [F.col("to_id").alias("id"), F.col("to_tie").alias("tie"), F.col("doc_id").alias("next_doc_id"), F.expr("substring(text, 1, to_half)").alias("head"), F.col("fp").alias("next_fp")]
+    one = every.where("n = 1")
+    heads = one.select(*head)
+    own = one.select("doc_id", "id", "tie", "text", "fp")
+    several = not chain.where("n > 1").isEmpty()
+    if several:
+        same = every.where("n > 1").groupBy("doc_id", "id", "tie", "n", "to_id", "to_tie", "to_half").agg(F.max("text").alias("text"), F.max("fp").alias("fp"))
+        heads = heads.unionByName(same.select(*head))
+        own = own.unionByName(same.select("doc_id", "id", "tie", "text", "fp"))
+    met = own.join(heads, ["id", "tie"]).select("doc_id", "text", "fp", "head", "next_fp", "next_doc_id")
+    if several:
+        again = same.select("doc_id", "text", "fp", F.expr("substring(text, 1, cast(floor(length(text) / 2) as int))").alias("head"), F.col("fp").alias("next_fp"), F.col("doc_id").alias("next_doc_id"), F.explode(F.expr("sequence(2, n)")).alias("__i"))
+        met = met.unionByName(again.drop("__i"))
+    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.col("head"))
+    met = met.select("doc_id", "fp", "next_fp", "next_doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"))
+    met = met.withColumn("edited_fp", fingerprint(F.col("edited"), table))
+    return met.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), "next_doc_id",
     )
 
 
