@@ -5,7 +5,9 @@ matches as the plain ones in BASE, but never rescan a run of characters (possess
 that long texts of one character class take linear time.
 
 Bootstrapping: candidates are long tokens with a digit; a candidate's pattern is its left lexical context (the two
-words before it, lower-cased, without marks). Candidates that look like the seeds (SEEDS, by kind) have confidence 1.
+words before it, lower-cased, without marks; ^ stands for the start of the text). Candidates themselves are left out
+of contexts, so that all members of a list have the context of its first one. Words are seen whole, however long.
+Candidates that look like the seeds (SEEDS, by kind) have confidence 1.
 In each round a pattern's score is the mean confidence of its distinct candidates (smoothed), and a candidate's
 confidence is that at least one of its patterns is right. Patterns of enough distinct candidates and a high score
 mark all their candidates, whatever those look like.
@@ -39,13 +41,14 @@ FAST = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": BASE["phone"],
 }
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,63}+[0-9])[A-Za-z0-9_+/-]{12,}+"
+#: The digit may stand anywhere: a run of these characters is looked through once, at its start only.
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+"
 #: Seed entities by kind: what a candidate looks like.
 SEEDS = {"secret": r"^[0-9a-f]{32,64}$"}
 ROUNDS = 3
 LEAST_CANDIDATES, LEAST_SCORE = 3, 0.7
-#: Elements summed in one step of a running sum.
-STEP = 64
+#: Elements summed in one step of a running sum, and code points in one piece of a text that is cut at its spans.
+STEP, PIECE = 64, 4096
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,18 +67,30 @@ def before_each(xs: Column) -> Column:
     return bind(upto, lambda u: F.transform(xs, lambda x, i: F.element_at(u, (i / STEP).cast("int") + 1) + total(F.slice(xs, i - i % STEP + 1, i % STEP))))
 
 
-def matches(text: Column, regex: str) -> Column:
-    """array of (start, end, value, before): the matches, with the text between the match before and this one."""
-    found = F.regexp_extract_all(text, F.lit(regex), 0)
-    between = F.split(text, regex, -1)
-    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
+def most_before_each(xs: Column) -> Column:
+    """The largest of the elements before each one, 0 at least, in the same steps."""
+    most = lambda ys: F.coalesce(F.array_max(ys), F.lit(0))
+    steps = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.size(xs) - 1) / STEP).cast("int"))), lambda c: most(F.slice(xs, c * STEP + 1, STEP)))
+    upto = bind(steps, lambda ss: F.aggregate(ss, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), s)))))
+    return bind(upto, lambda u: F.transform(xs, lambda x, i: F.greatest(F.element_at(u, (i / STEP).cast("int") + 1), most(F.slice(xs, i - i % STEP + 1, i % STEP)))))
+
+
+def placed(found: Column, between: Column) -> Column:
+    """array of (start, end, value) of the matches, given the text's pieces between them."""
+    lengths = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, p: F.length(m) + F.length(p))
+    ends = bind(lengths, before_each)
+
+    def one(at: Column) -> Column:
+        first = lambda i: F.element_at(at, i + 1) + F.length(F.element_at(between, i + 1))
+        return F.transform(found, lambda m, i: F.struct(first(i).alias("start"), (first(i) + F.length(m)).alias("end"), m.alias("value")))
+
+    return bind(ends, one)
 
-    def placed(ms: Column, ps: Column) -> Column:
-        lengths = F.zip_with(ms, F.slice(ps, F.lit(1), F.size(ms)), lambda m, p: F.length(m) + F.length(p))
-        starts = bind(lengths, before_each)
-        return bind(starts, lambda at: F.transform(ms, lambda m, i: bind(F.element_at(ps, i + 1), lambda p: F.struct((F.element_at(at, i + 1) + F.length(p)).alias("start"), (F.element_at(at, i + 1) + F.length(p) + F.length(m)).alias("end"), m.alias("value"), F.right(p, F.lit(64)).alias("before")))))
 
-    return bind(found, lambda ms: F.when(F.size(ms) == 0, none).otherwise(bind(between, lambda ps: placed(ms, ps))))
+def matches(text: Column, regex: str) -> Column:
+    """array of (start, end, value)."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return bind(F.regexp_extract_all(text, F.lit(regex), 0), lambda ms: F.when(F.size(ms) == 0, none).otherwise(bind(F.split(text, regex, -1), lambda ps: placed(ms, ps))))
 
 
 def digits(value: Column) -> Column:
@@ -112,18 +127,31 @@ def base_spans(text: Column) -> Column:
     return F.concat(*out)
 
 
-def context(before: Column) -> Column:
-    """The last two words before a candidate, lower-cased, without marks; null if there are fewer."""
-    plain = F.trim(F.regexp_replace(F.lower(before), r"""[^\p{L}\p{N}=:\s]+|\s+""", " "))
-    return bind(F.regexp_extract(plain, r"(?:^|\s)(\S+\s+\S+)$", 1), lambda c: F.when(F.length(c) > 0, F.regexp_replace(c, r"\s+", " ")))
+def last_words(piece: Column) -> Column:
+    """The last two words of a piece of text (fewer if it has fewer), lower-cased, without marks."""
+    plain = F.trim(F.regexp_replace(F.lower(piece), r"""[^\p{L}\p{N}=:\s]+|\s+""", " "))
+    return bind(F.filter(F.split(plain, " +"), lambda w: w != ""), lambda ws: F.slice(ws, F.greatest(F.size(ws) - 1, F.lit(1)), 2))
+
+
+def contexts(between: Column, n: Column) -> Column:
+    """For each of the n candidates the two words before it, candidates left out; ^ where the text starts."""
+
+    def joined(words: Column) -> Column:
+        every = F.concat(F.array(F.lit("^"), F.lit("^")), F.flatten(words))
+        return bind(every, lambda ws: bind(F.transform(words, F.size), lambda ns: bind(before_each(ns), lambda upto: F.transform(upto, lambda u, i: F.array_join(F.slice(ws, u + F.element_at(ns, i + 1) + 1, 2), " ")))))
+
+    return bind(F.transform(F.slice(between, F.lit(1), n), last_words), joined)
 
 
 def candidates(text: Column) -> Column:
     """array of (start, end, value, left)."""
-    kind_of = "array<struct<start:int,end:int,value:string,left:string>>"
-    found = F.transform(matches(text, CANDIDATE), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), context(m["before"]).alias("left")))
-    found = F.filter(found, lambda m: m["left"].isNotNull())
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast(kind_of))
+    none = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
+
+    def with_left(ms: Column, ps: Column) -> Column:
+        return F.zip_with(placed(ms, ps), contexts(ps, F.size(ms)), lambda m, c: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), c.alias("left")))
+
+    found = bind(F.regexp_extract_all(text, F.lit(CANDIDATE), 0), lambda ms: F.when(F.size(ms) == 0, none).otherwise(bind(F.split(text, CANDIDATE, -1), lambda ps: with_left(ms, ps))))
+    return F.when(text.rlike("[0-9]"), found).otherwise(none)
 
 
 def scored_patterns(pairs: DataFrame, seed: str) -> DataFrame:
@@ -182,20 +210,36 @@ def digests(docs: DataFrame, seeds: dict[str, str] | None = None) -> DataFrame:
     return spans(docs, seeds).select("doc_id", *counts, F.sha2(as_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), as_text(F.col("all")).alias("spans"))
 
 
+def cut(pieces: Column, lo: Column, hi: Column) -> Column:
+    """Code points lo to hi of a text, given its pieces of PIECE code points."""
+    first, last = (lo / PIECE).cast("int"), (hi / PIECE).cast("int")
+    part = lambda i: F.coalesce(F.try_element_at(pieces, i + 1), F.lit(""))
+    one = F.substring(part(first), lo % PIECE + 1, hi - lo)
+    inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    several = F.concat(F.substring(part(first), lo % PIECE + 1, F.lit(PIECE)), inner, F.substring(part(last), F.lit(1), hi % PIECE))
+    return F.when(hi <= lo, "").when(first == last, one).otherwise(several)
+
+
+def redacted(text: Column, found: Column) -> Column:
+    """text with its spans (sorted, not empty) replaced; of overlapping ones the first gives the kind. A span costs
+    what its surroundings cost, so that long texts with many spans take linear time."""
+
+    def whole(pieces: Column, done: Column) -> Column:
+        parts = F.transform(found, lambda s, i: bind(F.element_at(done, i + 1), lambda at: F.when(s["start"] < at, "").otherwise(F.concat(cut(pieces, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))))
+        end = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), cut(pieces, end, F.length(text)))
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), 0)
+    return bind(pieces, lambda ps: bind(most_before_each(F.transform(found, lambda s: s["end"])), lambda done: whole(ps, done)))
+
+
 def redact(docs: DataFrame, seeds: dict[str, str] | None = None) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets, and n_chars, if there is one, counted anew."""
     found = spans(docs, seeds).where(F.size("all") > 0).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("all").alias("__spans")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__h")), "left")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("pos"))
-
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["pos"] + 1, F.greatest(F.lit(0), s["start"] - acc["pos"])), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(s["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], F.array(piece))).alias("out"), F.greatest(acc["pos"], s["end"]).alias("pos"))
-
-    clean = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
-    new = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(clean)
-    out = {"text": new}
+    joined = joined.withColumn("__new", F.when(F.col("__spans").isNotNull(), redacted(text, F.col("__spans"))))
+    out = {"text": F.coalesce("__new", "text")}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType))
-    return joined.withColumns(out).select(*docs.columns)
+        out["n_chars"] = F.when(F.col("__new").isNull(), F.col("n_chars")).otherwise(F.length("__new").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
