@@ -8,10 +8,11 @@ point falls, through the cumulative slot counts, into a source, and the k-th slo
 Every prefix of the schedule so holds the sources near their weights, and a source's last block is cut where its
 target is reached.
 
-Sizes are words (runs of non-blank characters); null text has none. A source without words has target 0. Rows with
-equal doc_id and source are separate rows: each gets what the stream takes at its own place, ties in the hash
-being broken by size and then text hash (equal rows share alike, any order gives the same rows). Other columns are
-ignored by plan() and kept by mix(). Empty input gives an empty mix.
+Sizes are words (runs of non-blank characters); null text has none. A source without words has target 0. The order's
+hash is one of doc_id and text, so that neither an id nor its absence that many rows share is one place of the order.
+Rows with equal doc_id and source are separate rows: each gets what the stream takes at its own place (which of wholly
+equal rows stands first changes nothing). Other columns are ignored by plan() and kept by mix(). Empty input gives an
+empty mix.
 
 Scale: no single task sees all rows of a source. Running sums are taken within slices of the hash order (a slice
 has about SLICE_ROWS documents), and over the slices' totals. The number of slots is bounded by 2^SLOT_BITS plus
@@ -35,7 +36,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("__key"),
+        F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("__key"),
     )
 
 
@@ -101,7 +102,8 @@ def schedule(per: DataFrame, slot_bits: int = SLOT_BITS) -> tuple[DataFrame, int
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most_epochs: int = 2, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, first_slot: how many words of each document the mix takes."""
+    """doc_id, source, size, source_size, target, taken, first_slot: how many words of each document the mix takes, and
+    the first slot of the schedule that holds any of them (null: none)."""
     sized = stash(sizes(docs), "mix-sizes")  # texts are read once
     per = stash(targets(sized, weights, budget, most_epochs), "mix-targets")
     slots, block = schedule(per, slot_bits)
@@ -132,17 +134,25 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return joined.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*docs.columns)
 
 
-#: DuckDB: the stream's clip in closed form.
+#: DuckDB: the stream's clip in closed form, and the schedule: the k-th van der Corput point is k with its bits turned round.
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(CAST(doc_id AS VARCHAR)) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST(list_extract([5, 2, 1], (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1) AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
       FROM w WINDOW b AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT *, cap <= weight * level AS is_full FROM l),
 t AS (SELECT source, source_size, CASE WHEN is_full THEN cap ELSE weight * (SELECT arg_min(level, cap / weight) FROM f WHERE NOT is_full) END AS target FROM f),
-p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
-SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - start - source_size)) AS BIGINT) AS taken
-FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+b AS (SELECT greatest(1, CAST(ceil(coalesce(sum(target), 0) / 65536) AS BIGINT)) AS block FROM t),
+q AS (SELECT source, CAST(floor(target) AS BIGINT) AS take, CAST(ceil(floor(target) / block) AS BIGINT) AS n FROM t, b),
+g AS (SELECT *, CAST(coalesce(sum(n) OVER (ORDER BY source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cell_from FROM q),
+bits AS (SELECT greatest(1, len(bin(greatest(1, CAST(sum(n) AS BIGINT)) - 1))) AS bits FROM q),
+grid AS (SELECT k, CAST(list_sum(list_transform(range(bits), lambda i: ((k >> CAST(i AS BIGINT)) & 1) << CAST(bits - 1 - i AS BIGINT))) AS BIGINT) AS cell FROM bits, range(CAST(1 AS BIGINT) << CAST(bits AS BIGINT)) r(k)),
+slots AS (SELECT source, k AS slot, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS block_no FROM grid JOIN g ON cell >= cell_from AND cell < cell_from + n),
+p AS (SELECT d.*, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d),
+e AS (SELECT p.doc_id, p.source, size, source_size, target, start + epoch * source_size AS lo, least(start + epoch * source_size + size, CAST(floor(target) AS BIGINT)) AS hi
+      FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source CROSS JOIN (VALUES (0), (1)) x(epoch)),
+m AS (SELECT e.*, (SELECT min(slot) FROM slots WHERE slots.source IS NOT DISTINCT FROM e.source AND block_no BETWEEN lo // block AND (hi - 1) // block) AS slot FROM e, b)
+SELECT doc_id, size, source_size, target, CAST(sum(greatest(0, hi - lo)) AS BIGINT) AS taken, min(CASE WHEN hi > lo THEN slot END) AS first_slot
+FROM m GROUP BY doc_id, source, size, source_size, target
 """
