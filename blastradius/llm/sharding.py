@@ -1,17 +1,19 @@
 """Sharding along a Hilbert curve. DataFrame functions only.
 
-Three metadata dimensions (source, language, size) are quantised to 2^BITS levels by quantiles of the whole table,
-the cell's index on the Hilbert curve gives the order, and the order is cut into runs: shards hold neighbouring
+Three metadata dimensions (source, language, size) are quantised to 2^BITS levels of about equal numbers of rows over
+the whole table: size by quantiles, source and language by where a value's rows begin in the order of all whole values
+(code points; null first). The cell's index on the Hilbert curve gives the order, and the order is cut into runs: shards hold neighbouring
 cells, so a reader that filters on several dimensions can skip most of them. The law is `bytes`: shards are near
 equal in bytes.
 
 Equal texts are a group: they take their metadata from the group's first row (by doc_id, source, language), stand
 side by side in the order, and stay in one shard - unless the group is larger than 1/PIECES of a shard. Such a
 group is dealt by hash of doc_id into parts of about that size, and its parts lie side by side, so that one large
-group of copies bends neither the shards' sizes nor any task.
+group of copies bends neither the shards' sizes nor any task. Rows without doc_id are dealt by a number of their own.
 
 Null text has no bytes (size 1, CRC 0). Null doc_id, source or language is a value of its own, first in order. Rows
-that are wholly equal get consecutive slots in any order. Other columns are ignored. Empty input: no rows.
+that are equal in doc_id and text get consecutive slots, or stand in neighbouring parts, in any order. Other columns are
+ignored. Empty input: no rows.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from .common import stash
 
 BITS = 4
 PIECES = 64
-#: Runs of the order over which sums are taken in one task: cell times this many slices of the group hash.
-SLICES = 256
+#: Sums are taken over runs of the order: a cell's groups of about so many rows, were all rows in one cell.
+SLICE_ROWS = 10_000
 
 
 def hilbert_indices(dims: int, bits: int) -> list[int]:
@@ -56,9 +58,20 @@ def hilbert_indices(dims: int, bits: int) -> list[int]:
     return out
 
 
-def ordinal(text: Column) -> Column:
-    """A number in the order of a string's first seven bytes; null is -1."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+def rank_levels(rows: DataFrame, column: str, bits: int) -> DataFrame:
+    """__v, __level: each value of a column and the share of all rows that come before it, in 2^bits steps.
+
+    Values are summed up before they are ordered; running sums are taken within ranges of values, and over the ranges.
+    """
+    per = rows.groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    dealt = stash(per.repartitionByRange(F.col("__v").asc_nulls_first()).withColumn("__range", F.spark_partition_id()), f"shard-{column}")
+    ranges = dealt.groupBy("__range").agg(F.sum("__n").alias("__all"))
+    over = Window.orderBy("__range")  # a row for each range, of which there are as many as shuffle partitions
+    ranges = ranges.select(F.col("__range").alias("__r"), (F.sum("__all").over(over) - F.col("__all")).alias("__base"), F.sum("__all").over(Window.partitionBy()).alias("__total"))
+    inside = Window.partitionBy("__range").orderBy(F.col("__v").asc_nulls_first())
+    upto = F.sum("__n").over(inside) - F.col("__n")
+    found = dealt.withColumn("__upto", upto).join(ranges, F.col("__range") == F.col("__r"))
+    return found.select("__v", F.expr(f"cast((__base + __upto) * {2**bits} div __total as int)").alias("__level"))
 
 
 def levels(df: DataFrame, columns: list[str], bits: int) -> dict[str, list[float]]:
@@ -81,7 +94,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
     group = F.when(text.isNotNull(), F.xxhash64("text"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(group, F.lit(0)).alias("__g"), ordinal(F.col("source").cast("string")).alias("__source"), ordinal(F.col("lang").cast("string")).alias("__lang"),
+        F.coalesce(group, F.lit(0)).alias("__g"), F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"), F.monotonically_increasing_id().alias("__row"),
     )
 
 
@@ -89,22 +102,28 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, hilbert: where every document lies."""
     rows = stash(rows_of(docs), "shard-rows")  # texts are read once
     key = ["__g", "text_crc32", "size"]
-    groups = rows.groupBy(*key).agg(F.count("*").alias("__n"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.col("__source").alias("s"), F.col("__lang").alias("l"))).alias("__first"))
-    groups = groups.select(*key, "__n", F.col("__first.s").alias("__s"), F.col("__first.l").alias("__l"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
+    value = lambda c: F.struct(F.col(c).isNotNull().alias("some"), F.col(c).alias("v"))
+    groups = rows.groupBy(*key).agg(F.count("*").alias("__n"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), value("__source").alias("s"), value("__lang").alias("l"))).alias("__first"))
+    groups = groups.select(*key, "__n", F.col("__first.s.v").alias("__s"), F.col("__first.l.v").alias("__l"))
+    got = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
+    total, slices = got["t"], 1 << max(0, (got["n"] // SLICE_ROWS).bit_length())
     piece = max(1.0, total / shards / PIECES)
-    bounds = levels(rows, ["__source", "__lang", "size"], bits)
-    cell = (level(F.col("__s"), bounds["__source"]) * 2**bits + level(F.col("__l"), bounds["__lang"])) * 2**bits + level(F.col("size"), bounds["size"])
+    bounds = levels(rows, ["size"], bits)
+    for name, column in (("__s", "__source"), ("__l", "__lang")):
+        found = rank_levels(rows, column, bits).withColumnsRenamed({"__v": f"{name}v", "__level": f"{name}level"})
+        groups = groups.join(found, F.col(name).eqNullSafe(F.col(f"{name}v")))
+    cell = (F.col("__slevel") * 2**bits + F.col("__llevel")) * 2**bits + level(F.col("size"), bounds["size"])
     curve = F.split(F.lit(",".join(map(str, hilbert_indices(3, bits)))), ",").cast("array<int>")  # 2^(3 bits) numbers
     parts = F.greatest(F.lit(1), F.ceil(F.col("__n") * F.col("size") / piece)).cast("int")
     groups = groups.select(*key, F.element_at(curve, cell + 1).alias("hilbert"), parts.alias("__parts"))
     groups = stash(groups, "shard-groups")  # so that the join below deals both sides itself, and can split a large group's rows
-    placed = rows.select("doc_id", *key).join(groups, key)
-    placed = placed.withColumn("__part", F.when(F.col("__parts") > 1, F.pmod(F.xxhash64("doc_id"), F.col("__parts"))).otherwise(0).cast("int")).drop("__parts")
+    placed = rows.select("doc_id", "__row", *key).join(groups, key)
+    dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("__row")).otherwise(F.xxhash64("doc_id"))
+    placed = placed.withColumn("__part", F.when(F.col("__parts") > 1, F.pmod(dealt, F.col("__parts"))).otherwise(0).cast("int")).drop("__parts", "__row")
     placed = stash(placed, "shard-placed")
     unit = ["hilbert", "__g", "text_crc32", "size", "__part"]
     units = placed.groupBy(*unit).agg(F.count("*").alias("__n"))
-    units = units.withColumn("__slice", F.pmod(F.shiftright("__g", 32), F.lit(SLICES)).cast("int"))
+    units = units.withColumn("__slice", F.pmod(F.shiftright("__g", 32), F.lit(slices)).cast("int"))
     ordered = ["__slice", "__g", "text_crc32", "size", "__part"]
     totals = units.groupBy("hilbert", "__slice").agg(F.sum(F.col("__n") * F.col("size")).alias("__b"))
     upto = Window.partitionBy("hilbert").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
