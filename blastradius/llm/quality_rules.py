@@ -6,7 +6,8 @@ repeats, repeated lines or capitals can only lower a document's score (monotonic
 
 Null text has no words, and so fails the base rules. Null, clashing or missing labels: a document's label is its
 mean quality, at least one half counts as good; without both kinds of labels every document gets probability 1.
-Rows with equal doc_id are scored one by one. Other columns are ignored.
+Rows with equal doc_id are scored one by one; of those with a labelled id, at most `most` rows in all are learnt from.
+Other columns are ignored. Empty input: no rows.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def train(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> gbt.Forest | None:
     sample = F.broadcast(labelled_sample(labels, most))  # at most `most` rows
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id", "left_semi")
-    got = features(chosen).join(sample, "doc_id").select("doc_id", "good", *FEATURES).toPandas().sort_values(["doc_id", *FEATURES])
+    rows = features(chosen).join(sample, "doc_id").select("doc_id", "good", *FEATURES)
+    # an id may stand on any number of rows: the bound is one of rows
+    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(most).toPandas().sort_values(["doc_id", *FEATURES])
     y = got["good"].to_numpy()
     if len(y) < 20 or y.min() == y.max():
         return None
