@@ -8,7 +8,8 @@ shapes, words and binned statistics; the scorer judges every document. No given
 
 Null text is an empty text: every labeller abstains, and the score is the scorer's for a text without words.
 Without documents, or where EM sees one kind of pattern only, the scorer is constant and keeps everything.
-Rows with equal doc_id are judged one by one; other columns are ignored by score() and kept by keep_good().
+Rows with equal doc_id are judged one by one (the sample has at most `most` rows, too); other columns are ignored by
+score() and kept by keep_good(). Empty input: no rows.
 """
 
 from __future__ import annotations
@@ -166,7 +167,9 @@ def train(docs: DataFrame, most: int = 4000) -> Scorer:
             at, weight = zip(*map(hashed, data, values), strict=True)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(["".join(".-+"[x + 1] for x in r) for r in v.tolist()]), pa.array(at, pa.list_(pa.int32())), pa.array(weight, pa.list_(pa.float32()))], names=["doc_id", "votes", "at", "weight"])
 
-    rows = got.mapInArrow(run, "doc_id long, votes string, at array<int>, weight array<float>").toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
+    rows = got.mapInArrow(run, "doc_id long, votes string, at array<int>, weight array<float>")
+    # an id may stand on any number of rows: the bound is one of rows
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "votes").limit(most).toArrow().sort_by([("doc_id", "ascending"), ("votes", "ascending")])
     target = np.array([posterior.get(v, 0.5) for v in rows["votes"].to_pylist()])
     if not len(target) or target.min() > 0.5 or target.max() < 0.5:
         return Scorer(None, posterior, rates)
