@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,14 +29,45 @@ def scratch_root(spark: SparkSession) -> str:
     return made
 
 
+#: Tables that stash() wrote and scratch() has not deleted.
+_stashed: list[str] = []
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df once to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The table stays as long as a result may be read from it: until the end of the scratch() around it, if there is one.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stashed.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], tuple[DataFrame, str]]]:
+    """Deletes at its end what was stashed within it, but for what is kept: keep(df, name) -> the stashed table, its path."""
+    before, kept = len(_stashed), []
+
+    def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        out = stash(df, name)
+        kept.append(_stashed.pop())
+        return out, kept[-1]
+
+    try:
+        yield keep
+    finally:
+        delete_tables(spark, _stashed[before:])
+        del _stashed[before:]
+
+
 def whole_text(text: str = "text") -> Column:
     """The text as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))

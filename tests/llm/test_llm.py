@@ -1,14 +1,17 @@
 """The training-data operators against plain versions, on the small tables and on hand-made edge cases."""
 
+import functools
 import hashlib
 import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -222,26 +225,78 @@ def test_op2_mines_where_most_are_bad(spark):
 # 3. I-Match
 
 
-def test_op3(spark, docs, edge, none, monkeypatch):
-    monkeypatch.setattr(imatch, "RUN_ROWS", 7)
+def plain_compared(rows, fp, fp_of):
+    """Plain version over rows(doc_id, text): ids descending, null last, then hashes descending; equal rows follow one another."""
+
+    def signed(t):
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        return h - (h >> 63 << 64)
+
+    def near(a, b):
+        a, b = re.findall("....", a), re.findall("....", b)
+        either = [(x, y) for x, y in zip(a, b, strict=True) if x != "0000" or y != "0000"]
+        return sum(x == y for x, y in either) / len(either) if either else 1.0
+
+    order = sorted(((i is not None, i or 0, signed(t), i, t) for i, t in rows), reverse=True)
+    out = []
+    for k, (*_, i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][-1]
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        out.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), fp[t], fp_of(edited), near(fp[t], fp_of(edited)), near(fp[t], fp[after]), order[(k + 1) % len(order)][3]))
+    return out
+
+
+def plain_fingerprint(t, band):
+    """By the rule of the docstring; band: hashes of the terms in the lexicon."""
+
+    def h(x):
+        v = xxhash.xxh64_intdigest(x.encode(), 42)
+        return v - (v >> 63 << 64)
+
+    def chained(values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True), seed)
+        return seed
+
+    every = {h(x) for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x}
+    use = sorted(every & band or every)
+    parts = [[x for x in use if (x >> 8) % 64 == k] for k in range(64)]
+    return "".join(f"{max(1, chained(p) & 0xFFFF) if p else 0:04x}" for p in parts)
+
+
+def test_op3(spark, docs, edge, none):
     table = imatch.lexicon(docs)
-    for df in (docs, edge.where("doc_id is not null").dropDuplicates(["doc_id"])):
-        rows = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()), reverse=True)
-        got = {r["doc_id"]: r for r in imatch.compare_edited(df, table).collect()}
-        assert len(got) == len(rows)
-        by_text = {}
-        for k, (i, t) in enumerate(rows):
-            after = rows[(k + 1) % len(rows)]
-            edited = t[: len(t) - len(t) // 2] + after[1][: len(t) // 2]
-            assert (got[i]["n_chars"], got[i]["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-            a, b = (re.findall("....", got[j]["fingerprint"]) for j in (i, after[0]))
-            either = [(x, y) for x, y in zip(a, b, strict=True) if x != "0000" or y != "0000"]
-            assert got[i]["near_next"] == pytest.approx(sum(x == y for x, y in either) / len(either) if either else 1.0)
-            assert by_text.setdefault(t, got[i]["fingerprint"]) == got[i]["fingerprint"] and 0 <= got[i]["near_edited"] <= 1
-    assert imatch.compare_edited(edge, table).count() == len(EDGE)
+    band = set(table) - {0}
+    for df in (docs, edge):
+        rows = [(r["doc_id"], r["text"] or "") for r in df.collect()]
+        got = Counter(tuple(r) for r in imatch.compare_edited(df, table).collect())
+        known = {}
+        fp_of = lambda t: known.setdefault(t, plain_fingerprint(t, band))
+        assert got == Counter(plain_compared(rows, {t: fp_of(t) for _, t in rows}, fp_of))
     assert imatch.compare_edited(none, imatch.lexicon(none)).count() == 0
 
 
+def test_op3_order_of_keys(spark):
+    # ids that many keys share are cut again, by their hash
+    random.seed(1)
+    for n, cuts in ((1, 5), (2, 5), (700, 9)):
+        keys = list({(random.choice([-(2**63), 5, 6, random.randint(0, 999)]), random.getrandbits(64) - 2**63) for _ in range(n)})
+        df = spark.createDataFrame(keys, "id long, tie long").repartition(3)
+        got = {(r["id"], r["tie"]): (r["next_id"], r["next_tie"]) for r in imatch.next_keys(df, cuts).collect()}
+        order = sorted(keys, reverse=True)
+        assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_op3_one_band_term_less(spark):
+    # no number of band terms at which a text's fingerprint turns into another kind
+    rows = [(i, f"alpha{i % 20} beta{i % 20} gamma{i % 20} delta{i % 20} unique{i}") for i in range(400)] + [(999, "alpha3 beta3 gamma3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(df, imatch.lexicon(df, 0.01, 0.5)).collect()}
+    a, b = (re.findall("....", fp[i]) for i in (3, 999))
+    assert sum(x == y != "0000" for x, y in zip(a, b, strict=True)) >= 2
+
+
 def test_op3_band(spark):
     # terms in the band decide, terms outside it don't
     rows = [(i, f"common alpha{i % 20} beta{i % 20} gamma{i % 20} delta{i % 20} unique{i}") for i in range(400)]
@@ -339,7 +394,7 @@ def plain_components(fp):
 
 
 def test_op5(docs, edge, none):
-    for df in (docs, edge.where("doc_id is not null").dropDuplicates(["doc_id"])):
+    for df in (docs, edge.where("doc_id <> 14").dropDuplicates(["doc_id"])):
         fp = {r["doc_id"]: plain_simhash(r["text"]) for r in df.collect()}
         got = simhash.near_duplicates(df).collect()
         assert {r["doc_id"]: r["fp"] % 2**64 for r in got} == fp
@@ -446,8 +501,6 @@ def test_op6_monotone():
 
 
 def test_op7(docs, edge, none):
-    import zlib
-
     curve = sharding.hilbert_indices(3, 3)
     at = sorted(range(512), key=lambda c: curve[c])
     xyz = [(c >> 6, c >> 3 & 7, c & 7) for c in at]
@@ -487,6 +540,8 @@ def luhn(d):
 def plain_spans(t):
     out = []
     for k, kind in enumerate(pii.KINDS):
+        if kind == "email" and "@" not in t:  # the plain pattern is quadratic in runs of letters
+            continue
         for m in re.finditer(pii.BASE[kind], t):
             d = re.sub("[^0-9]", "", m.group())
             good = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m.group().split(".")), "card": lambda: 12 <= len(d) <= 19 and luhn(d), "phone": lambda: 9 <= len(d) <= 15}[kind]
@@ -499,28 +554,67 @@ def test_op8(spark, docs, edge, none):
     random.seed(3)
     letters = "0123456789 -.+@a%b().é\U0001f600\n,"
     extra = spark.createDataFrame([(i, "".join(random.choice(letters) for _ in range(random.randint(0, 90)))) for i in range(1500)], "doc_id long, text string")
-    for df in (docs, edge.where("doc_id <> 7"), extra):
+    for df in (docs, edge, extra):
         got = pii.digests(df).collect()
-        text = {r["doc_id"]: r["text"] or "" for r in df.collect()}
-        assert len(got) == df.count()
+        found, plain = Counter(), Counter()
+        for r in df.collect():
+            want = plain_spans(r["text"] or "")
+            base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in want)
+            plain[r["doc_id"], hashlib.sha256(base.encode()).hexdigest(), *(sum(w[3] == k for w in want) for k in pii.KINDS)] += 1
         for r in got:
-            want = plain_spans(text[r["doc_id"]])
-            base = [f"{k}:{a}:{b}" for a, _, b, k in want]
-            assert r["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
-            assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(w[3] == k for w in want) for k in pii.KINDS]
-            assert not set(base) - set(r["spans"].split(","))
+            found[r["doc_id"], r["base_sha256"], *(r[f"n_{k}"] for k in pii.KINDS)] += 1
+            base = [x for x in r["spans"].split(",") if not x.startswith("secret:")]
+            assert hashlib.sha256(",".join(base).encode()).hexdigest() == r["base_sha256"]
+        assert found == plain
     assert pii.digests(none).count() == 0 and pii.redact(none).count() == 0
 
 
 def test_op8_discovers_by_context(spark):
     rows = [(i, f'x y{i} api token = "{hashlib.sha1(str(i).encode()).hexdigest()}" end') for i in range(12)]
-    rows += [(50, "so the API TOKEN = XYZ-9981-QQRS-77 ends"), (51, "plain serial XYZ-9981-QQRS-78 stays"), (52, "mail a@b.cd")]
+    rows += [(53, "an api token = ABC-9981-QQRS-71, ABC-9981-QQRS-72 and ABC-9981-QQRS-73"), (50, "so the API TOKEN = XYZ-9981-QQRS-77 ends"), (51, "plain serial XYZ-9981-QQRS-78 stays"), (52, "mail a@b.cd")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
     text = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
     assert text[50] == "so the API TOKEN = [SECRET] ends" and text[51] == rows[-2][1] and text[52] == "mail [EMAIL]"
+    assert text[53] == "an api token = [SECRET], [SECRET] and ABC-9981-QQRS-73"
     assert text[3] == 'x y3 api token = "[SECRET]" end'
 
 
+def plain_contexts(t):
+    """(start, end, left) of every candidate, word by word."""
+    out, words, last = [], ["^", "^"], 0
+    for m in re.finditer(r"[A-Za-z0-9_+/-]+", t):
+        if len(m.group()) >= 12 and re.search("[0-9]", m.group()):
+            words += re.sub(r"[^\w=:\s]+|\s+|_+", " ", t[last : m.start()].lower()).split()
+            out.append((m.start(), m.end(), " ".join(words[-2:])))
+            last = m.end()
+    return out
+
+
+def test_op8_contexts_are_whole(spark):
+    random.seed(6)
+    long = "w" * 90
+    rows = [f"{long} {long} key-1234567890 x", "key-1234567890", "a key-1234567890 key-1234567891, key-1234567892 b: key-1234567893", "q" * 80 + "7" + " t " + "-" * 70 + "7", ""]
+    rows += [" ".join(random.choice(["a=", "Bcd:", "tok-99999999", "e", "zz_0123456789_zz", "(f)"]) for _ in range(random.randint(0, 300))) for _ in range(60)]
+    df = spark.createDataFrame(enumerate(rows), "doc_id long, text string")
+    for r in df.select("text", pii.candidates(F.col("text")).alias("c")).collect():
+        assert [(c["start"], c["end"], c["left"]) for c in r["c"]] == plain_contexts(r["text"])
+
+
+def test_op8_redacts_in_pieces(spark, monkeypatch):
+    random.seed(7)
+    monkeypatch.setattr(pii, "PIECE", 7)
+    rows = ["".join(random.choice(["a@b.cd ", "10.0.0.1", "\U0001f600 ", "word ", "+1 234 567 890 ", "4111111111111111,", "\n"]) for _ in range(random.randint(0, 400))) for _ in range(40)]
+    df = spark.createDataFrame(enumerate(rows), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(df, {"none": "^$"}).collect()}
+    for i, t in enumerate(rows):
+        out, at = [], 0
+        for a, _, b, kind in plain_spans(t):
+            if a >= at:
+                out += [t[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        assert got[i] == "".join(out) + t[at:]
+
+
 # 9. quality classifier
 
 
@@ -590,22 +684,273 @@ def test_op10_cuts():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids and text.decode() == t
 
 
-# the pipeline
+# the registered queries, and the pipeline, on whole tables with edge rows
 
 
-def test_pipeline(spark, docs):
-    import corpus_pipeline
+@pytest.fixture(scope="module")
+def folder(spark, docs, tmp_path_factory):
+    """The small tables with the edge rows in documents, all three columns more with clashing names."""
+    home = str(tmp_path_factory.mktemp("tables"))
+    rows = spark.createDataFrame(EDGE, SCHEMA).withColumn("n_chars", F.length("text").cast("long"))
+    rows = docs.unionByName(rows).withColumns({c: F.lit("clash") for c in ("__key", "node", "votes")}).repartition(5)
+    rows.write.parquet(f"{home}/documents.parquet")
+    for t in ("labels", "pages"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{home}/{t}.parquet")
+    return home
 
-    stage = dict(corpus_pipeline.STAGES)
-    got = corpus_pipeline.run(spark, SF).collect()
-    scorer = quality_classifier.train(docs)
-    good = [r for r in docs.collect() if scorer.weights is None or scorer.score(r["text"].encode(), textstats.statistics(r["text"].encode())[1]) >= 0.5]
-    lead = plain_components({r["doc_id"]: plain_simhash(r["text"]) for r in good})
-    kept = {r["doc_id"] for r in good if lead[r["doc_id"]] == r["doc_id"]}
-    assert {r["doc_id"] for r in got} <= kept and max(Counter(r["doc_id"] for r in got).values()) <= 2
-    clean = stage["pii"](spark, docs.where(F.col("doc_id").isin(*kept)), SF)
-    assert clean.columns == docs.columns
-    text = {r["doc_id"]: r["text"] for r in clean.collect()}
-    assert not [t for t in text.values() if plain_spans(t)]
+
+@pytest.fixture(scope="module")
+def table_rows(spark, folder):
+    return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+
+
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (h >> 63 << 64)
+
+
+def plain_score(scorer, text):
+    """The logistic score by its definition: word shapes, words and binned statistics at their hashed places."""
+    data = (text or "").encode()
+    if scorer.weights is None:
+        return 1.0
+    shape = "".join("A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else c if c < "\x80" and not c.isalpha() else "a" for c in data.decode("latin-1"))
+    values = dict(zip(textstats.FEATURES, textstats.statistics(data)[1], strict=True))
+    margin = float(scorer.weights[-1])
+    each = 1 / max(1, data.count(b" ") + data.count(b"\n") + 1)
+    ascii_lower = re.sub("[A-Z]", lambda m: m.group().lower(), data.decode("latin-1"))
+    for kind, body in (("s", re.sub(r"(?s)(.)\1+", r"\1", shape)), ("w", ascii_lower)):
+        for w, c in Counter(re.findall(r"[^ \t-\r]+", body)).items():
+            margin += float(scorer.weights[zlib.crc32(w.encode("latin-1"), zlib.crc32(kind.encode())) % 2**18]) * c * each
+    for j in quality_classifier.BINNED:
+        v = values[textstats.FEATURES[j]]
+        margin += float(scorer.weights[zlib.crc32(b"%d:%d" % (j, sum(v > e for e in quality_classifier.EDGES))) % 2**18])
+    return 1 / (1 + math.exp(-max(-50, min(50, margin))))
+
+
+def test_op1_query(spark, folder, table_rows):
+    got = queries.op1_suffix_dedup(spark, folder)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == repeats([r[:2] for r in table_rows])
+
+
+def test_op3_query(spark, folder, table_rows):
+    n, df = len(table_rows), Counter()
+    for r in table_rows:
+        df.update({signed_hash(x) for x in regex.split(r"[^\p{L}\p{N}]+", (r[1] or "").lower()) if x})
+    band = {t for t, c in df.items() if max(2.0, imatch.LOW * n) <= c <= imatch.HIGH * n}
+    fp_of = functools.cache(lambda t: plain_fingerprint(t, band))
+    rows = [(r[0], r[1] or "") for r in table_rows]
+    assert Counter(tuple(r) for r in queries.op3_imatch(spark, folder).collect()) == Counter(plain_compared(rows, {t: fp_of(t) for _, t in rows}, fp_of))
+
+
+def test_op4_query(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op4_mixing"])
+    got = queries.op4_mixing(spark, SF)
+    assert got.columns == want.columns
+    plain = lambda r: (*r[:3], round(r[3], 6), *r[4:])
+    assert Counter(plain(r) for r in got.collect()) == Counter(plain(r) for r in want.fetchall())
+
+
+def test_op5_query(spark, folder, table_rows):
+    got = queries.op5_simhash(spark, folder).collect()
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in got) == Counter((r[0], f"{plain_simhash(r[1]):016x}") for r in table_rows)
+    lead = plain_leaders(table_rows)
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((r[0], lead[plain_simhash(r[1])][0]) for r in table_rows)
+
+
+def test_op6_query(spark, folder, table_rows):
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    forest = quality_rules.train(spark.read.parquet(f"{folder}/documents.parquet"), labels)
+
+    def kept(text):
+        # every tree walked by itself, one row at a time
+        base, values = textstats.statistics((text or "").encode())
+        margin = forest.base
+        for f, t, leaf in zip(forest.feature, forest.threshold, forest.leaf, strict=True):
+            node = 0
+            while node < len(f):
+                node = 2 * node + (2 if values[f[node]] > t[node] else 1)
+            margin += leaf[node - len(f)]
+        failed = base[0] < 50 or 100 * base[4] > 50 * base[0]
+        return failed, not failed and 1 / (1 + math.exp(-margin)) >= 0.5
+
+    got = Counter((r["doc_id"], *(r[c] for c in textstats.BASE), r["base_failed"], r["kept"]) for r in queries.op6_quality_rules(spark, folder).collect())
+    assert got == Counter((r[0], *plain_base(r[1]), *kept(r[1])) for r in table_rows)
+
+
+def test_op7_query(spark, folder, table_rows):
+    got = queries.op7_sharding(spark, folder).collect()
+    size = lambda t: len((t or "").encode()) + 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((r[0], size(r[1]), zlib.crc32((r[1] or "").encode())) for r in table_rows)
+    per, at = Counter(), {}
     for r in got:
-        assert r["decoded_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(r["ids"])
+        per[r["shard"]] += r["size"]
+        at.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    total, largest = sum(per.values()), max(size(r[1]) for r in table_rows)
+    assert all(abs(per[s] - total / 16) <= 2 * max(largest, total / 16 / 64) for s in range(16))
+    many = Counter(zlib.crc32((r[1] or "").encode()) for r in table_rows)
+    # copies stay in one shard, unless there are more than a piece of one
+    assert all(len(s) == 1 for (crc, n), s in at.items() if many[crc] * n <= total / 16 / 64)
+    for s in range(16):
+        rows = sorted((r["slot"], r["hilbert"]) for r in got if r["shard"] == s)
+        assert [x[0] for x in rows] == list(range(len(rows))) and [x[1] for x in rows] == sorted(x[1] for x in rows)
+
+
+def test_op7_levels_see_whole_values(spark):
+    # values that differ after a long prefix, hot ones and null
+    rows = [(i, "t" * (i % 9 + 1) + str(i), "en", v) for i, v in enumerate([None] * 40 + ["https://a.org"] * 160 + ["https://b.org"] * 100 + ["https://z.org"] * 100)]
+    df = sharding.rows_of(spark.createDataFrame(rows, SCHEMA))
+    got = {r["__v"]: r["__level"] for r in sharding.rank_levels(df, "__source", 4).collect()}
+    assert got == {None: 0, "https://a.org": 1, "https://b.org": 8, "https://z.org": 12}
+    rows = [(None, "same", "en", "a")] * 3000 + [(i, f"other {i} " * 3, "en", "b") for i in range(3000)]
+    per = Counter()
+    for r in sharding.shard(spark.createDataFrame(rows, SCHEMA)).collect():
+        per[r["shard"]] += r["size"]
+    assert len(per) == 16 and max(per.values()) < 1.1 * sum(per.values()) / 16
+
+
+def test_op8_query(spark, folder, table_rows):
+    got = Counter((r["doc_id"], r["spans"]) for r in queries.op8_pii(spark, folder).collect())
+    spans = plain_discovered(table_rows)
+    assert got == Counter((r[0], ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans(r[1] or ""))) for r in table_rows)
+
+
+def test_op9_query(spark, folder, table_rows):
+    scorer = quality_classifier.train(spark.read.parquet(f"{folder}/documents.parquet"))
+    got = Counter((r["doc_id"], r["kept"]) for r in queries.op9_quality_classifier(spark, folder).collect())
+    assert got == Counter((r[0], plain_score(scorer, r[1]) >= 0.5) for r in table_rows)
+
+
+def test_op2_query(spark, tmp_path):
+    # planted rules: labels follow URL words; against an enumeration of all token sets
+    random.seed(4)
+    urls, labels = [], []
+    for i in range(400):
+        words_ = random.sample(["pills", "news", "shop", "win", "blog"], random.randint(1, 3))
+        bad = "pills" in words_ or {"win", "shop"} <= set(words_)
+        urls.append((i, f"http://{random.choice(['a', 'b'])}.site.org/{'-'.join(words_)}/{i}"))
+        labels.append((i, int(not bad), 0))
+    urls += [(1000, None), (1001, ""), (1002, "x" * 20_000), (1003, "http://h.org/" + "a/" * 5000 + "pills"), (1004, "http://example.com/en/pills"), (7, urls[7][1])]
+    labels += [(3, 1 - labels[3][1], 0), (None, 1, 0)]
+    spark.createDataFrame(urls, "page_id long, url string").withColumn("rule", F.lit("clash")).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    quality = {}
+    for d, q, _ in labels:
+        quality.setdefault(d, []).append(q)
+    known = {}  # of each labelled URL its words and whether it is bad
+    for _, u in urls:
+        m = re.search(r"://[^?#]*/([0-9]+)$", u or "")
+        if m and int(m.group(1)) in quality:
+            known[u] = (set(re.split("[/-]", u.split("site.org/")[1].rsplit("/", 1)[0])) | {u[7]}, 1 - np.mean(quality[int(m.group(1))]) >= 0.5)
+    share = np.mean([b for _, b in known.values()])
+    need, least = max(0.5, url_filter.gain(share, 1.5)), max(0.001, 10 / len(known)) * len(known)
+    every = set().union(*(w for w, _ in known.values()))
+    rules = []
+    for n in range(1, 5):
+        for c in map(set, itertools.combinations(sorted(every), n)):
+            bad = [b for w, b in known.values() if c <= w]
+            if not any(r < c for r in rules) and sum(bad) >= least and np.mean(bad) >= need:
+                rules.append(c)
+    assert {"pills"} in rules and {"win", "shop"} in rules
+    got = {(r["page_id"], r["rule"], r["verdict"]) for r in queries.op2_url_filter(spark, str(tmp_path)).collect()}
+    want = set()
+    for i, u in urls:
+        words_ = known[u][0] if u in known else set(re.split("[/]", u or ""))
+        if i == 1004:
+            want.add((i, "example.com/en/", "block"))
+        else:
+            want.add((i, None, "block" if any(r <= words_ for r in rules) else "allow"))
+    assert got == want
+    spark.createDataFrame([], "page_id long, url string").write.parquet(f"{tmp_path}/none/pages.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert queries.op2_url_filter(spark, f"{tmp_path}/none").count() == 0
+
+
+def plain_leaders(rows):
+    """fingerprint -> the smallest (doc_id, fingerprint) of its component; ids of None come first."""
+    first = {}
+    for i, t, *_ in rows:
+        fp = plain_simhash(t)
+        first[fp] = min(first.get(fp, (math.inf,)), (-(2**63) if i is None else i,))
+    names = {fp: (i[0], fp - (fp >> 63 << 64)) for fp, i in first.items()}
+    component = plain_components({names[fp]: fp for fp in names})
+    found = {fp: component[names[fp]] for fp in names}
+    return {fp: (None if c[0] == -(2**63) else c[0], c) for fp, c in found.items()}
+
+
+def plain_discovered(rows):
+    """A function from a text to all its spans, the discovered ones by bootstrapping over all rows."""
+    pairs = {(left, t[a:b]) for _, t, *_ in rows if t for a, b, left in plain_contexts(t)}
+    looks = re.compile(pii.SEEDS["secret"])
+    conf, strong = {v: float(bool(looks.search(v))) for _, v in pairs}, {}
+    seed = dict(conf)
+    for _ in range(pii.ROUNDS):
+        by = {}
+        for left, v in pairs:
+            by.setdefault(left, []).append(conf[v])
+        strong = {left: sum(c) / (len(c) + 0.5) for left, c in by.items()}
+        strong = {left: s for left, s in strong.items() if len(by[left]) >= pii.LEAST_CANDIDATES and s >= pii.LEAST_SCORE}
+        miss = {}
+        for left, v in pairs:
+            if left in strong:
+                miss[v] = miss.get(v, 1.0) * (1 - 0.9 * min(strong[left], 0.999))
+        conf = {v: max(seed[v], 1 - miss.get(v, 1.0)) for v in seed}
+    return lambda t: sorted(plain_spans(t) + [(a, 4, b, "secret") for a, b, left in plain_contexts(t) if left in strong])
+
+
+def test_pipeline(spark, folder, table_rows):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    scorer = quality_classifier.train(spark.read.parquet(f"{folder}/documents.parquet"))
+    good = [r for r in table_rows if plain_score(scorer, r[1]) >= 0.5]
+    lead, groups = plain_leaders(good), {}
+    for r in good:
+        fp = plain_simhash(r[1])
+        if (r[0] if r[0] is not None else -(2**63)) == lead[fp][1][0]:
+            place = (signed_hash(r[1]), zlib.crc32((r[1] or "").encode()), r[0] is not None, r[0] or 0, r[3] is not None, r[3] or "", r[2] is not None, r[2] or "")
+            groups[lead[fp][1]] = min(groups.get(lead[fp][1], (place, r)), (place, r))
+    kept = [r for _, r in groups.values()]
+    spans, clean = plain_discovered(kept), []
+    for i, t, _, source in kept:
+        out, at = [], 0
+        for a, _, b, kind in spans(t or ""):
+            if a >= at:
+                out += [(t or "")[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        clean.append((i, "".join(out) + (t or "")[at:], source))
+    sizes = Counter()
+    for _, t, source in clean:
+        sizes[source] += len(words(t))
+    target, start, times = plain_targets(dict(sizes)), Counter(), Counter()
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for i, t, source in sorted(clean, key=lambda r: md5(("" if r[0] is None else str(r[0])) + ":" + md5(r[1]))):
+        n, at, most = len(words(t)), start[source], math.floor(target[source] + 1e-9)
+        taken = sum(max(0, min(n, most - at - e * sizes[source])) for e in (0, 1))
+        start[source] += n
+        if n:
+            times[i, source] = max(times[i, source], math.floor(taken / n + 0.5))
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    want = Counter()
+    for i, t, source in clean:
+        ids = plain.encode(t, add_special_tokens=False).ids
+        row = (i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        want[row] += times[i, source]
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, folder).collect())
+    assert got == +want
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "simhash_near_dedup", "pii", "mixing", "bpe_encode_decode"]
+
+
+def test_pipeline_stages_keep_columns_and_empty_tables(spark, edge, none):
+    import corpus_pipeline
+
+    for df in (edge, none):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, df, SF)
+            assert out.columns == df.columns and out.count() <= (2 * df.count())
+        assert corpus_pipeline.STAGES[-1][1](spark, df, SF).count() == df.count()
