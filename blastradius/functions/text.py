@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: File stems that name no particular module.
-GENERIC_STEMS = ("index", "main", "app", "utils", "util", "helpers", "helper", "common", "types", "constants", "config", "test", "tests")
+# File stems that name no particular file, for the lookup of tests by stem.
+GENERIC_STEMS = (
+    "index", "main", "app", "config", "types", "utils", "helpers", "common", "shared", "base",
+    "reducer", "reducers", "actions", "action", "store", "stores", "state", "selectors", "selector", "saga", "sagas", "epic", "epics",
+    "service", "services", "middleware", "middlewares", "context", "contexts", "hooks", "hook",
+)
+# Stems that are too general for a pattern of their own, where dead zones are looked for.
+DEAD_ZONE_STEMS = ("util", "utils", "index", "main", "test", "tests", "common", "base", "core", "api", "data", "mock", "helper", "helpers", "config", "types", "type")
+LEAST_STEM, LEAST_TAIL = 4, 5
+
+
+def stems(paths: tuple[str, ...]) -> list[str]:
+    """Lower-cased stems of changed files that are worth looking for."""
+    found = [p.replace("\\", "/").rsplit("/", 1)[-1].lower() for p in paths]
+    return [s for s in dict.fromkeys(f.rsplit(".", 1)[0] if "." in f[1:] else f for f in found) if s and s not in GENERIC_STEMS]
 
 
 def stem_match(path: Column, stem: str) -> Column:
@@ -17,13 +30,11 @@ def stem_match(path: Column, stem: str) -> Column:
 
 
 def tail_match(path: Column, changed: str) -> Column:
-    """Whether a path ends in the changed file's name, or in its last two segments."""
+    """Whether a path ends in the changed file's name, or holds its last two segments; any case, either slash."""
     parts = changed.replace("\\", "/").split("/")
-    tails = dict.fromkeys([parts[-1], f"%/{parts[-1]}", *(["%" + "/".join(parts[-2:])] if len(parts) > 1 else [])])
-    out = F.lit(False)
-    for t in tails:
-        out = out | path.ilike(t)
-    return out
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    out = p.ilike(f"%{parts[-1]}") if parts[-1] else F.lit(False)
+    return out | p.ilike("%" + "/".join(parts[-2:]) + "%") if len(parts) > 1 else out
 
 
 def classify_path(path: Column) -> Column:
@@ -42,15 +53,16 @@ def tail2(path: Column) -> Column:
 
 def tokenize(symbol: Column, least: int = 3) -> Column:
     """Lower-cased distinct words of a camelCase, acronym or snake_case name, in order."""
-    split = F.regexp_replace(F.regexp_replace(symbol, "([A-Z]+)([A-Z][a-z])", "$1 $2"), "([a-z0-9])([A-Z])", "$1 $2")
+    split = F.regexp_replace(F.regexp_replace(symbol, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     return F.array_distinct(F.transform(F.filter(F.split(split, "[^a-zA-Z0-9]+"), lambda t: F.length(t) >= least), F.lower))
 
 
 def normalize_path(path: Column) -> Column:
-    """What follows test_repository/, else parent/name below a known folder, else the name."""
-    inner = F.regexp_extract(path, r"test_repository/(.+)$", 1)
-    known = F.regexp_extract(path, r"(?:^|/)((?:unit|integration|e2e|tests?|src[0-9]*)/[^/]+)$", 1)
-    return F.when(inner != "", inner).when(known != "", known).otherwise(basename(path))
+    """What follows test_repository, else parent/name in a known folder, else the name."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    inner = F.regexp_extract(p, r"test_repository/*(.*)$", 1)
+    known = F.regexp_extract(p, r"(?:^|/)((?:unit|integration|e2e|tests?)/[^/]+)$", 1)
+    return F.when(F.contains(p, F.lit("test_repository")), inner).when(known != "", known).otherwise(basename(path))
 
 
 def normalize_import(spec: Column) -> Column:
@@ -90,6 +102,37 @@ def label_head(label: Column) -> Column:
     return F.trim(F.element_at(F.split(label, r"(?i)\s+(?:with|uses|from|for|in|that)\s+|\s*[>:]\s*", 2), 1))
 
 
+def dead_zone_patterns(stem: Column, path: Column) -> Column:
+    """array of LIKE patterns by which an index may know a file: its last two segments, and its stem (a short or general
+    one only at either end of a dotted name)."""
+    p = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
+    tail = F.array_join(F.slice(F.split(p, "/"), -2, 2), "/")
+    s = F.coalesce(stem, F.lit(""))
+    own = (F.length(s) >= LEAST_STEM) & ~F.lower(s).isin(*DEAD_ZONE_STEMS)
+    both = F.when(s != "", F.array(F.concat(s, F.lit(".%")), F.concat(F.lit("%."), s))).otherwise(F.array().cast("array<string>"))
+    first = F.when(F.contains(p, F.lit("/")) & (F.length(tail) >= LEAST_TAIL), F.array(F.concat(F.lit("%"), tail, F.lit("%")))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(first, F.when(own, F.array(F.concat(F.lit("%"), s, F.lit("%")))).otherwise(both)))
+
+
+def symbol_patterns(symbol: Column) -> Column:
+    """array of LIKE patterns by which an index may know a symbol: itself, as either end of a dotted name, and its last part."""
+    last = F.substring_index(symbol, ".", -1)
+    own = (F.length(last) >= LEAST_STEM) & ~F.lower(last).isin(*DEAD_ZONE_STEMS)
+    more = F.when((last == "") | (last == symbol), F.array().cast("array<string>")).when(own, F.array(F.concat(F.lit("%"), last, F.lit("%")))).otherwise(F.array(F.concat(last, F.lit(".%")), F.concat(F.lit("%."), last)))
+    every = F.concat(F.array(symbol, F.concat(symbol, F.lit(".%")), F.concat(F.lit("%."), symbol)), more)
+    return F.when(F.coalesce(symbol, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(every))
+
+
+def screaming(name: Column) -> Column:
+    """Whether a name is a constant's: it starts with a capital and has no small letter."""
+    return name.rlike("^[A-Z]") & (F.upper(name) == name)
+
+
+def readable(name: Column) -> Column:
+    """A test's name as a title: without test_, marks as blanks, first letters as capitals."""
+    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(name, "^test_?", ""), "[_\\W]+", " ")))
+
+
 def fixed_chunks(text: Column, width: int) -> Column:
     """array of (chunk_no, chunk) of so many characters."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), ((F.length(text) - 1) / width).cast("int")))

@@ -6,11 +6,16 @@ turned into equi-joins on exploded prefixes and suffixes of the distinct symbols
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Reference kinds that a module match may count.
-MODULE_KINDS = ("direct_import", "string_ref", "transitive_import", "source_annotation")
+from ..functions.text import stem_match, tail_match
+
+# Reference kinds that a symbol below a module may have, and the module itself beside named classes.
+BELOW_KINDS = ("direct_import", "string_ref", "transitive_import", "transitive_normalized")
+MODULE_KINDS = (*BELOW_KINDS, "source_annotation", "source_annotation_normalized")
 
 
 def symbol_keys(symbols: DataFrame, column: str) -> DataFrame:
@@ -54,18 +59,34 @@ def function_level(mapping: DataFrame, entities: DataFrame, terms: DataFrame) ->
 
 
 def module_pattern(index: DataFrame, module: str, mode: str = "direct", classes: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct test_id, production_class, reference_type, exact_priority, ref_priority below a module."""
-    c = F.col("production_class")
-    below, kind = c.startswith(module + "."), F.col("reference_type").isin(*MODULE_KINDS)
-    pick = {"direct": (c == module) | (below & kind), "specific": c.isin(*classes) | (below & kind), "broad": below}[mode]
-    exact = F.when(c.isin(module, *classes), 0).otherwise(1)
-    ref = F.when(F.col("reference_type") == "direct_import", 1).when(F.col("reference_type") == "string_ref", 2).otherwise(3)
+    """Distinct test_id, production_class, reference_type, exact_priority, ref_priority of a module.
+
+    direct: the module, and symbols below it with a kind of BELOW_KINDS; specific: the classes, and the module itself
+    with a kind of MODULE_KINDS; broad: all symbols below it, without priorities.
+    """
+    c, kind = F.col("production_class"), F.col("reference_type")
+    below = c.startswith(module + ".")
+    pick = {"direct": (c == module) | (below & kind.isin(*BELOW_KINDS)), "specific": c.isin(*classes) | ((c == module) & kind.isin(*MODULE_KINDS)), "broad": below}[mode]
+    exact = F.when(c == module, 1).otherwise(2)
+    ref = F.when(kind.isin("direct_import", "string_ref"), 1).when(kind.isin("transitive_import", "transitive_normalized"), 2).otherwise(3)
     out = index.where(pick).select("test_id", "production_class", "reference_type").distinct()
     return out if mode == "broad" else out.withColumn("exact_priority", exact).withColumn("ref_priority", ref)
 
 
-def integration_lookup(index: DataFrame, entities: DataFrame, symbol: str) -> DataFrame:
-    hit = index.where(F.col("production_class") == symbol).select("test_id", "reference_type").distinct()
+def any_like(path: Column, patterns: list[str]) -> Column:
+    return reduce(lambda a, p: a | path.like(p), patterns, F.lit(False))
+
+
+def any_stem(path: Column, stems: list[str]) -> Column:
+    return reduce(lambda a, s: a | stem_match(path, s), stems, F.lit(False))
+
+
+def any_tail(path: Column, changed: list[str]) -> Column:
+    return reduce(lambda a, c: a | tail_match(path, c), changed, F.lit(False))
+
+
+def integration_lookup(index: DataFrame, entities: DataFrame, *symbols: str) -> DataFrame:
+    hit = index.where(F.col("production_class").isin(*symbols)).select("test_id", "reference_type").distinct()
     return hit.join(entities.where(F.col("test_type").isin("integration", "e2e")), "test_id").select("test_id", "test_type", "reference_type")
 
 

@@ -29,8 +29,19 @@ def exclusive_flag(df: DataFrame, group: str, key: str, chosen: DataFrame) -> Da
     return df.join(pick, F.col(group) == F.col("__g"), "left").withColumn("is_primary", F.coalesce(F.col(key) == F.col("__k"), F.lit(False))).drop("__g", "__k")
 
 
-def allocate(new: DataFrame, order: str, last: DataFrame, prefix: str = "test_") -> DataFrame:
-    """Ids after the numerically largest one. new is a batch to be indexed; its order decides."""
-    w = Window.orderBy(order)
-    rows = new.withColumn("__n", F.row_number().over(w)).crossJoin(F.broadcast(last))  # one row
-    return rows.withColumn("new_id", F.format_string(prefix + "%04d", F.coalesce("last_id", F.lit(0)).cast("long") + F.col("__n").cast("long"))).drop("__n", "last_id")
+def allocate(new: DataFrame, order: str, last: DataFrame, prefix: str = "test_", runs: int = 1000) -> DataFrame:
+    """Ids after the numerically largest one, in the order of a numeric column without repeats.
+
+    Rows are numbered within runs between quantiles, and after the sizes of the runs before; so no task sees all rows.
+    """
+    cuts = F.array(*[F.lit(i / runs) for i in range(1, runs)])
+    found = sorted(set(new.agg(F.percentile_approx(order, cuts, 4 * runs).alias("c")).first()["c"] or []))
+    held = F.array_remove(F.split(F.lit(",".join(map(str, found))), ","), "").cast("array<bigint>")
+    rows = new.withColumn("__run", F.size(F.filter(held, lambda c: c < F.col(order))))
+    sizes = rows.groupBy(F.col("__run").alias("__r")).agg(F.count("*").alias("__m"))  # at most `runs` rows
+    upto = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__r", F.coalesce(F.sum("__m").over(upto), F.lit(0)).alias("__base")).crossJoin(last)  # one row
+    inside = F.row_number().over(Window.partitionBy("__run").orderBy(order))
+    out = rows.withColumn("__n", inside).join(sizes, F.col("__run") == F.col("__r"))
+    number = F.coalesce("last_id", F.lit(0)).cast("long") + F.col("__base") + F.col("__n")
+    return out.withColumn("new_id", F.format_string(prefix + "%04d", number)).drop("__run", "__n", "__r", "__m", "__base", "last_id")

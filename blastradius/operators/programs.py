@@ -143,12 +143,35 @@ _CLASS = re.compile(r"\b(?:class|interface|enum)\s+(\w+)")
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "else"}
 
 
-def parse_diff(text: str) -> list[dict]:
+def with_headers(text: str, files: list[str]) -> str:
+    """A diff of bare hunks with a header before each file's share: hunks are dealt evenly in order, the rest to the last
+    file; with fewer hunks than files all go to the first."""
+    lines = text.split("\n")
+    at = [i for i, line in enumerate(lines) if re.match(r"@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@", line)]
+    share = len(at) // len(files)
+    starts = {0: [files[0]]} if share else {0: files[:1], len(lines): files[1:]}
+    for i, f in enumerate(files[1:] if share else [], 1):
+        starts.setdefault(at[i * share], []).append(f)
+    out = []
+    for i in range(len(lines) + 1):
+        for f in starts.get(i, []):
+            out.append(f"diff --git a/{f} b/{f}")
+        out += lines[i : i + 1]
+    return "\n".join(out)
+
+
+def parse_diff(text: str, files: list[str] | None = None) -> list[dict]:
     """One entry for each file: file, status, additions, deletions, changed_lines (new numbers for +, old for -), classes, methods.
 
+    files names the files of a diff that has hunks without headers; their lines have no numbers.
+
     A hunk header's context names the method unless a changed or context line of the hunk names another one first;
     it is dropped where a hunk only adds other methods.
     """
+    files = [f for f in files or [] if f.strip()]
+    bare = bool(files) and "@@" in text[:100] and not text.strip().startswith(("diff --git", "--- "))
+    if bare:
+        text = with_headers(text, files)
     out: list[dict] = []
     at: dict | None = None
     context, named, deleted = "", [], False
@@ -187,7 +210,8 @@ def parse_diff(text: str) -> list[dict]:
         elif line[:1] in ("+", "-"):
             plus = line[0] == "+"
             at["additions" if plus else "deletions"] += 1
-            at["changed_lines"].append(new if plus else old)
+            if not bare:
+                at["changed_lines"].append(new if plus else old)
             deleted |= not plus
             at["classes"] += _CLASS.findall(line[1:])
             if name := method(line[1:]):

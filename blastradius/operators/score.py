@@ -1,5 +1,6 @@
 """Confidence from evidence. Evidence is one long table: test_id, seq, type, reference_type, source, similarity,
-match_strategy; seq orders a test's rows (ties: reference_type).
+match_strategy, weak; seq orders a test's rows (ties: reference_type). weak marks a hit on a lower-case module name,
+which files elsewhere may share.
 
 Scores are computed in DOUBLE and floored; per test everything is one hash aggregate over fixed-size buffers.
 """
@@ -9,14 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokenize
+
 #: Evidence types, in bit order, and the base scores.
-TYPES = ("function_level", "exact", "direct_file", "integration", "module", "semantic", "semantic_colocation", "cochanged_test_suite")
+TYPES = (
+    "function_level", "exact", "direct_file", "integration", "module", "semantic", "semantic_colocation", "cochanged_test_suite",
+    "direct_test_file", "direct_file_match", "module_pattern",
+)
+SEMANTIC = ("semantic", "semantic_colocation")
+STRUCTURAL = tuple(t for t in TYPES if t not in SEMANTIC)
 BASE_PATCH, BASE_FUNCTION = 95, 85
 BASE_EXACT, BASE_STRING, BASE_TRANSITIVE, BASE_OTHER = 75, 65, 58, 60
 BASE_FILE, BASE_INTEGRATION = 50, 40
 BASE_MODULE_DIRECT, BASE_MODULE = 55, 45
 DIRECT_KINDS = ("direct_import", "source_annotation", "source_annotation_normalized", "describe_label")
-EVIDENCE = "test_id long, seq int, type string, reference_type string, source string, similarity double, match_strategy string"
+EVIDENCE = "test_id long, seq int, type string, reference_type string, source string, similarity double, match_strategy string, weak boolean"
 
 
 def base_value(transitive: int = BASE_TRANSITIVE) -> Column:
@@ -39,12 +47,18 @@ def type_bits() -> Column:
     return out
 
 
-def has(kind: str, bits: str = "types") -> Column:
-    return F.col(bits).bitwiseAND(F.lit(1 << TYPES.index(kind))) != 0
+def has(*kinds: str) -> Column:
+    """Whether there is evidence of any of these types."""
+    return F.col("types").bitwiseAND(F.lit(sum(1 << TYPES.index(k) for k in kinds))) != 0
+
+
+def has_semantic() -> Column:
+    return has(*SEMANTIC)
 
 
 def profile(evidence: DataFrame) -> DataFrame:
-    """test_id with base, base_v1, types (bits), first_base, vec, n_evidence, direct (a direct reference exists), coloc flags."""
+    """test_id with base, base_v1, types (bits), first_base, vec, n_evidence, direct (a direct reference exists), strong
+    (structural evidence that is not weak), coloc flags."""
     value = base_value()
     not_semantic = F.col("type") != "semantic"
     return evidence.groupBy("test_id").agg(
@@ -54,6 +68,7 @@ def profile(evidence: DataFrame) -> DataFrame:
         F.count("*").alias("n_evidence"), F.max(F.coalesce(not_semantic & F.col("reference_type").isin(*DIRECT_KINDS), F.lit(False))).alias("direct"),
         F.min(F.when(not_semantic, F.coalesce(F.col("match_strategy") == "colocated_in_same_file", F.lit(False)))).alias("coloc_only"),
         F.max(F.coalesce(F.col("match_strategy") == "semantic_colocated_file", F.lit(False))).alias("sem_coloc"),
+        F.max(F.col("type").isin(*STRUCTURAL) & ~F.coalesce(F.col("weak"), F.lit(False))).alias("strong"),
     )
 
 
@@ -98,22 +113,23 @@ def band(score: Column) -> Column:
 
 def evidence_quality() -> Column:
     return (
-        F.when(has("function_level"), "CONFIRMED_FUNCTION").when(has("direct_file"), "CONFIRMED_FILE").when(has("exact"), "CONFIRMED_SYMBOL")
+        F.when(has("function_level"), "CONFIRMED_FUNCTION").when(has("direct_file", "direct_test_file"), "CONFIRMED_FILE").when(has("exact"), "CONFIRMED_SYMBOL")
         .when(has("integration"), "INTEGRATION_SCOPE").when(has("module"), "BROAD_MODULE").when(has("semantic"), "SEMANTIC_SUPPLEMENT").otherwise("UNKNOWN")
     )
 
 
-def false_positive_risk(hotfix: bool = False) -> Column:
-    strong = has("exact") | has("function_level")
+def false_positive_risk(relevant: Column, hotfix: Column | None = None) -> Column:
+    """relevant: whether the test's label shares a word with the change; hotfix: whether the change is a guard edit."""
+    strong = has("exact", "function_level")
+    hotfix = F.lit(False) if hotfix is None else hotfix
     return (
-        F.when(has("semantic") & ~strong, F.when(has("module"), "MEDIUM").otherwise("MEDIUM_HIGH"))
-        .when(has("module") & ~strong, "MEDIUM_HIGH" if hotfix else "MEDIUM").when(strong, "LOW").otherwise("LOW_MEDIUM")
+        F.when(has_semantic() & ~is_structural() & ~relevant, "HIGH").when(has("semantic") & ~strong, F.when(has("module"), "MEDIUM").otherwise("MEDIUM_HIGH"))
+        .when(has("module") & ~strong, F.when(hotfix, "MEDIUM_HIGH").otherwise("MEDIUM")).when(strong, "LOW").otherwise("LOW_MEDIUM")
     )
 
 
 def is_structural() -> Column:
-    bits = sum(1 << TYPES.index(t) for t in ("function_level", "exact", "direct_file", "integration", "module", "cochanged_test_suite"))
-    return F.col("types").bitwiseAND(F.lit(bits)) != 0
+    return has(*STRUCTURAL)
 
 
 def dependency_hint() -> Column:
@@ -121,9 +137,20 @@ def dependency_hint() -> Column:
     return F.when(is_structural() & (F.col("direct") | has("function_level") | only_exact), "independent").otherwise("cross_dependent")
 
 
-def keep(minimum: int = 42, both: int = 30) -> Column:
-    """The confidence gate: structural and semantic from `both` on, structural alone from `minimum` on, semantic
-    co-location always; tests that are only co-located go without semantic evidence."""
-    semantic = has("semantic") | has("semantic_colocation")
-    gate = F.when(is_structural() & semantic, F.col("score") >= both).when(F.col("sem_coloc"), True).when(is_structural(), F.col("score") >= minimum).otherwise(False)
-    return gate & ~(F.coalesce("coloc_only", F.lit(False)) & ~semantic & ~F.col("sem_coloc"))
+def relevant(label: Column, tokens: list[str]) -> Column:
+    """Whether a test's label shares a word of four letters or more with the change; true where it has no label."""
+    return (F.coalesce(label, F.lit("")) == "") | F.arrays_overlap(tokenize(label, 4), F.array(*map(F.lit, tokens)).cast("array<string>"))
+
+
+def keep(label_fits: Column, symbol_fits: Column, minimum: int = 42, both: int = 30) -> Column:
+    """The confidence gate. Structural and semantic evidence: from `both` on; semantic co-location: always; structural
+    alone: from `minimum` on; semantic alone: whatever the score, if the label fits the changed symbols.
+
+    Tests that are only co-located go without semantic evidence. Tests with weak structural evidence only go unless
+    their label fits the change.
+    """
+    semantic = has_semantic()
+    gate = F.when(is_structural() & semantic, F.col("score") >= both).when(F.col("sem_coloc"), True).when(is_structural(), F.col("score") >= minimum)
+    gate = gate.when(semantic, symbol_fits).otherwise(F.col("score") >= minimum)
+    only_near = F.coalesce("coloc_only", F.lit(False)) & ~semantic & ~F.col("sem_coloc")
+    return gate & ~only_near & (~is_structural() | F.col("strong") | label_fits)

@@ -59,10 +59,12 @@ def linkage(counts: DataFrame, n: str = "n") -> DataFrame:
 
 
 def suite(path: Column) -> Column:
-    """The segment after test/ or tests/, else the first of the known suite names in the path, else other."""
-    after = F.regexp_extract(path, r"(?:^|/)tests?/([^/]+)/", 1)
-    known = F.regexp_extract(path, r"(?:^|/)(unit|integration|e2e|functional)/", 1)
-    return F.when(after != "", after).when(known != "", known).otherwise("other")
+    """Of the first segment that is test, tests or a known suite: the segment after it (root if that is empty), or the
+    known suite's name; other if there is none."""
+    p = F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/"))
+    hit = r"(?:^|/)(?:(tests?)/([^/]*)|(unit|integration|e2e|functional)(?:/|$))"
+    found, after, known = (F.regexp_extract(p, hit, i) for i in (1, 2, 3))
+    return F.when(known != "", known).when(found == "", "other").when(after == "", "root").otherwise(after)
 
 
 def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:

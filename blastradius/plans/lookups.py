@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import lookup as L
+from ..operators import stats as S
 from .tables import ENT, REGISTRY, RI, TFM, entities, load, mapping, registry, reverse_index, small, sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 TERMS = ["promo", "promo.brand5", "small_widget", "no_such_symbol"]
 FUNCTIONS = [("promo", "brand4"), ("small", "brand10")]
-CLASS = "promo.brand5.small_widget"
+CLASS, OTHER = "promo.brand15.hot_widget", "promo.brand25.blue_ring"
 
 
 def query(oracle: str):
@@ -56,18 +57,19 @@ def function_level(spark, d):
     return L.function_level(mapping(spark, d), entities(spark, d), function_terms(spark))
 
 
-KINDS = "('direct_import', 'string_ref', 'transitive_import', 'source_annotation')"
-REF = "CASE reference_type WHEN 'direct_import' THEN 1 WHEN 'string_ref' THEN 2 ELSE 3 END AS ref_priority"
+BELOW = "('direct_import', 'string_ref', 'transitive_import', 'transitive_normalized')"
+KINDS = "('direct_import', 'string_ref', 'transitive_import', 'transitive_normalized', 'source_annotation', 'source_annotation_normalized')"
+REF = "CASE WHEN reference_type IN ('direct_import', 'string_ref') THEN 1 WHEN reference_type IN ('transitive_import', 'transitive_normalized') THEN 2 ELSE 3 END AS ref_priority"
 
 
-@query(sql(RI) + f"SELECT DISTINCT test_id, production_class, reference_type, CASE production_class WHEN 'promo' THEN 0 ELSE 1 END AS exact_priority, {REF} FROM ri WHERE production_class = 'promo' OR (starts_with(production_class, 'promo.') AND reference_type IN {KINDS})")
+@query(sql(RI) + f"SELECT DISTINCT test_id, production_class, reference_type, CASE production_class WHEN 'promo' THEN 1 ELSE 2 END AS exact_priority, {REF} FROM ri WHERE production_class = 'promo' OR (starts_with(production_class, 'promo.') AND reference_type IN {BELOW})")
 def module_pattern(spark, d):
     return L.module_pattern(reverse_index(spark, d), "promo")
 
 
-@query(sql(RI) + f"SELECT DISTINCT test_id, production_class, reference_type, CASE WHEN production_class IN ('promo.brand7', '{CLASS}') THEN 0 ELSE 1 END AS exact_priority, {REF} FROM ri WHERE production_class = '{CLASS}' OR (starts_with(production_class, 'promo.brand7.') AND reference_type IN {KINDS})")
+@query(sql(RI) + f"SELECT DISTINCT test_id, production_class, reference_type, CASE WHEN production_class = '{OTHER}' THEN 1 ELSE 2 END AS exact_priority, {REF} FROM ri WHERE production_class IN ('{CLASS}', 'small.brand25.new_gear') OR (production_class = '{OTHER}' AND reference_type IN {KINDS})")
 def module_pattern_specific(spark, d):
-    return L.module_pattern(reverse_index(spark, d), "promo.brand7", "specific", (CLASS,))
+    return L.module_pattern(reverse_index(spark, d), OTHER, "specific", (CLASS, "small.brand25.new_gear"))
 
 
 @query(sql(RI) + "SELECT DISTINCT test_id, production_class, reference_type FROM ri WHERE starts_with(production_class, 'promo.')")
@@ -88,9 +90,16 @@ def direct_file_lookup(spark, d):
     return L.first_strategy(rows, [("filename", p == "src1/en/doc_1.test.js"), ("module", p.rlike(r"doc_2.\.test\.js$")), ("basename", p.contains("src3/")), ("stem", p.endswith("_7.test.js"))])
 
 
-@query(sql(REGISTRY) + "SELECT test_id, file_path FROM registry WHERE file_path ILIKE '%DOC_1%.test%' OR file_path ILIKE '%doc_1%.spec%'")
+CHANGED_FILES = ("lib/DOC_1.js", "src/index.js", "src/de/Reducers.ts", "lib/doc_3.constants.js")
+
+
+@query(sql(REGISTRY) + """SELECT DISTINCT test_id, file_path, stem FROM registry, (SELECT lower(regexp_extract(unnest(['lib/DOC_1.js', 'src/index.js', 'src/de/Reducers.ts', 'lib/doc_3.constants.js']), '([^/]+)[.][^./]+$', 1)) AS stem)
+WHERE stem NOT IN ('index', 'main', 'app', 'config', 'types', 'utils', 'helpers', 'common', 'shared', 'base', 'reducer', 'reducers', 'actions', 'action', 'store', 'stores', 'state', 'selectors', 'selector',
+'saga', 'sagas', 'epic', 'epics', 'service', 'services', 'middleware', 'middlewares', 'context', 'contexts', 'hooks', 'hook') AND (file_path ILIKE '%' || stem || '%.test%' OR file_path ILIKE '%' || stem || '%.spec%')""")
 def file_stem_match(spark, d):
-    return registry(spark, d).where(X.stem_match(F.col("file_path"), "DOC_1")).select("test_id", "file_path")
+    rows = registry(spark, d).select("test_id", "file_path")
+    hits = [rows.where(X.stem_match(F.col("file_path"), s)).withColumn("stem", F.lit(s)) for s in X.stems(CHANGED_FILES)]
+    return S.union_all(hits).distinct()
 
 
 @query(sql(REGISTRY) + "SELECT test_id, file_path FROM registry WHERE file_path ILIKE 'doc_3.test.js' OR file_path ILIKE '%/doc_3.test.js' OR file_path ILIKE '%en/doc_3.test.js'")
@@ -154,20 +163,20 @@ def zero_coverage(spark, d):
     return t.join(L.match_symbols(reverse_index(spark, d), "production_class", t), "term", "left_anti")
 
 
-GONE = "gone AS (SELECT * FROM (VALUES ('promo.brand5.small_widget', 'deleted', 0), ('promo.brand4.red_bolt', 'renamed', 1), ('small.brand10.hot_gear', 'renamed', 1)) g(symbol, reason, p))"
+GONE = "gone AS (SELECT * FROM (VALUES ('promo.brand15.hot_widget', 'deleted', 0), ('promo.brand1.red_rod', 'renamed', 1), ('small.brand25.new_gear', 'renamed', 1)) g(symbol, reason, p))"
 
 
 @query(sql(RI, GONE) + "SELECT test_id, symbol, reason FROM ri JOIN gone ON production_class = symbol QUALIFY row_number() OVER (PARTITION BY test_id ORDER BY p, reference_type, symbol) = 1")
 def breakage_map(spark, d):
     ev = reverse_index(spark, d).select("test_id", F.col("production_class").alias("symbol"), F.lit("exact").alias("type"), F.col("reference_type").alias("seq"))
-    return L.breakage(ev, small(spark, [(CLASS,)], "symbol string"), small(spark, [("promo.brand4.red_bolt",), ("small.brand10.hot_gear",)], "old string"))
+    return L.breakage(ev, small(spark, [(CLASS,)], "symbol string"), small(spark, [("promo.brand1.red_rod",), ("small.brand25.new_gear",)], "old string"))
 
 
 @query(sql(RI, TERM_CTE, GONE) + f"""SELECT 'COMPLETELY_UNTESTED' AS kind, term AS symbol, 0::BIGINT AS n_tests FROM terms WHERE NOT EXISTS (SELECT 1 FROM ri WHERE {MATCH} IS NOT NULL)
 UNION ALL SELECT upper(reason), symbol, count(DISTINCT test_id) FROM ri JOIN gone ON production_class = symbol GROUP BY 1, 2""")
 def coverage_gaps(spark, d):
     gaps = zero_coverage(spark, d).select(F.lit("COMPLETELY_UNTESTED").alias("kind"), F.col("term").alias("symbol"), F.lit(0).cast("long").alias("n_tests"))
-    gone = small(spark, [(CLASS, "DELETED"), ("promo.brand4.red_bolt", "RENAMED"), ("small.brand10.hot_gear", "RENAMED")], "symbol string, kind string")
+    gone = small(spark, [(CLASS, "DELETED"), ("promo.brand1.red_rod", "RENAMED"), ("small.brand25.new_gear", "RENAMED")], "symbol string, kind string")
     hit = reverse_index(spark, d).join(gone, F.col("production_class") == F.col("symbol")).groupBy("kind", "symbol").agg(F.countDistinct("test_id").alias("n_tests"))
     return gaps.unionByName(hit)
 

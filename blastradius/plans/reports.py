@@ -37,7 +37,7 @@ def impact_bundle(spark, d):
 
     deps = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("test_id"))
     rows = scoring.scored(spark, d).where("score >= 50")
-    return S.linkage(S.counted(rows, deps, "test_id", "n")).select("test_id", "score", C.evidence_quality().alias("quality"), C.false_positive_risk().alias("risk"), "linkage")
+    return S.linkage(S.counted(rows, deps, "test_id", "n")).select("test_id", "score", C.evidence_quality().alias("quality"), C.false_positive_risk(F.col("symbol_fits")).alias("risk"), "linkage")
 
 
 @query("SELECT coalesce((SELECT count(*) FROM labels), 0) AS n_metadata, (SELECT count(*) FROM documents) AS n_tests, coalesce(nullif((SELECT count(DISTINCT lang) FROM documents), 0), 1) AS n_languages, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS n_symbols, (SELECT max(ts) FROM events)::VARCHAR[:19] AS last_event".replace("(SELECT max(ts) FROM events)::VARCHAR[:19]", "strftime((SELECT max(ts) FROM events), '%Y-%m-%d %H:%M:%S')"))

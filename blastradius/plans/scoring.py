@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..operators import change as K
 from ..operators import lookup as L
 from ..operators import score as C
+from ..operators import stats as S
 from ..operators import vector as V
-from .lookups import CLASS, FL_CTE, FN_CTE, KINDS, LOOKUP_CTE, TERM_CTE, function_terms, terms
-from .tables import ENT, RI, TFM, entities, load, mapping, reverse_index, sql
+from .lookups import BELOW, FL_CTE, LOOKUP_CTE
+from .tables import ENT, RI, TFM, entities, load, mapping, reverse_index, small, sql
+from .texts import TOKENS
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -57,9 +61,11 @@ def vector_threshold(spark, d):
     return sims(spark, d).where("similarity >= 0.2D").select("query_id", "vec_id", "similarity", F.least(F.floor(F.col("similarity") * F.lit(100.0)), F.lit(60)).cast("int").alias("score"))
 
 
-@query(sql(SIM) + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sims WHERE label = 2) SELECT query_id, vec_id, similarity, rank FROM f WHERE rank <= 5")
+@query(sql(SIM, RANKED) + "SELECT query_id, vec_id, label, similarity, rank FROM ranked WHERE rank <= 40 AND similarity >= 0.05 AND (label IS NULL OR label = 2)")
 def vector_filtered(spark, d):
-    return V.top_k(V.similarities(vectors(spark, d).where("label = 2"), probe(spark, d)), 5).select("query_id", "vec_id", "similarity", "rank")
+    """The repository filter comes after top-k and threshold: fewer than k rows may be left."""
+    best = V.top_k(sims(spark, d), 40).where("similarity >= 0.05D")
+    return V.of_repository(best, "label", 2).select("query_id", "vec_id", "label", "similarity", "rank")
 
 
 @query(sql(SIM, RANKED) + ", c AS (SELECT *, round(sum(similarity) OVER (PARTITION BY query_id ORDER BY rank), 6) AS cum FROM ranked WHERE rank <= 50) SELECT query_id, vec_id, similarity, rank, cum FROM c WHERE cum <= 3.0")
@@ -77,52 +83,116 @@ def multi_query_weighted(spark, d):
     return V.fuse_weighted(sims(spark, d))
 
 
-@query(sql(SIM) + "SELECT vec_id, max(similarity) AS similarity FROM sims WHERE vec_id % 7 = 0 GROUP BY 1")
-def ast_supplement(spark, d):
-    ids = vectors(spark, d).where("vec_id % 7 = 0")
-    return V.similarities(ids, probe(spark, d)).groupBy("vec_id").agg(F.max("similarity").alias("similarity"))
-
-
 @query(sql(SIM) + "SELECT query_id, round(avg(similarity), 4) AS avg_sim, max(similarity) AS max_sim, min(similarity) AS min_sim, CASE WHEN avg(similarity) >= 0.5 THEN 'summary' ELSE 'diff_anchor' END AS canonical FROM sims WHERE label = 2 GROUP BY 1")
 def query_validation(spark, d):
     rows = sims(spark, d).where("label = 2").groupBy("query_id").agg(F.round(F.avg("similarity"), 4).alias("avg_sim"), F.max("similarity").alias("max_sim"), F.min("similarity").alias("min_sim"), F.avg("similarity").alias("__a"))
     return rows.withColumn("canonical", F.when(F.col("__a") >= 0.5, "summary").otherwise("diff_anchor")).drop("__a")
 
 
+#: The change that the selection is made for.
+DIFF = """diff --git a/src/promo.js b/src/promo.js
+--- a/src/promo.js
++++ b/src/promo.js
+@@ -60,3 +60,3 @@ function brand4() {
+ function brand4() {
+-  return price(1);
++  return price(2);
+ }
+diff --git a/src/promo/brand15/hot_widget.js b/src/promo/brand15/hot_widget.js
+--- a/src/promo/brand15/hot_widget.js
++++ b/src/promo/brand15/hot_widget.js
+@@ -70,2 +70,3 @@
+-export const old_gear = 1
++export const hot_gear = 1
++function handleUrgent() {
+diff --git a/src/orders/cust_7.js b/src/orders/cust_7.js
+--- a/src/orders/cust_7.js
++++ b/src/orders/cust_7.js
+@@ -80,2 +80,2 @@ class OrderBook {
+-class red_plate {
++  total = 2
+"""
+CHANGE = K.bundle(DIFF)
+WEAK = tuple(m for m in CHANGE.module_exact if m == m.lower())
+LABEL_TOKENS, SYMBOL_TOKENS = CHANGE.tokens(wide=False), CHANGE.tokens()
+NEAR = 0.45
+
+
+def rows(df, seq, kind, ref="cast(null as string)", source="cast(null as string)", sim="cast(null as double)", strategy="cast(null as string)", weak="false"):
+    return df.selectExpr("test_id", f"{seq} as seq", f"'{kind}' as type", f"{ref} as reference_type", f"{source} as source", f"{sim} as similarity", f"{strategy} as match_strategy", f"{weak} as weak")
+
+
+def exact_hits(spark, d):
+    """term, test_id, reference_type, weak: the changed symbols and modules in the index."""
+    found = L.lookup_symbols(reverse_index(spark, d), small(spark, [(t,) for t in CHANGE.exact], "term string"))
+    return found.select("term", "test_id", "reference_type", F.col("term").isin(*WEAK).alias("weak"))
+
+
+def structural(spark, d):
+    """What the index says, by strategy: functions, test files, integration, symbols, modules, neighbours, stems."""
+    ri, ent = reverse_index(spark, d), entities(spark, d)
+    functions = L.function_level(mapping(spark, d), ent, small(spark, list(CHANGE.functions), "module_name string, function_name string"))
+    exact = exact_hits(spark, d)
+    primary = [m[0] for m in map(K.modules, CHANGE.files) if m]
+    out = [
+        rows(functions, 1, "function_level", source="source"),
+        rows(ent.where(L.any_like(F.col("file_path"), [f"%{n}" for n in CHANGE.test_files])), 2, "direct_file", strategy="'exact_filename'"),
+        rows(L.integration_lookup(ri, ent, *primary), 3, "integration", ref="reference_type"),
+        rows(exact, 4, "exact", ref="reference_type", weak="weak"),
+    ]
+    for m in CHANGE.modules if CHANGE.runs_modules() else ():
+        name = m.removesuffix(".*")
+        out.append(rows(L.module_pattern(ri, name).select("test_id", "reference_type").distinct(), 5, "module", ref="reference_type", weak=str(name in WEAK).lower()))
+    # only specific symbols lead to a file's other tests: neither modules nor constants
+    seeds = exact.where(~F.col("term").isin(*CHANGE.module_exact) & ~X.screaming(F.col("term"))).select("test_id").union(functions.select("test_id")).distinct()
+    out.append(rows(L.colocated(ent, seeds), 6, "direct_file", strategy="'colocated_in_same_file'"))
+    out.append(rows(ent.where(L.any_stem(F.col("file_path"), X.stems(CHANGE.files))), 7, "direct_file", strategy="'file_stem'"))
+    return S.union_all(out)
+
+
+def semantic_hits(spark, d):
+    return V.similarities(vectors(spark, d), probe(spark, d, (0,))).where("similarity >= 0.1D").selectExpr("vec_id * 3 as test_id", "similarity")
+
+
+def neighbours(spark, d, found, hits):
+    """Tests in the files of structural hits and of strong semantic ones, whose labels fit the change."""
+    ent = entities(spark, d)
+    files = ent.join(found.select("test_id").union(hits.where(F.col("similarity") >= NEAR).select("test_id")).distinct(), "test_id", "left_semi").select("file_path").distinct()
+    fits = C.relevant(F.col("class_name"), LABEL_TOKENS)
+    return ent.where(fits).join(files, "file_path", "left_semi").join(hits.select("test_id"), "test_id", "left_anti").select("test_id")
+
+
 def evidence(spark, d):
     """All producers' rows in one long table."""
-    ri, ent = reverse_index(spark, d), entities(spark, d)
+    found, hits = structural(spark, d), semantic_hits(spark, d)
+    near = rows(neighbours(spark, d, found, hits), 9, "semantic_colocation", strategy="'semantic_colocated_file'")
+    return S.union_all([found, rows(hits, 8, "semantic", sim="similarity"), near])
 
-    def rows(df, seq, kind, ref="cast(null as string)", source="cast(null as string)", sim="cast(null as double)", strategy="cast(null as string)"):
-        return df.selectExpr("test_id", f"{seq} as seq", f"'{kind}' as type", f"{ref} as reference_type", f"{source} as source", f"{sim} as similarity", f"{strategy} as match_strategy")
-
-    hits = V.similarities(vectors(spark, d), probe(spark, d, (0,))).where("similarity >= 0.1D").selectExpr("vec_id * 3 as test_id", "similarity")
-    found = L.lookup_symbols(ri, terms(spark)).where("term IN ('promo.brand5', 'small_widget')")
-    coloc = ent.where("test_id % 113 = 0")
-    producers = [
-        rows(L.function_level(mapping(spark, d), ent, function_terms(spark)), 1, "function_level", source="source"),
-        rows(ent.where("test_id % 97 = 0"), 2, "direct_file"),
-        rows(L.integration_lookup(ri, ent, CLASS), 3, "integration", ref="reference_type"),
-        rows(found, 4, "exact", ref="reference_type"),
-        rows(L.module_pattern(ri, "promo.brand7").select("test_id", "reference_type").distinct(), 5, "module", ref="reference_type"),
-        rows(hits, 6, "semantic", sim="similarity"),
-        rows(coloc, 7, "module", ref="'colocated'", strategy="'colocated_in_same_file'"),
-    ]
-    out = producers[0]
-    for p in producers[1:]:
-        out = out.unionByName(p)
-    return out
+
+def texts(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
 NUL = "NULL::VARCHAR"
-EV = f"""sem AS (SELECT vec_id * 3 AS test_id, similarity FROM sims WHERE query_id = 0 AND similarity >= 0.1),
-ev AS (SELECT test_id, 1 AS seq, 'function_level' AS type, {NUL} AS reference_type, source, NULL::DOUBLE AS similarity, {NUL} AS match_strategy FROM fl
-UNION ALL SELECT test_id, 2, 'direct_file', NULL, NULL, NULL, NULL FROM ent WHERE test_id % 97 = 0
-UNION ALL SELECT DISTINCT test_id, 3, 'integration', reference_type, NULL, NULL, NULL FROM ri JOIN ent USING (test_id) WHERE production_class = '{CLASS}' AND test_type IN ('integration', 'e2e')
-UNION ALL SELECT test_id, 4, 'exact', reference_type, NULL, NULL, NULL FROM sl WHERE term IN ('promo.brand5', 'small_widget')
-UNION ALL SELECT DISTINCT test_id, 5, 'module', reference_type, NULL, NULL, NULL FROM ri WHERE starts_with(production_class, 'promo.brand7.') AND reference_type IN {KINDS}
-UNION ALL SELECT test_id, 6, 'semantic', NULL, NULL, similarity, NULL FROM sem
-UNION ALL SELECT test_id, 7, 'module', 'colocated', NULL, NULL, 'colocated_in_same_file' FROM ent WHERE test_id % 113 = 0)"""
+MODULE_SQL = " UNION ALL ".join(
+    f"SELECT DISTINCT test_id, 5, 'module', reference_type, NULL, NULL, NULL, {str(m.removesuffix('.*') in WEAK).lower()} FROM ri WHERE production_class = '{m.removesuffix('.*')}' OR (starts_with(production_class, '{m.removesuffix('.*')}.') AND reference_type IN {BELOW})"
+    for m in CHANGE.modules
+)
+EV = f"""terms AS (SELECT unnest({texts(CHANGE.exact)}) AS term), {LOOKUP_CTE},
+fn AS (SELECT unnest({texts(m for m, _ in CHANGE.functions)}) AS module_name, unnest({texts(f for _, f in CHANGE.functions)}) AS function_name), {FL_CTE},
+sem AS (SELECT vec_id * 3 AS test_id, similarity FROM sims WHERE query_id = 0 AND similarity >= 0.1),
+seeds AS (SELECT test_id FROM sl WHERE NOT list_contains({texts(CHANGE.module_exact)}, term) AND NOT (regexp_matches(term, '^[A-Z]') AND upper(term) = term) UNION SELECT test_id FROM fl),
+st AS (SELECT test_id, 1 AS seq, 'function_level' AS type, {NUL} AS reference_type, source, NULL::DOUBLE AS similarity, {NUL} AS match_strategy, false AS weak FROM fl
+UNION ALL SELECT test_id, 2, 'direct_file', NULL, NULL, NULL, 'exact_filename', false FROM ent WHERE len(list_filter({texts(CHANGE.test_files)}, lambda n: file_path LIKE '%' || n)) > 0
+UNION ALL SELECT DISTINCT test_id, 3, 'integration', reference_type, NULL, NULL, NULL, false FROM ri JOIN ent USING (test_id) WHERE list_contains({texts(m[0] for m in map(K.modules, CHANGE.files) if m)}, production_class) AND test_type IN ('integration', 'e2e')
+UNION ALL SELECT test_id, 4, 'exact', reference_type, NULL, NULL, NULL, list_contains({texts(WEAK)}, term) FROM sl
+UNION ALL {MODULE_SQL}
+UNION ALL SELECT test_id, 6, 'direct_file', NULL, NULL, NULL, 'colocated_in_same_file', false FROM ent WHERE file_path IN (SELECT file_path FROM ent JOIN seeds USING (test_id)) AND test_id NOT IN (SELECT test_id FROM seeds)
+UNION ALL SELECT test_id, 7, 'direct_file', NULL, NULL, NULL, 'file_stem', false FROM ent WHERE len(list_filter({texts(X.stems(CHANGE.files))}, lambda n: file_path ILIKE '%' || n || '%.test%' OR file_path ILIKE '%' || n || '%.spec%')) > 0),
+fit AS (SELECT test_id, file_path, coalesce(class_name, '') = '' OR list_has_any({TOKENS.format('class_name', 4)}, {texts(LABEL_TOKENS)}) AS label_fits,
+  coalesce(class_name, '') = '' OR list_has_any({TOKENS.format('class_name', 4)}, {texts(SYMBOL_TOKENS)}) AS symbol_fits FROM ent),
+near AS (SELECT test_id FROM fit WHERE label_fits AND file_path IN (SELECT file_path FROM ent JOIN (SELECT test_id FROM st UNION SELECT test_id FROM sem WHERE similarity >= 0.45) USING (test_id)) AND test_id NOT IN (SELECT test_id FROM sem)),
+ev AS (SELECT * FROM st UNION ALL SELECT test_id, 8, 'semantic', NULL, NULL, similarity, NULL, false FROM sem UNION ALL SELECT test_id, 9, 'semantic_colocation', NULL, NULL, NULL, 'semantic_colocated_file', false FROM near)"""
 
 
 def value(transitive: int) -> str:
@@ -132,24 +202,38 @@ def value(transitive: int) -> str:
 
 
 PROFILE = f"""v AS (SELECT *, {value(58)} AS val, {value(60)} AS val1 FROM ev),
-p AS (SELECT test_id, max(val) AS base, max(val1) AS base_v1, count(DISTINCT type) AS n_types, arg_min(type, seq) FILTER (val > 0) AS first_base, coalesce(max(floor(similarity * 100.0::DOUBLE)), 0)::INT AS vec, count(*) AS n_evidence,
- bool_or(type = 'function_level') AS fn, bool_or(type = 'exact') AS ex, bool_or(type = 'direct_file') AS df, bool_or(type = 'integration') AS integ, bool_or(type = 'module') AS mo, bool_or(type = 'semantic') AS se,
+p AS (SELECT test_id, max(val) AS base, max(val1) AS base_v1, count(DISTINCT type) AS n_types, arg_min(type, (seq, coalesce(reference_type, ''))) FILTER (val > 0) AS first_base, coalesce(max(floor(similarity * 100.0::DOUBLE)), 0)::INT AS vec, count(*) AS n_evidence,
+ bool_or(type = 'function_level') AS fn, bool_or(type = 'exact') AS ex, bool_or(type = 'direct_file') AS df, bool_or(type = 'integration') AS integ, bool_or(type = 'module') AS mo, bool_or(type = 'semantic') AS se, bool_or(type IN ('semantic', 'semantic_colocation')) AS sx, bool_or(type NOT IN ('semantic', 'semantic_colocation') AND NOT weak) AS strong, bool_or(type = 'semantic_colocation') AS sem_coloc,
  coalesce(bool_or(type <> 'semantic' AND reference_type = 'direct_import'), false) AS direct, bool_and(coalesce(match_strategy = 'colocated_in_same_file', false)) FILTER (type <> 'semantic') AS coloc_only FROM v GROUP BY 1),
-a AS (SELECT p.*, e.test_type, greatest(0, least(100, base + CASE WHEN fn THEN 10 ELSE 0 END + CASE WHEN n_types > 1 THEN 5 ELSE 0 END - CASE WHEN first_base = 'module' THEN 10 ELSE 0 END - CASE WHEN fn OR ex THEN 0 ELSE 5 END + CASE e.test_type WHEN 'unit' THEN 5 WHEN 'integration' THEN 3 ELSE 0 END)) AS ast,
+a AS (SELECT p.*, e.test_type, label_fits, symbol_fits, greatest(0, least(100, base + CASE WHEN fn THEN 10 ELSE 0 END + CASE WHEN n_types > 1 THEN 5 ELSE 0 END - CASE WHEN first_base = 'module' THEN 10 ELSE 0 END - CASE WHEN fn OR ex THEN 0 ELSE 5 END + CASE e.test_type WHEN 'unit' THEN 5 WHEN 'integration' THEN 3 ELSE 0 END)) AS ast,
  greatest(0, least(100, base_v1 + CASE WHEN fn THEN 10 ELSE 0 END + CASE WHEN n_types > 1 THEN 5 ELSE 0 END - CASE WHEN first_base = 'module' THEN 10 ELSE 0 END - CASE WHEN fn OR ex THEN 0 ELSE 5 END + CASE e.test_type WHEN 'unit' THEN 5 WHEN 'integration' THEN 3 ELSE 0 END)) AS ast1
- FROM p JOIN ent e USING (test_id)),
+ FROM p JOIN ent e USING (test_id) JOIN fit USING (test_id)),
 s AS (SELECT *, greatest(0, least(100, CASE WHEN df AND vec = 0 THEN greatest(floor(ast * 0.6::DOUBLE + vec * 0.4::DOUBLE), 45) ELSE floor(ast * 0.6::DOUBLE + vec * 0.4::DOUBLE) END))::INT AS score, fn OR ex OR df OR integ OR mo AS structural FROM a)"""
-ALL = sql(RI, TFM, ENT, TERM_CTE, FN_CTE, LOOKUP_CTE, FL_CTE, SIM, EV, PROFILE)
+ALL = sql(RI, TFM, ENT, SIM, EV, PROFILE)
 
 
 def profiled(spark, d):
-    return C.profile(evidence(spark, d)).join(entities(spark, d).select("test_id", "test_type"), "test_id")
+    label = F.col("class_name")
+    known = entities(spark, d).select("test_id", "test_type", C.relevant(label, LABEL_TOKENS).alias("label_fits"), C.relevant(label, SYMBOL_TOKENS).alias("symbol_fits"))
+    return C.profile(evidence(spark, d)).join(known, "test_id")
+
+
+def kept():
+    return C.keep(F.col("label_fits"), F.col("symbol_fits"))
 
 
 def scored(spark, d):
     return C.confidence(profiled(spark, d))
 
 
+@query(ALL + ", q2 AS (SELECT test_id, max(similarity) AS similarity FROM (SELECT vec_id * 3 AS test_id, similarity FROM sims) GROUP BY 1) SELECT test_id, similarity FROM q2 WHERE test_id IN (SELECT test_id FROM st)")
+def ast_supplement(spark, d):
+    """Similarities of all tests that were found by structure."""
+    ids = structural(spark, d).select("test_id").distinct()
+    best = sims(spark, d).selectExpr("vec_id * 3 as test_id", "similarity").groupBy("test_id").agg(F.max("similarity").alias("similarity"))
+    return best.join(ids, "test_id", "left_semi")
+
+
 @query(ALL + "SELECT test_id, ast, vec, score, round(ast * 0.6::DOUBLE, 1) AS ast_part, round(vec * 0.4::DOUBLE, 1) AS vec_part FROM s")
 def confidence_score(spark, d):
     return scored(spark, d).select("test_id", "ast", "vec", "score", "ast_part", "vec_part")
@@ -169,9 +253,9 @@ def confidence_distribution(spark, d):
 
 
 QUALITY = "CASE WHEN fn THEN 'CONFIRMED_FUNCTION' WHEN df THEN 'CONFIRMED_FILE' WHEN ex THEN 'CONFIRMED_SYMBOL' WHEN integ THEN 'INTEGRATION_SCOPE' WHEN mo THEN 'BROAD_MODULE' WHEN se THEN 'SEMANTIC_SUPPLEMENT' ELSE 'UNKNOWN' END"
-RISK = "CASE WHEN se AND NOT (ex OR fn) THEN CASE WHEN mo THEN 'MEDIUM' ELSE 'MEDIUM_HIGH' END WHEN mo AND NOT (ex OR fn) THEN 'MEDIUM' WHEN ex OR fn THEN 'LOW' ELSE 'LOW_MEDIUM' END"
+RISK = "CASE WHEN sx AND NOT structural AND NOT symbol_fits THEN 'HIGH' WHEN se AND NOT (ex OR fn) THEN CASE WHEN mo THEN 'MEDIUM' ELSE 'MEDIUM_HIGH' END WHEN mo AND NOT (ex OR fn) THEN 'MEDIUM' WHEN ex OR fn THEN 'LOW' ELSE 'LOW_MEDIUM' END"
 HINT = "CASE WHEN structural AND (direct OR fn OR (ex AND NOT se)) THEN 'independent' ELSE 'cross_dependent' END"
-GATE = "(CASE WHEN structural AND se THEN score >= 30 WHEN structural THEN score >= 42 ELSE false END AND NOT (coalesce(coloc_only, false) AND NOT se))"
+GATE = "(CASE WHEN structural AND sx THEN score >= 30 WHEN sem_coloc THEN true WHEN structural THEN score >= 42 WHEN sx THEN symbol_fits ELSE score >= 42 END AND NOT (coalesce(coloc_only, false) AND NOT sx) AND (NOT structural OR strong OR label_fits))"
 
 
 @query(ALL + f"SELECT test_id, {QUALITY} AS quality FROM s")
@@ -181,7 +265,7 @@ def evidence_quality(spark, d):
 
 @query(ALL + f"SELECT test_id, {RISK} AS risk FROM s")
 def fp_risk(spark, d):
-    return profiled(spark, d).select("test_id", C.false_positive_risk().alias("risk"))
+    return profiled(spark, d).select("test_id", C.false_positive_risk(F.col("symbol_fits")).alias("risk"))
 
 
 @query(ALL + f"SELECT test_id, {HINT} AS hint FROM s")
@@ -191,24 +275,24 @@ def dependency_hint(spark, d):
 
 @query(ALL + f"SELECT test_id, score FROM s WHERE {GATE}")
 def confidence_filter(spark, d):
-    return scored(spark, d).where(C.keep()).select("test_id", "score")
+    return scored(spark, d).where(kept()).select("test_id", "score")
 
 
-@query(ALL + "SELECT test_id, score, structural AND se AS both_, structural AND NOT se AS ast_only, se AND NOT structural AS semantic_only FROM s")
+@query(ALL + "SELECT test_id, score, structural AND sx AS both_, structural AND NOT sx AS ast_only, sx AND NOT structural AS semantic_only FROM s")
 def match_partition(spark, d):
-    a, s = C.is_structural(), C.has("semantic")
+    a, s = C.is_structural(), C.has_semantic()
     return scored(spark, d).select("test_id", "score", (a & s).alias("both_"), (a & ~s).alias("ast_only"), (s & ~a).alias("semantic_only"))
 
 
-@query(ALL + f"SELECT count(*) AS n_candidates, count(*) FILTER (structural) AS n_ast, count(*) FILTER (se) AS n_semantic, count(*) FILTER (structural AND se) AS n_both, count(*) FILTER ({GATE}) AS n_kept, count(*) FILTER ({GATE} AND score >= 70) AS n_high FROM s")
+@query(ALL + f"SELECT count(*) AS n_candidates, count(*) FILTER (structural) AS n_ast, count(*) FILTER (sx) AS n_semantic, count(*) FILTER (structural AND sx) AS n_both, count(*) FILTER ({GATE}) AS n_kept, count(*) FILTER ({GATE} AND score >= 70) AS n_high FROM s")
 def selection_funnel(spark, d):
-    a, s, k = C.is_structural(), C.has("semantic"), C.keep()
+    a, s, k = C.is_structural(), C.has_semantic(), kept()
     return scored(spark, d).agg(F.count("*").alias("n_candidates"), F.count_if(a).alias("n_ast"), F.count_if(s).alias("n_semantic"), F.count_if(a & s).alias("n_both"), F.count_if(k).alias("n_kept"), F.count_if(k & (F.col("score") >= 70)).alias("n_high"))
 
 
-@query(ALL + "SELECT count(*) FILTER (structural) AS n_ast, count(*) FILTER (se) AS n_semantic, count(*) FILTER (structural AND se) AS n_both, round(100.0::DOUBLE * count(*) FILTER (structural AND se) / greatest(count(*) FILTER (structural), 1), 1) AS overlap_pct FROM s")
+@query(ALL + "SELECT count(*) FILTER (structural) AS n_ast, count(*) FILTER (sx) AS n_semantic, count(*) FILTER (structural AND sx) AS n_both, round(100.0::DOUBLE * count(*) FILTER (structural AND sx) / greatest(count(*) FILTER (structural), 1), 1) AS overlap_pct FROM s")
 def compare_methods(spark, d):
-    a, s = C.is_structural(), C.has("semantic")
+    a, s = C.is_structural(), C.has_semantic()
     rows = scored(spark, d).agg(F.count_if(a).alias("n_ast"), F.count_if(s).alias("n_semantic"), F.count_if(a & s).alias("n_both"))
     return rows.withColumn("overlap_pct", F.round(F.lit(100.0) * F.col("n_both") / F.greatest("n_ast", F.lit(1)), 1))
 
@@ -245,24 +329,30 @@ def label_prune_restore(spark, d):
     return rows.where(keep).select("test_id", "score", F.coalesce("label", F.lit("none")).alias("label"))
 
 
-@query(ALL + ", hit AS (SELECT test_id FROM s WHERE score >= 45), seg AS (SELECT DISTINCT test_id // 10 AS file FROM hit) SELECT test_id, score FROM (SELECT e.test_id, 0 AS score FROM ent e JOIN seg ON file = e.test_id // 10 WHERE e.test_id NOT IN (SELECT test_id FROM hit))")
+@query(ALL + "SELECT test_id FROM near")
 def semantic_colocate(spark, d):
-    # ten neighbouring ids make a file here
-    hit = scored(spark, d).where("score >= 45").select("test_id")
-    ent = entities(spark, d).select("test_id", F.expr("test_id div 10").alias("file_path"))
-    return L.colocated(ent, hit).select("test_id", F.lit(0).alias("score"))
+    return neighbours(spark, d, structural(spark, d), semantic_hits(spark, d))
+
+
+#: A change of a production file together with test files.
+COCHANGED = ("src/orders/cust_7.js", "app\\tests\\unit\\urgent\\cust_7.test.js", "tests/e2e/low/cust_11.test.js")
 
 
-@query(ALL + ", suite AS (SELECT test_id FROM ent WHERE test_id % 501 = 0) SELECT e.test_id, greatest(coalesce(s.score, 0), 82) AS score, true AS is_ast, false AS is_semantic FROM suite e LEFT JOIN s USING (test_id)")
+@query(ALL + """, tails AS (SELECT unnest(['%/cust_7.test.js', '%cust_7.test.js', '%urgent/cust_7.test.js%', '%/cust_11.test.js', '%cust_11.test.js', '%low/cust_11.test.js%']) AS pattern),
+suite AS (SELECT DISTINCT test_id FROM ent JOIN tails ON file_path ILIKE pattern) SELECT e.test_id, greatest(coalesce(s.score, 0), 82) AS score, true AS is_ast, false AS is_semantic FROM suite e LEFT JOIN s USING (test_id)""")
 def cochange_suite(spark, d):
-    suite = entities(spark, d).where("test_id % 501 = 0").select("test_id")
+    """Where a change holds both kinds of files, the tests of its test files take the result's place."""
+    tests = [p for p in COCHANGED if K.is_test(p)] if K.is_cochanged(list(COCHANGED)) else []
+    suite = entities(spark, d).where(L.any_tail(F.col("file_path"), tests)).select("test_id")
     return suite.join(scored(spark, d).select("test_id", "score"), "test_id", "left").select("test_id", F.greatest(F.coalesce("score", F.lit(0)), F.lit(82)).alias("score"), F.lit(True).alias("is_ast"), F.lit(False).alias("is_semantic"))
 
 
-@query("SELECT o_custkey AS repo, count(*) AS n_changed, CASE WHEN count(*) > 20 THEN 'run_all' ELSE 'select' END AS decision FROM orders GROUP BY 1")
+@query("SELECT o_custkey AS repo, count(o_orderkey) AS n_changed, CASE WHEN count(o_orderkey) > any_value(CASE WHEN c_acctbal > 0 THEN c_nationkey END) THEN 'run_all' ELSE 'select' END AS decision FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def risk_gate(spark, d):
-    rows = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.count("*").alias("n_changed"))
-    return rows.withColumn("decision", F.when(F.col("n_changed") > 20, "run_all").otherwise("select"))
+    """More changed files than a repository's threshold: everything runs. No threshold: never."""
+    limits = load(spark, d, "customer").selectExpr("c_custkey as repo", "CASE WHEN c_acctbal > 0 THEN c_nationkey END as threshold")
+    n = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("repo")).agg(F.count("*").alias("n_changed")).join(limits, "repo")
+    return n.select("repo", "n_changed", F.when(F.col("n_changed") > F.col("threshold"), "run_all").otherwise("select").alias("decision"))
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN c_nationkey % 5 = 0 THEN CASE WHEN c_acctbal > 0 THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.45::DOUBLE END AS threshold,
@@ -274,10 +364,10 @@ def adaptive_config(spark, d):
     return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), threshold.alias("threshold"), F.when(F.col("c_nationkey") > 12, F.least(F.lit(6), v + 1)).otherwise(v).alias("variations"))
 
 
-@query(ALL + f"""SELECT test_id, test_type, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS band, CASE WHEN structural AND se THEN 'Both' WHEN structural THEN 'AST' ELSE 'Semantic' END AS match_type,
+@query(ALL + f"""SELECT test_id, test_type, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS band, CASE WHEN structural AND sx THEN 'Both' WHEN structural THEN 'AST' ELSE 'Semantic' END AS match_type,
 {QUALITY} AS quality, {RISK} AS risk, {HINT} AS hint, n_evidence FROM s WHERE {GATE}""")
 def select_entities(spark, d):
     """The flagship: all evidence, scored, gated and labelled, in one plan."""
-    a, s = C.is_structural(), C.has("semantic")
+    a, s = C.is_structural(), C.has_semantic()
     kind = F.when(a & s, "Both").when(a, "AST").otherwise("Semantic")
-    return scored(spark, d).where(C.keep()).select("test_id", "test_type", "score", C.band(F.col("score")).alias("band"), kind.alias("match_type"), C.evidence_quality().alias("quality"), C.false_positive_risk().alias("risk"), C.dependency_hint().alias("hint"), "n_evidence")
+    return scored(spark, d).where(kept()).select("test_id", "test_type", "score", C.band(F.col("score")).alias("band"), kind.alias("match_type"), C.evidence_quality().alias("quality"), C.false_positive_risk(F.col("symbol_fits")).alias("risk"), C.dependency_hint().alias("hint"), "n_evidence")

@@ -130,11 +130,14 @@ def category_structure(spark, d):
     return registry(spark, d).join(lines, "test_id").groupBy(F.col("test_type").alias("category")).agg(F.countDistinct("file_path").alias("file_count"), F.count("*").alias("test_count"), F.sum("n_lines").alias("total_lines"))
 
 
-@query(sql(REGISTRY) + """, p AS (SELECT *, CASE test_type WHEN 'unit' THEN 'tests/unit/' WHEN 'integration' THEN 'app/integration/' ELSE 'src/' END || file_path AS path FROM registry)
-SELECT CASE WHEN regexp_extract(path, '(?:^|/)tests?/([^/]+)/', 1) <> '' THEN regexp_extract(path, '(?:^|/)tests?/([^/]+)/', 1)
- WHEN regexp_extract(path, '(?:^|/)(unit|integration|e2e|functional)/', 1) <> '' THEN regexp_extract(path, '(?:^|/)(unit|integration|e2e|functional)/', 1) ELSE 'other' END AS suite, count(*) AS n FROM p GROUP BY 1""")
+SUITE_PATH = """CASE language WHEN 'de' THEN 'app/unit/tests/foo/' WHEN 'fr' THEN 'tests/' WHEN 'es' THEN 'tests//x/' ELSE CASE test_type WHEN 'unit' THEN 'tests/unit/' WHEN 'integration' THEN 'app/integration/' ELSE 'src/' END END"""
+
+
+@query(sql(REGISTRY) + f""", p AS (SELECT string_split({SUITE_PATH} || file_path, '/') AS parts FROM registry),
+i AS (SELECT parts, list_min(list_filter(range(1, len(parts) + 1), lambda k: (parts[k] IN ('test', 'tests') AND k < len(parts)) OR parts[k] IN ('unit', 'integration', 'e2e', 'functional'))) AS pos FROM p)
+SELECT CASE WHEN pos IS NULL THEN 'other' WHEN parts[pos] IN ('test', 'tests') THEN CASE parts[pos + 1] WHEN '' THEN 'root' ELSE parts[pos + 1] END ELSE parts[pos] END AS suite, count(*) AS n FROM i GROUP BY 1""")
 def suite_group(spark, d):
-    prefix = F.expr("CASE test_type WHEN 'unit' THEN 'tests/unit/' WHEN 'integration' THEN 'app/integration/' ELSE 'src/' END")
+    prefix = F.expr(SUITE_PATH)
     return registry(spark, d).select(S.suite(F.concat(prefix, "file_path")).alias("suite")).groupBy("suite").agg(F.count("*").alias("n"))
 
 

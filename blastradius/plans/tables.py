@@ -47,7 +47,9 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.expr("CASE o_orderstatus WHEN 'F' THEN 'unit' WHEN 'O' THEN 'integration' ELSE 'e2e' END")
-    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("test_id"), kind.alias("test_type"), F.col("o_orderpriority").alias("language"))
+    path = F.concat(F.lit("tests/"), kind, F.lit("/"), F.expr("lower(substring(o_orderpriority, 3))"), F.lit("/cust_"), F.col("o_custkey").cast("string"), F.lit(".test.js"))
+    label = F.expr("CASE o_orderpriority WHEN '4-NOT SPECIFIED' THEN NULL ELSE initcap(substring(o_orderpriority, 3)) || 'Suite' END")
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("test_id"), kind.alias("test_type"), F.col("o_orderpriority").alias("language"), path.alias("file_path"), label.alias("class_name"))
 
 
 #: DuckDB twins of the adapters above.
@@ -57,7 +59,9 @@ RI = """ri AS (SELECT l_orderkey AS test_id, concat_ws('.', lower(p_type), lower
   CASE l_returnflag WHEN 'A' THEN 'direct_import' WHEN 'N' THEN 'string_ref' ELSE 'transitive_import' END AS reference_type FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 TFM = """tfm AS (SELECT l_orderkey AS test_id, lower(p_type) AS module_name, lower(replace(p_brand, '#', '')) AS function_name,
   CASE l_linestatus WHEN 'F' THEN 'patch_ref' ELSE 'method_call' END AS source FROM lineitem JOIN part ON l_partkey = p_partkey)"""
-ENT = """ent AS (SELECT o_orderkey AS test_id, CASE o_orderstatus WHEN 'F' THEN 'unit' WHEN 'O' THEN 'integration' ELSE 'e2e' END AS test_type, o_orderpriority AS language FROM orders)"""
+ENT = """ent AS (SELECT o_orderkey AS test_id, CASE o_orderstatus WHEN 'F' THEN 'unit' WHEN 'O' THEN 'integration' ELSE 'e2e' END AS test_type, o_orderpriority AS language,
+  'tests/' || CASE o_orderstatus WHEN 'F' THEN 'unit' WHEN 'O' THEN 'integration' ELSE 'e2e' END || '/' || lower(substr(o_orderpriority, 3)) || '/cust_' || o_custkey || '.test.js' AS file_path,
+  CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN upper(substr(o_orderpriority, 3, 1)) || lower(substr(o_orderpriority, 4)) || 'Suite' END AS class_name FROM orders)"""
 
 
 def sql(*ctes: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import change as K
 from ..operators import diff as D
 from ..operators import mutation as M
 from .tables import REGISTRY, RI, TFM, load, mapping, registry, reverse_index, sql
@@ -27,7 +28,7 @@ def docs(spark, d):
     return load(spark, d, "documents")
 
 
-TOKENS = "list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({0}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+'), lambda t: len(t) >= {1}), lambda t: lower(t)))"
+TOKENS = "list_distinct(list_transform(list_filter(regexp_split_to_array(regexp_replace(regexp_replace({0}, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^a-zA-Z0-9]+'), lambda t: len(t) >= {1}), lambda t: lower(t)))"
 
 
 @query("SELECT p_partkey, array_to_string(list_sort(" + TOKENS.format("p_name || 'XMLParser_' || p_type || 'fooBar'", 3) + "), ',') AS tokens FROM part")
@@ -42,14 +43,14 @@ def token_overlap_filter(spark, d):
     return load(spark, d, "part").where(F.arrays_overlap(X.tokenize(F.col("p_name"), 4), wanted)).select("p_partkey")
 
 
-PATHS = "CASE doc_id % 3 WHEN 0 THEN 'x/test_repository/' || source || '/a.js' WHEN 1 THEN 'lib/tests/' || lang || '.py' ELSE 'deep/' || source || '.java' END"
+PATHS = "CASE doc_id % 5 WHEN 0 THEN 'x/test_repository/' || source || '/a.js' WHEN 1 THEN 'lib/tests/' || lang || '.py' WHEN 2 THEN 'c:/test_repository' WHEN 3 THEN 'unit/' || lang || '.js' ELSE 'deep/src1/' || source || '.java' END"
 
 
 def paths(spark, d):
     return docs(spark, d).select("doc_id", F.expr(f"{PATHS}").alias("path"))
 
 
-@query(f"WITH p AS (SELECT doc_id, {PATHS} AS path FROM documents) SELECT doc_id, CASE WHEN regexp_extract(path, 'test_repository/(.+)$', 1) <> '' THEN regexp_extract(path, 'test_repository/(.+)$', 1) WHEN regexp_extract(path, '(?:^|/)((?:unit|integration|e2e|tests?|src[0-9]*)/[^/]+)$', 1) <> '' THEN regexp_extract(path, '(?:^|/)((?:unit|integration|e2e|tests?|src[0-9]*)/[^/]+)$', 1) ELSE list_extract(string_split(path, '/'), -1) END AS norm FROM p")
+@query(f"WITH p AS (SELECT doc_id, {PATHS} AS path FROM documents) SELECT doc_id, CASE WHEN contains(path, 'test_repository') THEN ltrim(substr(path, strpos(path, 'test_repository') + 15), '/') WHEN list_extract(string_split(path, '/'), -2) IN ('unit', 'integration', 'e2e', 'tests', 'test') THEN array_to_string(string_split(path, '/')[-2:], '/') ELSE list_extract(string_split(path, '/'), -1) END AS norm FROM p")
 def normalize_path(spark, d):
     return paths(spark, d).select("doc_id", X.normalize_path(F.col("path")).alias("norm"))
 
@@ -135,16 +136,22 @@ def json_props(spark, d):
     return load(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k long")["k"]).alias("total_k"))
 
 
-#: A diff made of a document: every line gets a sign from its number, every fifth a declaration.
-DIFF = """t AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS line_no, unnest(string_split(text, chr(10))) AS body FROM documents),
-l AS (SELECT doc_id, line_no, CASE WHEN line_no % 7 = 0 THEN 'diff --git a/f' || line_no || '.js b/f' || line_no || '.js' WHEN line_no % 7 = 1 THEN '@@ -1 +1 @@' WHEN line_no % 5 = 0 THEN '+const v' || line_no % 4 || ' = 1' WHEN line_no % 5 = 1 THEN '-const v' || line_no % 6 || ' = 1' WHEN line_no % 2 = 0 THEN '+' || body ELSE '-' || body END AS line FROM t)"""
+#: A diff made of a document: lines get headers and signs from their numbers, some are declarations or guards.
+LINE = """CASE WHEN line_no % 7 = 0 THEN 'diff --git a/f' || line_no || '.' || CASE (line_no + doc_id) % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'md' ELSE 'js' END || ' b/f' || line_no || '.' || CASE (line_no + doc_id) % 4 WHEN 0 THEN 'py' WHEN 1 THEN 'md' ELSE 'js' END
+ WHEN line_no % 7 = 1 THEN CASE (line_no + doc_id) % 5 WHEN 0 THEN 'new file mode 100644' WHEN 1 THEN 'deleted file mode 100644' ELSE 'index 1..2' END
+ WHEN line_no % 7 = 2 THEN '@@ -' || (line_no * doc_id) % 90 || ',3 +' || (line_no * doc_id) % 95 || ',4 @@ f()'
+ WHEN line_no % 7 = 3 AND doc_id % 4 = 0 THEN ' context'
+ WHEN line_no % 5 = 0 AND doc_id % 3 = 0 THEN '-export const v' || line_no % 4 || ' = 1' WHEN line_no % 5 = 1 AND doc_id % 3 = 0 THEN '+  export const v' || line_no % 6 || ' = 1'
+ WHEN line_no % 5 = 0 AND doc_id % 3 = 1 THEN '+function f' || line_no % 4 || '() {' WHEN line_no % 5 = 1 AND doc_id % 3 = 1 THEN '-class C' || line_no % 6 || ' {'
+ WHEN line_no % 5 = 2 AND doc_id % 5 = 1 THEN '+if (x' || line_no || ' == null) return;' WHEN line_no % 5 = 3 AND doc_id % 7 = 2 THEN '-name' || line_no % 3 || ': 1'
+ WHEN line_no % 2 = 0 AND doc_id % 6 <> 5 THEN '+' || {0} ELSE '-' || {0} END"""
+DIFF = f"""t AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT - 1 AS line_no, unnest(string_split(text, chr(10))) AS body FROM documents),
+l AS (SELECT doc_id, line_no, {LINE.replace('{0}', 'body')} AS line FROM t)"""
 ADDED, REMOVED = "(starts_with(line, '+') AND NOT starts_with(line, '+++'))", "(starts_with(line, '-') AND NOT starts_with(line, '---'))"
 
 
 def diff_lines(spark, d):
-    sign = F.expr("""CASE WHEN line_no % 7 = 0 THEN 'diff --git a/f' || line_no || '.js b/f' || line_no || '.js' WHEN line_no % 7 = 1 THEN '@@ -1 +1 @@' WHEN line_no % 5 = 0 THEN '+const v' || line_no % 4 || ' = 1'
-    WHEN line_no % 5 = 1 THEN '-const v' || line_no % 6 || ' = 1' WHEN line_no % 2 = 0 THEN '+' || line ELSE '-' || line END""")
-    return D.lines(docs(spark, d), "doc_id", "text").select("doc_id", "line_no", sign.alias("line"))
+    return D.lines(docs(spark, d), "doc_id", "text").select("doc_id", "line_no", F.expr(LINE.replace("{0}", "line")).alias("line"))
 
 
 @query(sql(DIFF) + f"SELECT doc_id, count(*) FILTER {ADDED} AS additions, count(*) FILTER {REMOVED} AS deletions FROM l GROUP BY 1".replace(f"FILTER {ADDED}", f"FILTER (WHERE {ADDED})").replace(f"FILTER {REMOVED}", f"FILTER (WHERE {REMOVED})"))
@@ -152,34 +159,64 @@ def diff_stats(spark, d):
     return diff_lines(spark, d).groupBy("doc_id").agg(F.count_if(D.added()).alias("additions"), F.count_if(D.removed()).alias("deletions"))
 
 
-@query(sql(DIFF) + f""", f AS (SELECT *, last_value(CASE WHEN starts_with(line, 'diff --git') THEN regexp_extract(line, ' b/(\\S+)', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS file FROM l)
-SELECT doc_id, file, 'modified' AS status, count(*) FILTER (WHERE {ADDED}) AS additions, count(*) FILTER (WHERE {REMOVED}) AS deletions, count(*) FILTER (WHERE starts_with(line, '@@')) AS hunks FROM f WHERE file IS NOT NULL GROUP BY 1, 2""")
+FILE_OF = ", f AS (SELECT *, last_value(CASE WHEN starts_with(line, 'diff --git') THEN regexp_extract(line, ' b/([^ ]+)', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no) AS file FROM l)"
+STATUS = "CASE WHEN bool_or(starts_with(line, 'new file')) THEN 'added' WHEN bool_or(starts_with(line, 'deleted file')) THEN 'deleted' ELSE 'modified' END"
+
+
+@query(sql(DIFF) + FILE_OF + f"""
+SELECT doc_id, file, {STATUS} AS status, count(*) FILTER (WHERE {ADDED}) AS additions, count(*) FILTER (WHERE {REMOVED}) AS deletions, count(*) FILTER (WHERE starts_with(line, '@@')) AS hunks FROM f WHERE file IS NOT NULL GROUP BY 1, 2""")
 def diff_file_stats(spark, d):
     return D.file_stats(diff_lines(spark, d), "doc_id")
 
 
-@query(sql(DIFF) + f""", s AS (SELECT doc_id, regexp_extract(line, '(?:class|def|function|interface|enum|const|let|var)\\s+([A-Za-z_]\\w*)', 1) AS symbol, {ADDED} AS a FROM l WHERE {ADDED} OR {REMOVED})
-SELECT doc_id, symbol, CASE WHEN bool_and(a) THEN 'added' ELSE 'deleted' END AS change FROM s WHERE symbol <> '' GROUP BY 1, 2 HAVING bool_and(a) OR NOT bool_or(a)""")
+def first_name(patterns) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract(line, '{p}', 1), '')" for p in patterns) + ")"
+
+
+#: The next four lines of a removed constant, in order: its new name, or what ends the search.
+RENAMED = """r AS (SELECT doc_id, line_no, regexp_extract(line, '^-\\s*export\\s+const\\s+([A-Za-z_]\\w*)', 1) AS old FROM l WHERE starts_with(line, '-') AND NOT starts_with(line, '---')),
+n AS (SELECT r.doc_id, r.line_no, old, l.line_no AS pos, regexp_extract(line, '^\\+\\s*export\\s+const\\s+([A-Za-z_]\\w*)', 1) AS new, (trim(line) <> '' AND NOT regexp_matches(line, '^[-+@]')) OR starts_with(line, '---') AS ends FROM r JOIN l ON l.doc_id = r.doc_id AND l.line_no BETWEEN r.line_no + 1 AND r.line_no + 4 WHERE old <> ''),
+m AS (SELECT doc_id, old, arg_min(new, pos) AS new FROM n WHERE new <> '' OR ends GROUP BY doc_id, line_no, old HAVING arg_min(new, pos) NOT IN ('', old))"""
+
+
+@query(sql(DIFF, RENAMED) + "SELECT doc_id, old, new FROM m")
+def symbol_renames(spark, d):
+    return D.renames(diff_lines(spark, d), "doc_id")
+
+
+@query(sql(DIFF, RENAMED) + f""", s AS (SELECT doc_id, unnest([{first_name(K.DECLARATIONS)}, nullif(regexp_extract(line, '{K.PROPERTY}', 1), '')]) AS symbol, {ADDED} AS a FROM l WHERE {ADDED} OR {REMOVED}),
+c AS (SELECT doc_id, symbol, bool_and(a) AS came FROM s WHERE symbol IS NOT NULL GROUP BY 1, 2 HAVING bool_and(a) OR NOT bool_or(a))
+SELECT doc_id, symbol, CASE WHEN came THEN 'added' ELSE 'deleted' END AS change FROM c WHERE CASE WHEN came THEN (doc_id, symbol) NOT IN (SELECT (doc_id, new) FROM m) ELSE (doc_id, symbol) NOT IN (SELECT (doc_id, old) FROM m) END""")
 def symbol_delta(spark, d):
-    return D.symbol_delta(diff_lines(spark, d), "doc_id")
+    return D.symbol_delta(diff_lines(spark, d), "doc_id", K.DECLARATIONS, K.PROPERTY)
 
 
-BODY = "trim(substr(line, 2), ' ')"
-COMMENT = f"(regexp_matches({BODY}, '^(//|#|/\\*|\\*|--)') OR {BODY} = '')"
+#: Numbers of changed lines: in the new file for added ones, in the old one for removed ones.
+NUMBERED = f"""h AS (SELECT *, count(*) FILTER (WHERE starts_with(line, '@@')) OVER (PARTITION BY doc_id ORDER BY line_no) AS hunk FROM f),
+k AS (SELECT *, max(try_cast(nullif(regexp_extract(line, '^@@ -([0-9]+)', 1), '') AS INT)) OVER w AS old_at, max(try_cast(nullif(regexp_extract(line, '^@@ -[0-9,]+ [+]([0-9]+)', 1), '') AS INT)) OVER w AS new_at,
+  count(*) FILTER (WHERE {ADDED} OR starts_with(line, ' ')) OVER b AS n_new, count(*) FILTER (WHERE {REMOVED} OR starts_with(line, ' ')) OVER b AS n_old FROM h
+  WINDOW w AS (PARTITION BY doc_id, hunk), b AS (PARTITION BY doc_id, hunk ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT doc_id, file, {STATUS} AS status, count(*) FILTER (WHERE {ADDED}) AS plus, coalesce(bool_or(regexp_extract(line, '\\b(?:class|interface|enum|def|function)\\s+([A-Za-z_]\\w*)', 1) <> '') FILTER (WHERE {ADDED} OR {REMOVED}), false) AS symbols,
+  max(CASE WHEN {ADDED} THEN new_at + n_new WHEN {REMOVED} THEN old_at + n_old END) AS last_line FROM k WHERE file IS NOT NULL GROUP BY 1, 2)"""
 
 
-@query(sql(DIFF) + f""", c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE {ADDED}) AS a, count(*) FILTER (WHERE {COMMENT}) AS c, count(*) FILTER (WHERE {COMMENT} OR regexp_matches({BODY}, '^(import|from|require|#include|using)\\b')) AS i FROM l WHERE {ADDED} OR {REMOVED} GROUP BY 1)
-SELECT doc_id, CASE WHEN c = n THEN 'comment_only' WHEN i = n THEN 'import_only' WHEN a = n THEN 'added' WHEN a = 0 THEN 'deleted' ELSE 'code' END AS change_type FROM c""")
+@query(sql(DIFF) + FILE_OF + f""", {NUMBERED}
+SELECT doc_id, file, CASE WHEN status <> 'modified' THEN status WHEN NOT symbols AND plus = 0 THEN 'comment_only' WHEN NOT symbols AND last_line <= 50 THEN 'import_only' ELSE 'code' END AS change_type FROM c""")
 def change_type(spark, d):
     return D.change_type(diff_lines(spark, d), "doc_id")
 
 
-@query(sql(DIFF) + f""", f AS (SELECT doc_id, count(*) FILTER (WHERE starts_with(line, 'diff --git')) AS n_files, count(*) FILTER (WHERE {ADDED}) AS plus, count(*) FILTER (WHERE {ADDED} AND contains(line, 'const')) AS guards FROM l GROUP BY 1)
-SELECT doc_id, concat_ws(',', CASE WHEN n_files >= 12 THEN 'MAXIMUM_BLAST_RADIUS' END, CASE WHEN n_files <= 1 THEN 'TIGHT' END, CASE WHEN plus BETWEEN 1 AND 20 AND guards >= greatest(2, floor(0.45::DOUBLE * plus)) THEN 'MICRO_GUARD_HOTFIX' END) AS tags FROM f""")
+SOURCES = "('.py', '.java', '.js', '.ts', '.tsx', '.jsx', '.c', '.cpp', '.cc', '.h', '.hpp', '.go', '.rb', '.cs', '.kt')"
+SCENARIO = f"""sc AS (SELECT doc_id, count(DISTINCT file) AS n_files, count(DISTINCT lower(regexp_extract(file, '([.][^./]+)$', 1))) FILTER (WHERE lower(regexp_extract(file, '([.][^./]+)$', 1)) IN {SOURCES}) AS n_source_kinds,
+ count(DISTINCT nullif(regexp_extract(line, '\\b(?:class|interface|enum|def|function)\\s+([A-Za-z_]\\w*)', 1), '')) FILTER (WHERE {ADDED} OR {REMOVED}) AS n_exact, count(DISTINCT nullif(regexp_extract(line, '\\b(?:def|function)\\s+([A-Za-z_]\\w*)', 1), '')) FILTER (WHERE {ADDED} OR {REMOVED}) AS n_fn,
+ count(*) FILTER (WHERE {ADDED}) AS n_plus, count(*) FILTER (WHERE {ADDED} AND regexp_matches(line, '{D.GUARD}')) AS n_guard FROM f GROUP BY 1)"""
+TAGS = """list_filter([CASE WHEN n_source_kinds > 1 THEN 'MIXED_LANGUAGE_DIFF' END, CASE WHEN n_files >= 12 OR (n_exact >= 20 AND n_files >= 5) THEN 'MAXIMUM_BLAST_RADIUS' WHEN n_files <= 1 AND n_exact <= 4 AND n_fn <= 2 THEN 'TIGHT_FEATURE_ISOLATION' END,
+ CASE WHEN n_plus BETWEEN 1 AND 20 AND n_guard >= greatest(2, floor(0.45::DOUBLE * n_plus)) THEN 'MICRO_GUARD_HOTFIX' END, CASE WHEN n_fn >= 1 THEN 'SYMBOL_LEVEL_CHANGES' END], lambda x: x IS NOT NULL)"""
+
+
+@query(sql(DIFF) + FILE_OF + f", {SCENARIO} SELECT doc_id, array_to_string({TAGS}, ',') AS tags FROM sc")
 def scenario_tags(spark, d):
-    rows = diff_lines(spark, d).groupBy("doc_id").agg(F.count_if(F.col("line").startswith("diff --git")).alias("n_files"), F.count_if(D.added()).alias("plus"), F.count_if(D.added() & F.col("line").contains("const")).alias("guards"))
-    guard = F.col("plus").between(1, 20) & (F.col("guards") >= F.greatest(F.lit(2), F.floor(F.lit(0.45) * F.col("plus"))))
-    return rows.select("doc_id", F.concat_ws(",", F.when(F.col("n_files") >= 12, "MAXIMUM_BLAST_RADIUS"), F.when(F.col("n_files") <= 1, "TIGHT"), F.when(guard, "MICRO_GUARD_HOTFIX")).alias("tags"))
+    return D.scenario(diff_lines(spark, d), "doc_id", K.SOURCE).select("doc_id", F.concat_ws(",", D.scenario_tags()).alias("tags"))
 
 
 @query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
@@ -210,15 +247,16 @@ def exclusive_flag(spark, d):
     return M.exclusive_flag(c, "c_nationkey", "c_custkey", c.groupBy("c_nationkey").agg(F.max("c_custkey").alias("c_custkey")))
 
 
-@query("SELECT doc_id, format('test_{:04d}', (SELECT max(doc_id) FROM documents WHERE doc_id % 2 = 0) + row_number() OVER (ORDER BY doc_id)) AS new_id FROM documents WHERE doc_id % 100 = 1")
+@query("SELECT doc_id, 'test_' || lpad(n::VARCHAR, greatest(4, len(n::VARCHAR))::INT, '0') AS new_id FROM (SELECT doc_id, (SELECT count(*) FROM orders) + row_number() OVER (ORDER BY doc_id) AS n FROM documents)")
 def id_allocate(spark, d):
-    last = docs(spark, d).where("doc_id % 2 = 0").agg(F.max("doc_id").alias("last_id"))
-    return M.allocate(docs(spark, d).where("doc_id % 100 = 1").select("doc_id"), "doc_id", last)
+    """New ids for all documents, after those that orders hold."""
+    last = load(spark, d, "orders").agg(F.count("*").alias("last_id"))
+    return M.allocate(docs(spark, d).select("doc_id"), "doc_id", last).select("doc_id", "new_id")
 
 
-@query("SELECT s_suppkey, n_name, coalesce(r_name, 'none') AS r_name, s_acctbal > 0 AS is_primary FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey AND r_regionkey < 3")
+@query("SELECT s_suppkey, n_name, coalesce(r_name, 'none') AS r_name, s_acctbal > 0 AS is_primary FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey AND r_name <> 'ASIA'")
 def bindings_join(spark, d):
-    s, n, r = load(spark, d, "supplier"), load(spark, d, "nation"), load(spark, d, "region").where("r_regionkey < 3")
+    s, n, r = load(spark, d, "supplier"), load(spark, d, "nation"), load(spark, d, "region").where("r_name <> 'ASIA'")
     rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return rows.select("s_suppkey", "n_name", F.coalesce("r_name", F.lit("none")).alias("r_name"), (F.col("s_acctbal") > 0).alias("is_primary"))
 

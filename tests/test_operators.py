@@ -6,17 +6,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from blastradius.functions import text as X
+from blastradius.operators import change as K
 from blastradius.operators import diff as D
 from blastradius.operators import lookup as L
 from blastradius.operators import mutation as M
 from blastradius.operators import programs as P
 from blastradius.operators import score as C
+from blastradius.operators import stats as S
 from blastradius.operators import vector as V
 from blastradius.sources import files
 
 
 def score(spark, rows, kind):
-    ev = spark.createDataFrame([(1, i, t, ref, src, sim, None) for i, (t, ref, src, sim) in enumerate(rows)], C.EVIDENCE)
+    ev = spark.createDataFrame([(1, i, t, ref, src, sim, None, False) for i, (t, ref, src, sim) in enumerate(rows)], C.EVIDENCE)
     out = C.confidence(C.profile(ev).withColumn("test_type", F.lit(kind))).first()
     return out["ast"], out["score"]
 
@@ -55,7 +57,7 @@ def test_top_p_excludes_the_row_that_crosses(spark):
 
 def test_zero_norm_is_zero(spark):
     row = spark.sql("SELECT array(0.0D, 0.0D) AS a, array(1.0D, 2.0D) AS b")
-    assert row.select(V.cosine(F.col("a"), F.col("b")).alias("c")).first()["c"] == 0.0
+    assert row.select(V.cosine(F.col("a"), F.col("b"), V.norm(F.col("a")) * V.norm(F.col("b"))).alias("c")).first()["c"] == 0.0
 
 
 def test_symbol_kinds(spark):
@@ -105,12 +107,12 @@ def test_parse_diff():
 
 
 def test_diff_operators(spark):
-    table = D.lines(spark.createDataFrame([(1, "diff --git a/f b/f\n-export const OLD = 1\n x\n+export const NEW = 1\n-class Gone\n+# note")], "k int, body string"), "k", "body")
+    table = D.lines(spark.createDataFrame([(1, "diff --git a/f b/f\n-export const OLD = 1\n-x\n+export const NEW = 1\n-class Gone\n+# note")], "k int, body string"), "k", "body")
     assert [tuple(r) for r in D.renames(table, "k").collect()] == [(1, "OLD", "NEW")]
-    delta = {(r["symbol"], r["change"]) for r in D.symbol_delta(table, "k").collect()}
-    assert delta == {("OLD", "deleted"), ("NEW", "added"), ("Gone", "deleted")}
+    delta = {(r["symbol"], r["change"]) for r in D.symbol_delta(table, "k", K.DECLARATIONS, K.PROPERTY).collect()}
+    assert delta == {("Gone", "deleted")}  # renamed names neither come nor go
     stats = D.file_stats(table, "k").first()
-    assert (stats["file"], stats["additions"], stats["deletions"]) == ("f", 2, 2)
+    assert (stats["file"], stats["additions"], stats["deletions"]) == ("f", 2, 3)
 
 
 def test_parse_python_and_bodies():
@@ -145,6 +147,137 @@ def test_sources(spark, tmp_path):
     assert files.table_columns(spark, "no_such_table") == []
 
 
+def test_kinds_of_change(spark):
+    assert [K.kind(*x) for x in [("deleted", True, 1, [60]), ("added", False, 0, []), ("modified", False, 0, [3]), ("modified", False, 2, [3, 50]), ("modified", False, 2, [3, 51]), ("modified", True, 0, [3]), ("modified", False, 1, [])]] == [
+        "deleted", "added", "comment_only", "import_only", "code", "code", "code",
+    ]
+    head = "diff --git a/{0} b/{0}\n"
+    diffs = [
+        (1, head.format("a.js") + "@@ -10,2 +10,3 @@\n x\n+y = 1\n+z = 2"), (2, head.format("a.js") + "@@ -50,2 +50,3 @@\n x\n+y = 1"), (3, head.format("a.js") + "@@ -1 +1 @@\n-// gone"),
+        (4, head.format("a.js") + "@@ -1 +1 @@\n-class A {"), (5, head.format("a.js") + "deleted file mode 100644\n@@ -1 +0,0 @@\n-class A {"), (6, head.format("a.js") + "new file mode 100644"),
+    ]
+    table = D.lines(spark.createDataFrame(diffs, "k int, body string"), "k", "body")
+    assert {r["k"]: r["change_type"] for r in D.change_type(table, "k").collect()} == {1: "import_only", 2: "code", 3: "comment_only", 4: "code", 5: "deleted", 6: "added"}
+    assert [(r["k"], r["number"]) for r in D.numbered(table, "k").where("k < 4").orderBy("k", "line_no").collect()] == [(1, 11), (1, 12), (2, 51), (3, 1)]
+
+
+def test_module_names_and_test_names():
+    assert K.modules("backend/agent/pool.py") == ["agent.pool", "agent"]
+    assert K.modules("src/components/ChatPage.tsx") == ["components.ChatPage", "components", "ChatPage"]
+    assert K.modules("src/promo.js") == ["promo"] and K.modules("notes.md") == [] and K.modules("lib/build/x.js") == [] and K.modules("a/pool_test.py") == []
+    assert K.test_names("agent/pool.py") == ["agent_pool_test.py", "pool_test.py", "test_agent_pool.py", "test_pool.py"]
+    assert K.is_cochanged(["src/a.js", "tests/a.test.js"]) and not K.is_cochanged(["src/a.js", "src/b.js"]) and not K.is_cochanged(["tests/a.test.js", "readme.md"])
+
+
+BUNDLE = """diff --git a/src/reducers/cart.js b/src/reducers/cart.js
+--- a/src/reducers/cart.js
++++ b/src/reducers/cart.js
+@@ -70,2 +70,3 @@
+-export const oldName = 1
++export const newName = 1
++function addItem() {
+-  total: 3,
+diff --git a/src/only/imports.js b/src/only/imports.js
+--- a/src/only/imports.js
++++ b/src/only/imports.js
+@@ -1,1 +1,1 @@
+-import a from 'a'
++import b from 'b'
+diff --git a/lib/fresh.py b/lib/fresh.py
+new file mode 100644
+--- /dev/null
++++ b/lib/fresh.py
+@@ -0,0 +1,2 @@
++def start():
++    return 1
+"""
+
+
+def test_search_terms_of_a_diff():
+    b = K.bundle(BUNDLE)
+    assert b.files == ("lib/fresh.py", "src/only/imports.js", "src/reducers/cart.js")
+    assert b.module_exact == ("cart", "lib", "lib.fresh", "reducers.cart")  # no general folder by itself
+    assert b.modules == ("lib.*",) and b.stems == ("cart", "fresh")
+    assert b.functions == (("lib.fresh", "start"), ("reducers.cart", "addItem"), ("reducers.cart", "newName"), ("reducers.cart", "oldName")) or b.functions == (("lib.fresh", "start"), ("reducers.cart", "addItem"))
+    assert b.deleted == ("total",) and b.added == ("addItem", "start") and b.renamed == (("oldName", "newName"),)
+    assert set(b.exact) >= {"cart", "lib", "lib.fresh", "reducers.cart", "addItem", "start", "total"}
+    assert "cart" in b.tokens() and "item" in b.tokens() and "add" not in b.tokens()
+
+
+def test_headerless_hunks_are_dealt_to_files():
+    hunks = "@@ -1,1 +1,1 @@\n+a\n@@ -5,1 +5,1 @@\n+b\n@@ -9,1 +9,2 @@\n+c\n-d\n@@ -20,1 +20,1 @@\n+e\n@@ -30,1 +30,1 @@\n-f"
+    got = P.parse_diff(hunks, ["x.js", "", "y.js"])
+    assert [(g["file"], g["additions"], g["deletions"], g["changed_lines"]) for g in got] == [("x.js", 2, 0, []), ("y.js", 2, 2, [])]
+    assert [(g["file"], g["additions"]) for g in P.parse_diff("@@ -1,1 +1,1 @@\n+a", ["x.js", "y.js"])] == [("x.js", 1), ("y.js", 0)]
+
+
+def test_suites(spark):
+    paths = {"app/unit/tests/foo/x.js": "unit", "tests/a.py": "a.py", "tests/unit/a.py": "unit", "a/test//b.js": "root", "src/e2e": "e2e", "src/a.js": "other", "a/contests/b.js": "other", None: "other", "x\\tests\\ui\\a.js": "ui", "tests": "other"}
+    rows = spark.createDataFrame([(k, v) for k, v in paths.items()], "path string, want string")
+    assert [r for r in rows.select("path", "want", S.suite(F.col("path")).alias("got")).collect() if r["want"] != r["got"]] == []
+
+
+def test_paths_and_stems(spark):
+    paths = {"c:\\x\\test_repository\\unit\\a.py": "unit/a.py", "x/unit/a.py": "unit/a.py", "x/src1/a.py": "a.py", "a.py": "a.py", "test_repository": ""}
+    rows = spark.createDataFrame([(k, v) for k, v in paths.items()], "path string, want string")
+    assert [r for r in rows.select("path", "want", X.normalize_path(F.col("path")).alias("got")).collect() if r["want"] != r["got"]] == []
+    assert X.stems(("src/index.js", "a/Constants.ts", "lib/toastReducer.js", "x/hooks.js", "b\\test.js")) == ["constants", "toastreducer", "test"]
+    one = spark.range(1)
+    pats = lambda c: one.select(c.alias("p")).first()["p"]
+    assert pats(X.dead_zone_patterns(F.lit("cart"), F.lit("src/a/cart.js"))) == ["%a/cart.js%", "%cart%"]
+    assert pats(X.dead_zone_patterns(F.lit("utils"), F.lit("utils.js"))) == ["utils.%", "%.utils"]
+    assert pats(X.symbol_patterns(F.lit("a.b.cartItem"))) == ["a.b.cartItem", "a.b.cartItem.%", "%.a.b.cartItem", "%cartItem%"]
+    assert pats(X.symbol_patterns(F.lit("a.api"))) == ["a.api", "a.api.%", "%.a.api", "api.%", "%.api"]
+
+
+def test_module_patterns(spark):
+    rows = [(1, "m", "describe_label"), (2, "m.a", "transitive_normalized"), (3, "m.a", "source_annotation"), (4, "mm.a", "direct_import"), (5, "m", "source_annotation_normalized"), (6, "m.C", "describe_label")]
+    index = spark.createDataFrame(rows, "test_id long, production_class string, reference_type string")
+    got = lambda *a: sorted((r["test_id"], r["exact_priority"], r["ref_priority"]) for r in L.module_pattern(index, "m", *a).collect())
+    assert got() == [(1, 1, 3), (2, 2, 2), (5, 1, 3)]
+    assert got("specific", ("m.C",)) == [(5, 1, 3), (6, 2, 3)]
+    assert sorted(r["test_id"] for r in L.module_pattern(index, "m", "broad").collect()) == [2, 3, 6]
+
+
+def test_confidence_gate(spark):
+    ev = [
+        (1, 1, "semantic", None, None, 0.9, None, False), (2, 1, "semantic", None, None, 0.9, None, False), (3, 1, "exact", "direct_import", None, None, None, True), (4, 1, "exact", "direct_import", None, None, None, True),
+        (5, 1, "direct_file", None, None, None, "colocated_in_same_file", False), (6, 1, "semantic_colocation", None, None, None, "semantic_colocated_file", False), (7, 1, "exact", "transitive_import", None, None, None, False),
+        (8, 1, "exact", "transitive_import", None, None, None, False), (8, 2, "semantic", None, None, 0.2, None, False), (9, 1, "semantic", None, None, 0.1, None, False),
+    ]
+    labels = {1: "payment flow", 2: "CartItem adds", 3: "payment flow", 4: "cart_total", 5: "cart", 6: "other", 7: "cart", 8: "other", 9: None}
+    known = spark.createDataFrame([(i, "unit", label) for i, label in labels.items()], "test_id long, test_type string, label string")
+    rows = C.confidence(C.profile(spark.createDataFrame(ev, C.EVIDENCE)).join(known, "test_id"))
+    fits = C.relevant(F.col("label"), ["cart"])
+    risk = {r["test_id"]: r["r"] for r in rows.select("test_id", C.false_positive_risk(fits).alias("r")).collect()}
+    assert {r["test_id"] for r in rows.where(C.keep(fits, fits)).collect()} == {2, 4, 6, 8, 9}
+    assert risk[1] == "HIGH" and risk[2] == "MEDIUM_HIGH" and risk[3] == "LOW"
+
+
+def test_scenarios(spark):
+    head = "diff --git a/{0} b/{0}\n@@ -1 +1 @@\n"
+    diffs = [
+        (1, head.format("a.js") + "+if (x == null) return\n+y?.z\n+q"), (2, "".join(head.format(f"f{i}.js") for i in range(12))), (3, head.format("a.js") + head.format("b.py") + "+def f():"),
+        (4, head.format("a.md") + head.format("b.js") + "+q"), (5, "".join(head.format(f"f{i}.js") for i in range(5)) + "\n".join(f"+class C{i}:" for i in range(20))),
+    ]
+    table = D.lines(spark.createDataFrame(diffs, "k int, body string"), "k", "body")
+    got = {r["k"]: r["t"] for r in D.scenario(table, "k", K.SOURCE).select("k", D.scenario_tags().alias("t")).collect()}
+    assert got == {1: ["TIGHT_FEATURE_ISOLATION", "MICRO_GUARD_HOTFIX"], 2: ["MAXIMUM_BLAST_RADIUS"], 3: ["MIXED_LANGUAGE_DIFF", "SYMBOL_LEVEL_CHANGES"], 4: [], 5: ["MAXIMUM_BLAST_RADIUS"]}
+
+
+def test_ids_are_allocated_in_order(spark):
+    new = spark.createDataFrame([(i * i % 1009,) for i in range(1, 400)], "k long").distinct()
+    got = M.allocate(new, "k", spark.sql("SELECT 9998L AS last_id"), runs=7).orderBy("k").collect()
+    assert [r["new_id"] for r in got] == [f"test_{9999 + i:04d}" for i in range(len(got))]
+
+
+def test_flagship_has_all_kinds(spark):
+    from blastradius.plans import registry
+
+    kinds = {r["match_type"] for r in registry.QUERIES["select_entities"](spark, "/root/testdata/sf0.001").select("match_type").distinct().collect()}
+    assert kinds == {"Both", "AST", "Semantic"}
+
+
 def test_upsert_stream(spark, tmp_path):
     from blastradius.streaming.incremental import upsert_stream
 
