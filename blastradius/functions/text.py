@@ -11,6 +11,17 @@ GENERIC_STEMS = (
     "reducer", "reducers", "actions", "action", "store", "stores", "state", "selectors", "selector", "saga", "sagas", "epic", "epics",
     "service", "services", "middleware", "middlewares", "context", "contexts", "hooks", "hook",
 )
+# Names of test files by extension.
+TEST_NAMES = {
+    ".py": ("test_*.py", "*_test.py"),
+    ".js": ("*.test.js", "*.spec.js", "*.test.jsx", "*.spec.jsx"),
+    ".jsx": ("*.test.js", "*.spec.js", "*.test.jsx", "*.spec.jsx"),
+    ".ts": ("*.test.ts", "*.spec.ts", "*.test.tsx", "*.spec.tsx"),
+    ".tsx": ("*.test.ts", "*.spec.ts", "*.test.tsx", "*.spec.tsx"),
+    ".java": ("*Test.java", "*Tests.java", "*Spec.java"),
+    ".go": ("*_test.go",),
+    ".rb": ("*_spec.rb", "*_test.rb"),
+}
 # Stems that are too general for a pattern of their own, where dead zones are looked for.
 DEAD_ZONE_STEMS = ("util", "utils", "index", "main", "test", "tests", "common", "base", "core", "api", "data", "mock", "helper", "helpers", "config", "types", "type")
 LEAST_STEM, LEAST_TAIL = 4, 5
@@ -72,17 +83,25 @@ def normalize_import(spec: Column) -> Column:
 
 
 def module_candidates(path: Column) -> Column:
-    """Dotted module, its first segment and its last one, distinct."""
-    dotted = F.regexp_replace(F.replace(F.regexp_replace(path, r"\.[A-Za-z]+$", ""), F.lit("/"), F.lit(".")), r"^(backend|client|src)\.", "")
-    return F.array_distinct(F.array(dotted, F.substring_index(dotted, ".", 1), F.substring_index(dotted, ".", -1)))
+    """Dotted module, its first segment and, of scripts, its last one; distinct. Prefixes go one after the other."""
+    dotted = F.replace(F.regexp_replace(path, r"\.[A-Za-z]+$", ""), F.lit("/"), F.lit("."))
+    for prefix in ("backend", "client", "src"):
+        dotted = F.regexp_replace(dotted, rf"^{prefix}\.", "")
+    last = F.when(F.lower(path).rlike(r"\.(js|jsx|ts|tsx)$"), F.substring_index(dotted, ".", -1))
+    return F.array_distinct(F.array_compact(F.array(dotted, F.substring_index(dotted, ".", 1), last)))
 
 
 def test_file_candidates(path: Column) -> Column:
-    """Sorted names that a file's tests may have."""
-    stem = F.regexp_replace(basename(path), r"\..*$", "")
-    parent = F.element_at(F.split(path, "/"), -2)
-    names = [F.concat(F.lit("test_"), stem, F.lit(".py")), F.concat(stem, F.lit(".test.js")), F.concat(stem, F.lit(".spec.js")), F.concat(parent, F.lit("_"), stem, F.lit(".test.js"))]
-    return F.array_sort(F.array_distinct(F.array(*names)))
+    """Sorted names that a file's tests may have, by its extension's patterns: after its stem, and its folder and stem."""
+    stem, ext = F.regexp_replace(basename(path), r"\.[^.]*$", ""), F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    parent = F.try_element_at(F.split(path, "/"), F.lit(-2))
+    names = F.array_compact(F.array(stem, F.concat_ws("_", parent, stem)))
+    filled = lambda p: F.transform(names, lambda n: F.replace(F.lit(p), F.lit("*"), n))
+    out = F.array().cast("array<string>")
+    for e, patterns in TEST_NAMES.items():
+        every = F.flatten(F.array(*map(filled, patterns)))
+        out = F.when(ext == e, F.array_sort(F.array_distinct(every))).otherwise(out)
+    return out
 
 
 def truncate(text: Column, most: int) -> Column:
@@ -98,8 +117,9 @@ def head_tail(text: Column, head: int, tail: int) -> Column:
 
 
 def label_head(label: Column) -> Column:
-    """A describe label up to the first connector word or mark."""
-    return F.trim(F.element_at(F.split(label, r"(?i)\s+(?:with|uses|from|for|in|that)\s+|\s*[>:]\s*", 2), 1))
+    """A describe label up to the first connector word or mark between blanks."""
+    first = F.trim(F.element_at(F.split(F.trim(label), r"(?i)\s+(?:with|uses|from|for|in|that|>|→|:|—|–)\s+", 2), 1))
+    return F.trim(F.substring_index(first, " > ", 1))
 
 
 def dead_zone_patterns(stem: Column, path: Column) -> Column:
@@ -129,8 +149,8 @@ def screaming(name: Column) -> Column:
 
 
 def readable(name: Column) -> Column:
-    """A test's name as a title: without test_, marks as blanks, first letters as capitals."""
-    return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(name, "^test_?", ""), "[_\\W]+", " ")))
+    """A test's name as words: without test_, underscores as blanks."""
+    return F.replace(F.replace(name, F.lit("test_"), F.lit("")), F.lit("_"), F.lit(" "))
 
 
 def fixed_chunks(text: Column, width: int) -> Column:

@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
+from ..functions.text import TEST_NAMES
 from .programs import parse_diff
 
 # Extensions of production files, of files with a module name, of code in a co-change.
@@ -19,17 +20,6 @@ CODE = (".js", ".ts", ".tsx", ".jsx", ".java", ".py", ".go", ".c", ".cpp", ".h",
 SOURCE = (".py", ".java", ".js", ".ts", ".tsx", ".jsx", ".c", ".cpp", ".cc", ".h", ".hpp", ".go", ".rb", ".cs", ".kt")
 # Parts of paths that hold no production code.
 SKIPPED = ("mlartifacts", "artifacts", "data/", "chromadb_data", "node_modules", "__pycache__", ".git", "venv", "env", "static", "templates", "build", "dist", "target", "bin", "obj")
-# Names of test files by extension.
-TEST_NAMES = {
-    ".py": ("test_*.py", "*_test.py"),
-    ".js": ("*.test.js", "*.spec.js", "*.test.jsx", "*.spec.jsx"),
-    ".jsx": ("*.test.js", "*.spec.js", "*.test.jsx", "*.spec.jsx"),
-    ".ts": ("*.test.ts", "*.spec.ts", "*.test.tsx", "*.spec.tsx"),
-    ".tsx": ("*.test.ts", "*.spec.ts", "*.test.tsx", "*.spec.tsx"),
-    ".java": ("*Test.java", "*Tests.java", "*Spec.java"),
-    ".go": ("*_test.go",),
-    ".rb": ("*_spec.rb", "*_test.rb"),
-}
 # Folder names that are too general to search for.
 GENERIC_FOLDERS = frozenset(
     "reducer reducers actions action store stores state service services hooks hook context contexts middleware middlewares "
@@ -54,6 +44,31 @@ _TEST_PATH = re.compile(r"(\.test\.|\.spec\.|/__tests__/|/tests?/|test_repositor
 IMPORT_LINES = 50
 
 
+def with_status(rows: list[dict]) -> dict:
+    """One diff of the rows that a hosting service gives: {new_path, old_path, status, diff, added_lines, removed_lines}.
+
+    -> diff (with a header for each file, made from its status), changed_files, additions, deletions. Lines are counted
+    where the rows don't say how many there are.
+    """
+    parts, files = [], []
+    for r in rows:
+        new, old = r.get("new_path") or r.get("old_path") or "", r.get("old_path") or r.get("new_path") or ""
+        files += [new] if new else []
+        if not r.get("diff"):
+            continue
+        status = r.get("status") or "modified"
+        mode = {"added": ["new file mode 100644"], "removed": ["deleted file mode 100644"], "deleted": ["deleted file mode 100644"], "renamed": [f"rename from {old}", f"rename to {new}"]}.get(status, [])
+        headed = r["diff"].startswith("diff --git")
+        a, b = ("/dev/null" if status == "added" else f"a/{old}"), ("/dev/null" if status in ("removed", "deleted") else f"b/{new}")
+        parts.append("\n".join(([] if headed else [f"diff --git a/{old} b/{new}", *mode, f"--- {a}", f"+++ {b}"]) + [r["diff"]]))
+    text = "\n".join(parts)
+    plus, minus = (sum(r.get(c) or 0 for r in rows) for c in ("added_lines", "removed_lines"))
+    if not plus and not minus:
+        lines = text.split("\n")
+        plus, minus = (sum(x.startswith(s) and not x.startswith(s * 3) for x in lines) for s in "+-")
+    return {"diff": text, "changed_files": files, "additions": plus, "deletions": minus}
+
+
 def kind(status: str, symbols: bool, additions: int, lines: list[int]) -> str:
     """deleted, added, comment_only, import_only or code."""
     if status in ("deleted", "added"):

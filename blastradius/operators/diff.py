@@ -65,6 +65,13 @@ def change_type(table: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "file", kind.alias("change_type"))
 
 
+def new_definitions(table: DataFrame, key: str, pattern: str) -> DataFrame:
+    """key, file, name: what the added lines of new files define."""
+    new = file_stats(table, key).where("status = 'added'").select(key, "file")
+    name = F.regexp_extract("line", pattern, 1)
+    return with_file(table, key).where(added()).join(new, [key, "file"], "left_semi").select(key, "file", name.alias("name")).where("name <> ''").distinct()
+
+
 def names(declarations: tuple[str, ...], last: str) -> Column:
     """array of what a changed line declares: the first pattern that fits, and the last one besides."""
     first = F.coalesce(*[F.nullif(F.regexp_extract("line", d, 1), F.lit("")) for d in declarations])

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem_match, tail_match
+from .store import cut
 
 # Reference kinds that a symbol below a module may have, and the module itself beside named classes.
 BELOW_KINDS = ("direct_import", "string_ref", "transitive_import", "transitive_normalized")
@@ -32,6 +33,14 @@ def symbol_keys(symbols: DataFrame, column: str) -> DataFrame:
     return symbols.select(column).distinct().select(F.col(column).alias("symbol"), F.explode(keys).alias("k")).select("symbol", "k.key", "k.kind")
 
 
+def dotted_keys(c: Column) -> Column:
+    """array of a dotted name, its prefixes and its suffixes."""
+    parts = F.split(c, r"\.")
+    n = F.size(parts)
+    cut_ = lambda a, b: F.array_join(F.slice(parts, a, b), ".")
+    return F.concat(F.transform(F.sequence(F.lit(1), n), lambda i: cut_(F.lit(1), i)), F.transform(F.sequence(F.lit(1), n), lambda i: cut_(i, n - i + 1)))
+
+
 def match_symbols(symbols: DataFrame, column: str, terms: DataFrame) -> DataFrame:
     """term, symbol, kind: the best kind of match."""
     keys = symbol_keys(symbols, column)
@@ -90,6 +99,15 @@ def integration_lookup(index: DataFrame, entities: DataFrame, *symbols: str) ->
     return hit.join(entities.where(F.col("test_type").isin("integration", "e2e")), "test_id").select("test_id", "test_type", "reference_type")
 
 
+def direct_strategies(path: Column, candidates: tuple[str, ...], module: str | None = None, stem: str | None = None) -> list[tuple[str, Column]]:
+    """The ways in which a test file may belong to a changed one, the surest first."""
+    exact = any_like(path, ["%" + c.replace("*.py", ".py") for c in candidates])
+    bases = [c.replace("test_", "").replace("_*.py", "").replace("*.py", "") for c in candidates if "*.py" in c]
+    out = [("exact_filename", exact), ("pattern_match", any_like(path, [p for b in bases for p in (f"%test_{b}_%", f"%test_%{b}%")]))]
+    name = (module or "").split(".")[-1]
+    return out + ([("module_basename", any_like(path, [f"%test_{name}%", f"%{name}%"]))] if name else []) + ([("file_path_based", any_like(path, [f"%{stem}%"]))] if stem else [])
+
+
 def first_strategy(rows: DataFrame, strategies: list[tuple[str, Column]]) -> DataFrame:
     """rows with the first strategy (in the given order) whose predicate holds, and its place."""
     name = place = F.lit(None)
@@ -105,12 +123,16 @@ def colocated(registry: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
-    """node, depth: everything within so many hops of the seeds(node), each at its smallest depth."""
+    """node, depth: everything within so many hops of the seeds(node), each at its smallest depth.
+
+    Edges and the front of each hop are cut from their lineage, so that the plan doesn't grow with the hops.
+    """
+    edges = cut(edges)
     reached = seeds.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = reached
     for d in range(1, hops + 1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached, "node", "left_anti").withColumn("depth", F.lit(d))
+        frontier = cut(step.join(reached, "node", "left_anti").withColumn("depth", F.lit(d)))
         reached = reached.unionByName(frontier)
     return reached
 

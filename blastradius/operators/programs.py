@@ -10,7 +10,7 @@ import ast
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,50 +92,54 @@ def cut_body(body: str, start: int) -> str:
                 break
             kept.append(line)
         return "\n".join(kept).rstrip()
-    depth, seen, quote = 0, False, ""
-    for i in range(start, len(body)):
-        c = body[i]
-        if quote:
-            quote = "" if c == quote and body[i - 1] != "\\" else quote
-        elif c in "'\"`":
-            quote = c
-        elif c == "{":
-            depth, seen = depth + 1, True
-        elif c == "}":
+    depth = 0
+    for m in _BRACES.finditer(body, start):
+        if m.group() == "{":
+            depth += 1
+        elif m.group() == "}":
             depth -= 1
-            if seen and depth == 0:
-                return body[start : i + 1]
+            if depth == 0:
+                return body[start : m.end()]
     return body[start:]
 
 
+#: Braces, and strings, whose braces don't count (an open string goes on to the end).
+_BRACES = re.compile(r"""[{}]|'(?:\\.|[^'\\])*'?|"(?:\\.|[^"\\])*"?|`(?:\\.|[^`\\])*`?""", re.DOTALL)
+
+
+def _rows(cols: list[str], types: list[pa.DataType], found: list[tuple]) -> pa.RecordBatch:
+    values = list(zip(*found, strict=True)) or [()] * len(cols)
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=cols)
+
+
 def parse_sources(sources: DataFrame) -> DataFrame:
     """file_id, name, kind, line, description: by ast for Python, by pattern for the rest."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows = []
-            for f, lang, body in zip(b["file_id"], b["language"], b["body"], strict=True):
+            for f, lang, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 body = body or ""
                 got = parse_python(body) if lang == "python" else []
                 if not got and lang in TEST:
                     got = [(m.group(1), "test", body.count("\n", 0, m.start()) + 1, "") for m in re.finditer(TEST[lang], body)]
                 rows += [(f, *g) for g in got]
-            yield pd.DataFrame(rows, columns=["file_id", "name", "kind", "line", "description"])
+            yield _rows(["file_id", "name", "kind", "line", "description"], [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()], rows)
 
-    return sources.select("file_id", "language", "body").mapInPandas(run, "file_id long, name string, kind string, line long, description string")
+    return sources.select("file_id", "language", "body").mapInArrow(run, "file_id long, name string, kind string, line long, description string")
 
 
 def bodies(sources: DataFrame) -> DataFrame:
     """file_id, test_name, body_text."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows = []
-            for f, lang, body in zip(b["file_id"], b["language"], b["body"], strict=True):
+            for f, lang, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows += [(f, m.group(1), cut_body(body, m.start())) for m in re.finditer(TEST.get(lang, r"(?!)"), body or "")]
-            yield pd.DataFrame(rows, columns=["file_id", "test_name", "body_text"])
+            yield _rows(["file_id", "test_name", "body_text"], [pa.int64(), pa.string(), pa.string()], rows)
 
-    return sources.select("file_id", "language", "body").mapInPandas(run, "file_id long, test_name string, body_text string")
+    return sources.select("file_id", "language", "body").mapInArrow(run, "file_id long, test_name string, body_text string")
 
 
 _METHOD = re.compile(r"(?:\bdef\s+(\w+)|\bfunction\s+(\w+)|(?:public|private|protected|static)[\w<>\[\] ]*?\s(\w+)\s*\(|^\s*(\w+)\s*\([^)]*\)\s*\{|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>)")
@@ -232,10 +236,12 @@ def parse_diff(text: str, files: list[str] | None = None) -> list[dict]:
 def parse_diffs(diffs: DataFrame) -> DataFrame:
     """diffs(diff_id, body) -> a row for each file of each diff."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cols = ["file", "status", "additions", "deletions", "changed_lines", "classes", "methods"]
+    cols = ["file", "status", "additions", "deletions", "changed_lines", "classes", "methods"]
+    types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.string())]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            rows = [(i, *[x[c] for c in cols]) for i, t in zip(b["diff_id"], b["body"], strict=True) for x in parse_diff(t or "")]
-            yield pd.DataFrame(rows, columns=["diff_id", *cols])
+            rows = [(i, *[x[c] for c in cols]) for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in parse_diff(t or "")]
+            yield _rows(["diff_id", *cols], types, rows)
 
-    return diffs.select("diff_id", "body").mapInPandas(run, "diff_id long, file string, status string, additions long, deletions long, changed_lines array<long>, classes array<string>, methods array<string>")
+    return diffs.select("diff_id", "body").mapInArrow(run, "diff_id long, file string, status string, additions long, deletions long, changed_lines array<long>, classes array<string>, methods array<string>")

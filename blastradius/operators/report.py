@@ -7,14 +7,23 @@ from pyspark.sql import functions as F
 
 
 def false_negative_hints(tags: Column, dead: Column) -> Column:
-    """Codes of what may have been missed, in a fixed order."""
+    """What may have been missed, in a fixed order."""
+    # The texts of the hints.
+    large = "FN_RISK: Large change set — run area suites or full test job in addition to listed tests."
+    unmapped = "FN_RISK: %d changed symbol(s) have no mapped tests — manual review."
+    mixed = "FN_RISK: Verify each language's test pipeline was indexed for this repo."
     return F.array_compact(F.array(
-        F.when(F.array_contains(tags, "MAXIMUM_BLAST_RADIUS"), "large_change_set"),
-        F.when(dead > 0, F.concat(F.lit("unmapped_symbols:"), dead.cast("string"))),
-        F.when(F.array_contains(tags, "MIXED_LANGUAGE_DIFF"), "several_languages"),
+        F.when(F.array_contains(tags, "MAXIMUM_BLAST_RADIUS"), large), F.when(dead > 0, F.format_string(unmapped, dead)), F.when(F.array_contains(tags, "MIXED_LANGUAGE_DIFF"), mixed),
     ))
 
 
+def first_k(pairs: DataFrame, group: str, value: str, k: int) -> DataFrame:
+    """group, values: the k smallest distinct values of each group; the others go before any list is made."""
+    w = Window.partitionBy(group).orderBy(value)
+    kept = pairs.select(group, value).distinct().withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k)
+    return kept.groupBy(group).agg(F.sort_array(F.collect_list(value)).alias("values"))
+
+
 def threshold(default: Column, override: Column, preset: Column) -> Column:
     """An override, clamped to [0.05, 0.92]; else a preset (lenient, balanced, strict); else the default."""
     named = F.when(preset == "lenient", 0.22).when(preset == "balanced", 0.32).when(preset == "strict", 0.50)
@@ -52,10 +61,16 @@ def hashing_vectors(texts: DataFrame, dims: int = 32) -> DataFrame:
     return rows.select("test_id", F.transform(every, lambda x: x.cast("float")).alias("embedding"))
 
 
-def vector_rows(vectors: DataFrame, repo: str, dims: int) -> DataFrame:
-    """What a vector store takes: rows with an id; any other dimension is an error when the rows are read."""
+def vector_rows(vectors: DataFrame, dims: int, most: int = 1000) -> DataFrame:
+    """What a vector store takes of (test_id, embedding, repo, description, is_async, markers): an id by repository and
+    test, and flat metadata of strings, descriptions cut to `most` characters. Any other dimension is an error when the
+    rows are read, so that no batch is stored in part."""
     checked = F.when(F.size("embedding") == dims, F.col("embedding")).otherwise(F.raise_error(F.lit("embedding of another dimension")))
-    return vectors.where("vec_id IS NOT NULL").select(F.concat_ws("_", F.lit(repo), F.col("vec_id").cast("string")).alias("id"), checked.alias("embedding"), F.coalesce(F.col("label").cast("string"), F.lit("")).alias("label"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    return vectors.where("test_id IS NOT NULL").select(
+        F.concat_ws("_", F.nullif("repo", F.lit("")), F.col("test_id").cast("string")).alias("id"), checked.alias("embedding"), text(F.col("test_id")).alias("test_id"),
+        F.left(text(F.col("description")), F.lit(most)).alias("description"), F.when(F.col("is_async"), "true").otherwise("false").alias("is_async"), F.array_join("markers", ",").alias("markers"), text(F.col("repo")).alias("test_repo_id"),
+    )
 
 
 def first_by(df: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -71,7 +71,8 @@ def duplicate_groups(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("test_id").alias("keeper")).where("n > 1")
 
 
-def inverted(df: DataFrame, symbol: str, entity: str) -> DataFrame:
-    """symbol, n, entities (sorted distinct, joined). Pairs are made distinct before they are gathered."""
-    pairs = df.select(symbol, entity).distinct()
-    return pairs.groupBy(symbol).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(entity)), ",").alias("entities"))
+def inverted(df: DataFrame, symbol: str, entity: str, width: int = 4096) -> DataFrame:
+    """symbol, block, n, entities (sorted distinct, joined): postings in blocks of ids, of at most `width` each, so that a
+    symbol that every test refers to is many rows."""
+    pairs = df.select(symbol, F.expr(f"{entity} div {width}").alias("block"), entity).distinct()
+    return pairs.groupBy(symbol, "block").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(entity)), ",").alias("entities"))

@@ -67,6 +67,12 @@ def module_pattern(spark, d):
     return L.module_pattern(reverse_index(spark, d), "promo")
 
 
+@query(sql(RI) + f"SELECT DISTINCT test_id, production_class, reference_type, CASE production_class WHEN 'promo' THEN 1 ELSE 2 END AS exact_priority, {REF} FROM ri WHERE production_class = 'promo' OR (starts_with(production_class, 'promo.') AND reference_type IN {BELOW}) ORDER BY exact_priority, ref_priority, test_id, production_class, reference_type LIMIT 50")
+def module_ranked(spark, d):
+    """The fifty surest tests of a module: by how they refer to it, then by id."""
+    return L.module_pattern(reverse_index(spark, d), "promo").orderBy("exact_priority", "ref_priority", "test_id", "production_class", "reference_type").limit(50)
+
+
 @query(sql(RI) + f"SELECT DISTINCT test_id, production_class, reference_type, CASE WHEN production_class = '{OTHER}' THEN 1 ELSE 2 END AS exact_priority, {REF} FROM ri WHERE production_class IN ('{CLASS}', 'small.brand25.new_gear') OR (production_class = '{OTHER}' AND reference_type IN {KINDS})")
 def module_pattern_specific(spark, d):
     return L.module_pattern(reverse_index(spark, d), OTHER, "specific", (CLASS, "small.brand25.new_gear"))
@@ -82,12 +88,15 @@ def integration_lookup(spark, d):
     return L.integration_lookup(reverse_index(spark, d), entities(spark, d), CLASS)
 
 
-@query(sql(REGISTRY) + """SELECT test_id, file_path, strategy, strategy_ord FROM (SELECT *, CASE WHEN file_path = 'src1/en/doc_1.test.js' THEN 'filename' WHEN file_path LIKE '%doc\\_2_.test.js' ESCAPE '\\' THEN 'module' WHEN contains(file_path, 'src3/') THEN 'basename' WHEN ends_with(file_path, '_7.test.js') THEN 'stem' END AS strategy,
-CASE WHEN file_path = 'src1/en/doc_1.test.js' THEN 0 WHEN file_path LIKE '%doc\\_2_.test.js' ESCAPE '\\' THEN 1 WHEN contains(file_path, 'src3/') THEN 2 WHEN ends_with(file_path, '_7.test.js') THEN 3 END AS strategy_ord FROM registry) WHERE strategy IS NOT NULL""")
+#: A changed file, names that its tests may have, and a module: each gives a strategy, in this order.
+CANDIDATES, MODULE_BASE, FILE_STEM = ("doc_1.test.js", "test_src3_*.py"), "doc_2", "doc_7"
+
+
+@query(sql(REGISTRY) + """SELECT test_id, file_path, strategy, strategy_ord FROM (SELECT *, CASE WHEN file_path LIKE '%doc_1.test.js' OR file_path LIKE '%test_src3_.py' THEN 0 WHEN file_path LIKE '%test_src3_%' OR file_path LIKE '%test_%src3%' THEN 1 WHEN file_path LIKE '%test_doc_2%' OR file_path LIKE '%doc_2%' THEN 2 WHEN file_path LIKE '%doc_7%' THEN 3 END AS strategy_ord,
+ ['exact_filename', 'pattern_match', 'module_basename', 'file_path_based'][strategy_ord + 1] AS strategy FROM registry) WHERE strategy_ord IS NOT NULL""")
 def direct_file_lookup(spark, d):
-    p = F.col("file_path")
     rows = registry(spark, d).select("test_id", "file_path")
-    return L.first_strategy(rows, [("filename", p == "src1/en/doc_1.test.js"), ("module", p.rlike(r"doc_2.\.test\.js$")), ("basename", p.contains("src3/")), ("stem", p.endswith("_7.test.js"))])
+    return L.first_strategy(rows, L.direct_strategies(F.col("file_path"), CANDIDATES, MODULE_BASE, FILE_STEM))
 
 
 CHANGED_FILES = ("lib/DOC_1.js", "src/index.js", "src/de/Reducers.ts", "lib/doc_3.constants.js")
@@ -181,42 +190,39 @@ def coverage_gaps(spark, d):
     return gaps.unionByName(hit)
 
 
-DEAD = """f AS (SELECT unnest(['promo.brand5', 'promo.brand99', 'small']) AS pattern),
- c AS (SELECT pattern, (SELECT count(DISTINCT test_id) FROM ri WHERE contains(production_class, pattern)) AS ri_n, (SELECT count(DISTINCT test_id) FROM tfm WHERE contains(module_name || '.' || function_name, pattern)) AS tfm_n FROM f)"""
+GENERIC = "('util', 'utils', 'index', 'main', 'test', 'tests', 'common', 'base', 'core', 'api', 'data', 'mock', 'helper', 'helpers', 'config', 'types', 'type')"
+ZONES = ("src/promo/brand5.js", "lib/gizmo99.py", "utils.js", "hot_widget.ts")
+SYMBOLS = ("promo.hot_widget", "zzz.gizmo99", "brand7", "x.api")
+COVER = """c AS (SELECT name, (SELECT count(DISTINCT test_id) FROM ri WHERE len(list_filter(patterns, lambda p: production_class ILIKE p)) > 0) AS ri_n, (SELECT count(DISTINCT test_id) FROM tfm WHERE len(list_filter(patterns, lambda p: module_name ILIKE p)) > 0) AS tfm_n FROM z)
+SELECT name, ri_n, tfm_n, CASE WHEN ri_n > 0 AND tfm_n > 0 THEN greatest(ri_n, tfm_n) ELSE ri_n + tfm_n END AS coverage, ri_n + tfm_n = 0 AS dead, bool_and(ri_n + tfm_n = 0) OVER () AS complete FROM c"""
 
 
-@query(sql(RI, TFM, DEAD) + "SELECT pattern, ri_n, tfm_n, CASE WHEN ri_n > 0 AND tfm_n > 0 THEN greatest(ri_n, tfm_n) ELSE ri_n + tfm_n END AS coverage, ri_n + tfm_n = 0 AS dead, bool_and(ri_n + tfm_n = 0) OVER () AS complete FROM c")
+@query(sql(RI, TFM) + f""", n AS (SELECT unnest({list(ZONES)}) AS name), x AS (SELECT name, regexp_extract(name, '([^/]+)[.][^./]+$', 1) AS stem, array_to_string(string_split(name, '/')[-2:], '/') AS tail FROM n),
+z AS (SELECT name, list_concat(CASE WHEN contains(name, '/') AND len(tail) >= 5 THEN ['%' || tail || '%'] ELSE [] END, CASE WHEN len(stem) >= 4 AND lower(stem) NOT IN {GENERIC} THEN ['%' || stem || '%'] ELSE [stem || '.%', '%.' || stem] END) AS patterns FROM x), {COVER}""")
 def dead_zone_files(spark, d):
-    return _dead(spark, d, ["promo.brand5", "promo.brand99", "small"])
+    """Changed files that no test refers to."""
+    z = small(spark, [(f,) for f in ZONES], "name string")
+    stem = F.regexp_replace(X.basename(F.col("name")), r"\.[^.]*$", "")
+    return _dead(spark, d, z.withColumn("patterns", X.dead_zone_patterns(stem, F.col("name"))))
+
+
+@query(sql(RI, TFM) + f""", x AS (SELECT name, string_split(name, '.')[-1] AS last FROM (SELECT unnest({list(SYMBOLS)}) AS name)),
+z AS (SELECT name, list_concat([name, name || '.%', '%.' || name], CASE WHEN last = name THEN [] WHEN len(last) >= 4 AND lower(last) NOT IN {GENERIC} THEN ['%' || last || '%'] ELSE [last || '.%', '%.' || last] END) AS patterns FROM x), {COVER}""")
+def dead_zone_symbols(spark, d):
+    z = small(spark, [(x,) for x in SYMBOLS], "name string")
+    return _dead(spark, d, z.withColumn("patterns", X.symbol_patterns(F.col("name"))))
 
 
-def _dead(spark, d, patterns):
+def _dead(spark, d, zones):
     """Distinct symbols (few) meet the patterns; tests are counted by the symbols that matched."""
-    pats = F.broadcast(small(spark, [(p,) for p in patterns], "pattern string"))
+    every = zones.select("name", F.explode("patterns").alias("pattern"))
 
     def count(df, column, name):
-        hit = df.select(column).distinct().join(pats, F.col(column).contains(F.col("pattern")))
-        return df.join(hit, column).groupBy("pattern").agg(F.countDistinct("test_id").alias(name))
+        hit = df.select(column).distinct().join(every, F.expr(f"{column} ILIKE pattern")).select(column, "name").distinct()
+        return df.join(hit, column).groupBy("name").agg(F.countDistinct("test_id").alias(name))
 
-    ri_n = count(reverse_index(spark, d), "production_class", "ri_n")
-    tfm_n = count(mapping(spark, d).withColumn("name", F.concat_ws(".", "module_name", "function_name")), "name", "tfm_n")
-    rows = pats.join(ri_n, "pattern", "left").join(tfm_n, "pattern", "left").na.fill(0)
+    ri_n, tfm_n = count(reverse_index(spark, d), "production_class", "ri_n"), count(mapping(spark, d), "module_name", "tfm_n")
+    rows = zones.select("name").join(ri_n, "name", "left").join(tfm_n, "name", "left").na.fill(0)
     both = (F.col("ri_n") > 0) & (F.col("tfm_n") > 0)
     rows = rows.withColumn("coverage", F.when(both, F.greatest("ri_n", "tfm_n")).otherwise(F.col("ri_n") + F.col("tfm_n"))).withColumn("dead", F.col("ri_n") + F.col("tfm_n") == 0)
-    return rows.join(F.broadcast(rows.agg(F.bool_and("dead").alias("complete"))), how="cross")  # one row
-
-
-@query(sql(RI, TFM, DEAD.replace("'promo.brand5', 'promo.brand99', 'small'", "'zzz', 'gizmo', 'brand7.'")) + "SELECT pattern, ri_n, tfm_n, CASE WHEN ri_n > 0 AND tfm_n > 0 THEN greatest(ri_n, tfm_n) ELSE ri_n + tfm_n END AS coverage, ri_n + tfm_n = 0 AS dead, bool_and(ri_n + tfm_n = 0) OVER () AS complete FROM c")
-def dead_zone_symbols(spark, d):
-    return _dead(spark, d, ["zzz", "gizmo", "brand7."])
-
-
-@query("""SELECT symbol, array_to_string(list_sort(list(DISTINCT test_id)), ',') AS tests FROM (
-SELECT lower(p_type) AS symbol, l_orderkey AS test_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 500
-UNION SELECT lower(replace(p_brand, '#', '')), l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 500
-UNION SELECT replace(p_name, ' ', '_'), l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 500) GROUP BY 1""")
-def build_reverse_index(spark, d):
-    lines = load(spark, d, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("test_id"), "l_partkey").join(load(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    sources = F.array(F.lower("p_type"), F.expr("lower(replace(p_brand, '#', ''))"), F.expr("replace(p_name, ' ', '_')"))
-    rows = lines.select(F.explode(sources).alias("symbol"), "test_id").distinct()
-    return rows.groupBy("symbol").agg(F.array_join(F.sort_array(F.collect_list("test_id")), ",").alias("tests"))
+    return rows.crossJoin(rows.agg(F.bool_and("dead").alias("complete")))  # one row

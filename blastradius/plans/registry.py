@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import lookups, programs, reports, scoring, stats, texts
+from . import control, extract, lookups, programs, reports, scoring, semantic, stats, texts
 
 FLAGSHIP = "select_entities"
-MODULES = (stats, lookups, scoring, texts, programs, reports)
+MODULES = (stats, lookups, scoring, texts, programs, reports, extract, control, semantic)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -8,7 +8,7 @@ from ..operators import report as R
 from . import scoring
 from .scoring import ALL, QUALITY, RISK
 from .tables import REGISTRY, load, registry, sql
-from .texts import ADDED, DIFF, diff_lines
+from .texts import ADDED, DIFF, FILE_OF, diff_lines
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,12 +24,6 @@ def query(oracle: str | None = None):
     return add
 
 
-@query("SELECT p_partkey, concat_ws(',', CASE WHEN p_size > 40 THEN 'large_change_set' END, CASE WHEN p_size % 4 > 0 THEN 'unmapped_symbols:' || p_size % 4 END, CASE WHEN p_size % 7 = 0 THEN 'several_languages' END) AS hints FROM part")
-def false_negative_hints(spark, d):
-    tags = F.array_compact(F.array(F.when(F.col("p_size") > 40, "MAXIMUM_BLAST_RADIUS"), F.when(F.col("p_size") % 7 == 0, "MIXED_LANGUAGE_DIFF")))
-    return load(spark, d, "part").select("p_partkey", F.array_join(R.false_negative_hints(tags, F.col("p_size") % 4), ",").alias("hints"))
-
-
 @query(ALL + f", dep AS (SELECT o_orderkey AS test_id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT s.test_id, score, {QUALITY} AS quality, {RISK} AS risk, CASE WHEN n >= 10 THEN 'FULLY_CROSS_DEPENDENT' WHEN n <= 2 THEN 'FULLY_STANDALONE' ELSE 'MODERATE_LINKAGE' END AS linkage FROM s JOIN dep USING (test_id) WHERE score >= 50")
 def impact_bundle(spark, d):
     from ..operators import score as C
@@ -95,13 +89,12 @@ def indirect_imports(spark, d):
     return two.subtract(e)
 
 
-@query(sql(DIFF) + f"SELECT doc_id, array_to_string(list_sort(list_distinct(list(regexp_extract(line, '(?:const|let|var|def|class)\\s+(\\w+)', 1)) FILTER (WHERE regexp_extract(line, '(?:const|let|var|def|class)\\s+(\\w+)', 1) <> ''))), ',') AS definitions FROM l WHERE {ADDED} GROUP BY 1 HAVING count(*) FILTER (WHERE regexp_extract(line, '(?:const|let|var|def|class)\\s+(\\w+)', 1) <> '') > 0")
+@query(sql(DIFF) + FILE_OF + f""", a AS (SELECT doc_id, file FROM f WHERE file IS NOT NULL GROUP BY 1, 2 HAVING bool_or(starts_with(line, 'new file')))
+SELECT doc_id, file, string_agg(DISTINCT name, ',' ORDER BY name) AS definitions FROM (SELECT doc_id, file, regexp_extract(line, '(?:def|function|class)\\s+(\\w+)', 1) AS name FROM f JOIN a USING (doc_id, file) WHERE {ADDED}) WHERE name <> '' GROUP BY 1, 2""")
 def new_file_definitions(spark, d):
     from ..operators import diff as D
 
-    name = F.regexp_extract("line", r"(?:const|let|var|def|class)\s+(\w+)", 1)
-    rows = diff_lines(spark, d).where(D.added()).select("doc_id", name.alias("n")).where("n <> ''").distinct()
-    return rows.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_list("n")), ",").alias("definitions"))
+    return D.new_definitions(diff_lines(spark, d), "doc_id", r"(?:def|function|class)\s+(\w+)").groupBy("doc_id", "file").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("definitions"))
 
 
 @query("SELECT left(trim(n_name), 6) AS branch, min(n_nationkey) AS first_key, bool_or(n_nationkey = 1) AS is_default FROM nation WHERE n_name IS NOT NULL GROUP BY 1")
@@ -112,15 +105,17 @@ def branch_rows(spark, d):
 @query("SELECT p_type, 'Changed in ' || lower(p_type) || ': ' || array_to_string(list_sort(list(DISTINCT lower(replace(p_brand, '#', ''))))[1:20], ', ') AS description FROM part GROUP BY 1")
 def change_description(spark, d):
     pairs = load(spark, d, "part").select("p_type", F.expr("lower(replace(p_brand, '#', ''))").alias("f")).distinct()
-    named = pairs.groupBy("p_type").agg(F.array_join(F.slice(F.sort_array(F.collect_list("f")), 1, 20), ", ").alias("fs"))
-    return named.select("p_type", F.concat(F.lit("Changed in "), F.lower("p_type"), F.lit(": "), "fs").alias("description"))
+    named = R.first_k(pairs, "p_type", "f", 20)
+    return named.select("p_type", F.concat(F.lit("Changed in "), F.lower("p_type"), F.lit(": "), F.array_join("values", ", ")).alias("description"))
 
 
-@query("SELECT 'repo_' || vec_id AS id, len(embedding)::INT AS dims, coalesce(CAST(label AS VARCHAR), '') AS label FROM embeddings WHERE vec_id IS NOT NULL AND label <> 3")
+@query("""SELECT CASE WHEN label IS NULL THEN CAST(vec_id AS VARCHAR) ELSE 'repo' || label || '_' || vec_id END AS id, len(embedding)::INT AS dims, CAST(vec_id AS VARCHAR) AS test_id, left(array_to_string(embedding, ' '), 0) || left(repeat('d', vec_id::INT * 7), 1000) AS description,
+ CASE WHEN vec_id % 2 = 0 THEN 'true' ELSE 'false' END AS is_async, CASE WHEN vec_id % 3 = 0 THEN 'slow,db' ELSE '' END AS markers, coalesce('repo' || label, '') AS test_repo_id FROM embeddings WHERE vec_id IS NOT NULL AND label <> 3""")
 def vector_upsert(spark, d):
-    """Rows for a store, after the rows of one repository (label 3) are deleted."""
-    kept = load(spark, d, "embeddings").where("label <> 3")
-    return R.vector_rows(kept, "repo", 64).select("id", F.size("embedding").alias("dims"), "label")
+    """Rows for a store with flat metadata of strings, after the rows of one repository (label 3) are deleted."""
+    rows = load(spark, d, "embeddings").where("label <> 3").selectExpr(
+        "vec_id as test_id", "embedding", "'repo' || label as repo", "repeat('d', cast(vec_id * 7 as int)) as description", "vec_id % 2 = 0 as is_async", "CASE WHEN vec_id % 3 = 0 THEN array('slow', 'db') ELSE array() END as markers")
+    return R.vector_rows(rows, 64).select("id", F.size("embedding").alias("dims"), "test_id", "description", "is_async", "markers", "test_repo_id")
 
 
 @query()
@@ -132,7 +127,8 @@ def hashed_embeddings(spark, d):
 @query(sql(REGISTRY) + "SELECT language, array_to_string(list_sort(list(DISTINCT file_path))[1:10], ';') AS sample, least(count(DISTINCT file_path), 500) AS capped FROM registry GROUP BY 1")
 def list_caps(spark, d):
     files = registry(spark, d).select("language", "file_path").distinct()
-    return files.groupBy("language").agg(F.array_join(F.slice(F.sort_array(F.collect_list("file_path")), 1, 10), ";").alias("sample"), F.least(F.count("*"), F.lit(500)).alias("capped"))
+    n = files.groupBy("language").agg(F.least(F.count("*"), F.lit(500)).alias("capped"))
+    return R.first_k(files, "language", "file_path", 10).join(n, "language").select("language", F.array_join("values", ";").alias("sample"), "capped")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

@@ -11,7 +11,7 @@ from ..operators import score as C
 from ..operators import stats as S
 from ..operators import vector as V
 from .lookups import BELOW, FL_CTE, LOOKUP_CTE
-from .tables import ENT, RI, TFM, entities, load, mapping, reverse_index, small, sql
+from .tables import ENT, RI, TFM, entities, load, mapping, reverse_index, small, sql, symbol
 from .texts import TOKENS
 
 QUERIES: dict = {}
@@ -122,16 +122,24 @@ def rows(df, seq, kind, ref="cast(null as string)", source="cast(null as string)
     return df.selectExpr("test_id", f"{seq} as seq", f"'{kind}' as type", f"{ref} as reference_type", f"{source} as source", f"{sim} as similarity", f"{strategy} as match_strategy", f"{weak} as weak")
 
 
+def wanted():
+    """Which part of the index the change can reach: by symbol or module, by function, or below a module's pattern."""
+    terms = F.array(*map(F.lit, CHANGE.exact))
+    functions = F.concat_ws(":", "module_name", "function_name").isin(*[":".join(f) for f in CHANGE.functions])
+    below = F.col("module_name").isin(*[m.removesuffix(".*") for m in CHANGE.modules])
+    return F.arrays_overlap(L.dotted_keys(symbol()), terms) | functions | below
+
+
 def exact_hits(spark, d):
     """term, test_id, reference_type, weak: the changed symbols and modules in the index."""
-    found = L.lookup_symbols(reverse_index(spark, d), small(spark, [(t,) for t in CHANGE.exact], "term string"))
+    found = L.lookup_symbols(reverse_index(spark, d, wanted()), small(spark, [(t,) for t in CHANGE.exact], "term string"))
     return found.select("term", "test_id", "reference_type", F.col("term").isin(*WEAK).alias("weak"))
 
 
 def structural(spark, d):
     """What the index says, by strategy: functions, test files, integration, symbols, modules, neighbours, stems."""
-    ri, ent = reverse_index(spark, d), entities(spark, d)
-    functions = L.function_level(mapping(spark, d), ent, small(spark, list(CHANGE.functions), "module_name string, function_name string"))
+    ri, ent = reverse_index(spark, d, wanted()), entities(spark, d)
+    functions = L.function_level(mapping(spark, d, wanted()), ent, small(spark, list(CHANGE.functions), "module_name string, function_name string"))
     exact = exact_hits(spark, d)
     primary = [m[0] for m in map(K.modules, CHANGE.files) if m]
     out = [
@@ -254,6 +262,7 @@ def confidence_distribution(spark, d):
 
 QUALITY = "CASE WHEN fn THEN 'CONFIRMED_FUNCTION' WHEN df THEN 'CONFIRMED_FILE' WHEN ex THEN 'CONFIRMED_SYMBOL' WHEN integ THEN 'INTEGRATION_SCOPE' WHEN mo THEN 'BROAD_MODULE' WHEN se THEN 'SEMANTIC_SUPPLEMENT' ELSE 'UNKNOWN' END"
 RISK = "CASE WHEN sx AND NOT structural AND NOT symbol_fits THEN 'HIGH' WHEN se AND NOT (ex OR fn) THEN CASE WHEN mo THEN 'MEDIUM' ELSE 'MEDIUM_HIGH' END WHEN mo AND NOT (ex OR fn) THEN 'MEDIUM' WHEN ex OR fn THEN 'LOW' ELSE 'LOW_MEDIUM' END"
+HOTFIX_RISK = RISK.replace("THEN 'MEDIUM' WHEN ex OR fn", "THEN 'MEDIUM_HIGH' WHEN ex OR fn")
 HINT = "CASE WHEN structural AND (direct OR fn OR (ex AND NOT se)) THEN 'independent' ELSE 'cross_dependent' END"
 GATE = "(CASE WHEN structural AND sx THEN score >= 30 WHEN sem_coloc THEN true WHEN structural THEN score >= 42 WHEN sx THEN symbol_fits ELSE score >= 42 END AND NOT (coalesce(coloc_only, false) AND NOT sx) AND (NOT structural OR strong OR label_fits))"
 
@@ -263,9 +272,11 @@ def evidence_quality(spark, d):
     return profiled(spark, d).select("test_id", C.evidence_quality().alias("quality"))
 
 
-@query(ALL + f"SELECT test_id, {RISK} AS risk FROM s")
+@query(ALL + f"SELECT test_id, {RISK} AS risk, {HOTFIX_RISK} AS hotfix_risk FROM s")
 def fp_risk(spark, d):
-    return profiled(spark, d).select("test_id", C.false_positive_risk(F.col("symbol_fits")).alias("risk"))
+    """The risk of a false positive, for this change and as if it were a guard edit."""
+    fits = F.col("symbol_fits")
+    return profiled(spark, d).select("test_id", C.false_positive_risk(fits).alias("risk"), C.false_positive_risk(fits, F.lit(True)).alias("hotfix_risk"))
 
 
 @query(ALL + f"SELECT test_id, {HINT} AS hint FROM s")
@@ -355,13 +366,16 @@ def risk_gate(spark, d):
     return n.select("repo", "n_changed", F.when(F.col("n_changed") > F.col("threshold"), "run_all").otherwise("select").alias("decision"))
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN c_nationkey % 5 = 0 THEN CASE WHEN c_acctbal > 0 THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.45::DOUBLE END AS threshold,
-CASE WHEN c_nationkey > 12 THEN least(6, v + 1) ELSE v END AS variations FROM (SELECT *, CASE WHEN c_nationkey % 5 = 0 THEN 5 WHEN c_mktsegment = 'BUILDING' OR c_acctbal > 0 THEN 3 ELSE 4 END AS v FROM customer)""")
+@query("""SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 10 = 1 THEN 0.33::DOUBLE END, CASE WHEN c_nationkey % 5 = 0 THEN CASE WHEN c_acctbal > 0 THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.45::DOUBLE END) AS threshold,
+coalesce(CASE WHEN c_custkey % 10 = 2 THEN 2 END, CASE WHEN c_nationkey > 12 THEN least(6, v + 1) ELSE v END) AS variations FROM (SELECT *, CASE WHEN c_nationkey % 5 = 0 THEN 5 WHEN c_mktsegment = 'BUILDING' OR c_acctbal > 0 THEN 3 ELSE 4 END AS v FROM customer)""")
 def adaptive_config(spark, d):
+    """Threshold and number of query variations by what the change holds; a value that the user set stands."""
     found_none, functions, exact = F.col("c_nationkey") % 5 == 0, F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") > 0
+    given, fixed = F.when(F.col("c_custkey") % 10 == 1, 0.33), F.when(F.col("c_custkey") % 10 == 2, 2)
     v = F.when(found_none, 5).when(functions | exact, 3).otherwise(4)
     threshold = F.when(found_none, F.when(exact, 0.4).otherwise(0.5)).otherwise(0.45)
-    return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), threshold.alias("threshold"), F.when(F.col("c_nationkey") > 12, F.least(F.lit(6), v + 1)).otherwise(v).alias("variations"))
+    more = F.when(F.col("c_nationkey") > 12, F.least(F.lit(6), v + 1)).otherwise(v)
+    return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.coalesce(given, threshold).alias("threshold"), F.coalesce(fixed, more).alias("variations"))
 
 
 @query(ALL + f"""SELECT test_id, test_type, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS band, CASE WHEN structural AND sx THEN 'Both' WHEN structural THEN 'AST' ELSE 'Semantic' END AS match_type,
@@ -371,3 +385,9 @@ def select_entities(spark, d):
     a, s = C.is_structural(), C.has_semantic()
     kind = F.when(a & s, "Both").when(a, "AST").otherwise("Semantic")
     return scored(spark, d).where(kept()).select("test_id", "test_type", "score", C.band(F.col("score")).alias("band"), kind.alias("match_type"), C.evidence_quality().alias("quality"), C.false_positive_risk(F.col("symbol_fits")).alias("risk"), C.dependency_hint().alias("hint"), "n_evidence")
+
+
+@query(ALL + f"SELECT test_id, score FROM s WHERE {GATE} ORDER BY score DESC, test_id LIMIT 100")
+def top_selection(spark, d):
+    """The hundred best tests of the selection, in order."""
+    return scored(spark, d).where(kept()).select("test_id", "score").orderBy(F.desc("score"), "test_id").limit(100)

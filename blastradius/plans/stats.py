@@ -70,11 +70,6 @@ def top_function(spark, d):
     return calls.join(F.broadcast(top), ["module_name", "function_name"]).select("module_name", "function_name", "n", "test_id").distinct().orderBy("test_id").limit(3)
 
 
-@query("SELECT count(*) AS n_orphans FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
-def orphan_check(spark, d):
-    return load(spark, d, "lineitem").join(load(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").agg(F.count("*").alias("n_orphans"))
-
-
 @query("SELECT o_orderkey AS test_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def unused_tests(spark, d):
     return load(spark, d, "orders").join(load(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select(F.col("o_orderkey").alias("test_id"))
@@ -141,7 +136,7 @@ def suite_group(spark, d):
     return registry(spark, d).select(S.suite(F.concat(prefix, "file_path")).alias("suite")).groupBy("suite").agg(F.count("*").alias("n"))
 
 
-@query(sql(RI) + "SELECT production_class, count(DISTINCT test_id) AS n, array_to_string(list_sort(list(DISTINCT test_id)), ',') AS entities FROM ri GROUP BY 1")
+@query(sql(RI) + "SELECT production_class, test_id // 4096 AS block, count(DISTINCT test_id) AS n, array_to_string(list_sort(list(DISTINCT test_id)), ',') AS entities FROM ri GROUP BY 1, 2")
 def inverted_index(spark, d):
     return S.inverted(reverse_index(spark, d), "production_class", "test_id")
 
@@ -151,21 +146,18 @@ def linkage_profile(spark, d):
     return S.linkage(S.counted(entities(spark, d).select("test_id"), load(spark, d, "lineitem").select(F.col("l_orderkey").alias("test_id")), "test_id"))
 
 
-@query(sql(REGISTRY) + "SELECT file_path, class_name, count(*) AS n, min(test_id) AS keeper FROM registry GROUP BY 1, 2 HAVING count(*) > 1")
-def duplicate_groups(spark, d):
-    return S.duplicate_groups(registry(spark, d), ["file_path", "class_name"])
-
-
 @query(sql(REGISTRY) + "SELECT test_id, file_path, class_name FROM registry QUALIFY row_number() OVER (PARTITION BY file_path, class_name ORDER BY test_id) = 1")
 def duplicate_keep(spark, d):
     keep = registry(spark, d).groupBy("file_path", "class_name").agg(F.min("test_id").alias("test_id"))
     return keep.select("test_id", "file_path", "class_name")
 
 
-@query("SELECT source AS analyzer, count(*) AS n_files, sum(n_chars)::BIGINT AS total_chars, round(avg(n_chars::DOUBLE), 2) AS avg_chars FROM documents GROUP BY 1")
+@query("SELECT analyzer, count(*) AS n_files, sum(n)::BIGINT AS total_chars, round(avg(n::DOUBLE), 2) AS avg_chars FROM (SELECT source AS analyzer, n_chars AS n FROM documents UNION ALL SELECT 'pages', len(html) FROM pages UNION ALL SELECT role, len(text) FROM conversations) GROUP BY 1")
 def merge_structure(spark, d):
-    docs = load(spark, d, "documents")
-    # per-analyser results, merged: sums of sums
+    """The results of several analysers, concatenated and summed up."""
+    docs, pages, turns = load(spark, d, "documents"), load(spark, d, "pages"), load(spark, d, "conversations")
+    rows = [docs.select("source", "lang", "n_chars"), pages.select(F.lit("pages"), F.lit(None), F.length("html")), turns.select("role", F.lit(None), F.length("text"))]
+    docs = rows[0].union(rows[1]).union(rows[2])
     part = docs.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
     merged = part.groupBy(F.col("source").alias("analyzer")).agg(F.sum("n").alias("n_files"), F.sum("c").alias("total_chars"))
     return merged.withColumn("avg_chars", F.round(F.col("total_chars").cast("double") / F.col("n_files"), 2))
@@ -176,11 +168,6 @@ def framework_vote(spark, d):
     return S.majority(load(spark, d, "documents"), "source", "lang")
 
 
-@query("SELECT label, count(*) AS n, CASE WHEN count(*) > 0 THEN 'healthy' ELSE 'empty' END AS health FROM embeddings GROUP BY 1")
-def embedding_status(spark, d):
-    return load(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")).withColumn("health", F.when(F.col("n") > 0, "healthy").otherwise("empty"))
-
-
 @query("""SELECT l.quality AS truth, count(*) AS n, count(*) FILTER (d.n_chars >= 200) AS selected FROM labels l JOIN documents d USING (doc_id) GROUP BY 1""")
 def truth_table(spark, d):
     rows = load(spark, d, "labels").join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
@@ -196,10 +183,3 @@ def precision_recall(spark, d):
     tp, fp, fn = n(pick & (F.col("quality") == 1)), n(pick & (F.col("quality") == 0)), n(~pick & (F.col("quality") == 1))
     safe = lambda a, b: F.when(b == 0, 0.0).otherwise(F.round(a / b, 4))
     return rows.agg(safe(tp, tp + fp).alias("precision_"), safe(tp, tp + fn).alias("recall_"), safe(2 * tp, 2 * tp + fp + fn).alias("f1"))
-
-
-@query("""WITH k AS (SELECT count(*) AS n_tests, count(*) FILTER (n_chars >= 2000) AS n_high FROM documents)
-SELECT n_tests, n_high, round((1 - n_high::DOUBLE / n_tests) * 100, 1) AS reduction_pct FROM k""")
-def reduction_stats(spark, d):
-    rows = load(spark, d, "documents").agg(F.count("*").alias("n_tests"), F.count_if(F.col("n_chars") >= 2000).alias("n_high"))
-    return rows.withColumn("reduction_pct", F.when(F.col("n_tests") == 0, 0.0).otherwise(F.round((1 - F.col("n_high").cast("double") / F.col("n_tests")) * 100, 1)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,20 +29,26 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+def symbol() -> Column:
+    return F.concat_ws(".", "module_name", "function_name", "leaf")
+
+
+def _lines(spark: SparkSession, sf_dir: str, *columns: str, wanted: Column | None = None) -> DataFrame:
+    """wanted: a test on module_name, function_name and leaf, made before the join, so that only what matters is joined."""
     part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_type").alias("module_name"), F.expr("lower(replace(p_brand, '#', ''))").alias("function_name"), F.expr("replace(p_name, ' ', '_')").alias("leaf"))
+    part = part if wanted is None else part.where(wanted)
     return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *columns).join(part, "l_partkey")
 
 
-def reverse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reverse_index(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
     """test_id, production_class, reference_type: which test refers to which symbol."""
     kind = F.expr("CASE l_returnflag WHEN 'A' THEN 'direct_import' WHEN 'N' THEN 'string_ref' ELSE 'transitive_import' END")
-    return _lines(spark, sf_dir, "l_returnflag").select(F.col("l_orderkey").alias("test_id"), F.concat_ws(".", "module_name", "function_name", "leaf").alias("production_class"), kind.alias("reference_type"))
+    return _lines(spark, sf_dir, "l_returnflag", wanted=wanted).select(F.col("l_orderkey").alias("test_id"), symbol().alias("production_class"), kind.alias("reference_type"))
 
 
-def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mapping(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
     """test_id, module_name, function_name, source: which test calls which function."""
-    return _lines(spark, sf_dir, "l_linestatus").select(F.col("l_orderkey").alias("test_id"), "module_name", "function_name", F.expr("CASE l_linestatus WHEN 'F' THEN 'patch_ref' ELSE 'method_call' END").alias("source"))
+    return _lines(spark, sf_dir, "l_linestatus", wanted=wanted).select(F.col("l_orderkey").alias("test_id"), "module_name", "function_name", F.expr("CASE l_linestatus WHEN 'F' THEN 'patch_ref' ELSE 'method_call' END").alias("source"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:

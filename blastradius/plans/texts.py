@@ -61,16 +61,21 @@ def normalize_import(spark, d):
     return docs(spark, d).select("doc_id", F.coalesce(X.normalize_import(spec), F.lit("")).alias("stem"))
 
 
-@query("""WITH p AS (SELECT doc_id, regexp_replace(replace(regexp_replace('src/' || source || '/' || lang || '.js', '\\.[A-Za-z]+$', ''), '/', '.'), '^(backend|client|src)\\.', '') AS m FROM documents)
-SELECT doc_id, m AS full_module, string_split(m, '.')[1] AS first_part, string_split(m, '.')[-1] AS last_part FROM p""")
+FILE = "CASE doc_id % 4 WHEN 0 THEN 'src/' || source || '/' || lang || '.js' WHEN 1 THEN 'backend/client/' || lang || '.py' WHEN 2 THEN lang || '.ts' ELSE 'src/main/' || source || '/' || lang || '.java' END"
+
+
+@query(f"""WITH p AS (SELECT doc_id, {FILE} AS path FROM documents), m AS (SELECT doc_id, path, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(path, '\\.[A-Za-z]+$', ''), '/', '.'), '^backend\\.', ''), '^client\\.', ''), '^src\\.', '') AS m FROM p)
+SELECT doc_id, array_to_string(list_filter([m, CASE WHEN contains(m, '.') THEN string_split(m, '.')[1] END, CASE WHEN contains(m, '.') AND (path LIKE '%.js' OR path LIKE '%.ts') THEN string_split(m, '.')[-1] END], lambda x: x IS NOT NULL), ',') AS modules FROM m""")
 def module_candidates(spark, d):
-    c = X.module_candidates(F.concat(F.lit("src/"), "source", F.lit("/"), "lang", F.lit(".js")))
-    return docs(spark, d).select("doc_id", c[0].alias("full_module"), c[1].alias("first_part"), F.element_at(c, -1).alias("last_part"))
+    return docs(spark, d).select("doc_id", F.expr(FILE).alias("path")).select("doc_id", F.array_join(X.module_candidates(F.col("path")), ",").alias("modules"))
 
 
-@query("SELECT doc_id, array_to_string(list_sort(['test_' || lang || '.py', lang || '.test.js', lang || '.spec.js', source || '_' || lang || '.test.js']), ',') AS names FROM documents")
+@query(f"""WITH p AS (SELECT doc_id, {FILE} AS path FROM documents), s AS (SELECT doc_id, regexp_extract(path, '([^/]+)\\.[^./]+$', 1) AS stem, regexp_extract(path, '([^/]+)/[^/]+$', 1) AS parent, regexp_extract(path, '([.][^./]+)$', 1) AS ext FROM p),
+n AS (SELECT doc_id, ext, unnest(list_distinct([stem, CASE WHEN parent <> '' THEN parent || '_' || stem ELSE stem END])) AS n FROM s),
+c AS (SELECT doc_id, unnest(CASE ext WHEN '.py' THEN ['test_' || n || '.py', n || '_test.py'] WHEN '.java' THEN [n || 'Test.java', n || 'Tests.java', n || 'Spec.java'] WHEN '.ts' THEN [n || '.test.ts', n || '.spec.ts', n || '.test.tsx', n || '.spec.tsx'] ELSE [n || '.test.js', n || '.spec.js', n || '.test.jsx', n || '.spec.jsx'] END) AS c FROM n)
+SELECT doc_id, string_agg(c, ',' ORDER BY c) AS names FROM c GROUP BY 1""")
 def test_file_candidates(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(X.test_file_candidates(F.concat(F.lit("a/"), "source", F.lit("/"), "lang", F.lit(".js"))), ",").alias("names"))
+    return docs(spark, d).select("doc_id", F.expr(FILE).alias("path")).select("doc_id", F.array_join(X.test_file_candidates(F.col("path")), ",").alias("names"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) <= 350 THEN text ELSE left(text, 200) || ' ... ' || right(text, 150) END AS short_text, left(coalesce(lang, ''), 50) AS ref_type FROM documents")
@@ -78,10 +83,13 @@ def truncate_text(spark, d):
     return docs(spark, d).select("doc_id", X.head_tail(F.col("text"), 200, 150).alias("short_text"), F.substring(F.coalesce("lang", F.lit("")), 1, 50).alias("ref_type"))
 
 
-@query("SELECT p_partkey, trim(regexp_split_to_array(p_name || ' with ' || p_type || ' > ' || p_brand, '(?i)\\s+(?:with|uses|from|for|in|that)\\s+|\\s*[>:]\\s*')[1]) AS head FROM part")
+LABEL = "CASE p_size % 5 WHEN 0 THEN p_name || ' with ' || p_type WHEN 1 THEN p_name || ' → ' || p_brand || ' > x' WHEN 2 THEN p_name || ': ' || p_type WHEN 3 THEN ' ' || p_name || ' > ' || p_type || ' ' ELSE p_brand || ' — ' || p_name END"
+
+
+@query(f"SELECT p_partkey, CASE p_size % 5 WHEN 2 THEN p_name || ': ' || p_type WHEN 4 THEN p_brand ELSE p_name END AS head, replace(replace('test_' || replace(p_name, ' ', '_'), 'test_', ''), '_', ' ') AS title FROM part")
 def describe_label_enrich(spark, d):
-    label = F.concat("p_name", F.lit(" with "), "p_type", F.lit(" > "), "p_brand")
-    return load(spark, d, "part").select("p_partkey", X.label_head(label).alias("head"))
+    name = F.concat(F.lit("test_"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    return load(spark, d, "part").select("p_partkey", X.label_head(F.expr(LABEL)).alias("head"), X.readable(name).alias("title"))
 
 
 @query("SELECT doc_id, length(text) AS size, len(string_split(text, chr(10))) AS n_lines, lang AS language FROM documents")
@@ -95,42 +103,11 @@ def file_source(spark, d):
     return registry(spark, d).join(body, "test_id").select(F.left(F.sha2(F.concat("file_path", F.lit("#"), F.col("test_id").cast("string")), 256), F.lit(16)).alias("file_id"), "file_path", "line_count", "content_sha")
 
 
-@query("""SELECT CASE WHEN regexp_matches(html, '<nav>') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(html, '<script>') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(html, '<table') THEN 1 ELSE 0 END AS votes, count(*) AS n,
-CASE WHEN CASE WHEN regexp_matches(html, '<nav>') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(html, '<script>') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(html, '<table') THEN 1 ELSE 0 END >= 5 THEN 'medium' ELSE 'low' END AS confidence FROM pages GROUP BY ALL""")
-def framework_detect(spark, d):
-    weight = lambda rx, w: F.when(F.col("html").rlike(rx), w).otherwise(0)
-    v = weight("<nav>", 2) + weight("<script>", 3) + weight("<table", 1)
-    return load(spark, d, "pages").select(v.alias("votes")).groupBy("votes").agg(F.count("*").alias("n")).withColumn("confidence", F.when(F.col("votes") >= 5, "medium").otherwise("low"))
-
-
-@query("SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '[A-Z][a-z]+'), 1, 15), ' ') AS calls, left(text, 500) AS setup FROM documents")
-def summarize_content(spark, d):
-    return docs(spark, d).select("doc_id", F.array_join(F.slice(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0), 1, 15), " ").alias("calls"), F.substring("text", 1, 500).alias("setup"))
-
-
-@query(sql(REGISTRY) + "SELECT test_id, concat_ws(chr(10), 'Test: ' || coalesce(class_name, 'unknown'), 'Type: ' || test_type, CASE WHEN language <> 'en' THEN 'Language: ' || language END, left(text, 200)) AS body FROM registry JOIN documents ON doc_id = test_id")
-def embedding_text(spark, d):
-    rows = registry(spark, d).join(docs(spark, d).select(F.col("doc_id").alias("test_id"), "text"), "test_id")
-    return rows.select("test_id", F.concat_ws("\n", F.concat(F.lit("Test: "), F.coalesce("class_name", F.lit("unknown"))), F.concat(F.lit("Type: "), "test_type"), F.when(F.col("language") != "en", F.concat(F.lit("Language: "), "language")), F.substring("text", 1, 200)).alias("body"))
-
-
 @query("SELECT doc_id, i::INT AS chunk_no, substr(text, i * 500 + 1, 500) AS chunk FROM documents, range(0, greatest(length(text) - 1, 0) // 500 + 1) r(i)")
 def chunk_fixed(spark, d):
     return docs(spark, d).select("doc_id", F.explode(X.fixed_chunks(F.col("text"), 500)).alias("c")).select("doc_id", "c.chunk_no", "c.chunk")
 
 
-@query("SELECT doc_id, t.i::INT AS chunk_no, chunk FROM (SELECT doc_id, unnest(string_split(text, '.' || chr(10))) AS chunk, generate_subscripts(string_split(text, '.' || chr(10)), 1) - 1 AS i FROM documents) t")
-def chunk_by_boundary(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\\.\n", -1)).alias("chunk_no", "chunk"))
-
-
-@query("SELECT DISTINCT 'exact' AS kind, lower(p_type) AS value FROM part UNION SELECT DISTINCT 'module', p_name FROM part WHERE p_size > 25")
-def search_terms(spark, d):
-    part = load(spark, d, "part")
-    exact = part.select(F.lit("exact").alias("kind"), F.lower("p_type").alias("value"))
-    return exact.unionByName(part.where("p_size > 25").select(F.lit("module").alias("kind"), F.col("p_name").alias("value"))).distinct()
-
-
 @query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total_k FROM events GROUP BY 1")
 def json_props(spark, d):
     return load(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.from_json("props", "k long")["k"]).alias("total_k"))
@@ -267,9 +244,12 @@ def reference_union(spark, d):
     return a.unionByName(mapping(spark, d).select("test_id", F.concat_ws(".", "module_name", "function_name").alias("reference"))).distinct()
 
 
-@query("""WITH a AS (SELECT o_orderkey AS test_id, 's' || o_custkey % 3 AS schema_, o_custkey % 3 AS rank FROM orders), b AS (SELECT test_id % 1000 AS test_id, schema_, rank FROM a)
-SELECT test_id, arg_min(schema_, rank) AS source_schema, count(*) AS n_evidence FROM b GROUP BY 1""")
+@query("""WITH a AS (SELECT 0 AS rank, 'docs' AS namespace, doc_id AS test_id, source AS name, 'exact' AS kind FROM documents UNION ALL SELECT 1, 'pages', page_id, left(url, 12), 'module' FROM pages UNION ALL SELECT 2, 'turns', conv_id, role, 'semantic' FROM conversations)
+SELECT test_id, arg_min(namespace, (rank, name)) AS source_schema, arg_min(name, (rank, name)) AS name, count(*) AS n_evidence, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM a GROUP BY 1""")
 def merge_schemas(spark, d):
-    # the first schema wins a test's row, evidence of all of them counts
-    rows = load(spark, d, "orders").selectExpr("o_orderkey % 1000 as test_id", "'s' || o_custkey % 3 as schema_", "o_custkey % 3 as rank")
-    return rows.groupBy("test_id").agg(F.min_by("schema_", "rank").alias("source_schema"), F.count("*").alias("n_evidence"))
+    """Tests of several namespaces: the first one's row stands, the evidence of all of them is put together."""
+    part = lambda t, rank, name, key, label, kind: load(spark, d, t).select(F.lit(rank).alias("rank"), F.lit(name).alias("namespace"), F.col(key).alias("test_id"), label.alias("name"), F.lit(kind).alias("kind"))
+    rows = part("documents", 0, "docs", "doc_id", F.col("source"), "exact").unionByName(part("pages", 1, "pages", "page_id", F.left("url", F.lit(12)), "module")).unionByName(part("conversations", 2, "turns", "conv_id", F.col("role"), "semantic"))
+    first = F.min(F.struct("rank", "name", "namespace"))
+    out = rows.groupBy("test_id").agg(first.alias("f"), F.count("*").alias("n_evidence"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
+    return out.select("test_id", F.col("f.namespace").alias("source_schema"), "f.name", "n_evidence", "kinds")

@@ -30,9 +30,59 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"generated_at string, data array<struct<{schema}>>").json(path, multiLine=True).select("generated_at", F.explode("data").alias("row")).select("generated_at", "row.*")
 
 
-def write_documents(df: DataFrame, path: str) -> None:
-    """Rows as JSON lines, one file for each partition."""
-    df.write.mode("errorifexists").json(path)
+def write_documents(df: DataFrame, path: str, generated_at: str, rows: int = 1000) -> None:
+    """Rows in envelopes {generated_at, data: [...]} of at most so many rows, one to a line, a file for each partition."""
+    block = F.expr(f"cast(monotonically_increasing_id() div {rows} as bigint)")  # never across partitions
+    numbered = df.withColumn("__block", block)
+    packed = numbered.groupBy("__block").agg(F.collect_list(F.struct(*df.columns)).alias("data"))
+    packed.select(F.lit(generated_at).alias("generated_at"), "data").write.mode("errorifexists").json(path)
+
+
+# The documents that an analyser leaves, and where their rows are.
+DOCUMENTS = {
+    "files": ("01_test_files.json", "files"),
+    "frameworks": ("02_framework_detection.json", "frameworks"),
+    "tests": ("03_test_registry.json", "tests"),
+    "dependencies": ("04_static_dependencies.json", "test_dependencies"),
+    "calls": ("04b_function_calls.json", "test_function_mappings"),
+    "metadata": ("05_test_metadata.json", "test_metadata"),
+    "index": ("06_reverse_index.json", "reverse_index"),
+    "structure": ("07_test_structure.json", "structure"),
+}
+
+
+def merge_analyzers(spark: SparkSession, folders: list[str], kind: str, schema: str) -> DataFrame:
+    """analyzer (its folder), and the rows of one kind of document of all analysers; one that lacks it gives none."""
+    name, key = DOCUMENTS[kind]
+    found = [f for f in folders if _exists(spark, f"{f}/{name}")]
+    wanted = f"generated_at string, data struct<{key}: array<struct<{schema}>>>"
+    if not found:
+        return spark.createDataFrame([], f"analyzer string, {schema}")
+    rows = spark.read.schema(wanted).json([f"{f}/{name}" for f in found], multiLine=True)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    return rows.select(folder.alias("analyzer"), F.explode(f"data.{key}").alias("row")).select("analyzer", "row.*")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def namespace_of(digest: str) -> str:
+    """The namespace of an archive's tables, by its SHA-256."""
+    return f"test_repo_{digest[:8]}"
+
+
+def namespaces(one: str | None, many: list[str] | None, default: str) -> list[str]:
+    """A list of namespaces, else a single one, else the default; blanks count for nothing."""
+    given = [n.strip() for n in many or [] if n and n.strip()]
+    return given or ([one.strip()] if one and one.strip() else [default])
+
+
+def diff_text(spark: SparkSession, path: str) -> str:
+    """The one diff in a file or folder of files, in order of their names."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "value").orderBy("p").collect()  # a stated diff
+    return "\n".join(r["value"].rstrip("\n") for r in rows)
 
 
 def ingest_archive(path: str, into: str) -> str:

@@ -11,15 +11,39 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.mutation import latest
 
 
-def audit_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Events by type and tumbling window; rows later than the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("window.start", "window.end", "event_type", "n", "total")
+def audit_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """Events by type and window (sliding, if slide is given); rows later than the watermark are left out."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", window, slide), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("window.start", "window.end", "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select("session_window.start", "session_window.end", "user_id", "n")
 
 
+def first_failures(events: DataFrame, most: int = 3, timeout: str = "2 hours") -> DataFrame:
+    """user_id, event_id, streak: of each user's stream the event that makes `most` errors in a row; any other event ends a
+    row. A custom stateful operator: the state is one number for each user, and goes after `timeout` without events."""
+    import pandas as pd
+
+    def run(key, parts, state):
+        streak = state.get[0] if state.exists else 0
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        out = []
+        for event_id, kind in zip(rows["event_id"], rows["event_type"], strict=True):
+            streak = streak + 1 if kind == "error" else 0
+            if streak == most:
+                out.append((key[0], event_id, streak))
+        state.update((streak,))
+        state.setTimeoutDuration(int(pd.Timedelta(timeout).total_seconds() * 1000))
+        yield pd.DataFrame(out, columns=["user_id", "event_id", "streak"])
+
+    keyed = events.select("user_id", "event_id", "ts", "event_type").groupBy("user_id")
+    return keyed.applyInPandasWithState(run, "user_id long, event_id long, streak int", "streak int", "append", "ProcessingTimeTimeout")
+
+
 def upsert_stream(rows: DataFrame, key: str, order: str, read: Callable[[], DataFrame | None], write: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
     """Every micro-batch replaces the stored rows of its keys; within a batch the last row of a key wins."""
 
@@ -29,3 +53,25 @@ def upsert_stream(rows: DataFrame, key: str, order: str, read: Callable[[], Data
         write(new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new))
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_folder(rows: DataFrame, key: str, order: str, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the latest row of each key in a Parquet folder that is partitioned by buckets of the key.
+
+    A micro-batch rewrites the buckets that it touches, and no others. Rows that are older than what is stored lose, so
+    that a batch that is applied again after a failure changes nothing.
+    """
+    spark = rows.sparkSession
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        new = latest(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), [key], [F.desc(order)])
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(*touched))
+            new = latest(old.unionByName(new.select(*old.columns)), [key], [F.desc(order)])
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

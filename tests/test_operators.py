@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from blastradius.functions import text as X
 from blastradius.operators import change as K
 from blastradius.operators import diff as D
+from blastradius.operators import extract as E
 from blastradius.operators import lookup as L
 from blastradius.operators import mutation as M
+from blastradius.operators import plugins as PL
 from blastradius.operators import programs as P
 from blastradius.operators import score as C
 from blastradius.operators import stats as S
+from blastradius.operators import store as ST
 from blastradius.operators import vector as V
 from blastradius.sources import files
 
@@ -143,6 +146,16 @@ def test_sources(spark, tmp_path):
     first = files.ingest_archive(str(tmp_path / "z.zip"), str(tmp_path / "out"))
     assert files.ingest_archive(str(tmp_path / "z.zip"), str(tmp_path / "out")) == first
     assert (tmp_path / "out" / first / "k" / "t.txt").read_text() == "hello"
+    files.write_documents(spark.range(5).coalesce(1), str(tmp_path / "out.json"), "now", 2)
+    back = spark.read.json(str(tmp_path / "out.json"))
+    assert sorted(len(r["data"]) for r in back.collect()) == [1, 2, 2] and {r["generated_at"] for r in back.collect()} == {"now"}
+    for name, tests in (("js", [1, 2]), ("py", [3])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "03_test_registry.json").write_text('{"generated_at": "t", "data": {"tests": [' + ", ".join(f'{{"test_id": {t}}}' for t in tests) + "]}}")
+    merged = files.merge_analyzers(spark, [str(tmp_path / n) for n in ("js", "py", "none")], "tests", "test_id: long")
+    assert sorted(tuple(r) for r in merged.collect()) == [("js", 1), ("js", 2), ("py", 3)]
+    assert files.merge_analyzers(spark, [str(tmp_path / "js")], "calls", "test_id long").count() == 0
+    assert files.namespace_of(first) == f"test_repo_{first[:8]}" and files.namespaces("a", [" b ", ""], "c") == ["b"] and files.namespaces(" ", [], "c") == ["c"]
     assert files.valid_namespace("test_repo_1") and not files.valid_namespace("a-b") and not files.valid_namespace("")
     assert files.table_columns(spark, "no_such_table") == []
 
@@ -211,6 +224,15 @@ def test_headerless_hunks_are_dealt_to_files():
     assert [(g["file"], g["additions"]) for g in P.parse_diff("@@ -1,1 +1,1 @@\n+a", ["x.js", "y.js"])] == [("x.js", 1), ("y.js", 0)]
 
 
+def test_headers_from_status():
+    got = K.with_status([
+        {"new_path": "a.js", "old_path": "a.js", "status": "added", "diff": "@@ -0,0 +1 @@\n+x"}, {"old_path": "b.js", "status": "removed", "diff": "@@ -1 +0,0 @@\n-y\n-z"}, {"new_path": "c.bin"},
+    ])
+    assert (got["changed_files"], got["additions"], got["deletions"]) == (["a.js", "b.js", "c.bin"], 1, 2)
+    assert [(c["file"], c["status"], c["additions"], c["deletions"]) for c in P.parse_diff(got["diff"])] == [("a.js", "added", 1, 0), ("b.js", "deleted", 0, 2)]
+    assert K.with_status([{"new_path": "a", "diff": "diff --git a/a b/a\n+q", "added_lines": 5}])["additions"] == 5
+
+
 def test_suites(spark):
     paths = {"app/unit/tests/foo/x.js": "unit", "tests/a.py": "a.py", "tests/unit/a.py": "unit", "a/test//b.js": "root", "src/e2e": "e2e", "src/a.js": "other", "a/contests/b.js": "other", None: "other", "x\\tests\\ui\\a.js": "ui", "tests": "other"}
     rows = spark.createDataFrame([(k, v) for k, v in paths.items()], "path string, want string")
@@ -278,6 +300,132 @@ def test_flagship_has_all_kinds(spark):
     assert kinds == {"Both", "AST", "Semantic"}
 
 
+def test_paths_of_tests(spark):
+    rows = [
+        ("a/test_x.py", "python", True, True, "unit", "unit"), ("a/x.py", "python", True, False, "unit", "unit"), ("node_modules/x.test.js", "javascript", False, True, "unit", "unit"),
+        ("api/UserTest.JAVA", "java", True, True, "integration", "unit"), ("cypress/Integration/x.spec.tsx", "typescript", True, True, "e2e", "integration"), ("x/acceptance/t.py", "python", True, False, "e2e", "e2e"),
+        ("build", None, True, False, "unit", "unit"), ("README", None, True, False, "unit", "unit"), ("w\\e2e\\a_test.go", "go", True, True, "e2e", "e2e"), ("a.b/c", None, True, False, "unit", "unit"),
+    ]
+    df = spark.createDataFrame(rows, "path string, lang string, scan boolean, test boolean, category string, type string")
+    p = F.col("path")
+    got = df.select("path", E.language_of(p), E.should_scan(p), E.is_test_file(p), E.category(p), E.test_type(p, F.coalesce(E.language_of(p), F.lit(""))))
+    assert [tuple(r) for r in got.collect()] == rows
+
+
+def test_tests_of_every_language(spark):
+    bodies = {
+        "python": ("async def test_a():\n  pass\ndef helper(): pass\nclass X:\n  def testB(self): pass", ["test_a", "testB"]),
+        "java": ("@Test\npublic void one() {}\n@Test(x = 1)\nvoid testTwo() {}\nprotected void testThree() {}\nvoid four() {}", ["one", "testTwo", "testThree"]),
+        "javascript": ("it('one', f)\ntest(\"two\", g)\ndescribe(`box`, h)\nit.each([1, 2])('row %s', k)\nsubmit('x')", ["one", "two", "box", "row %s"]),
+        "kotlin": ("@Test fun testA() {}\nfun testB() {}\nfun other() {}", ["testA", "testB"]),
+        "go": ("func TestA(t *testing.T) {}\nfunc TestB(b *testing.B) {}", ["TestA"]),
+        "ruby": ("it 'works' do\ndef test_b", ["works", "test_b"]),
+        "csharp": ("[Fact]\npublic void One() {}\n[Theory] async Task Two() {}\npublic void Three() {}", ["One", "Two"]),
+        "c": ("void test_a(void) {}\nstatic void test_b(void) {}", ["test_a"]),
+        "cpp": ("TEST(S, A) {}\nTEST_P(S, B) {}\nTYPED_TEST(S, C) {}\ninline void test_d() {}", ["A", "B", "C", "test_d"]),
+    }
+    df = spark.createDataFrame([(i, k, v[0]) for i, (k, v) in enumerate(bodies.items())], "file_id long, language string, body string")
+    got = {}
+    for r in E.declared_tests(df).orderBy("file_id", "ordinal").collect():
+        got.setdefault(r["language"], []).append(r["test_name"])
+    assert got == {k: v[1] for k, v in bodies.items()}
+    plugged = {(r["language"], r["test_name"]) for r in PL.scan(df).collect()}
+    assert {("go", "TestA"), ("cpp", "B"), ("ruby", "works")} <= plugged
+
+
+def test_references_and_production(spark):
+    bodies = [
+        (1, "python", "import os\nimport app.core\nfrom app.tests import x\nfrom pytest_cov import y\nmock.patch('app.core.Run')"),
+        (2, "java", "import java.util.List;\nimport com.x.Login;\nimport com.y.*;\nimport org.junit.Test;\nClass.forName(\"com.z.Late\")"),
+        (3, "javascript", "require('fs')\nimport './lib/cart'\nrequire('@scope/pay')\nrequire('jest-x')\nimport('./spec/a')"),
+    ]
+    got = {tuple(r) for r in E.references(spark.createDataFrame(bodies, "file_id long, language string, body string")).collect()}
+    assert got == {
+        (1, "app.core", "core", "direct_import"), (1, "app.core.Run", "Run", "string_ref"), (2, "com.x.Login", "Login", "direct_import"), (2, "com.y", None, "direct_import"), (2, "com.z.Late", "Late", "string_ref"),
+        (3, "./lib/cart", "cart", "direct_import"), (3, "pay", "pay", "direct_import"),
+    }
+
+
+def test_chunks_by_test(spark):
+    body = "import a\ndescribe('Box', () => {\n  it('one', () => {\n    x()\n  })\n\n  test('two', () => {})\n})\n"
+    df = spark.createDataFrame([(1, "javascript", body), (2, "python", "x = 1"), (3, "python", "def test_a(): pass\n\nclass TestB:\n  def test_c(self):\n    pass"), (4, "other", "it('a')")], "file_id long, language string, body string")
+    got = [tuple(r) for r in E.chunks_by_test(df).orderBy("file_id", "chunk_no").collect()]
+    assert got == [
+        (1, 0, "  it('one', () => {\n    x()\n  })\n\n", 3, 7, "one", ""), (1, 1, "  test('two', () => {})\n})\n", 7, 9, "two", ""), (3, 0, "  def test_c(self):\n    pass", 4, 5, "test c", ""),
+    ]
+
+
+def test_inverted_index_has_five_sources(spark):
+    dep = [(1, "../lib/cart.js", "direct_import", "Cart with items"), (1, "src/deep.js", "transitive_import", "Cart with items"), (2, "notes", "source_annotation", ""), (2, "x/notes", "source_annotation", None)]
+    deps = spark.createDataFrame(dep, "test_id long, referenced_class string, reference_type string, class_name string")
+    calls = spark.createDataFrame([(1, "cart", None), (2, "pay", "patch_ref"), (2, "", None)], "test_id long, module_name string, source string")
+    got = sorted(tuple(r) for r in E.inverted_rows(deps, calls, X.label_head(F.col("class_name"))).collect())
+    assert got == sorted([
+        ("../lib/cart.js", 1, "direct_import"), ("cart", 1, "normalized_import"), ("src/deep.js", 1, "transitive_import"), ("deep", 1, "transitive_normalized"), ("notes", 2, "source_annotation"),
+        ("x/notes", 2, "source_annotation"), ("notes", 2, "source_annotation_normalized"), ("cart", 1, "method_call"), ("pay", 2, "patch_ref"), ("Cart", 1, "describe_label"), ("Cart with items", 1, "describe_label"),
+    ])
+
+
+def test_texts_for_embeddings(spark):
+    code = "def test_a():\n    assert run(1) == 2\n    pay(3)\n" + "# filler words here\n" * 400
+    got = spark.createDataFrame([(code,)], "body string").select(E.summarized(F.col("body")).alias("t")).first()["t"]
+    assert got.startswith("Assertions:\nassert run(1) == 2\n\nFunction calls:\ntest_a()\nrun(1)\npay(3)\n\nSetup:\ndef test_a():") and len(got) < 800
+    cut = spark.createDataFrame([("aa " * 40,), ("a" * 120,), ("short",)], "t string").select(E.cut_at_blank(F.col("t"), 100).alias("t"))
+    assert [r["t"] for r in cut.collect()] == ["aa " * 32 + "aa...", "a" * 100 + "...", "short"]
+
+
+def test_stores(spark, tmp_path):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "x", 1), (2, "z", 3), (2, "y", 2)], "k int, v string, o int")
+    assert sorted(tuple(r) for r in ST.insert_ignore(old, new, ["k"], "o").collect()) == [(1, "a"), (2, "y")]
+    base = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, v string, n int")
+    changes = spark.createDataFrame([(1, None, 9), (3, "q", 1)], "k int, v string, n int")
+    assert sorted(tuple(r) for r in ST.partial_update(base, changes, "k").collect()) == [(1, "a", 9), (2, "b", 6)]
+    for _ in range(2):
+        ST.append(old, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_plugins(spark, tmp_path):
+    PL.LANGUAGES.add("zig", PL.Language("zig", (".zig",), (r'test "([^"]+)"',), (r'@import\("([^"]+)"\)',), r"^std$"))
+    try:
+        df = spark.createDataFrame([(1, "zig", 'const s = @import("std"); const c = @import("cart"); test "adds" {}')], "file_id long, language string, body string")
+        assert [r["test_name"] for r in PL.scan(df).collect()] == ["adds"]
+        assert {(r["module"], r["production"]) for r in PL.imports(df).collect()} == {("std", False), ("cart", True)}
+        assert spark.createDataFrame([("x.zig",), ("x.py",), ("x.md",)], "p string").select(PL.language_of(F.col("p")).alias("l")).collect() == [("zig",), ("python",), (None,)]
+        with pytest.raises(ValueError, match="known already"):
+            PL.LANGUAGES.add("zig", None)
+        with pytest.raises(KeyError, match="no model"):
+            PL.MODELS.get("none")
+    finally:
+        PL.LANGUAGES.known.pop("zig")
+    store = PL.STORES.get("parquet")(spark, str(tmp_path / "vectors"), 2)
+    store.upsert(spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.0, 1.0]), (3, "b", [1.0, 1.0])], "id int, repo string, embedding array<float>"))
+    store.upsert(spark.createDataFrame([(4, "a", [1.0, 0.1])], "id int, repo string, embedding array<float>"))
+    found = store.search(spark.createDataFrame([(0, 1.0, [1.0, 0.0])], "query_id int, weight double, q array<float>"), 2).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == [4, 3]
+    with pytest.raises(Exception, match="another dimension"):
+        store.upsert(spark.createDataFrame([(9, "c", [1.0])], "id int, repo string, embedding array<float>"))
+    store.delete_repository("a")
+    assert [r["id"] for r in store.rows().collect()] == [3]
+    model = PL.MODELS.get("hashing")(8)
+    assert len(model.embed(spark.createDataFrame([(1, "some words")], "test_id long, body string")).first()["embedding"]) == 8
+    assert model.chat(spark.createDataFrame([(1, "hi")], "prompt_id long, prompt string")).first()["answer"] is None
+
+
+def test_first_failures(spark, tmp_path):
+    from blastradius.streaming.incremental import first_failures
+
+    kinds = ["error", "error", "view", "error", "error", "error", "error"]
+    rows = [(7, i, f"2024-01-01 00:00:{i:02d}", k) for i, k in enumerate(kinds)] + [(8, 50, "2024-01-01 00:00:50", "error")]
+    for part, some in enumerate((rows[:5], rows[5:])):
+        spark.createDataFrame(some, "user_id long, event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+    stream = spark.readStream.schema("user_id long, event_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = first_failures(stream).writeStream.format("memory").queryName("failures").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [tuple(r) for r in spark.table("failures").collect()] == [(7, 5, 3)]
+
+
 def test_upsert_stream(spark, tmp_path):
     from blastradius.streaming.incremental import upsert_stream
 
@@ -291,6 +439,20 @@ def test_upsert_stream(spark, tmp_path):
     assert {r[0]: r[1] for r in store["rows"]} in ({1: "d", 2: "c"}, {1: "b", 2: "c"})
 
 
+def test_upsert_folder(spark, tmp_path):
+    from blastradius.streaming.incremental import upsert_folder
+
+    store, schema = str(tmp_path / "store"), "k int, v string, o int"
+    for i, rows in enumerate([[(1, "a", 1), (1, "b", 2), (5, "q", 1)], [(2, "c", 1), (1, "d", 3)], [(1, "late", 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
+        upsert_folder(stream, "k", "o", store, str(tmp_path / "cp"), 4).awaitTermination(120)
+        if i == 0:
+            first = {p: p.stat().st_mtime_ns for p in (tmp_path / "store").rglob("*.parquet")}
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(store).collect()) == [(1, "d"), (2, "c"), (5, "q")]
+    assert first
+
+
 def test_windowed_counts(spark, tmp_path):
     from blastradius.streaming.incremental import audit_counts
 
