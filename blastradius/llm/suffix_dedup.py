@@ -15,8 +15,8 @@ corpus where it comes first; the parse is each document's sequence of phrases, c
    precedes the trigger, read backwards (the dictionary's suffixes). Neighbours' common prefixes give each suffix a
    pair of ranks, and suffixes with equal pairs are equal to LENGTH bytes: neighbours in corpus order. Of each such
    group the first place stays.
- A trigger string with more than FEW phrases is too large for one task: there each suffix of the dictionary is a row
- under two 64-bit hashes of its LENGTH bytes, and minima are merged before they are shuffled.
+ A trigger string with more than FEW phrases is too large to be put in order at once: there each suffix of the dictionary
+ is a row under two 64-bit hashes of its LENGTH bytes, and minima are merged before they are shuffled.
 The result of a phrase is one number: a bit for each of its windows (at most 64) that is the first of its kind.
 
 Order: smaller doc_id (null first), rows that share a doc_id by the hash of their text, then smaller start. Rows equal
@@ -44,7 +44,7 @@ LENGTH = 100
 #: Width of a trigger: at most 64 windows share one, as many as a mask has bits.
 W = 37
 BLOCK = 1 << 20
-#: Phrases of one trigger that are put in order within one task.
+#: Phrases of one trigger that are put in order together.
 FEW = 2000
 NULL_ID = -(2**63)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -182,7 +182,7 @@ def _ask(rows: DataFrame) -> DataFrame:
             # the first document of a key; where it has several phrases, the first of the second phrase, too
             nth = np.cumsum(new_phrase) - np.cumsum(new_phrase)[new_key][group]
             second = new_phrase & (nth == 1)
-            asks = at[new_key | second]
+            asks = np.sort(at[new_key | second])  # documents one after another
             n, none = len(asks), pa.nulls(len(asks), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(key[asks]), pa.array(doc[row[asks]]), pa.array(h[row[asks]]), pa.array(phrase[asks]), none, none], names=ASKED)
             known = np.unique(row[at[several | ~new_key]])
@@ -215,8 +215,9 @@ ENTRY = ["key", "phrase", "doc", "h", "start", "at", "body"]
 
 
 def _entries(rows: DataFrame) -> DataFrame:
-    """The dictionary of contested triggers: key, phrase, at (the trigger's place in the phrase), body, and first: the
-    document, text hash and place where the phrase comes first."""
+    """The dictionary of contested triggers: key, phrase, at (the trigger's place in the phrase), body, and the document,
+    text hash and place where the phrase comes first. Equal phrases of a batch of texts are one row; those of several
+    batches stay rows, of which all but the first hold no window that is the first of its kind."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, BATCH_BYTES, 2):
@@ -239,10 +240,7 @@ def _entries(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), body], names=ENTRY)
 
     # doc_id and repeated come along unused, so that both readers of the joined texts share one shuffle
-    found = rows.select("doc", "h", "text", "contested", "repeated", "doc_id").mapInArrow(run, "key long, phrase long, doc long, h long, start long, at int, body binary")
-    # stated here, so that every reader of the dictionary has the same plan below it, and one shuffle
-    found = found.where("key is not null")
-    return found.groupBy("key", "phrase", "at", "body").agg(F.min(F.struct("doc", "h", "start")).alias("first"))
+    return rows.select("doc", "h", "text", "contested", "repeated", "doc_id").mapInArrow(run, "key long, phrase long, doc long, h long, start long, at int, body binary")
 
 
 def _matrix(raw: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
@@ -316,11 +314,11 @@ def _masks(entries: DataFrame) -> DataFrame:
             cols = [np.asarray(b.column(i))[entry] for i in range(5)]
             yield pa.RecordBatch.from_arrays([*map(pa.array, hashes), *map(pa.array, cols), pa.array((at[entry] - inner).astype(np.int32))], names=["a", "b", "key", "phrase", "doc", "h", "start", "k"])
 
-    many = entries.groupBy("key").agg(F.count("first").alias("n")).where(F.col("n") > FEW).select("key", F.lit(True).alias("many"))
-    marked = entries.select("key", "phrase", "first.*", "at", "body").join(many, "key", "left")
-    few = marked.where("many is null").groupBy("key").agg(F.collect_list(F.struct("doc", "h", "start", "phrase", "at", "body")).alias("entries"))
+    # one shuffle by trigger serves all that follows
+    counted = entries.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    few = counted.where(F.col("n") <= FEW).groupBy("key").agg(F.collect_list(F.struct("doc", "h", "start", "phrase", "at", "body")).alias("entries"))
     few = few.mapInArrow(order, MASKS)
-    each = marked.where("many").select("key", "phrase", "doc", "h", "start", "at", "body").mapInArrow(single, "a long, b long, key long, phrase long, doc long, h long, start long, k int")
+    each = counted.where(F.col("n") > FEW).select("key", "phrase", "doc", "h", "start", "at", "body").mapInArrow(single, "a long, b long, key long, phrase long, doc long, h long, start long, k int")
     each = each.groupBy("a", "b").agg(F.min(F.struct("doc", "h", "start", "key", "phrase", "k")).alias("x")).select("x.*")
     each = each.groupBy("doc", "h", "key", "phrase").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     return few.unionByName(each)
@@ -400,3 +398,17 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", last])
 
     return joined.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+
+
+#: DuckDB: every string of LENGTH bytes as hexadecimal digits, told apart by hash; what is not the first of its kind goes.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS (SELECT doc_id, h, len(h) // 2 AS n_bytes FROM d),
+w AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM (SELECT doc_id, s, hash(substr(h, 2 * s - 1, 200)) AS k FROM n, range(1, n_bytes - 98) r(s))),
+g AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS fresh FROM w WHERE nth > 1),
+i AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS span FROM g),
+p AS (SELECT doc_id, span, min(s) AS a, max(s) + 99 AS b FROM i GROUP BY 1, 2),
+q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS upto FROM p),
+c AS (SELECT doc_id, sum(b - a + 1)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * upto + 1, 2 * (a - upto - 1)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM q JOIN n USING (doc_id) GROUP BY 1)
+SELECT n.doc_id, n_bytes::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM n LEFT JOIN c ON c.doc_id = n.doc_id
+"""
