@@ -96,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_bpe_encode_decode,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op4_mixing": mixing.ORACLE}

@@ -124,3 +124,29 @@ def judge(pages: DataFrame, given: list[tuple[str, str, str]], mined: DataFrame)
     rows = rows.join(hit, F.col("url") == F.col("__url"), "left").select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), F.coalesce("__mined", F.lit(False)).alias("mined"))
     rule, verdict = given_rule(F.col("host"), F.col("path"), given)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("mined"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "mined")
+
+
+#: DuckDB: the given rules, and mined rules of one token or of two. Longer ones it has not; on the given tables there are
+#: none of any length, and the tests hold mining against an enumeration.
+ORACLE = r"""
+WITH u AS (SELECT page_id, url, contains(coalesce(url, ''), '://') AS whole, CASE WHEN contains(coalesce(url, ''), '://') THEN translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+  CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM pages),
+t AS (SELECT DISTINCT url, unnest(list_concat(
+  CASE WHEN replace(host, '.', '') = '' THEN [] ELSE list_transform(range(1, len(list_filter(string_split(host, '.'), lambda x: x <> '')) + 1), lambda i: 'h:' || array_to_string(list_filter(string_split(host, '.'), lambda x: x <> '')[-i:], '.')) END,
+  list_transform(list_filter(regexp_split_to_array(host, '[.-]'), lambda x: x <> ''), lambda x: 'w:' || x),
+  ['s:' || translate(regexp_extract(url, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')],
+  list_transform(list_filter(regexp_split_to_array(regexp_replace(path, '[0-9]+', '0', 'g'), '[/._-]'), lambda x: x <> ''), lambda x: 'p:' || x),
+  list_transform(regexp_extract_all(regexp_extract(url, '(?s)\?([^#]*)', 1), '([^&=]+)=?[^&]*', 1), lambda x: 'q:' || x))) AS token FROM u WHERE whole),
+l AS (SELECT doc_id, 1 - avg(quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+b AS (SELECT url, avg(bad) >= 0.5 AS bad FROM (SELECT url, bad FROM (SELECT url, try_cast(regexp_extract(url, '://[^?#]*/([0-9]+)(\.[a-z]+)?/?([?#]|$)', 1) AS BIGINT) AS doc_id FROM pages) JOIN l USING (doc_id)) GROUP BY 1),
+n AS (SELECT n, ceil(least(1.0::DOUBLE, greatest(0.001::DOUBLE, 10.0::DOUBLE / n)) * n) AS needed, greatest(0.5::DOUBLE, least(share * 1.5, 1 - (1 - share) / 1.5)) AS sure FROM (SELECT count(*) AS n, count(*) FILTER (bad)::DOUBLE / count(*) AS share, count(*) FILTER (bad) AS m FROM b) WHERE m > 0 AND m < n),
+f AS (SELECT token, count(*) FILTER (bad) AS c, count(*) AS every FROM t JOIN b USING (url) GROUP BY 1 HAVING count(*) FILTER (bad) >= (SELECT needed FROM n)),
+r1 AS (SELECT token FROM f WHERE c / every >= (SELECT sure FROM n)),
+o AS (SELECT url, token, bad FROM t JOIN b USING (url) WHERE token IN (SELECT token FROM f WHERE c / every < (SELECT sure FROM n) AND every < (SELECT n FROM n))),
+r2 AS (SELECT x.token AS one, y.token AS two FROM o x JOIN o y ON x.url = y.url AND x.token < y.token GROUP BY 1, 2 HAVING count(*) FILTER (x.bad) >= (SELECT needed FROM n) AND count(*) FILTER (x.bad) / count(*) >= (SELECT sure FROM n)),
+hit AS (SELECT DISTINCT url FROM t WHERE token IN (SELECT token FROM r1) UNION SELECT DISTINCT x.url FROM r2 JOIN t x ON x.token = one JOIN t y ON y.token = two AND y.url = x.url),
+g AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) v(verdict, host, path))
+SELECT page_id, u.host, u.path, rule, coalesce(given, CASE WHEN hit.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, hit.url IS NOT NULL AS mined
+FROM (SELECT u.*, (SELECT arg_max(g.host || g.path, len(g.host || g.path)) FROM g WHERE (u.host = g.host OR ends_with(u.host, '.' || g.host)) AND starts_with(u.path, g.path)) AS rule,
+  (SELECT arg_max(g.verdict, len(g.host || g.path)) FROM g WHERE (u.host = g.host OR ends_with(u.host, '.' || g.host)) AND starts_with(u.path, g.path)) AS given FROM u) u LEFT JOIN hit ON hit.url = u.url
+"""

@@ -734,6 +734,17 @@ def test_op1_query(spark, folder, table_rows):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == repeats([r[:2] for r in table_rows])
 
 
+def test_op1_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL["op1_suffix_dedup"])
+    got = queries.op1_suffix_dedup(spark, SF)
+    assert got.columns == want.columns
+    assert Counter(tuple(r) for r in got.collect()) == Counter(want.fetchall())
+
+
 def test_op3_query(spark, folder, table_rows):
     n, df = len(table_rows), Counter()
     for r in table_rows:
@@ -866,6 +877,19 @@ def test_op2_query(spark, tmp_path):
         else:
             want.add((i, None, "block" if any(r <= words_ for r in rules) else "allow"))
     assert got == want
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    rows = lambda found, names: Counter(tuple(r[names.index(c)] for c in ("page_id", "host", "path", "rule", "verdict", "mined")) for r in found)
+    for home, one in ((str(tmp_path), con), (SF, None)):
+        if one is None:
+            one = duckdb.connect()
+            for t in ("pages", "labels"):
+                one.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        want, df = one.sql(queries.ORACLE_SQL["op2_url_filter"]), queries.op2_url_filter(spark, home)
+        assert rows(df.collect(), df.columns) == rows(want.fetchall(), want.columns)
     spark.createDataFrame([], "page_id long, url string").write.parquet(f"{tmp_path}/none/pages.parquet")
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
     assert queries.op2_url_filter(spark, f"{tmp_path}/none").count() == 0
