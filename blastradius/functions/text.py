@@ -57,11 +57,6 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)
 
 
-def tail2(path: Column) -> Column:
-    parts = F.split(path, r"[/\\]")
-    return F.array_join(F.slice(parts, -F.least(F.lit(2), F.size(parts)), 2), "/")
-
-
 def tokenize(symbol: Column, least: int = 3) -> Column:
     """Lower-cased distinct words of a camelCase, acronym or snake_case name, in order."""
     split = F.regexp_replace(F.regexp_replace(symbol, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
@@ -104,14 +99,6 @@ def test_file_candidates(path: Column) -> Column:
     return out
 
 
-def truncate(text: Column, most: int) -> Column:
-    """At most `most` characters, cut at the last blank if that lies beyond nine tenths; else cut hard."""
-    head = F.substring(text, 1, most)
-    last = F.length(head) - F.length(F.regexp_extract(head, r"( [^ ]*)$", 1))
-    cut = F.when((F.length(F.regexp_extract(head, r"( [^ ]*)$", 1)) > 0) & (last > 0.9 * most), F.expr("1") * last).otherwise(F.lit(most))
-    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(head, cut.cast("int")), F.lit("...")))
-
-
 def head_tail(text: Column, head: int, tail: int) -> Column:
     return F.when(F.length(text) <= head + tail, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(" ... "), F.right(text, F.lit(tail))))
 

@@ -9,6 +9,7 @@ from ..operators import change as K
 from ..operators import lookup as L
 from ..operators import score as C
 from ..operators import stats as S
+from ..operators import store
 from ..operators import vector as V
 from .lookups import BELOW, FL_CTE, LOOKUP_CTE
 from .tables import ENT, RI, TFM, entities, load, mapping, reverse_index, small, sql, symbol
@@ -172,7 +173,8 @@ def neighbours(spark, d, found, hits):
 
 def evidence(spark, d):
     """All producers' rows in one long table."""
-    found, hits = structural(spark, d), semantic_hits(spark, d)
+    # the structural rows are read twice: as evidence, and for the files that they lead to
+    found, hits = store.cut(structural(spark, d)), semantic_hits(spark, d)
     near = rows(neighbours(spark, d, found, hits), 9, "semantic_colocation", strategy="'semantic_colocated_file'")
     return S.union_all([found, rows(hits, 8, "semantic", sim="similarity"), near])
 

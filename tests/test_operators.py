@@ -156,6 +156,10 @@ def test_sources(spark, tmp_path):
     assert sorted(tuple(r) for r in merged.collect()) == [("js", 1), ("js", 2), ("py", 3)]
     assert files.merge_analyzers(spark, [str(tmp_path / "js")], "calls", "test_id long").count() == 0
     assert files.namespace_of(first) == f"test_repo_{first[:8]}" and files.namespaces("a", [" b ", ""], "c") == ["b"] and files.namespaces(" ", [], "c") == ["c"]
+    (tmp_path / "p").mkdir()
+    for n, t in (("b.diff", "+b\n"), ("a.diff", "+a")):
+        (tmp_path / "p" / n).write_text(t)
+    assert files.diff_text(spark, str(tmp_path / "p")) == "+a\n+b"
     assert files.valid_namespace("test_repo_1") and not files.valid_namespace("a-b") and not files.valid_namespace("")
     assert files.table_columns(spark, "no_such_table") == []
 
