@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, texts, whole_text
+from .common import batches, small_batches, texts, valid, whole_text
 
 BLANKS = b" \n\r\t\x0b\x0c"
 #: Distinct fragments that a worker remembers.
@@ -138,15 +138,6 @@ class Coder:
         return out
 
 
-def valid(text: bytes) -> bytes:
-    """Bytes that are not UTF-8 become replacement characters."""
-    try:
-        text.decode()
-        return text
-    except UnicodeDecodeError:
-        return text.decode("utf-8", "replace").encode()
-
-
 def _coder(shared, kept: list) -> Coder:
     if not kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor's cores are Spark's to deal out

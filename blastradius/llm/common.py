@@ -85,6 +85,15 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def valid(text: bytes) -> bytes:
+    """Bytes that are not UTF-8 become replacement characters."""
+    try:
+        text.decode()
+        return text
+    except UnicodeDecodeError:
+        return text.decode("utf-8", "replace").encode()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches end after BATCH_BYTES as well as after so many rows, so that long texts don't fill a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

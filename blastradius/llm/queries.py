@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage: op1_ to op10_ and the pipeline, each over its whole table."""
+"""The registered queries of this subpackage: op1_ to op13_ and the pipeline, each over its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, imatch, mixing, pii, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, url_filter
+from . import bpe, drake, imatch, mixing, pii, quality_classifier, quality_rules, runs, sentencepieces, sharding, simhash, suffix_dedup, url_filter
 from .common import table
 
 
@@ -81,6 +81,19 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
         return bpe.encode_digests(table(spark, sf_dir, "documents"), f.read())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_drake_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_sentencepiece_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        return sentencepieces.encode_digests(table(spark, sf_dir, "documents"), f.read())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -94,6 +107,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii,
         op9_quality_classifier,
         op10_bpe_encode_decode,
+        op11_periodic_runs,
+        op12_drake_clusters,
+        op13_sentencepiece_encode_decode,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.ORACLE, "op2_url_filter": url_filter.ORACLE, "op4_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
+    "op2_url_filter": url_filter.ORACLE,
+    "op4_mixing": mixing.ORACLE,
+    "op12_drake_clusters": drake.oracle(),
+}
