@@ -350,6 +350,38 @@ def test_op4_keeps_rows_without_words(spark):
     assert got == Counter({(1, "a", 0): 2, (None, "a", 0): 2, (2, "a", 2): 2, (3, None, 0): 2})
 
 
+def test_op4_mix_tells_rows_by_text(spark):
+    """Null and repeated ids: what comes stays within one document of the target, and no text more than twice."""
+    r = random.Random(4)
+    text = lambda: "w " * r.randrange(1, 40) + str(r.random())
+    rows = [(None, text(), "en", "b") for _ in range(300)] + [(7, text(), "en", "b") for _ in range(200)]
+    rows += [(i, text(), "en", "a") for i in range(100)] + [(100 + i, text(), "en", None) for i in range(300)]
+    mixed = mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()
+    had, size = Counter(), Counter()
+    for _, t, _, s in rows:
+        size[s] += len(words(t))
+    for x in mixed:
+        had[x["source"]] += len(words(x["text"]))
+    target = plain_targets(dict(size))
+    assert all(abs(had[s] - target[s]) <= 41 for s in size) and 0 < target["b"] < 1.9 * size["b"]
+    assert max(Counter((x["doc_id"], x["text"]) for x in mixed).values()) == 2
+
+
+def test_op4_mix_of_equal_rows(spark, monkeypatch):
+    """A third of all rows are one document, in rows that differ in another column or in none."""
+    monkeypatch.setattr(mixing, "PIECE_ROWS", 7)
+    rows = [(1, "one two three", ("en", "de")[i % 2], "a") for i in range(101)] + [(None, "one two three", "en", "a")] * 50
+    rows += [(i, f"t {i} b c", "en", "a" if i % 2 else "b") for i in range(10, 160)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    times = Counter()
+    for x in mixing.plan(df).collect():
+        times[x["doc_id"], x["source"]] += math.floor(x["taken"] / x["size"] + 0.5)
+    mixed = mixing.mix(df).collect()
+    assert Counter((x["doc_id"], x["source"]) for x in mixed) == +times and 101 < times[1, "a"] < 202
+    most = Counter((x["doc_id"], x["lang"]) for x in mixed if x["doc_id"] == 1)
+    assert all(n <= 2 * sum(1 for r in rows if r[0] == 1 and r[2] == lang) for (_, lang), n in most.items())
+
+
 def test_op4_prefixes_hold_the_weights(spark):
     per = spark.createDataFrame([("a", 1000, 5.0, 3000.0), ("b", 1000, 2.0, 1500.0), (None, 1000, 1.0, 500.0)], "source string, source_size long, weight double, target double")
     slots, block = mixing.schedule(per, slot_bits=8)
@@ -524,6 +556,20 @@ def test_op7_near_equal_with_one_large_group(spark):
     assert len(per) == 16 and max(per.values()) < 1.05 * sum(per.values()) / 16
 
 
+@pytest.mark.parametrize("one", [(5, "one id and one text " * 15), (None, "no id and one text " * 15), (None, None), (3, "")])
+def test_op7_near_equal_with_repeated_rows(spark, one, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 500)
+    rows = [(*one, "en", "a")] * 3000 + [(i, f"other text of a row {i} " * 3, "en", f"s{i % 5}") for i in range(10, 3010)]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA)).collect()
+    per, count = Counter(), Counter((r["doc_id"], r["size"]) for r in got)
+    for r in got:
+        per[r["shard"]] += r["size"]
+    assert len(got) == 6000 and count[one[0], len((one[1] or "").encode()) + 1] == 3000
+    assert len(per) == 16 and max(per.values()) < 1.05 * sum(per.values()) / 16 and min(per.values()) > 0.95 * sum(per.values()) / 16
+    for s in range(16):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_op7_files(docs, tmp_path, spark):
     sharding.write_shards(docs, str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
@@ -958,13 +1004,13 @@ def test_pipeline(spark, folder, table_rows):
         taken = sum(max(0, min(n, most - at - e * sizes[source])) for e in (0, 1))
         start[source] += n
         if n:
-            times[i, source] = max(times[i, source], math.floor(taken / n + 0.5))
+            times[i, t, source] += math.floor(taken / n + 0.5)
     plain = Tokenizer.from_file(queries.tokenizer_path())
     want = Counter()
     for i, t, source in clean:
         ids = plain.encode(t, add_special_tokens=False).ids
         row = (i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
-        want[row] += times[i, source]
+        want[row] += times.pop((i, t, source), 0)
     got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, folder).collect())
     assert got == +want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "simhash_near_dedup", "pii", "mixing", "bpe_encode_decode"]
