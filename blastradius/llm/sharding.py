@@ -7,13 +7,14 @@ cells, so a reader that filters on several dimensions can skip most of them. The
 equal in bytes.
 
 Equal texts are a group: they take their metadata from the group's first row (by doc_id, source, language), stand
-side by side in the order, and stay in one shard - unless the group is larger than 1/PIECES of a shard. Such a
-group is dealt by hash of doc_id into parts of about that size, and its parts lie side by side, so that one large
-group of copies bends neither the shards' sizes nor any task. Rows without doc_id are dealt by a number of their own.
+side by side in the order, and stay in one shard - unless the group is larger than 1/PIECES of a shard, or has more than
+SLICE_ROWS rows. Such a group is dealt into parts of about that size, which lie side by side, so that one large
+group of copies bends neither the shards' sizes nor any task: a document by hash of its doc_id, rows that are equal in doc_id and text
+(null ids are equal) in equal numbers to one part after the other, from the one of their hash on.
 
 Null text has no bytes (size 1, CRC 0). Null doc_id, source or language is a value of its own, first in order. Rows
-that are equal in doc_id and text get consecutive slots, or stand in neighbouring parts, in any order. Other columns are
-ignored. Empty input: no rows.
+that are equal in doc_id and text are counted, placed by number and written out again: they get consecutive slots, or stand in
+neighbouring parts. Other columns are ignored. Empty input: no rows.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ def rows_of(docs: DataFrame) -> DataFrame:
     group = F.when(text.isNotNull(), F.xxhash64("text"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(group, F.lit(0)).alias("__g"), F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"), F.monotonically_increasing_id().alias("__row"),
+        F.coalesce(group, F.lit(0)).alias("__g"), F.col("source").cast("string").alias("__source"), F.col("lang").cast("string").alias("__lang"),
     )
 
 
@@ -114,15 +115,17 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
         groups = groups.join(found, F.col(name).eqNullSafe(F.col(f"{name}v")))
     cell = (F.col("__slevel") * 2**bits + F.col("__llevel")) * 2**bits + level(F.col("size"), bounds["size"])
     curve = F.split(F.lit(",".join(map(str, hilbert_indices(3, bits)))), ",").cast("array<int>")  # 2^(3 bits) numbers
-    parts = F.greatest(F.lit(1), F.ceil(F.col("__n") * F.col("size") / piece)).cast("int")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("__n") * F.col("size") / piece), F.ceil(F.col("__n") / SLICE_ROWS)).cast("int")
     groups = groups.select(*key, F.element_at(curve, cell + 1).alias("hilbert"), parts.alias("__parts"))
     groups = stash(groups, "shard-groups")  # so that the join below deals both sides itself, and can split a large group's rows
-    placed = rows.select("doc_id", "__row", *key).join(groups, key)
-    dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("__row")).otherwise(F.xxhash64("doc_id"))
-    placed = placed.withColumn("__part", F.when(F.col("__parts") > 1, F.pmod(dealt, F.col("__parts"))).otherwise(0).cast("int")).drop("__parts", "__row")
-    placed = stash(placed, "shard-placed")
+    # rows of one id and text, counted before the shuffle, in as many lots as their group has parts
+    same = rows.groupBy("doc_id", *key).agg(F.count("*").alias("__all")).join(groups, key)
+    lots = same.withColumn("__lot", F.explode(F.expr("sequence(0L, least(__parts, __all) - 1)")))
+    held = F.expr("__all div __parts + if(__lot < __all % __parts, 1, 0)")
+    part = F.pmod(F.pmod(F.xxhash64("doc_id"), F.col("__parts")) + F.col("__lot"), F.col("__parts")).cast("int")
+    placed = stash(lots.select("doc_id", *key, "hilbert", part.alias("__part"), held.alias("__held")), "shard-placed")
     unit = ["hilbert", "__g", "text_crc32", "size", "__part"]
-    units = placed.groupBy(*unit).agg(F.count("*").alias("__n"))
+    units = placed.groupBy(*unit).agg(F.sum("__held").alias("__n"))
     units = units.withColumn("__slice", F.pmod(F.shiftright("__g", 32), F.lit(slices)).cast("int"))
     ordered = ["__slice", "__g", "text_crc32", "size", "__part"]
     totals = units.groupBy("hilbert", "__slice").agg(F.sum(F.col("__n") * F.col("size")).alias("__b"))
@@ -145,9 +148,11 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     inside = Window.partitionBy("shard", "hilbert", "__slice").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(counts, ["shard", "hilbert", "__slice"])
     units = units.select(*unit, "shard", (F.col("__rows") + F.col("__before")).alias("__slot"))
-    own = Window.partitionBy(*unit).orderBy("doc_id")
-    out = placed.withColumn("__k", F.row_number().over(own) - 1).join(units, unit)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__slot") + F.col("__k")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+    own = Window.partitionBy(*unit).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = placed.withColumn("__k", F.coalesce(F.sum("__held").over(own), F.lit(0))).join(units, unit)
+    slot = F.explode(F.expr("sequence(cast(__slot + __k as bigint), cast(__slot + __k + __held - 1 as bigint))")).alias("slot")
+    out = out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot, "hilbert")
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
