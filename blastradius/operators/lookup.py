@@ -19,26 +19,22 @@ BELOW_KINDS = ("direct_import", "string_ref", "transitive_import", "transitive_n
 MODULE_KINDS = (*BELOW_KINDS, "source_annotation", "source_annotation_normalized")
 
 
-def symbol_keys(symbols: DataFrame, column: str) -> DataFrame:
-    """symbol, key, kind: each distinct dotted symbol under itself (1), its proper prefixes (2) and suffixes (3)."""
-    parts = F.split(F.col(column), r"\.")
+def keys_of(c: Column) -> Column:
+    """array of (key, kind): a dotted name under itself (1), its proper prefixes (2) and suffixes (3)."""
+    parts = F.split(c, r"\.")
     n = F.size(parts)
     cut = lambda a, b: F.array_join(F.slice(parts, a, b), ".")
     inner = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    keys = F.concat(
-        F.array(F.struct(F.col(column).alias("key"), F.lit(1).alias("kind"))),
+    return F.concat(
+        F.array(F.struct(c.alias("key"), F.lit(1).alias("kind"))),
         F.transform(inner, lambda i: F.struct(cut(F.lit(1), i).alias("key"), F.lit(2).alias("kind"))),
         F.transform(inner, lambda i: F.struct(cut(i + 1, n - i).alias("key"), F.lit(3).alias("kind"))),
     )
-    return symbols.select(column).distinct().select(F.col(column).alias("symbol"), F.explode(keys).alias("k")).select("symbol", "k.key", "k.kind")
 
 
-def dotted_keys(c: Column) -> Column:
-    """array of a dotted name, its prefixes and its suffixes."""
-    parts = F.split(c, r"\.")
-    n = F.size(parts)
-    cut_ = lambda a, b: F.array_join(F.slice(parts, a, b), ".")
-    return F.concat(F.transform(F.sequence(F.lit(1), n), lambda i: cut_(F.lit(1), i)), F.transform(F.sequence(F.lit(1), n), lambda i: cut_(i, n - i + 1)))
+def symbol_keys(symbols: DataFrame, column: str) -> DataFrame:
+    """symbol, key, kind of each distinct symbol."""
+    return symbols.select(column).distinct().select(F.col(column).alias("symbol"), F.explode(keys_of(F.col(column))).alias("k")).select("symbol", "k.key", "k.kind")
 
 
 def match_symbols(symbols: DataFrame, column: str, terms: DataFrame) -> DataFrame:

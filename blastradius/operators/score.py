@@ -24,6 +24,8 @@ BASE_EXACT, BASE_STRING, BASE_TRANSITIVE, BASE_OTHER = 75, 65, 58, 60
 BASE_FILE, BASE_INTEGRATION = 50, 40
 BASE_MODULE_DIRECT, BASE_MODULE = 55, 45
 DIRECT_KINDS = ("direct_import", "source_annotation", "source_annotation_normalized", "describe_label")
+ITEM = "struct<seq:int,type:string,term:string,reference_type:string,source:string,similarity:double,weak:boolean>"
+ROW = "struct<seq:int,type:string,reference_type:string,source:string,similarity:double,match_strategy:string,weak:boolean>"
 EVIDENCE = "test_id long, seq int, type string, reference_type string, source string, similarity double, match_strategy string, weak boolean"
 
 
@@ -56,12 +58,12 @@ def has_semantic() -> Column:
     return has(*SEMANTIC)
 
 
-def profile(evidence: DataFrame) -> DataFrame:
-    """test_id with base, base_v1, types (bits), first_base, vec, n_evidence, direct (a direct reference exists), strong
+def profile(evidence: DataFrame, *carry: str) -> DataFrame:
+    """test_id, what else evidence says of the test (carry), and base, base_v1, types (bits), first_base, vec, n_evidence, direct (a direct reference exists), strong
     (structural evidence that is not weak), coloc flags."""
     value = base_value()
     not_semantic = F.col("type") != "semantic"
-    return evidence.groupBy("test_id").agg(
+    return evidence.groupBy("test_id", *carry).agg(
         F.max(value).alias("base"), F.max(base_value(BASE_OTHER)).alias("base_v1"), F.bit_or(type_bits()).alias("types"),
         F.min_by(F.when(value > 0, F.col("type")), F.when(value > 0, F.struct("seq", F.coalesce("reference_type", F.lit(""))))).alias("first_base"),
         F.coalesce(F.max(F.when(F.col("type") == "semantic", F.floor(F.col("similarity") * F.lit(100.0)))), F.lit(0)).alias("vec"),

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import change as K
 from ..operators import lookup as L
+from ..operators import reach
 from ..operators import score as C
-from ..operators import stats as S
-from ..operators import store
 from ..operators import vector as V
 from .lookups import BELOW, FL_CTE, LOOKUP_CTE
-from .tables import ENT, RI, TFM, entities, load, mapping, reverse_index, small, sql, symbol
+from .tables import ENT, RI, TFM, entities, load, marked_index, sql
 from .texts import TOKENS
 
 QUERIES: dict = {}
@@ -114,69 +113,23 @@ diff --git a/src/orders/cust_7.js b/src/orders/cust_7.js
 +  total = 2
 """
 CHANGE = K.bundle(DIFF)
-WEAK = tuple(m for m in CHANGE.module_exact if m == m.lower())
+WEAK = reach.weak_modules(CHANGE)
 LABEL_TOKENS, SYMBOL_TOKENS = CHANGE.tokens(wide=False), CHANGE.tokens()
 NEAR = 0.45
 
 
-def rows(df, seq, kind, ref="cast(null as string)", source="cast(null as string)", sim="cast(null as double)", strategy="cast(null as string)", weak="false"):
-    return df.selectExpr("test_id", f"{seq} as seq", f"'{kind}' as type", f"{ref} as reference_type", f"{source} as source", f"{sim} as similarity", f"{strategy} as match_strategy", f"{weak} as weak")
-
-
-def wanted():
-    """Which part of the index the change can reach: by symbol or module, by function, or below a module's pattern."""
-    terms = F.array(*map(F.lit, CHANGE.exact))
-    functions = F.concat_ws(":", "module_name", "function_name").isin(*[":".join(f) for f in CHANGE.functions])
-    below = F.col("module_name").isin(*[m.removesuffix(".*") for m in CHANGE.modules])
-    return F.arrays_overlap(L.dotted_keys(symbol()), terms) | functions | below
-
-
-def exact_hits(spark, d):
-    """term, test_id, reference_type, weak: the changed symbols and modules in the index."""
-    found = L.lookup_symbols(reverse_index(spark, d, wanted()), small(spark, [(t,) for t in CHANGE.exact], "term string"))
-    return found.select("term", "test_id", "reference_type", F.col("term").isin(*WEAK).alias("weak"))
-
-
-def structural(spark, d):
-    """What the index says, by strategy: functions, test files, integration, symbols, modules, neighbours, stems."""
-    ri, ent = reverse_index(spark, d, wanted()), entities(spark, d)
-    functions = L.function_level(mapping(spark, d, wanted()), ent, small(spark, list(CHANGE.functions), "module_name string, function_name string"))
-    exact = exact_hits(spark, d)
-    primary = [m[0] for m in map(K.modules, CHANGE.files) if m]
-    out = [
-        rows(functions, 1, "function_level", source="source"),
-        rows(ent.where(L.any_like(F.col("file_path"), [f"%{n}" for n in CHANGE.test_files])), 2, "direct_file", strategy="'exact_filename'"),
-        rows(L.integration_lookup(ri, ent, *primary), 3, "integration", ref="reference_type"),
-        rows(exact, 4, "exact", ref="reference_type", weak="weak"),
-    ]
-    for m in CHANGE.modules if CHANGE.runs_modules() else ():
-        name = m.removesuffix(".*")
-        out.append(rows(L.module_pattern(ri, name).select("test_id", "reference_type").distinct(), 5, "module", ref="reference_type", weak=str(name in WEAK).lower()))
-    # only specific symbols lead to a file's other tests: neither modules nor constants
-    seeds = exact.where(~F.col("term").isin(*CHANGE.module_exact) & ~X.screaming(F.col("term"))).select("test_id").union(functions.select("test_id")).distinct()
-    out.append(rows(L.colocated(ent, seeds), 6, "direct_file", strategy="'colocated_in_same_file'"))
-    out.append(rows(ent.where(L.any_stem(F.col("file_path"), X.stems(CHANGE.files))), 7, "direct_file", strategy="'file_stem'"))
-    return S.union_all(out)
-
-
 def semantic_hits(spark, d):
     return V.similarities(vectors(spark, d), probe(spark, d, (0,))).where("similarity >= 0.1D").selectExpr("vec_id * 3 as test_id", "similarity")
 
 
-def neighbours(spark, d, found, hits):
-    """Tests in the files of structural hits and of strong semantic ones, whose labels fit the change."""
-    ent = entities(spark, d)
-    files = ent.join(found.select("test_id").union(hits.where(F.col("similarity") >= NEAR).select("test_id")).distinct(), "test_id", "left_semi").select("file_path").distinct()
-    fits = C.relevant(F.col("class_name"), LABEL_TOKENS)
-    return ent.where(fits).join(files, "file_path", "left_semi").join(hits.select("test_id"), "test_id", "left_anti").select("test_id")
+def evidence(spark, d):
+    """All strategies' rows in one long table."""
+    fits = {"label_fits": C.relevant(F.col("class_name"), LABEL_TOKENS), "symbol_fits": C.relevant(F.col("class_name"), SYMBOL_TOKENS)}
+    return reach.evidence(marked_index(spark, d, reach.marks(CHANGE)), entities(spark, d), semantic_hits(spark, d), CHANGE, NEAR, fits)
 
 
-def evidence(spark, d):
-    """All producers' rows in one long table."""
-    # the structural rows are read twice: as evidence, and for the files that they lead to
-    found, hits = store.cut(structural(spark, d)), semantic_hits(spark, d)
-    near = rows(neighbours(spark, d, found, hits), 9, "semantic_colocation", strategy="'semantic_colocated_file'")
-    return S.union_all([found, rows(hits, 8, "semantic", sim="similarity"), near])
+def structural(spark, d):
+    return evidence(spark, d).where("seq < 8")
 
 
 def texts(values) -> str:
@@ -191,7 +144,8 @@ MODULE_SQL = " UNION ALL ".join(
 EV = f"""terms AS (SELECT unnest({texts(CHANGE.exact)}) AS term), {LOOKUP_CTE},
 fn AS (SELECT unnest({texts(m for m, _ in CHANGE.functions)}) AS module_name, unnest({texts(f for _, f in CHANGE.functions)}) AS function_name), {FL_CTE},
 sem AS (SELECT vec_id * 3 AS test_id, similarity FROM sims WHERE query_id = 0 AND similarity >= 0.1),
-seeds AS (SELECT test_id FROM sl WHERE NOT list_contains({texts(CHANGE.module_exact)}, term) AND NOT (regexp_matches(term, '^[A-Z]') AND upper(term) = term) UNION SELECT test_id FROM fl),
+seeds AS (SELECT test_id FROM (SELECT test_id, upper(term) = term AND NOT regexp_matches(term, '^.?[0-9]') AS constant, list_contains({texts(CHANGE.module_exact)}, term) AS module FROM sl
+UNION ALL SELECT test_id, false, false FROM fl) GROUP BY test_id HAVING NOT bool_and(constant) AND NOT bool_and(module)),
 st AS (SELECT test_id, 1 AS seq, 'function_level' AS type, {NUL} AS reference_type, source, NULL::DOUBLE AS similarity, {NUL} AS match_strategy, false AS weak FROM fl
 UNION ALL SELECT test_id, 2, 'direct_file', NULL, NULL, NULL, 'exact_filename', false FROM ent WHERE len(list_filter({texts(CHANGE.test_files)}, lambda n: file_path LIKE '%' || n)) > 0
 UNION ALL SELECT DISTINCT test_id, 3, 'integration', reference_type, NULL, NULL, NULL, false FROM ri JOIN ent USING (test_id) WHERE list_contains({texts(m[0] for m in map(K.modules, CHANGE.files) if m)}, production_class) AND test_type IN ('integration', 'e2e')
@@ -223,9 +177,7 @@ ALL = sql(RI, TFM, ENT, SIM, EV, PROFILE)
 
 
 def profiled(spark, d):
-    label = F.col("class_name")
-    known = entities(spark, d).select("test_id", "test_type", C.relevant(label, LABEL_TOKENS).alias("label_fits"), C.relevant(label, SYMBOL_TOKENS).alias("symbol_fits"))
-    return C.profile(evidence(spark, d)).join(known, "test_id")
+    return C.profile(evidence(spark, d), "test_type", "known", "label_fits", "symbol_fits").where("known")
 
 
 def kept():
@@ -344,7 +296,7 @@ def label_prune_restore(spark, d):
 
 @query(ALL + "SELECT test_id FROM near")
 def semantic_colocate(spark, d):
-    return neighbours(spark, d, structural(spark, d), semantic_hits(spark, d))
+    return evidence(spark, d).where("seq = 9").select("test_id")
 
 
 #: A change of a production file together with test files.

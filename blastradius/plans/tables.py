@@ -33,22 +33,32 @@ def symbol() -> Column:
     return F.concat_ws(".", "module_name", "function_name", "leaf")
 
 
-def _lines(spark: SparkSession, sf_dir: str, *columns: str, wanted: Column | None = None) -> DataFrame:
-    """wanted: a test on module_name, function_name and leaf, made before the join, so that only what matters is joined."""
-    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_type").alias("module_name"), F.expr("lower(replace(p_brand, '#', ''))").alias("function_name"), F.expr("replace(p_name, ' ', '_')").alias("leaf"))
-    part = part if wanted is None else part.where(wanted)
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", *columns).join(part, "l_partkey")
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_type").alias("module_name"), F.expr("lower(replace(p_brand, '#', ''))").alias("function_name"), F.expr("replace(p_name, ' ', '_')").alias("leaf"))
 
 
-def reverse_index(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
+REFERENCE = "CASE l_returnflag WHEN 'A' THEN 'direct_import' WHEN 'N' THEN 'string_ref' ELSE 'transitive_import' END"
+SOURCE = "CASE l_linestatus WHEN 'F' THEN 'patch_ref' ELSE 'method_call' END"
+
+
+def reverse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """test_id, production_class, reference_type: which test refers to which symbol."""
-    kind = F.expr("CASE l_returnflag WHEN 'A' THEN 'direct_import' WHEN 'N' THEN 'string_ref' ELSE 'transitive_import' END")
-    return _lines(spark, sf_dir, "l_returnflag", wanted=wanted).select(F.col("l_orderkey").alias("test_id"), symbol().alias("production_class"), kind.alias("reference_type"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").join(_symbols(spark, sf_dir), "l_partkey")
+    return lines.select(F.col("l_orderkey").alias("test_id"), symbol().alias("production_class"), F.expr(REFERENCE).alias("reference_type"))
 
 
-def mapping(spark: SparkSession, sf_dir: str, wanted: Column | None = None) -> DataFrame:
+def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """test_id, module_name, function_name, source: which test calls which function."""
-    return _lines(spark, sf_dir, "l_linestatus", wanted=wanted).select(F.col("l_orderkey").alias("test_id"), "module_name", "function_name", F.expr("CASE l_linestatus WHEN 'F' THEN 'patch_ref' ELSE 'method_call' END").alias("source"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus").join(_symbols(spark, sf_dir), "l_partkey")
+    return lines.select(F.col("l_orderkey").alias("test_id"), "module_name", "function_name", F.expr(SOURCE).alias("source"))
+
+
+def marked_index(spark: SparkSession, sf_dir: str, marks: Column) -> DataFrame:
+    """test_id, reference_type, source, mark: index rows of the symbols that have marks, once for each; the
+    symbols are marked before the index is joined, so that only what a change can reach is."""
+    part = _symbols(spark, sf_dir).withColumn("production_class", symbol()).select("l_partkey", F.explode(marks).alias("mark"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus").join(part, "l_partkey")
+    return lines.select(F.col("l_orderkey").alias("test_id"), F.expr(REFERENCE).alias("reference_type"), F.expr(SOURCE).alias("source"), "mark")
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
