@@ -43,7 +43,7 @@ def path_language(spark, d):
 
 NAME = "list_extract(string_split(path, '/'), -1)"
 EXT = "lower(regexp_extract(path, '[^/](\\.[^./]+)$', 1))"
-IS_TEST = f"CASE {EXT} " + " ".join(f"WHEN '{e}' THEN regexp_matches({NAME}, '(?i)^(?:{rx})')" for e, rx in E.TEST_FILES.items()) + f" ELSE regexp_matches({NAME}, '(?i)^(?:{'|'.join(E.TEST_FILES.values())})') END"
+IS_TEST = f"CASE {EXT} " + " ".join(f"WHEN '{e}' THEN regexp_matches({NAME}, '{E.any_of(rx)}')" for e, rx in E.TEST_FILES.items()) + f" ELSE regexp_matches({NAME}, '{E.any_of(*E.TEST_FILES.values())}') END"
 
 
 @query(f"WITH {PATHS} SELECT {LANGUAGE} AS language, count(*) AS n_files, count(*) FILTER (WHERE {IS_TEST}) AS n_tests FROM p WHERE {LANGUAGE} IS NOT NULL AND NOT list_has_any(string_split(path, '/')[:-2], {list(E.EXCLUDED)}) GROUP BY 1")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import control, extract, lookups, programs, reports, scoring, semantic, stats, texts
+from . import analysis, control, extract, lookups, programs, reports, scoring, semantic, stats, texts
 
 FLAGSHIP = "select_entities"
-MODULES = (stats, lookups, scoring, texts, programs, reports, extract, control, semantic)
+MODULES = (stats, lookups, scoring, texts, programs, reports, extract, control, semantic, analysis)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -36,7 +36,7 @@ def production_sql() -> str:
         first = f"string_split(module, '{sep}')[1]"
         first = f"string_split({first}, '@')[-1]" if lang == "javascript" else first
         framework = " OR ".join(f"starts_with(lower(module), '{p}')" for p in packages)
-        parts = f" OR list_has_any(string_split(lower(module), '{sep}'), {E.TEST_PARTS[lang]})" if E.TEST_PARTS[lang] else ""
+        parts = f" OR list_has_any(string_split(lower(module), '{sep}'), {list(E.TEST_PARTS[lang])})" if E.TEST_PARTS[lang] else ""
         out.append(f"WHEN '{lang}' THEN NOT ({first} IN {tuple(E.STANDARD[lang])} OR {framework}{parts})")
     return "CASE language " + " ".join(out) + " ELSE true END"
 
