@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis as A
+from ..operators import chunks as C
 from ..operators import extract as E
 from .tables import load
 
@@ -224,3 +225,26 @@ def java_inference(spark, d):
     """What Java tests without production imports stand for, among declared classes."""
     declared = load(spark, d, "supplier").select(F.expr(DECLARED.format("STRING")).alias("production_class"))
     return A.inferred_classes(sources(spark, d), declared)
+
+
+#: Whole documents as files of three languages: as they are, and with a test's head for every end of a sentence.
+FILES = """CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN replace(text, '. ', '.' || chr(10) || '  def test_it(self): # ') ELSE replace(text, '. ', '.' || chr(10) || 'it("says so", () => { // ') END"""
+FILE_LANGUAGE = "CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'python' ELSE 'javascript' END"
+BEGINS = "CASE language " + " ".join(f"WHEN '{k}' THEN regexp_matches(line, {q('(?i)^[^\\S\\n]*(?:' + C.BOUNDARIES[k] + ')')})" for k in ("python", "javascript")) + f" ELSE regexp_matches(line, {q('(?i)^[^\\S\\n]*(?:' + C.OTHER + ')')}) END"
+FILES_SQL = f"""f AS (SELECT doc_id AS file_id, {FILE_LANGUAGE} AS language, {FILES} AS body FROM documents WHERE text <> ''),
+l AS (SELECT file_id, language, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS no FROM f),
+o AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY file_id ORDER BY no) - length(line) - 1 AS pos FROM l),
+b AS MATERIALIZED (SELECT f.*, length(body) AS n, coalesce((SELECT list(CAST(pos AS BIGINT) ORDER BY pos) FROM o WHERE o.file_id = f.file_id AND pos > 0 AND {BEGINS}), []) AS marks FROM f)"""
+STOP = """CASE WHEN n <= 2000 THEN n WHEN len(marks) > 0 THEN least({s} + 2000, coalesce(list_min(list_filter(marks, lambda x: x > {s})), n))
+ WHEN {s} + 2000 >= n THEN n WHEN instr(reverse(substr(body, {s} + 2, 1999)), chr(10)) > 0 THEN {s} + 2001 - instr(reverse(substr(body, {s} + 2, 1999)), chr(10)) ELSE {s} + 2000 END"""
+
+
+@query(f""", {FILES_SQL}, r AS (WITH RECURSIVE c AS (SELECT file_id, 0 AS chunk_no, CAST(0 AS BIGINT) AS start, CAST({STOP.format(s='0')} AS BIGINT) AS stop FROM b
+ UNION ALL SELECT c.file_id, chunk_no + 1, c.stop, CAST({STOP.format(s='c.stop')} AS BIGINT) FROM c JOIN b USING (file_id) WHERE c.stop < n) SELECT * FROM c)
+SELECT file_id, CAST(chunk_no AS INTEGER) AS chunk_no, CASE WHEN n <= 2000 THEN 'single' WHEN len(marks) = 0 THEN 'character_split' WHEN coalesce(list_min(list_filter(marks, lambda x: x > start)), n) - coalesce(list_max(list_filter(marks, lambda x: x <= start)), 0) <= 2000 THEN 'method_boundary' ELSE 'method_boundary_split' END AS chunk_type,
+sha256(substr(body, start + 1, stop - start)) AS content_sha256, CAST(length(left(body, start)) - length(replace(left(body, start), chr(10), '')) + 1 AS INTEGER) AS start_line, CAST(length(left(body, stop)) - length(replace(left(body, stop), chr(10), '')) + 1 AS INTEGER) AS end_line FROM r JOIN b USING (file_id)""")
+def chunk_files(spark, d):
+    """Whole documents cut as test files."""
+    docs = load(spark, d, "documents").where("text <> ''")
+    files = docs.select(F.col("doc_id").alias("file_id"), F.expr(FILE_LANGUAGE).alias("language"), F.expr(FILES).alias("body"))
+    return C.chunk(files).select("file_id", "chunk_no", "chunk_type", F.sha2("content", 256).alias("content_sha256"), "start_line", "end_line")
