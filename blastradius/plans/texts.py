@@ -8,6 +8,8 @@ from ..functions import text as X
 from ..operators import change as K
 from ..operators import diff as D
 from ..operators import mutation as M
+from ..operators import stats as S
+from ..operators import versions as W
 from .tables import REGISTRY, RI, TFM, load, mapping, registry, reverse_index, sql
 
 QUERIES: dict = {}
@@ -218,6 +220,22 @@ def delete_antijoin(spark, d):
     return M.delete(load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), gone, "l_orderkey")
 
 
+REFERENCES = [("customer", "c_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("events", "user_id", "customer", "c_custkey")]
+
+
+@query("""WITH c AS (SELECT * FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)), gone AS (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)),
+o AS (SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM gone)), lost AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM gone))
+SELECT 'nation' AS relation, count(*) AS n_left, sum(n_nationkey)::BIGINT AS key_sum FROM nation WHERE n_regionkey <> 1 UNION ALL SELECT 'customer', count(*), sum(c_custkey)::BIGINT FROM c
+UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM o UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey)::BIGINT FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM lost)
+UNION ALL SELECT 'events', count(*), sum(user_id)::BIGINT FROM events WHERE user_id IS NULL OR user_id NOT IN (SELECT c_custkey FROM gone)""")
+def cascade_delete(spark, d):
+    """What a delete of one region's nations leaves of the relations that refer to them, over four references."""
+    names = {"nation": "n_nationkey", "customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "events": "user_id"}
+    relations = {n: load(spark, d, n) for n in names}
+    left = W.cascade(relations, REFERENCES, "nation", relations["nation"].where("n_regionkey = 1").select("n_nationkey"))
+    return S.union_all([df.agg(F.count("*").alias("n_left"), F.sum(names[n]).alias("key_sum")).select(F.lit(n).alias("relation"), "n_left", "key_sum") for n, df in left.items()])
+
+
 @query("SELECT c_custkey, c_nationkey, c_custkey = max(c_custkey) OVER (PARTITION BY c_nationkey) AS is_primary FROM customer")
 def exclusive_flag(spark, d):
     c = load(spark, d, "customer").select("c_custkey", "c_nationkey")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.mutation import latest
+from ..operators.versions import Versions
 
 
 def audit_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
@@ -55,23 +56,16 @@ def upsert_stream(rows: DataFrame, key: str, order: str, read: Callable[[], Data
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_folder(rows: DataFrame, key: str, order: str, path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
-    """Keeps the latest row of each key in a Parquet folder that is partitioned by buckets of the key.
+def upsert_folder(rows: DataFrame, key: str, order: str, path: str, checkpoint: str, buckets: int = 64, name: str = "rows") -> StreamingQuery:
+    """Keeps the latest row of each key in a relation of a versioned store.
 
-    A micro-batch rewrites the buckets that it touches, and no others. Rows that are older than what is stored lose, so
-    that a batch that is applied again after a failure changes nothing.
+    A micro-batch rewrites the buckets that it touches, and no others, and becomes visible as a whole with its manifest. A
+    batch that is given again after a failure is known by its number and changes nothing; one that died on the way
+    is not seen, and is applied anew.
     """
-    spark = rows.sparkSession
+    store = Versions(rows.sparkSession, path)
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        new = latest(batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), [key], [F.desc(order)])
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
-        if not touched:
-            return
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(*touched))
-            new = latest(old.unionByName(new.select(*old.columns)), [key], [F.desc(order)])
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        store.upsert(name, latest(batch, [key], [F.desc(order)]), key, order, buckets, (checkpoint, epoch))
 
     return rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
