@@ -233,9 +233,9 @@ def plain_compared(rows, fp, fp_of):
         return h - (h >> 63 << 64)
 
     def near(a, b):
-        a, b = re.findall("....", a), re.findall("....", b)
+        (*a, last), (*b, other) = re.findall("....", a), re.findall("....", b)
         either = [(x, y) for x, y in zip(a, b, strict=True) if x != "0000" or y != "0000"]
-        return sum(x == y for x, y in either) / len(either) if either else 1.0
+        return sum(x == y for x, y in either) / len(either) if either else float(last == other)
 
     order = sorted(((i is not None, i or 0, signed(t), i, t) for i, t in rows), reverse=True)
     out = []
@@ -260,8 +260,8 @@ def plain_fingerprint(t, band):
         return seed
 
     every = {h(x) for x in regex.split(r"[^\p{L}\p{N}]+", t.lower()) if x}
-    use = sorted(every & band or every)
-    parts = [[x for x in use if (x >> 8) % 64 == k] for k in range(64)]
+    use = sorted(every & band)
+    parts = [[x for x in use if (x >> 8) % 64 == k] for k in range(64)] + [[functools.reduce(lambda a, x: a ^ x, every)] if every and not use else []]
     return "".join(f"{max(1, chained(p) & 0xFFFF) if p else 0:04x}" for p in parts)
 
 
@@ -280,14 +280,31 @@ def test_op3(spark, docs, edge, none):
 def test_op3_order_of_keys(spark):
     # ids that many keys share are cut again, by their hash
     random.seed(1)
-    for n, cuts in ((1, 5), (2, 5), (700, 9)):
+    for n, run_rows in ((1, 5), (2, 1), (700, 9), (700, 100)):
         keys = list({(random.choice([-(2**63), 5, 6, random.randint(0, 999)]), random.getrandbits(64) - 2**63) for _ in range(n)})
         df = spark.createDataFrame(keys, "id long, tie long").repartition(3)
-        got = {(r["id"], r["tie"]): (r["next_id"], r["next_tie"]) for r in imatch.next_keys(df, cuts).collect()}
+        got = {(r["id"], r["tie"]): (r["next_id"], r["next_tie"]) for r in imatch.next_keys(df, run_rows).collect()}
         order = sorted(keys, reverse=True)
         assert got == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
+def test_op3_last_band_term_gone(spark):
+    # the fingerprint changes in that term's part and in the last one, and nowhere else
+    rows = [(i, f"alpha{i % 20} unique{i}") for i in range(400)] + [(999, "unique3"), (1000, "unique4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fp = {r["doc_id"]: re.findall("....", r["fingerprint"]) for r in imatch.fingerprints(df, imatch.lexicon(df, 0.01, 0.5)).collect()}
+    assert sum(x != y for x, y in zip(fp[3], fp[999], strict=True)) == 2 and fp[3][-1] == "0000" != fp[999][-1] != fp[1000][-1]
+
+
+def test_op3_third_of_all_rows_is_one(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "PIECE_ROWS", 7)
+    rows = [(5, "one text of many copies")] * 50 + [(i, f"another text {i}") for i in range(10, 60)] + [(None, "")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = imatch.compare_edited(df, imatch.lexicon(df, 0.01, 0.5)).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows)
+    assert sum(r["near_next"] == 1.0 for r in got if r["doc_id"] == 5) >= 49
+
+
 def test_op3_one_band_term_less(spark):
     # no number of band terms at which a text's fingerprint turns into another kind
     rows = [(i, f"alpha{i % 20} beta{i % 20} gamma{i % 20} delta{i % 20} unique{i}") for i in range(400)] + [(999, "alpha3 beta3 gamma3")]
