@@ -41,8 +41,10 @@ FAST = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,}+",
     "phone": BASE["phone"],
 }
+#: A parameter of the seeds: tokens of fewer characters are never candidates, as no kind of identifier that is looked for is shorter.
+LEAST_LENGTH = 12
 #: The digit may stand anywhere: a run of these characters is looked through once, at its start only.
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{12,}+"
+CANDIDATE = rf"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{{{LEAST_LENGTH},}}+"
 #: Seed entities by kind: what a candidate looks like.
 SEEDS = {"secret": r"^[0-9a-f]{32,64}$"}
 ROUNDS = 3
