@@ -44,14 +44,6 @@ def top_p(ranked: DataFrame, p: float) -> DataFrame:
     return ranked.withColumn("cum", F.round(F.sum("similarity").over(w), 6)).where(F.col("cum") <= p)
 
 
-def fuse(sims: DataFrame) -> DataFrame:
-    """vec_id, similarity, weight, ranked, score: best similarity and best weight, each on its own."""
-    out = sims.groupBy("vec_id").agg(F.max("similarity").alias("similarity"), F.max("weight").alias("weight"))
-    return out.withColumn("ranked", F.round(F.col("similarity") * F.col("weight"), 8)).withColumn("score", F.floor(F.col("similarity") * F.lit(60.0)).cast("int"))
-
-
-def fuse_weighted(sims: DataFrame) -> DataFrame:
-    """vec_id, ranked, similarity: the similarity of the best weighted hit (ties: the larger similarity)."""
-    w = F.round(F.col("similarity") * F.col("weight"), 8)
-    best = sims.groupBy("vec_id").agg(F.max(F.struct(w.alias("ranked"), F.col("similarity").alias("similarity"))).alias("b"))
-    return best.select("vec_id", "b.ranked", "b.similarity")
+def fused(best: DataFrame) -> DataFrame:
+    """Adds ranked and score to vec_id, similarity, weight: best similarity and best weight, each on its own."""
+    return best.withColumn("ranked", F.round(F.col("similarity") * F.col("weight"), 8)).withColumn("score", F.floor(F.col("similarity") * F.lit(60.0)).cast("int"))

@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import change as K
 from ..operators import lookup as L
 from ..operators import reach
+from ..operators import retrieval as B
 from ..operators import score as C
 from ..operators import vector as V
 from .lookups import BELOW, FL_CTE, LOOKUP_CTE
@@ -31,62 +32,65 @@ def vectors(spark, d):
     return load(spark, d, "embeddings")
 
 
-def probe(spark, d, ids=(0, 1, 2)):
-    """The stated query set: the vectors with these ids; the first weighs 1.0, the others 0.9."""
-    w = F.when(F.col("vec_id") == ids[0], 1.0).otherwise(0.9)
-    return vectors(spark, d).where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), w.alias("weight"), F.col("embedding").alias("q"))
+def probe(spark, d, where="vec_id % 20 = 0"):
+    """The query set: every vector whose id is divisible by 20; the first weighs 1.0, the others 0.9."""
+    w = F.when(F.col("vec_id") == 0, 1.0).otherwise(0.9)
+    return vectors(spark, d).where(where).select(F.col("vec_id").alias("query_id"), w.alias("weight"), F.col("embedding").alias("q"))
 
 
-SIM = """q AS (SELECT vec_id AS query_id, CASE vec_id WHEN 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS weight, embedding AS q FROM embeddings WHERE vec_id IN (0, 1, 2)),
+SIM = """q AS (SELECT vec_id AS query_id, CASE vec_id WHEN 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS weight, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 sims AS (SELECT query_id, weight, vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS similarity FROM embeddings, q)"""
 RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM sims)"
 
 
-def sims(spark, d):
-    return V.similarities(vectors(spark, d), probe(spark, d))
+def top(spark, d, k):
+    return B.nearest(vectors(spark, d), probe(spark, d), k)
 
 
-@query(sql(SIM) + "SELECT query_id, vec_id, similarity FROM sims WHERE vec_id < 3")
+@query(sql(SIM) + "SELECT query_id, vec_id, similarity FROM sims WHERE vec_id % 20 = 0")
 def cosine_pair(spark, d):
-    return V.similarities(vectors(spark, d).where("vec_id < 3"), probe(spark, d)).select("query_id", "vec_id", "similarity")
+    """The queries among themselves, pair by pair."""
+    return V.similarities(vectors(spark, d).where("vec_id % 20 = 0"), probe(spark, d)).select("query_id", "vec_id", "similarity")
 
 
 @query(sql(SIM, RANKED) + "SELECT query_id, vec_id, label, similarity, rank FROM ranked WHERE rank <= 10")
 def vector_topk(spark, d):
-    return V.top_k(sims(spark, d), 10).select("query_id", "vec_id", "label", "similarity", "rank")
+    return top(spark, d, 10).select("query_id", "vec_id", "label", "similarity", "rank")
 
 
 @query(sql(SIM) + "SELECT query_id, vec_id, similarity, least(floor(similarity * 100.0::DOUBLE), 60)::INT AS score FROM sims WHERE similarity >= 0.2")
 def vector_threshold(spark, d):
-    return sims(spark, d).where("similarity >= 0.2D").select("query_id", "vec_id", "similarity", F.least(F.floor(F.col("similarity") * F.lit(100.0)), F.lit(60)).cast("int").alias("score"))
+    found = B.above(vectors(spark, d), probe(spark, d), 0.2)
+    return found.select("query_id", "vec_id", "similarity", F.least(F.floor(F.col("similarity") * F.lit(100.0)), F.lit(60)).cast("int").alias("score"))
 
 
 @query(sql(SIM, RANKED) + "SELECT query_id, vec_id, label, similarity, rank FROM ranked WHERE rank <= 40 AND similarity >= 0.05 AND (label IS NULL OR label = 2)")
 def vector_filtered(spark, d):
     """The repository filter comes after top-k and threshold: fewer than k rows may be left."""
-    best = V.top_k(sims(spark, d), 40).where("similarity >= 0.05D")
+    best = top(spark, d, 40).where("similarity >= 0.05D")
     return V.of_repository(best, "label", 2).select("query_id", "vec_id", "label", "similarity", "rank")
 
 
 @query(sql(SIM, RANKED) + ", c AS (SELECT *, round(sum(similarity) OVER (PARTITION BY query_id ORDER BY rank), 6) AS cum FROM ranked WHERE rank <= 50) SELECT query_id, vec_id, similarity, rank, cum FROM c WHERE cum <= 3.0")
 def nucleus_topp(spark, d):
-    return V.top_p(V.top_k(sims(spark, d), 50), 3.0).select("query_id", "vec_id", "similarity", "rank", "cum")
+    return V.top_p(top(spark, d, 50), 3.0).select("query_id", "vec_id", "similarity", "rank", "cum")
 
 
 @query(sql(SIM) + "SELECT vec_id, max(similarity) AS similarity, max(weight) AS weight, round(max(similarity) * max(weight), 8) AS ranked, floor(max(similarity) * 60.0::DOUBLE)::INT AS score FROM sims GROUP BY 1 ORDER BY ranked DESC, vec_id LIMIT 20")
 def multi_query_search(spark, d):
-    return V.fuse(sims(spark, d)).orderBy(F.desc("ranked"), "vec_id").limit(20)
+    return V.fused(B.best_by_vector(vectors(spark, d), probe(spark, d))).orderBy(F.desc("ranked"), "vec_id").limit(20)
 
 
 @query(sql(SIM) + "SELECT vec_id, round(similarity * weight, 8) AS ranked, similarity FROM sims QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(similarity * weight, 8) DESC, similarity DESC) = 1")
 def multi_query_weighted(spark, d):
-    return V.fuse_weighted(sims(spark, d))
+    return B.best_weighted(vectors(spark, d), probe(spark, d))
 
 
-@query(sql(SIM) + "SELECT query_id, round(avg(similarity), 4) AS avg_sim, max(similarity) AS max_sim, min(similarity) AS min_sim, CASE WHEN avg(similarity) >= 0.5 THEN 'summary' ELSE 'diff_anchor' END AS canonical FROM sims WHERE label = 2 GROUP BY 1")
+@query(sql(SIM, RANKED) + "SELECT query_id, round(avg(similarity), 4) AS avg_sim, max(similarity) AS max_sim, min(similarity) AS min_sim, CASE WHEN avg(similarity) >= 0.5 THEN 'summary' ELSE 'diff_anchor' END AS canonical FROM ranked WHERE rank <= 20 GROUP BY 1")
 def query_validation(spark, d):
-    rows = sims(spark, d).where("label = 2").groupBy("query_id").agg(F.round(F.avg("similarity"), 4).alias("avg_sim"), F.max("similarity").alias("max_sim"), F.min("similarity").alias("min_sim"), F.avg("similarity").alias("__a"))
-    return rows.withColumn("canonical", F.when(F.col("__a") >= 0.5, "summary").otherwise("diff_anchor")).drop("__a")
+    """How well each query's own best twenty fit it, and which kind of query text that speaks for."""
+    best = top(spark, d, 20).groupBy("query_id").agg(F.round(F.avg("similarity"), 4).alias("avg_sim"), F.max("similarity").alias("max_sim"), F.min("similarity").alias("min_sim"), F.avg("similarity").alias("__a"))
+    return best.withColumn("canonical", F.when(F.col("__a") >= 0.5, "summary").otherwise("diff_anchor")).drop("__a")
 
 
 #: The change that the selection is made for.
@@ -119,7 +123,7 @@ NEAR = 0.45
 
 
 def semantic_hits(spark, d):
-    return V.similarities(vectors(spark, d), probe(spark, d, (0,))).where("similarity >= 0.1D").selectExpr("vec_id * 3 as test_id", "similarity")
+    return V.similarities(vectors(spark, d), probe(spark, d, "vec_id = 0")).where("similarity >= 0.1D").selectExpr("vec_id * 3 as test_id", "similarity")
 
 
 def evidence(spark, d):
@@ -192,7 +196,7 @@ def scored(spark, d):
 def ast_supplement(spark, d):
     """Similarities of all tests that were found by structure."""
     ids = structural(spark, d).select("test_id").distinct()
-    best = sims(spark, d).selectExpr("vec_id * 3 as test_id", "similarity").groupBy("test_id").agg(F.max("similarity").alias("similarity"))
+    best = B.best_by_vector(vectors(spark, d), probe(spark, d)).selectExpr("vec_id * 3 as test_id", "similarity").groupBy("test_id").agg(F.max("similarity").alias("similarity"))
     return best.join(ids, "test_id", "left_semi")
 
 
