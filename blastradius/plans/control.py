@@ -9,7 +9,7 @@ from ..operators import report as R
 from ..operators import score as C
 from ..operators import stats as S
 from ..operators import store
-from ..streaming import incremental
+from ..streaming import incremental, streaks
 from . import scoring
 from .scoring import ALL, GATE, HINT
 from .tables import ENT, REGISTRY, RI, entities, load, registry, reverse_index, sql
@@ -174,3 +174,11 @@ def embedding_status(spark, d):
     """Every known repository (labels 0 to 11), with or without vectors."""
     n = load(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
     return spark.range(12).select(F.col("id").cast("int").alias("label")).join(n, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.coalesce("n", F.lit(0)) > 0, "healthy").otherwise("empty").alias("health"))
+
+
+@query("""WITH e AS (SELECT *, coalesce(event_type = 'error', false) AS error, CASE WHEN event_type = 'error' AND NOT coalesce(ts > lag(ts) OVER o + INTERVAL 2 HOUR, false) THEN 0 ELSE 1 END AS begins FROM events WHERE ts IS NOT NULL WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(begins) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_no FROM e), s AS (SELECT *, count(*) FILTER (error) OVER (PARTITION BY user_id, row_no ORDER BY ts, event_id) AS streak FROM g)
+SELECT user_id, event_id, streak::INT AS streak FROM s WHERE error AND streak = 2""")
+def failure_streaks(spark, d):
+    """The events that make two errors in a row; the stateful stream gives the same."""
+    return streaks.batch(load(spark, d, "events"), most=2)
