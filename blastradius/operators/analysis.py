@@ -95,12 +95,13 @@ def newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
-def located(body: Column, rx: str, *groups: int, end: bool = False) -> Column:
+def located(body: Column, rx: str | Column, *groups: int, end: bool = False) -> Column:
     """array of (line, g1, g2, ...): all matches of a pattern with the line (from 1) on which each starts, or ends.
 
     What lies between matches, and the matches themselves, give the lines before each by running sums.
     """
-    whole = F.regexp_extract_all(body, F.lit(rx), F.lit(0))
+    rx = rx if isinstance(rx, Column) else F.lit(rx)
+    whole = F.regexp_extract_all(body, rx, F.lit(0))
     between = F.transform(F.split(body, rx, -1), newlines)
     steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), F.transform(whole, newlines).alias("own"))
     start = F.struct(F.array().cast("array<int>").alias("lines"), F.lit(1).alias("at"))
@@ -110,7 +111,7 @@ def located(body: Column, rx: str, *groups: int, end: bool = False) -> Column:
         return F.struct(F.concat(acc["lines"], F.array(last if end else first)).alias("lines"), last.alias("at"))
 
     lines = F.aggregate(steps, start, step)["lines"]
-    return F.arrays_zip(lines.alias("line"), *[F.regexp_extract_all(body, F.lit(rx), F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups, 1)])
+    return F.arrays_zip(lines.alias("line"), *[F.regexp_extract_all(body, rx, F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups, 1)])
 
 
 def _among(language: Column, table: dict[str, tuple[str, ...]], value: Column) -> Column:
@@ -125,16 +126,31 @@ def _is(language: Column, name: str) -> Column:
     return language.isin("javascript", "typescript") if name == "javascript" else language == name
 
 
-def tests(sources: DataFrame) -> DataFrame:
-    """file_id, test_no (from 0, in order of lines), test_name, line: the line on which a test's name stands."""
+def tests(sources: DataFrame, patterns: Column | None = None) -> DataFrame:
+    """file_id, test_no (from 0, in order of lines), test_name, line: the line on which a test's name stands.
+
+    patterns: of each source its own (an array, one group each); those of its language, if none are given."""
     found = F.array().cast("array<struct<line:int,g1:string>>")
-    for lang, patterns in E.TESTS.items():
-        every = F.concat(*[located(F.col("body"), p, 1, end=True) for p in patterns])
+    if patterns is not None:
+        own = F.transform(patterns, lambda p: located(F.col("body"), p, 1, end=True))
+        return _in_order(sources, F.coalesce(F.flatten(own).cast("array<struct<line:int,g1:string>>"), found))
+    for lang, some in E.TESTS.items():
+        every = F.concat(*[located(F.col("body"), p, 1, end=True) for p in some])
         found = F.when(F.col("language") == lang, every).otherwise(found)
+    return _in_order(sources, found)
+
+
+def _in_order(sources: DataFrame, found: Column) -> DataFrame:
     rows = sources.select("file_id", F.posexplode(F.array_sort(F.array_distinct(found))).alias("test_no", "t"))
     return rows.select("file_id", "test_no", F.col("t.g1").alias("test_name"), "t.line")
 
 
+def labels(sources: DataFrame) -> DataFrame:
+    """file_id, class_name: the suite or class that a file's tests stand in (of several the last one that its beginning names)."""
+    names = E.display_names(F.col("body"), F.col("language"))
+    return sources.select("file_id", F.nullif(names["class_name"], F.lit("")).alias("class_name"))
+
+
 def bindings(body: Column, language: Column) -> Column:
     """array of (alias, module): the names that a file's imports bind, and what they stand for."""
     pair = lambda alias, module: F.struct(alias.alias("alias"), module.alias("module"))
@@ -208,16 +224,17 @@ def owners(found: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select("file_id", "line", *mine, F.col("__owner.test_no").alias("test_no"), F.col("__owner.test_name").alias("test_name"))
 
 
-def call_owners(sources: DataFrame) -> DataFrame:
+def call_owners(sources: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row for each test and object (and function, for direct and patched ones): the first such call.
 
-    file_id, test_name, object_name, module_name, function_name, call_type, source, line.
+    file_id, test_no, test_name, object_name, module_name, function_name, call_type, source, line. known: the tests, as
+    tests() gives them.
     """
-    rows = owners(calls(sources), tests(sources))
+    rows = owners(calls(sources), tests(sources) if known is None else known)
     alone = F.when(F.col("call_type") != "method", F.col("function_name"))
     first = F.min(F.struct("line", "call_no", "module_name", "function_name", "test_name")).alias("f")
     out = rows.groupBy("file_id", "test_no", "object_name", "call_type", "source", alone.alias("__alone")).agg(first)
-    return out.select("file_id", "f.test_name", "object_name", "f.module_name", "f.function_name", "call_type", "source", "f.line")
+    return out.select("file_id", "test_no", "f.test_name", "object_name", "f.module_name", "f.function_name", "call_type", "source", "f.line")
 
 
 def fixtures(sources: DataFrame) -> DataFrame:
@@ -281,13 +298,13 @@ def mocks(sources: DataFrame) -> DataFrame:
     return rows.select("file_id", F.col("x.name").alias("mock_type"), F.col("x.target").alias("mock_target"), "x.line")
 
 
-def metadata(sources: DataFrame) -> DataFrame:
-    """file_id, test_name, line, description (docstring), markers (of the file, in order), is_async, async_pattern, pattern.
+def metadata(sources: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """file_id, test_no, test_name, line, description (docstring), markers (of the file, in order), is_async, async_pattern, pattern.
 
     Python functions alone have docstrings and markers; an async test's pattern is told by what its file holds.
     """
     body, name, lang = F.col("body"), F.col("test_name"), F.col("language")
-    rows = tests(sources).join(sources, "file_id")
+    rows = (tests(sources) if known is None else known).join(sources.select("file_id", "language", "body"), "file_id")
     quoted = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     # names that are made of word characters stand for themselves in a pattern
     plain = F.regexp_replace(name, r"\W", ".")
@@ -300,7 +317,7 @@ def metadata(sources: DataFrame) -> DataFrame:
     kind = F.when(lang == "python", python).otherwise(F.when(has("done()", "done =>"), "callback").when(has("Promise"), "promise").otherwise("async/await"))
     told = F.when(lang == "python", F.trim(F.coalesce(F.try_element_at(doc, F.lit(1)), F.lit("")))).otherwise("")
     out = rows.withColumn("is_async", is_async)
-    return out.select("file_id", "test_name", "line", told.alias("description"), marks.alias("markers"), "is_async", F.when(F.col("is_async"), kind).alias("async_pattern"), F.when(name.startswith("test_"), "test_prefix").otherwise("annotation_based").alias("pattern"))
+    return out.select("file_id", "test_no", "test_name", "line", told.alias("description"), marks.alias("markers"), "is_async", F.when(F.col("is_async"), kind).alias("async_pattern"), F.when(name.startswith("test_"), "test_prefix").otherwise("annotation_based").alias("pattern"))
 
 
 def inferred(sources: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analysis as A
+from ..operators import analyzer as Z
 from ..operators import chunks as C
 from ..operators import extract as E
 from .tables import load
@@ -146,7 +147,7 @@ OWNED = """owned AS (SELECT c.*, coalesce((SELECT arg_max((t.test_no, t.test_nam
 QUALIFY row_number() OVER (PARTITION BY file_id, owner[1], object_name, call_type, source, CASE WHEN call_type <> 'method' THEN function_name END ORDER BY line, kind, place) = 1""")
 def call_owner(spark, d):
     """Each call's owning test, objects resolved by the file's imports; the first of each test and object."""
-    return A.call_owners(sources(spark, d))
+    return A.call_owners(sources(spark, d)).drop("test_no")
 
 
 @query(f", {tests_sql()} SELECT f.file_id, test_name, g3 AS fixture_name, CASE WHEN regexp_extract(g1, 'scope\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1) = '' THEN 'function' ELSE regexp_extract(g1, 'scope\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1) END AS fixture_scope, CASE WHEN starts_with(g2, 'async') THEN 'async' ELSE 'sync' END AS fixture_type FROM {located(A.FIXTURE, 1, 2, 3, where=PY)} f JOIN tests USING (file_id)")
@@ -204,7 +205,7 @@ CASE WHEN is_async THEN CASE WHEN language = 'python' THEN CASE WHEN contains(bo
  WHEN contains(body, 'done()') OR contains(body, 'done =>') THEN 'callback' WHEN contains(body, 'Promise') THEN 'promise' ELSE 'async/await' END END AS async_pattern,
 CASE WHEN starts_with(test_name, 'test_') THEN 'test_prefix' ELSE 'annotation_based' END AS pattern FROM a""")
 def test_metadata(spark, d):
-    rows = A.metadata(sources(spark, d))
+    rows = A.metadata(sources(spark, d)).drop("test_no")
     return rows.withColumn("markers", F.array_join("markers", ","))
 
 
@@ -248,3 +249,25 @@ def chunk_files(spark, d):
     docs = load(spark, d, "documents").where("text <> ''")
     files = docs.select(F.col("doc_id").alias("file_id"), F.expr(FILE_LANGUAGE).alias("language"), F.expr(FILES).alias("body"))
     return C.chunk(files).select("file_id", "chunk_no", "chunk_type", F.sha2("content", 256).alias("content_sha256"), "start_line", "end_line")
+
+
+#: The sources as a repository: paths by language, some in excluded folders, some that are no tests.
+REPO_PATH = "CASE WHEN file_id % 7 = 0 THEN 'build/' ELSE 'mod' || CAST(file_id % 5 AS {0}) || '/' END || CASE file_id % 4 WHEN 0 THEN 'e2e/' WHEN 1 THEN 'api/' ELSE 'src/' END || CASE language WHEN 'python' THEN 'test_' || CAST(file_id AS {0}) || '.py' WHEN 'javascript' THEN 'f' || CAST(file_id AS {0}) || CASE WHEN file_id % 2 = 0 THEN '.test.js' ELSE '.js' END ELSE 'F' || CAST(file_id AS {0}) || 'Test.java' END"
+REPO = f"""repo AS (SELECT language, body, {REPO_PATH.format('VARCHAR')} AS path FROM src),
+scanned AS (SELECT *, language <> 'javascript' OR regexp_matches(path, 'test[^/]*[.]js$') AS is_test, CASE WHEN contains(path, 'e2e') THEN 'e2e' WHEN contains(path, 'api') THEN 'integration' ELSE 'unit' END AS category FROM repo WHERE NOT starts_with(path, 'build/'))"""
+
+
+def repository(spark, d):
+    return sources(spark, d).select(F.expr(REPO_PATH.format("STRING")).alias("file_path"), F.col("body").alias("content"))
+
+
+@query(f", {REPO} SELECT language, count(*) AS n_files, count(*) FILTER (is_test) AS n_tests, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM scanned GROUP BY 1 QUALIFY share >= 0.05")
+def active_languages(spark, d):
+    """The languages of a repository, by a scan with the built-in configuration."""
+    return Z.detection_report(Z.scan(repository(spark, d), Z.built_in())).drop("frameworks")
+
+
+@query(f""", {REPO} SELECT category, count(*) AS file_count, sum(CASE language WHEN 'python' THEN 2 WHEN 'javascript' THEN 3 ELSE 1 END)::BIGINT AS test_count, sum(len(string_split(body, chr(10))))::BIGINT AS total_lines FROM scanned WHERE is_test GROUP BY 1""")
+def analyzed_structure(spark, d):
+    """Categories with their files and tests, as the analyser maps them; of each source the number of tests is known."""
+    return Z.analyze(repository(spark, d))["structure"]

@@ -59,10 +59,18 @@ def merge_analyzers(spark: SparkSession, folders: list[str], kind: str, schema:
     if not found:
         return spark.createDataFrame([], f"analyzer string, {schema}")
     rows = spark.read.schema(wanted).json([f"{f}/{name}" for f in found], multiLine=True)
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{name.replace('.', '[.]')}(?:/[^/]+)?$", 1)
     return rows.select(folder.alias("analyzer"), F.explode(f"data.{key}").alias("row")).select("analyzer", "row.*")
 
 
+def write_analysis(rows: DataFrame, folder: str, kind: str, generated_at: str, most: int = 1000) -> None:
+    """One kind of document of an analyser, as merge_analyzers() reads it: envelopes of at most so many rows, a file each."""
+    name, key = DOCUMENTS[kind]
+    numbered = rows.withColumn("__block", F.expr(f"cast(monotonically_increasing_id() div {most} as bigint)"))  # never across partitions
+    packed = numbered.groupBy("__block").agg(F.collect_list(F.struct(*rows.columns)).alias("r"))
+    packed.select(F.lit(generated_at).alias("generated_at"), F.struct(F.col("r").alias(key)).alias("data")).write.option("maxRecordsPerFile", 1).json(f"{folder}/{name}")
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
