@@ -53,6 +53,23 @@ def classify_path(path: Column) -> Column:
     return F.when(p.rlike(r"(^|/)(tests?|__tests__)/|\.(test|spec)\."), "test").when(p.rlike(r"\.(html|js|py|java)([?#]|$)"), "production").otherwise("other")
 
 
+def is_test_path(path: Column) -> Column:
+    """Whether a path is a test's, by its folders and marks in its name; either slash, any case."""
+    p = F.replace(path, F.lit("\\"), F.lit("/"))
+    return p.rlike(r"(?i)(\.test\.|\.spec\.|/__tests__/|/tests?/|test_repository/|\.feature\.test\.)") | F.lower(path).rlike(r"(\.test\.js|\.spec\.ts)$")
+
+
+def is_production_path(path: Column, extensions: tuple[str, ...], skipped: tuple[str, ...]) -> Column:
+    """Whether a path has an extension of production code, and holds nothing that is skipped."""
+    low, out = F.lower(path), F.lit(False)
+    for e in extensions:
+        out = out | path.endswith(e)
+    out = out & ~low.endswith("test.py")
+    for s in skipped:
+        out = out & ~F.contains(low, F.lit(s))
+    return out
+
+
 def basename(path: Column) -> Column:
     return F.element_at(F.split(path, r"[/\\]"), -1)
 

@@ -65,10 +65,12 @@ def change_type(table: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "file", kind.alias("change_type"))
 
 
-def new_definitions(table: DataFrame, key: str, pattern: str) -> DataFrame:
-    """key, file, name: what the added lines of new files define."""
+def new_definitions(table: DataFrame, key: str, patterns: dict[str, str]) -> DataFrame:
+    """key, file, name: what the added lines of new files define, by the pattern of the file's extension, else the first."""
     new = file_stats(table, key).where("status = 'added'").select(key, "file")
-    name = F.regexp_extract("line", pattern, 1)
+    name = F.regexp_extract("line", next(iter(patterns.values())), 1)
+    for ext, rx in patterns.items():
+        name = F.when(F.col("file").endswith(ext), F.regexp_extract("line", rx, 1)).otherwise(name)
     return with_file(table, key).where(added()).join(new, [key, "file"], "left_semi").select(key, "file", name.alias("name")).where("name <> ''").distinct()
 
 

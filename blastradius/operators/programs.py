@@ -11,42 +11,28 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: How each language declares tests, imports and calls (one group each; calls two).
-TEST = {"python": r"def (test_\w+)\s*\(", "javascript": r"(?:it|test)\(\s*['\"]([^'\"]+)['\"]", "java": r"@Test\s+public void (\w+)"}
-IMPORT = {"python": r"(?:from|import)\s+([\w.]+)", "javascript": r"(?:from|require\()\s*['\"]([^'\"]+)['\"]", "java": r"import (?:static )?([\w.]+);"}
+from . import extract as E
+
 CALL = r"(\w+)\.(\w+)\s*\("
 DECORATOR = r"@([\w.]+)"
 MOCK = r"(?:jest|vi)\.(mock|spyOn|fn)\("
 REFLECTION = r"Class\.forName\(\"([\w.]+)\"\)"
 INJECTED = r"@(Autowired|Inject|Mock|InjectMocks)\s+(?:private\s+)?\w+\s+\w+"
 ASYNC = r"async\s+(?:def|function|\()|await\s"
-#: Prefixes of imports that are not production code.
-NOT_PRODUCTION = r"^(os|sys|re|json|unittest|pytest|mock|java\.|javax\.|org\.junit|org\.mockito|jest|react|@|node:)"
-
-
-def by_language(table: dict[str, str], body: Column, language: Column, group: int = 1) -> Column:
-    out = F.array().cast("array<string>")
-    for name, rx in table.items():
-        out = F.when(language == name, F.regexp_extract_all(body, F.lit(rx), group)).otherwise(out)
-    return out
-
-
-def found(sources: DataFrame, values: Column, name: str) -> DataFrame:
-    """file_id, ordinal (from 0), name."""
-    return sources.select("file_id", F.posexplode(values).alias("ordinal", name))
 
 
 def tests(sources: DataFrame) -> DataFrame:
-    return found(sources, by_language(TEST, F.col("body"), F.col("language")), "test_name")
+    """file_id, ordinal (from 0), test_name."""
+    return E.declared_tests(sources).drop("language")
 
 
 def imports(sources: DataFrame) -> DataFrame:
     """file_id, module, production."""
-    rows = found(sources, by_language(IMPORT, F.col("body"), F.col("language")), "module").select("file_id", "module").distinct()
-    return rows.withColumn("production", ~F.col("module").rlike(NOT_PRODUCTION) & ~F.lower("module").rlike(r"(^|[._/])(tests?|mock)([._/]|$)"))
+    rows = E.declared_imports(sources).distinct()
+    return rows.select("file_id", "module", E.is_production(F.col("module"), F.col("language")).alias("production"))
 
 
 def calls(sources: DataFrame) -> DataFrame:
@@ -78,6 +64,13 @@ def parse_python(body: str) -> list[tuple[str, str, int, str]]:
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
+def declared(body: str, language: str) -> list[re.Match]:
+    """Declarations of tests by a language's patterns, each name once, in order of their places."""
+    every = [m for p in E.TESTS.get(language, ()) for m in re.finditer(p, body)]
+    first = {m.group(1): m for m in sorted(every, key=lambda m: m.end(), reverse=True)}
+    return sorted(first.values(), key=lambda m: m.end())
+
+
 def cut_body(body: str, start: int) -> str:
     """From a declaration to the end of its braces, or of its indented block."""
     end = body.find("\n", start)
@@ -121,8 +114,8 @@ def parse_sources(sources: DataFrame) -> DataFrame:
             for f, lang, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 body = body or ""
                 got = parse_python(body) if lang == "python" else []
-                if not got and lang in TEST:
-                    got = [(m.group(1), "test", body.count("\n", 0, m.start()) + 1, "") for m in re.finditer(TEST[lang], body)]
+                if not got:
+                    got = [(m.group(1), "test", body.count("\n", 0, m.end()) + 1, "") for m in declared(body, lang)]
                 rows += [(f, *g) for g in got]
             yield _rows(["file_id", "name", "kind", "line", "description"], [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()], rows)
 
@@ -136,7 +129,7 @@ def bodies(sources: DataFrame) -> DataFrame:
         for b in it:
             rows = []
             for f, lang, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rows += [(f, m.group(1), cut_body(body, m.start())) for m in re.finditer(TEST.get(lang, r"(?!)"), body or "")]
+                rows += [(f, m.group(1), cut_body(body, m.end() - len(m.group().lstrip()))) for m in declared(body or "", lang)]
             yield _rows(["file_id", "test_name", "body_text"], [pa.int64(), pa.string(), pa.string()], rows)
 
     return sources.select("file_id", "language", "body").mapInArrow(run, "file_id long, test_name string, body_text string")

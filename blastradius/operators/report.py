@@ -17,6 +17,47 @@ def false_negative_hints(tags: Column, dead: Column) -> Column:
     ))
 
 
+# Notes on precision, by tag, and the one where no tag says anything.
+NOTES = (
+    "Diff looks like small null/guard edits: prefer function-level and exact-symbol matches; module-wide matches may include false positives.",
+    "Large blast radius: listed tests may miss some affected areas (false negatives). Consider broader suites or full CI.",
+    "Multiple languages in one diff: ensure analysis ran for each language; semantic search may bridge gaps.",
+    "Small, focused change: AST matches are usually reliable; semantic hits are optional.",
+    "Review tests tagged semantic-only or module-pattern with extra care (FP risk).",
+)
+NOTED = ("MICRO_GUARD_HOTFIX", "MAXIMUM_BLAST_RADIUS", "MIXED_LANGUAGE_DIFF", "TIGHT_FEATURE_ISOLATION")
+
+
+def precision_notes(tags: Column) -> Column:
+    """array of what a change's tags say of the precision of its matches."""
+    said = F.array_compact(F.array(*[F.when(F.array_contains(tags, t), n) for t, n in zip(NOTED, NOTES, strict=False)]))
+    return F.when(F.size(said) > 0, said).otherwise(F.array(F.lit(NOTES[-1])))
+
+
+def impact(tests: DataFrame, change: DataFrame, gaps: DataFrame) -> DataFrame:
+    """One bundle of a change as rows (part, key, value): its tags, notes and hints, its symbols without tests, and of each
+    test its linkage, quality and risk. change: tags (one row); gaps: symbol; tests: test_id, linkage, quality, risk."""
+    n = gaps.agg(F.count("*").cast("int").alias("__gaps"))
+    shape = change.crossJoin(n)  # one row each
+    lists = F.array(*[F.struct(F.lit(p).alias("part"), v.alias("values")) for p, v in (
+        ("tag", F.col("tags")), ("note", precision_notes(F.col("tags"))), ("hint", false_negative_hints(F.col("tags"), F.col("__gaps"))), ("gaps", F.array(F.col("__gaps").cast("string"))),
+    )])
+    told = shape.select(F.explode(lists).alias("x")).select("x.part", F.posexplode("x.values").alias("key", "value"))
+    per = F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("value")) for c in ("linkage", "quality", "risk")])
+    each = tests.select(F.col("test_id").cast("string").alias("key"), F.explode(per).alias("x")).select("x.part", "key", "x.value")
+    return told.select("part", F.col("key").cast("string").alias("key"), "value").unionByName(each).unionByName(gaps.select(F.lit("gap").alias("part"), F.col("symbol").alias("key"), F.lit("no test").alias("value")))
+
+
+def fallbacks(defaults: dict[str, str]) -> list[Column]:
+    """n_tests, n_modules, n_production, framework: each from the first of its sources that says something."""
+    zero, named = F.lit(0), F.try_element_at(F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]), F.col("lang"))
+    chain = lambda name, *xs: F.coalesce(*xs).alias(name)
+    return [
+        chain("n_tests", F.col("n_tests"), zero), chain("n_modules", F.col("n_classes"), F.col("n_dirs"), zero), chain("n_production", F.col("n_direct"), F.col("n_classes"), zero),
+        chain("framework", F.col("framework"), named, F.lit("unknown")),
+    ]
+
+
 def first_k(pairs: DataFrame, group: str, value: str, k: int) -> DataFrame:
     """group, values: the k smallest distinct values of each group; the others go before any list is made."""
     w = Window.partitionBy(group).orderBy(value)

@@ -10,7 +10,7 @@ from ..operators import score as C
 from ..operators import stats as S
 from ..operators import store
 from ..streaming import incremental, streaks
-from . import scoring
+from . import scoring, texts
 from .scoring import ALL, GATE, HINT
 from .tables import ENT, REGISTRY, RI, entities, load, registry, reverse_index, sql
 
@@ -153,6 +153,16 @@ def false_negative_hints(spark, d):
     return load(spark, d, "part").select("p_partkey", F.array_join(R.false_negative_hints(tags, F.col("p_size") % 4), "|").alias("hints"))
 
 
+NOTES = [("MICRO_GUARD_HOTFIX", R.NOTES[0]), ("MAXIMUM_BLAST_RADIUS", R.NOTES[1]), ("MIXED_LANGUAGE_DIFF", R.NOTES[2]), ("TIGHT_FEATURE_ISOLATION", R.NOTES[3])]
+
+
+@query(f"""SELECT doc_id, coalesce(nullif(array_to_string(list_filter([{', '.join(f"CASE WHEN contains(tags, '{t}') THEN '{n}' END" for t, n in NOTES)}], lambda x: x IS NOT NULL), '|'), ''), '{R.NOTES[4]}') AS notes FROM ({texts.ORACLE_SQL["scenario_tags"]})""")
+def precision_notes(spark, d):
+    """What each diff's tags say of the precision of its matches."""
+    tags = texts.QUERIES["scenario_tags"](spark, d)
+    return tags.select("doc_id", F.array_join(R.precision_notes(F.split("tags", ",")), "|").alias("notes"))
+
+
 @query("""WITH t AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM t)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM n GROUP BY user_id, session""")
@@ -169,11 +179,13 @@ def sliding_counts(spark, d):
     return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-@query("SELECT label, count(vec_id) AS n, CASE WHEN count(vec_id) > 0 THEN 'healthy' ELSE 'empty' END AS health FROM (SELECT unnest(range(0, 12))::INT AS label) l LEFT JOIN embeddings USING (label) GROUP BY 1")
+@query("SELECT coalesce(l.label, e.label)::INT AS label, coalesce(n, 0) AS n, CASE WHEN l.label IS NULL THEN 'unknown' WHEN n > 0 THEN 'healthy' ELSE 'empty' END AS health FROM (SELECT n_nationkey AS label FROM nation WHERE n_nationkey <> 3) l FULL JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) e ON l.label = e.label")
 def embedding_status(spark, d):
-    """Every known repository (labels 0 to 11), with or without vectors."""
+    """Every known repository (those of nations, but one) with or without vectors, and vectors of unknown ones."""
+    known = load(spark, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").cast("int").alias("label"), F.lit(True).alias("known"))
     n = load(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
-    return spark.range(12).select(F.col("id").cast("int").alias("label")).join(n, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.coalesce("n", F.lit(0)) > 0, "healthy").otherwise("empty").alias("health"))
+    rows = known.join(n, "label", "full_outer")
+    return rows.select("label", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("known").isNull(), "unknown").when(F.col("n") > 0, "healthy").otherwise("empty").alias("health"))
 
 
 @query("""WITH e AS (SELECT *, coalesce(event_type = 'error', false) AS error, CASE WHEN event_type = 'error' AND NOT coalesce(ts > lag(ts) OVER o + INTERVAL 2 HOUR, false) THEN 0 ELSE 1 END AS begins FROM events WHERE ts IS NOT NULL WINDOW o AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import change as K
 from ..operators import grams as G
 from ..operators import lookup as L
 from ..operators import stats as S
@@ -123,6 +124,20 @@ def path_classify(spark, d):
     return load(spark, d, "pages").select("page_id", X.classify_path(F.col("url")).alias("kind"))
 
 
+KINDS_OF = """CASE p_partkey % 8 WHEN 0 THEN 'src/' || n || '.js' WHEN 1 THEN 'src/' || n || '.test.js' WHEN 2 THEN 'a' || chr(92) || 'Tests' || chr(92) || n || '.py' WHEN 3 THEN 'app/' || n || 'Test.py' WHEN 4 THEN 'build/' || n || '.java'
+WHEN 5 THEN n || '/__tests__/x.ts' WHEN 6 THEN n || '.md' ELSE 'lib/' || n || '.SPEC.ts' END"""
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {KINDS_OF} AS path FROM (SELECT p_partkey, replace(p_name, ' ', '_') AS n FROM part))
+SELECT p_partkey, regexp_matches(replace(path, chr(92), '/'), '(?i)(\\.test\\.|\\.spec\\.|/__tests__/|/tests?/|test_repository[/]|\\.feature\\.test\\.)') OR regexp_matches(lower(path), '(\\.test\\.js|\\.spec\\.ts)$') AS is_test,
+regexp_matches(path, '\\.(py|java|js|ts|jsx|tsx|kt|go|rb|cs)$') AND NOT lower(path) LIKE '%test.py' AND len(list_filter({list(K.SKIPPED)}, lambda s: contains(lower(path), s))) = 0 AS is_production FROM p""")
+def path_kinds(spark, d):
+    """Which paths are tests, and which are production code."""
+    named = load(spark, d, "part").selectExpr("p_partkey", "replace(p_name, ' ', '_') as n")
+    path = F.expr(KINDS_OF)
+    return named.withColumn("path", path).select("p_partkey", X.is_test_path(F.col("path")).alias("is_test"), X.is_production_path(F.col("path"), K.PRODUCTION, K.SKIPPED).alias("is_production"))
+
+
 @query(sql(REGISTRY) + ", seeds AS (SELECT test_id, file_path FROM registry WHERE class_name IN ('The', 'Des')) SELECT r.* FROM registry r WHERE file_path IN (SELECT file_path FROM seeds) AND test_id NOT IN (SELECT test_id FROM seeds)")
 def colocated_expand(spark, d):
     r = registry(spark, d)
@@ -152,14 +167,15 @@ def file_call_fanout(spark, d):
     return calls.join(r.groupBy("file_path").agg(F.count("*").alias("n")), "file_path")
 
 
-EDGES = "edges AS (SELECT DISTINCT 'p' || l_partkey % 40 AS src, 's' || l_suppkey % 15 AS dst FROM lineitem UNION SELECT DISTINCT 's' || s_suppkey % 15, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+EDGES = "edges AS (SELECT DISTINCT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT DISTINCT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
 
 
-@query("WITH RECURSIVE " + EDGES + ", walk(node, depth) AS (SELECT 'p1', 0 UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM walk GROUP BY 1")
+@query("WITH RECURSIVE " + EDGES + ", walk(node, depth) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_partkey % 20 = 0 UNION SELECT dst, depth + 1 FROM walk JOIN edges ON src = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM walk GROUP BY 1")
 def transitive_closure(spark, d):
+    """What every twentieth part leads to, over all edges."""
     pair = lambda t, a, b: load(spark, d, t).select(F.expr(a).alias("src"), F.expr(b).alias("dst")).distinct()
-    edges = pair("lineitem", "concat('p', l_partkey % 40)", "concat('s', l_suppkey % 15)").union(pair("supplier", "concat('s', s_suppkey % 15)", "concat('n', s_nationkey)")).union(pair("nation", "concat('n', n_nationkey)", "concat('r', n_regionkey)"))
-    return L.closure(edges.distinct(), small(spark, [("p1",)], "node string"))
+    edges = pair("lineitem", "concat('p', l_partkey)", "concat('s', l_suppkey)").union(pair("supplier", "concat('s', s_suppkey)", "concat('n', s_nationkey)")).union(pair("nation", "concat('n', n_nationkey)", "concat('r', n_regionkey)"))
+    return L.closure(edges, load(spark, d, "part").where("p_partkey % 20 = 0").select(F.expr("concat('p', p_partkey)").alias("node")))
 
 
 @query(sql(REGISTRY) + "SELECT test_id, file_path, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) AS toxic FROM registry LEFT JOIN labels l ON l.doc_id = test_id")

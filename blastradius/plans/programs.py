@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import extract as E
 from ..operators import programs as P
+from .semantic import production_sql
 from .tables import load
 from .texts import diff_lines
 
@@ -32,16 +34,21 @@ def sources(spark, d):
     return load(spark, d, "part").select(F.col("p_partkey").alias("file_id"), language.alias("language"), F.expr(BODY).alias("body"))
 
 
-def _by(table: dict[str, str]) -> str:
-    return "CASE language " + " ".join(f"WHEN '{k}' THEN regexp_extract_all(body, '{v.replace(chr(39), chr(39) * 2)}', 1)" for k, v in table.items()) + " END"
+def _found(table: dict[str, tuple[str, ...]]) -> str:
+    """Distinct matches of a language's patterns, pattern by pattern."""
+    every = {k: "list_concat(" + ", ".join(f"regexp_extract_all(body, '{p.replace(chr(39), chr(39) * 2)}', 1)" for p in table[k]) + ")" for k in ("python", "javascript", "java")}
+    return "CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in every.items()) + " END"
 
 
-@query(f"SELECT file_id, generate_subscripts(v, 1)::INT - 1 AS ordinal, unnest(v) AS test_name FROM (SELECT file_id, {_by(P.TEST)} AS v FROM src)")
+FIRST = "list_filter(v, lambda x, i: list_position(v, x) = i)"
+
+
+@query(f"SELECT file_id, generate_subscripts({FIRST}, 1)::INT - 1 AS ordinal, unnest({FIRST}) AS test_name FROM (SELECT file_id, {_found(E.TESTS)} AS v FROM src)")
 def extract_tests(spark, d):
     return P.tests(sources(spark, d))
 
 
-@query(f"SELECT DISTINCT file_id, module, NOT regexp_matches(module, '{P.NOT_PRODUCTION}') AND NOT regexp_matches(lower(module), '(^|[._/])(tests?|mock)([._/]|$)') AS production FROM (SELECT file_id, unnest({_by(P.IMPORT)}) AS module FROM src)")
+@query(f"SELECT DISTINCT file_id, module, {production_sql()} AS production FROM (SELECT file_id, language, unnest({_found(E.IMPORTS)}) AS module FROM src)")
 def extract_imports(spark, d):
     return P.imports(sources(spark, d))
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import change as K
+from ..operators import diff as D
+from ..operators import reach
 from ..operators import report as R
+from ..operators import score as C
+from ..operators import stats as S
 from . import scoring
 from .scoring import ALL, QUALITY, RISK
-from .tables import REGISTRY, load, registry, sql
+from .tables import REGISTRY, load, marked_index, registry, small, sql
 from .texts import ADDED, DIFF, FILE_OF, diff_lines
 
 QUERIES: dict = {}
@@ -24,14 +29,45 @@ def query(oracle: str | None = None):
     return add
 
 
-@query(ALL + f", dep AS (SELECT o_orderkey AS test_id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT s.test_id, score, {QUALITY} AS quality, {RISK} AS risk, CASE WHEN n >= 10 THEN 'FULLY_CROSS_DEPENDENT' WHEN n <= 2 THEN 'FULLY_STANDALONE' ELSE 'MODERATE_LINKAGE' END AS linkage FROM s JOIN dep USING (test_id) WHERE score >= 50")
-def impact_bundle(spark, d):
-    from ..operators import score as C
-    from ..operators import stats as S
+GAPS = "gap AS (SELECT term FROM terms WHERE NOT EXISTS (SELECT 1 FROM sl WHERE sl.term = terms.term))"
+
 
+@query(ALL.rstrip() + f""", {GAPS}, dep AS (SELECT o_orderkey AS test_id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+pick AS (SELECT CAST(s.test_id AS VARCHAR) AS key, CASE WHEN n >= 10 THEN 'FULLY_CROSS_DEPENDENT' WHEN n <= 2 THEN 'FULLY_STANDALONE' ELSE 'MODERATE_LINKAGE' END AS linkage, {QUALITY} AS quality, {RISK} AS risk FROM s JOIN dep USING (test_id) WHERE score >= 50)
+SELECT 'linkage' AS part, key, linkage AS value FROM pick UNION ALL SELECT 'quality', key, quality FROM pick UNION ALL SELECT 'risk', key, risk FROM pick UNION ALL SELECT 'gap', term, 'no test' FROM gap UNION ALL SELECT 'gaps', '0', CAST(count(*) AS VARCHAR) FROM gap
+UNION ALL SELECT 'tag', '0', 'SYMBOL_LEVEL_CHANGES' UNION ALL SELECT 'note', '0', '{R.NOTES[4]}' UNION ALL SELECT 'hint', '0', 'FN_RISK: ' || count(*) || ' changed symbol(s) have no mapped tests — manual review.' FROM gap HAVING count(*) > 0""")
+def impact_bundle(spark, d):
+    """Everything that is said of the flagship's change: tags, notes, hints, gaps, and of each likely test its linkage, quality and risk."""
     deps = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("test_id"))
-    rows = scoring.scored(spark, d).where("score >= 50")
-    return S.linkage(S.counted(rows, deps, "test_id", "n")).select("test_id", "score", C.evidence_quality().alias("quality"), C.false_positive_risk(F.col("symbol_fits")).alias("risk"), "linkage")
+    rows = S.linkage(S.counted(scoring.scored(spark, d).where("score >= 50"), deps, "test_id", "n"))
+    tests = rows.select("test_id", "linkage", C.evidence_quality().alias("quality"), C.false_positive_risk(F.col("symbol_fits")).alias("risk"))
+    terms = small(spark, [(t,) for t in scoring.CHANGE.exact], "symbol string")
+    found = marked_index(spark, d, reach.marks(scoring.CHANGE)).where("mark.type = 'exact'").select(F.col("mark.term").alias("symbol")).distinct()
+    shape = D.scenario(D.lines(small(spark, [(0, scoring.DIFF)], "k int, body string"), "k", "body"), "k", K.SOURCE).select(D.scenario_tags().alias("tags"))
+    return R.impact(tests, shape, terms.join(found, "symbol", "left_anti"))
+
+
+DEFAULTS = {"en": "pytest", "de": "JUnit5", "fr": "Jest"}
+
+
+@query("""WITH n AS (SELECT l_orderkey % 3 AS repo, l_orderkey, l_partkey, l_returnflag FROM lineitem), reg AS (SELECT doc_id % 4 AS repo, source || '/' || lang AS dir, lang FROM documents),
+i AS (SELECT repo, count(DISTINCT l_partkey) AS n_classes, count(DISTINCT CASE WHEN l_returnflag = 'A' THEN l_partkey END) AS n_direct FROM n WHERE repo <> 1 GROUP BY 1),
+g AS (SELECT repo, count(*) AS n_tests, count(DISTINCT dir) AS n_dirs, arg_min(lang, (-c, lang)) AS lang FROM (SELECT *, count(*) OVER (PARTITION BY repo, lang) AS c FROM reg) GROUP BY 1),
+f AS (SELECT s_nationkey AS repo, min(s_name) AS framework FROM supplier WHERE s_nationkey = 2 GROUP BY 1)
+SELECT k.repo, coalesce(n_tests, 0) AS n_tests, coalesce(n_classes, n_dirs, 0) AS n_modules, coalesce(n_direct, n_classes, 0) AS n_production, coalesce(framework, CASE lang WHEN 'en' THEN 'pytest' WHEN 'de' THEN 'JUnit5' WHEN 'fr' THEN 'Jest' END, 'unknown') AS framework
+FROM (SELECT DISTINCT n_nationkey::BIGINT AS repo FROM nation WHERE n_nationkey < 6) k LEFT JOIN i USING (repo) LEFT JOIN g USING (repo) LEFT JOIN f USING (repo)""")
+def repository_kpis(spark, d):
+    """Figures of each repository, by the surest source that it has: the index, else the registry's folders; a detected framework, else its first language's."""
+    lines = load(spark, d, "lineitem").selectExpr("l_orderkey % 3 as repo", "l_partkey", "l_returnflag").where("repo <> 1")
+    index = lines.groupBy("repo").agg(F.countDistinct("l_partkey").alias("n_classes"), F.countDistinct(F.when(F.col("l_returnflag") == "A", F.col("l_partkey"))).alias("n_direct"))
+    known = load(spark, d, "documents").selectExpr("doc_id % 4 as repo", "concat(source, '/', lang) as dir", "lang")
+    tests = known.groupBy("repo").agg(F.count("*").alias("n_tests"), F.countDistinct("dir").alias("n_dirs"))
+    first = known.groupBy("repo", "lang").agg(F.count("*").alias("c")).groupBy("repo").agg(F.min(F.struct((-F.col("c")).alias("c"), "lang"))["lang"].alias("lang"))
+    found = load(spark, d, "supplier").where("s_nationkey = 2").groupBy(F.col("s_nationkey").cast("long").alias("repo")).agg(F.min("s_name").alias("framework"))
+    rows = load(spark, d, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").cast("long").alias("repo")).distinct()
+    for part in (index, tests, first, found):
+        rows = rows.join(part, "repo", "left")
+    return rows.select("repo", *R.fallbacks(DEFAULTS))
 
 
 @query("SELECT coalesce((SELECT count(*) FROM labels), 0) AS n_metadata, (SELECT count(*) FROM documents) AS n_tests, coalesce(nullif((SELECT count(DISTINCT lang) FROM documents), 0), 1) AS n_languages, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS n_symbols, (SELECT max(ts) FROM events)::VARCHAR[:19] AS last_event".replace("(SELECT max(ts) FROM events)::VARCHAR[:19]", "strftime((SELECT max(ts) FROM events), '%Y-%m-%d %H:%M:%S')"))
@@ -81,20 +117,23 @@ def path_format_fallback(spark, d):
     return R.path_fallback(load(spark, d, "documents").select(path.alias("path")).distinct(), module_files(spark, d))
 
 
-@query("WITH e AS (SELECT DISTINCT l_partkey % 40 AS a, l_suppkey % 15 + 100 AS b FROM lineitem UNION SELECT DISTINCT l_suppkey % 15 + 100, l_linenumber + 200 FROM lineitem WHERE l_quantity > 49), two AS (SELECT DISTINCT x.a, y.b FROM e x JOIN e y ON x.b = y.a) SELECT * FROM two EXCEPT SELECT * FROM e")
+@query("""WITH e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem UNION SELECT DISTINCT 's' || l_suppkey, 'l' || l_linenumber FROM lineitem WHERE l_quantity > 49 UNION SELECT DISTINCT 'p' || l_partkey, 'l' || l_linenumber FROM lineitem WHERE l_discount > 0.09),
+two AS (SELECT DISTINCT x.a, y.b FROM e x JOIN e y ON x.b = y.a) SELECT * FROM two EXCEPT SELECT * FROM e""")
 def indirect_imports(spark, d):
+    """What is imported by what is imported, and not directly, over the whole graph."""
     li = load(spark, d, "lineitem")
-    e = li.selectExpr("l_partkey % 40 as a", "l_suppkey % 15 + 100 as b").union(li.where("l_quantity > 49").selectExpr("l_suppkey % 15 + 100", "cast(l_linenumber + 200 as bigint)")).distinct()
+    pair = lambda a, b, where="true": li.where(where).select(F.expr(a).alias("a"), F.expr(b).alias("b"))
+    e = pair("concat('p', l_partkey)", "concat('s', l_suppkey)").union(pair("concat('s', l_suppkey)", "concat('l', l_linenumber)", "l_quantity > 49")).union(pair("concat('p', l_partkey)", "concat('l', l_linenumber)", "l_discount > 0.09D")).distinct()
     two = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
     return two.subtract(e)
 
 
 @query(sql(DIFF) + FILE_OF + f""", a AS (SELECT doc_id, file FROM f WHERE file IS NOT NULL GROUP BY 1, 2 HAVING bool_or(starts_with(line, 'new file')))
-SELECT doc_id, file, string_agg(DISTINCT name, ',' ORDER BY name) AS definitions FROM (SELECT doc_id, file, regexp_extract(line, '(?:def|function|class)\\s+(\\w+)', 1) AS name FROM f JOIN a USING (doc_id, file) WHERE {ADDED}) WHERE name <> '' GROUP BY 1, 2""")
+SELECT doc_id, file, string_agg(DISTINCT name, ',' ORDER BY name) AS definitions FROM (SELECT doc_id, file, CASE WHEN ends_with(file, '.java') THEN regexp_extract(line, '{K.DEFINED[".java"]}', 1) ELSE regexp_extract(line, '{K.DEFINED[".py"]}', 1) END AS name FROM f JOIN a USING (doc_id, file) WHERE {ADDED}) WHERE name <> '' GROUP BY 1, 2""")
 def new_file_definitions(spark, d):
-    from ..operators import diff as D
-
-    return D.new_definitions(diff_lines(spark, d), "doc_id", r"(?:def|function|class)\s+(\w+)").groupBy("doc_id", "file").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("definitions"))
+    """What the added lines of new files define, by the language of the file."""
+    names = D.new_definitions(diff_lines(spark, d), "doc_id", K.DEFINED)
+    return names.groupBy("doc_id", "file").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("definitions"))
 
 
 @query("SELECT left(trim(n_name), 6) AS branch, min(n_nationkey) AS first_key, bool_or(n_nationkey = 1) AS is_default FROM nation WHERE n_name IS NOT NULL GROUP BY 1")

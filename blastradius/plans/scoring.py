@@ -349,3 +349,28 @@ def select_entities(spark, d):
 def top_selection(spark, d):
     """The hundred best tests of the selection, in order."""
     return scored(spark, d).where(kept()).select("test_id", "score").orderBy(F.desc("score"), "test_id").limit(100)
+
+
+TRUTH = f"tr AS (SELECT quality, test_id IN (SELECT test_id FROM s WHERE {GATE}) AS picked FROM labels JOIN ent ON test_id = doc_id)"
+
+
+def judged(spark, d):
+    """quality, picked: labelled tests of the registry, and whether the flagship selects them."""
+    chosen = scored(spark, d).where(kept()).select("test_id", F.lit(True).alias("picked"))
+    truth = load(spark, d, "labels").select(F.col("doc_id").alias("test_id"), "quality").join(entities(spark, d).select("test_id"), "test_id")
+    return truth.join(chosen, "test_id", "left").select("quality", F.coalesce("picked", F.lit(False)).alias("picked"))
+
+
+@query(ALL + f", {TRUTH} SELECT quality AS truth, count(*) AS n, count(*) FILTER (picked) AS selected FROM tr GROUP BY 1")
+def truth_table(spark, d):
+    return judged(spark, d).groupBy(F.col("quality").alias("truth")).agg(F.count("*").alias("n"), F.count_if("picked").alias("selected"))
+
+
+@query(ALL + f""", {TRUTH}, c AS (SELECT count(*) FILTER (picked AND quality = 1)::DOUBLE AS tp, count(*) FILTER (picked AND quality = 0)::DOUBLE AS fp, count(*) FILTER (NOT picked AND quality = 1)::DOUBLE AS fn FROM tr)
+SELECT CASE WHEN tp + fp = 0 THEN 0 ELSE round(tp / (tp + fp), 4) END AS precision_, CASE WHEN tp + fn = 0 THEN 0 ELSE round(tp / (tp + fn), 4) END AS recall_, CASE WHEN tp + fp + fn = 0 THEN 0 ELSE round(2 * tp / (2 * tp + fp + fn), 4) END AS f1 FROM c""")
+def precision_recall(spark, d):
+    """The flagship's selection against labels of what is relevant."""
+    rows, n = judged(spark, d), lambda c: F.count_if(c).cast("double")
+    tp, fp, fn = n(F.col("picked") & (F.col("quality") == 1)), n(F.col("picked") & (F.col("quality") == 0)), n(~F.col("picked") & (F.col("quality") == 1))
+    safe = lambda a, b: F.when(b == 0, 0.0).otherwise(F.round(a / b, 4))
+    return rows.agg(safe(tp, tp + fp).alias("precision_"), safe(tp, tp + fn).alias("recall_"), safe(2 * tp, 2 * tp + fp + fn).alias("f1"))

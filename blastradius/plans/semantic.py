@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import change as K
 from ..operators import extract as E
 from .extract import IMPORTS_SQL, SRC, sources
-from .scoring import CHANGE
-from .tables import REGISTRY, load, registry, small, sql
+from .tables import REGISTRY, load, registry, sql
 from .texts import diff_lines
 
 QUERIES: dict = {}
@@ -79,16 +78,12 @@ def symbol_query(spark, d):
     return load(spark, d, "part").select("p_partkey", E.with_symbols(F.col("p_name"), deleted, added, renamed).alias("query"))
 
 
-#: What the flagship's change is searched by, stated by hand.
-TERMS = {
-    "exact": ("brand4", "cust_7", "handleUrgent", "hot_widget", "orders", "orders.cust_7", "promo", "promo.brand15.hot_widget", "red_plate"),
-    "module_exact": ("cust_7", "hot_widget", "orders", "orders.cust_7", "promo", "promo.brand15.hot_widget"),
-    "module": ("orders.*", "promo.*"),
-    "function": ("promo.brand15.hot_widget:handleUrgent", "promo:brand4"),
-    "deleted": ("red_plate",),
-    "added": ("handleUrgent",),
-    "renamed": ("old_gear:hot_gear",),
-}
+#: Diffs of three kinds, made of parts: a changed function of a script, a changed function of a new Python file, and a renamed constant.
+DIFF_OF = """CASE p_partkey % 3
+WHEN 0 THEN 'diff --git a/src/' || t || '/' || n || '.js b/src/' || t || '/' || n || '.js' || chr(10) || '--- a/x' || chr(10) || '+++ b/x' || chr(10) || '@@ -60,3 +60,3 @@ function ' || b || '() {' || chr(10) || '-  return price(1);' || chr(10) || '+  return price(2);'
+WHEN 1 THEN 'diff --git a/backend/' || t || '/' || n || '.py b/backend/' || t || '/' || n || '.py' || chr(10) || 'new file mode 100644' || chr(10) || '@@ -0,0 +1,2 @@' || chr(10) || '+def ' || b || '(x):' || chr(10) || '+    pass'
+ELSE 'diff --git a/src/' || n || '.ts b/src/' || n || '.ts' || chr(10) || '@@ -10,1 +10,1 @@' || chr(10) || '-export const OLD_' || b || ' = 1' || chr(10) || '+export const NEW_' || b || ' = 1' END"""
+PART_NAMES = "SELECT p_partkey, replace(p_name, ' ', '_') AS n, lower(p_type) AS t, lower(replace(p_brand, '#', '')) AS b FROM part"
 
 
 def terms_of(b: K.Bundle) -> list[tuple[str, str]]:
@@ -96,12 +91,6 @@ def terms_of(b: K.Bundle) -> list[tuple[str, str]]:
     return [(k, v) for k, vs in lists.items() for v in vs]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, vs in TERMS.items() for v in vs) + ") t(kind, value)")
-def search_terms(spark, d):
-    """The terms of the flagship's change."""
-    return small(spark, terms_of(CHANGE), "kind string, value string")
-
-
 def bundles(diffs: DataFrame) -> DataFrame:
     """diffs(diff_id, body) -> diff_id, kind, value: the search terms of many diffs."""
 
@@ -119,3 +108,15 @@ def diff_search_terms(spark, d):
     """The search terms of every document's diff."""
     lines = diff_lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
     return bundles(lines.select(F.col("doc_id").alias("diff_id"), "body"))
+
+
+@query(f"""WITH p AS ({PART_NAMES}), x AS (SELECT p_partkey % 3 AS k, p.* FROM p),
+r AS (SELECT p_partkey, 'exact' AS kind, unnest(list_distinct([b, t || '.' || n, t, n])) AS value FROM x WHERE k = 0 UNION ALL SELECT p_partkey, 'exact', unnest(list_distinct([b, t || '.' || n, t])) FROM x WHERE k = 1
+UNION ALL SELECT p_partkey, 'module_exact', unnest(list_distinct([t || '.' || n, t, n])) FROM x WHERE k = 0 UNION ALL SELECT p_partkey, 'module_exact', unnest(list_distinct([t || '.' || n, t])) FROM x WHERE k = 1
+UNION ALL SELECT p_partkey, 'module', t || '.*' FROM x WHERE k < 2 UNION ALL SELECT p_partkey, 'function', t || '.' || n || ':' || b FROM x WHERE k < 2
+UNION ALL SELECT p_partkey, 'added', b FROM x WHERE k = 1 UNION ALL SELECT p_partkey, 'renamed', 'OLD_' || b || ':NEW_' || b FROM x WHERE k = 2)
+SELECT p_partkey AS diff_id, kind, value FROM r""")
+def search_terms(spark, d):
+    """The search terms of a table of diffs; the twin states them by rule."""
+    part = load(spark, d, "part").selectExpr("p_partkey", "replace(p_name, ' ', '_') as n", "lower(p_type) as t", "lower(replace(p_brand, '#', '')) as b")
+    return bundles(part.select(F.col("p_partkey").alias("diff_id"), F.expr(DIFF_OF).alias("body")))

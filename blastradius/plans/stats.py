@@ -166,20 +166,3 @@ def merge_structure(spark, d):
 @query("SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1")
 def framework_vote(spark, d):
     return S.majority(load(spark, d, "documents"), "source", "lang")
-
-
-@query("""SELECT l.quality AS truth, count(*) AS n, count(*) FILTER (d.n_chars >= 200) AS selected FROM labels l JOIN documents d USING (doc_id) GROUP BY 1""")
-def truth_table(spark, d):
-    rows = load(spark, d, "labels").join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    return rows.groupBy(F.col("quality").alias("truth")).agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") >= 200).alias("selected"))
-
-
-@query("""WITH c AS (SELECT count(*) FILTER (n_chars >= 200 AND quality = 1)::DOUBLE AS tp, count(*) FILTER (n_chars >= 200 AND quality = 0)::DOUBLE AS fp, count(*) FILTER (n_chars < 200 AND quality = 1)::DOUBLE AS fn FROM labels JOIN documents USING (doc_id))
-SELECT round(tp / (tp + fp), 4) AS precision_, round(tp / (tp + fn), 4) AS recall_, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM c""")
-def precision_recall(spark, d):
-    rows = load(spark, d, "labels").join(load(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
-    pick = F.col("n_chars") >= 200
-    n = lambda c: F.count_if(c).cast("double")
-    tp, fp, fn = n(pick & (F.col("quality") == 1)), n(pick & (F.col("quality") == 0)), n(~pick & (F.col("quality") == 1))
-    safe = lambda a, b: F.when(b == 0, 0.0).otherwise(F.round(a / b, 4))
-    return rows.agg(safe(tp, tp + fp).alias("precision_"), safe(tp, tp + fn).alias("recall_"), safe(2 * tp, 2 * tp + fp + fn).alias("f1"))

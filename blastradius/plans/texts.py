@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -249,11 +250,14 @@ def id_allocate(spark, d):
     return M.allocate(docs(spark, d).select("doc_id"), "doc_id", last).select("doc_id", "new_id")
 
 
-@query("SELECT s_suppkey, n_name, coalesce(r_name, 'none') AS r_name, s_acctbal > 0 AS is_primary FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey AND r_name <> 'ASIA'")
+@query("SELECT s_suppkey, n_name, coalesce(r_name, 'none') AS r_name, s_acctbal > 0 AS is_primary, row_number() OVER (PARTITION BY n_name ORDER BY s_acctbal > 0 DESC, s_acctbal DESC, s_suppkey)::INT AS place FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey AND r_name <> 'ASIA'")
 def bindings_join(spark, d):
     s, n, r = load(spark, d, "supplier"), load(spark, d, "nation"), load(spark, d, "region").where("r_name <> 'ASIA'")
     rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return rows.select("s_suppkey", "n_name", F.coalesce("r_name", F.lit("none")).alias("r_name"), (F.col("s_acctbal") > 0).alias("is_primary"))
+    rows = rows.select("s_suppkey", "n_name", F.coalesce("r_name", F.lit("none")).alias("r_name"), (F.col("s_acctbal") > 0).alias("is_primary"), "s_acctbal")
+    # the primary one first, then by what stands for the time of upload
+    order = Window.partitionBy("n_name").orderBy(F.desc("is_primary"), F.desc("s_acctbal"), "s_suppkey")
+    return rows.withColumn("place", F.row_number().over(order)).drop("s_acctbal")
 
 
 @query(sql(RI, TFM) + "SELECT DISTINCT test_id, production_class AS reference FROM ri UNION SELECT DISTINCT test_id, module_name || '.' || function_name FROM tfm")
