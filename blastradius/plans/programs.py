@@ -8,7 +8,7 @@ from ..operators import extract as E
 from ..operators import programs as P
 from .semantic import production_sql
 from .tables import load
-from .texts import diff_lines
+from .texts import diff_bodies
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,5 +75,4 @@ def test_bodies(spark, d):
 
 @query()
 def diff_parse(spark, d):
-    rows = diff_lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return P.parse_diffs(rows.select(F.col("doc_id").alias("diff_id"), "body"))
+    return P.parse_diffs(diff_bodies(spark, d))

@@ -12,7 +12,7 @@ from ..operators import change as K
 from ..operators import extract as E
 from .extract import IMPORTS_SQL, SRC, sources
 from .tables import REGISTRY, load, registry, sql
-from .texts import diff_lines
+from .texts import diff_bodies
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,21 +46,35 @@ def production_references(spark, d):
     return E.references(sources(spark, d))
 
 
-@query(sql(REGISTRY) + """, r AS (SELECT test_id, file_path, 'lib.' || language AS module, class_name, test_type, language, text, test_id % 3 AS mode FROM registry JOIN documents ON doc_id = test_id)
-SELECT test_id, CASE mode
- WHEN 0 THEN concat_ws(chr(10), 'Identifiers: ' || concat_ws(' | ', 'Class: ' || class_name, 'File: ' || file_path), 'Component: ' || class_name, 'Language: ' || language, 'Test code: ' || left(text, 300))
- WHEN 1 THEN concat_ws(chr(10), 'Identifiers: ' || concat_ws(' | ', 'Class: ' || class_name, 'File: ' || file_path), 'Test file: ' || string_split(file_path, '/')[-1], 'Module: ' || module, 'Language: ' || language, 'Chunk 2 of 3', 'Test code: ' || left(text, 300))
- ELSE concat_ws(chr(10), 'Identifiers: ' || concat_ws(' | ', 'Class: ' || class_name, 'File: ' || file_path), 'Component: ' || replace(replace(class_name, 'Test', ''), '_', ' '), 'Purpose: ' || left(text, 20), 'Module under test: ' || module, 'Test type: ' || test_type, 'Markers: slow, db', 'Async test') END AS body FROM r""".replace("left(text, 300)", "trim(left(text, 300))").replace("left(text, 20)", "trim(left(text, 20))"))
+def q(rx: str) -> str:
+    return "'" + rx.replace("'", "''") + "'"
+
+
+#: DuckDB: a long text as its assertions, calls and first lines, cut to 8000 characters at a blank.
+ASSERTS = "list_concat(" + ", ".join(f"list_transform(regexp_extract_all(body, {q('(?im)' + rx)}, 0), lambda x: trim(x))" for rx in E.ASSERTIONS) + ")"
+SUMMARY = f"""parts AS (SELECT test_id, body, {ASSERTS} AS a, list_filter(regexp_extract_all(body, {q(E.CALL)}, 0), lambda c: NOT regexp_matches(lower(c), {q(E.NOT_CALLS)})) AS c, left(array_to_string(string_split(body, chr(10))[:{E.SETUP_LINES}], chr(10)), {E.SETUP_CHARS}) AS setup FROM r),
+lists AS (SELECT test_id, body, array_to_string(list_filter(a, lambda x, i: list_position(a, x) = i), chr(10)) AS a, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i)[:{E.MOST_CALLS}], chr(10)) AS c, setup FROM parts),
+whole AS (SELECT test_id, CASE WHEN length(body) < 200 AND NOT regexp_matches(body, 'def |assert |self\\.|import |=') THEN body ELSE concat_ws(chr(10) || chr(10), CASE WHEN a <> '' THEN 'Assertions:' || chr(10) || a END, CASE WHEN c <> '' THEN 'Function calls:' || chr(10) || c END, CASE WHEN setup <> '' THEN 'Setup:' || chr(10) || setup END) END AS w FROM lists),
+told AS (SELECT test_id, CASE WHEN length(w) <= 8000 THEN w ELSE left(w, 8000) || '...' END AS told FROM whole)"""
+
+
+@query(sql(REGISTRY) + f""", r AS (SELECT test_id, file_path, 'lib.' || language AS module, coalesce(class_name, '') AS class_name, test_type, language, trim(coalesce(text, '')) AS body, test_id % 3 AS mode FROM registry JOIN documents ON doc_id = test_id), {SUMMARY},
+t AS (SELECT r.*, told, 'Identifiers: ' || concat_ws(' | ', CASE WHEN class_name <> '' THEN 'Class: ' || class_name END, 'File: ' || file_path) AS ids FROM r JOIN told USING (test_id))
+SELECT test_id, sha256(trim(CASE mode
+ WHEN 0 THEN concat_ws(chr(10), ids, CASE WHEN class_name <> '' THEN 'Component: ' || class_name END, 'Language: ' || language, CASE WHEN body <> '' THEN 'Test code: ' || CASE WHEN length(body) > 6000 THEN told ELSE body END END)
+ WHEN 1 THEN concat_ws(chr(10), ids, 'Test file: ' || string_split(file_path, '/')[-1], 'Module: ' || module, 'Language: ' || language, 'Chunk 2 of 3', CASE WHEN body <> '' THEN 'Test code: ' || CASE WHEN length(body) > 500 THEN told ELSE body END END)
+ ELSE concat_ws(chr(10), ids, CASE WHEN class_name <> '' THEN 'Component: ' || replace(replace(class_name, 'Test', ''), '_', ' ') END, CASE WHEN length(body) > 200 THEN 'Test code: ' || told WHEN body <> '' THEN 'Purpose: ' || body END, 'Module under test: ' || module, 'Test type: ' || test_type, 'Markers: slow, db', 'Async test') END)) AS body_sha256 FROM t""")
 def embedding_text(spark, d):
-    body = load(spark, d, "documents").select(F.col("doc_id").alias("test_id"), "text")
+    """What stands for each whole document as a test, a piece of a file, or a description."""
+    body = load(spark, d, "documents").select(F.col("doc_id").alias("test_id"), F.trim(F.coalesce("text", F.lit(""))).alias("text"))
     none = F.lit(None).cast("string")
     rows = registry(spark, d).join(body, "test_id").select(
         "test_id", none.alias("method_name"), "class_name", "file_path", F.element_at(F.split("file_path", "/"), -1).alias("file_name"), F.concat(F.lit("lib."), "language").alias("module"), "language",
-        F.trim(F.left("text", F.lit(300))).alias("content"), F.trim(F.left("text", F.lit(20))).alias("description"), F.lit(1).alias("chunk_index"), F.when(F.col("test_id") % 3 == 1, 3).otherwise(1).alias("total_chunks"),
+        F.col("text").alias("content"), F.col("text").alias("description"), F.lit(1).alias("chunk_index"), F.when(F.col("test_id") % 3 == 1, 3).otherwise(1).alias("total_chunks"),
         "test_type", F.array(F.lit("slow"), F.lit("db")).alias("markers"), F.lit(True).alias("is_async"),
     )
     mode = F.when(F.col("test_id") % 3 == 0, "analysis").when(F.col("test_id") % 3 == 1, "chunk").otherwise("legacy")
-    return rows.select("test_id", E.embedding_text(mode).alias("body"))
+    return rows.select("test_id", F.sha2(E.embedding_text(mode), 256).alias("body_sha256"))
 
 
 @query("""WITH t AS (SELECT doc_id, trim(text) AS d, lang FROM documents)
@@ -106,8 +120,7 @@ def bundles(diffs: DataFrame) -> DataFrame:
 @query()
 def diff_search_terms(spark, d):
     """The search terms of every document's diff."""
-    lines = diff_lines(spark, d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    return bundles(lines.select(F.col("doc_id").alias("diff_id"), "body"))
+    return bundles(diff_bodies(spark, d))
 
 
 @query(f"""WITH p AS ({PART_NAMES}), x AS (SELECT p_partkey % 3 AS k, p.* FROM p),

@@ -134,6 +134,12 @@ def diff_lines(spark, d):
     return D.lines(docs(spark, d), "doc_id", "text").select("doc_id", "line_no", F.expr(LINE.replace("{0}", "line")).alias("line"))
 
 
+def diff_bodies(spark, d):
+    """diff_id, body: the same lines as whole diffs."""
+    lines = F.expr("transform(split(text, '\\n'), (line, line_no) -> " + LINE.replace("{0}", "line") + ")")
+    return docs(spark, d).select(F.col("doc_id").alias("diff_id"), F.array_join(lines, "\n").alias("body"))
+
+
 @query(sql(DIFF) + f"SELECT doc_id, count(*) FILTER {ADDED} AS additions, count(*) FILTER {REMOVED} AS deletions FROM l GROUP BY 1".replace(f"FILTER {ADDED}", f"FILTER (WHERE {ADDED})").replace(f"FILTER {REMOVED}", f"FILTER (WHERE {REMOVED})"))
 def diff_stats(spark, d):
     return diff_lines(spark, d).groupBy("doc_id").agg(F.count_if(D.added()).alias("additions"), F.count_if(D.removed()).alias("deletions"))
