@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import report as R
+from ..operators import schema
 from ..operators import score as C
 from ..operators import stats as S
 from ..operators import store
@@ -194,3 +195,12 @@ SELECT user_id, event_id, streak::INT AS streak FROM s WHERE error AND streak =
 def failure_streaks(spark, d):
     """The events that make two errors in a row; the stateful stream gives the same."""
     return streaks.batch(load(spark, d, "events"), most=2)
+
+
+@query("SELECT 'test_registry' AS relation, count(*) AS n_rows, count(*) FILTER (o_orderkey IS NULL OR o_custkey IS NULL OR o_orderpriority IS NULL) AS n_null, count(*) - count(DISTINCT o_orderkey) AS n_repeated FROM orders UNION ALL "
+       "SELECT 'reverse_index', count(*), 0, 0 FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT 'test_metadata', count(*), count(*) FILTER (doc_id IS NULL), count(*) - count(DISTINCT doc_id) FROM labels")
+def schema_verification(spark, d):
+    """The relations that are made of the tables, fitted to their types and looked through for nulls and repeated keys."""
+    ent = entities(spark, d).withColumn("method_name", F.col("language"))
+    fitted = {"test_registry": ent, "reverse_index": reverse_index(spark, d), "test_metadata": load(spark, d, "labels").withColumnRenamed("doc_id", "test_id")}
+    return schema.verify({n: schema.conform(df, schema.CORE[n]) for n, df in fitted.items()}, schema.CORE)
