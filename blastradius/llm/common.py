@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -29,8 +30,8 @@ def scratch_root(spark: SparkSession) -> str:
     return made
 
 
-#: Tables that stash() wrote and scratch() has not deleted.
-_stashed: list[str] = []
+#: Of each thread the scratch() calls that are open, the innermost last: the tables that stash() wrote within them.
+_scopes = threading.local()
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +42,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _stashed.append(path)
+    for innermost in getattr(_scopes, "open", [])[-1:]:
+        innermost.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,18 +56,18 @@ def delete_tables(spark: SparkSession, paths: list[str]) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], tuple[DataFrame, str]]]:
     """Deletes at its end what was stashed within it, but for what is kept: keep(df, name) -> the stashed table, its path."""
-    before, kept = len(_stashed), []
+    mine: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), mine]
 
     def keep(df: DataFrame, name: str) -> tuple[DataFrame, str]:
         out = stash(df, name)
-        kept.append(_stashed.pop())
-        return out, kept[-1]
+        return out, mine.pop()
 
     try:
         yield keep
     finally:
-        delete_tables(spark, _stashed[before:])
-        del _stashed[before:]
+        _scopes.open = _scopes.open[:-1]
+        delete_tables(spark, mine)
 
 
 def whole_text(text: str = "text") -> Column:

@@ -1,6 +1,7 @@
 """Periodic runs, adaptive-bound clustering and SentencePiece against plain versions and the library."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -236,3 +237,34 @@ def test_op13_forgets(model, monkeypatch):
     some = [f"word{i} and more" for i in range(20)]
     sentencepieces.hold_against_library(coder.pieces.library, some, [coder.code(t) for t in some])
     assert len(coder.known) < 12
+
+
+# what the operators leave behind
+
+
+def test_scratch_is_one_threads_own(spark):
+    """Two queries at once: the end of one's scratch() leaves the other's tables."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from blastradius.llm.common import scratch, stash
+
+    def one(_):
+        with scratch(spark) as keep:
+            first = stash(spark.range(20), "first")
+            second, path = keep(first.where("id < 9"), "second")
+            assert first.count() == 20
+        return second.count(), path
+
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(one, range(8)))
+    assert [n for n, _ in found] == [9] * 8 and len({p for _, p in found}) == 8
+
+
+def test_scratch_deletes_what_it_does_not_keep(spark):
+    from blastradius.llm.common import scratch, stash
+
+    with scratch(spark):
+        gone = stash(spark.range(3), "gone")
+        path = gone.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
