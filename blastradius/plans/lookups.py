@@ -10,7 +10,7 @@ from ..operators import change as K
 from ..operators import grams as G
 from ..operators import lookup as L
 from ..operators import stats as S
-from .tables import ENT, REGISTRY, RI, TFM, entities, load, mapping, registry, reverse_index, small, sql
+from .tables import ENT, REGISTRY, RI, TFM, dictionary, entities, load, mapping, registry, reverse_index, small, sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -232,11 +232,11 @@ def dead_zone_symbols(spark, d):
 
 
 def _dead(spark, d, zones):
-    """Symbols meet the patterns by their rarest pieces; tests are counted by the symbols that matched."""
+    """The dictionary's symbols meet the patterns by their rarest pieces; tests are counted by the symbols that matched."""
     every = zones.select("name", F.explode("patterns").alias("pattern"))
 
     def count(df, column, name):
-        return df.join(G.ilike(df, column, every), column).groupBy("name").agg(F.countDistinct("test_id").alias(name))
+        return df.join(G.ilike(dictionary(spark, d), column, every), column).groupBy("name").agg(F.countDistinct("test_id").alias(name))
 
     ri_n, tfm_n = count(reverse_index(spark, d), "production_class", "ri_n"), count(mapping(spark, d), "module_name", "tfm_n")
     rows = zones.select("name").join(ri_n, "name", "left").join(tfm_n, "name", "left").na.fill(0)

@@ -37,6 +37,11 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_type").alias("module_name"), F.expr("lower(replace(p_brand, '#', ''))").alias("function_name"), F.expr("replace(p_name, ' ', '_')").alias("leaf"))
 
 
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """production_class, module_name: all symbols that an index can name, once for each part."""
+    return _symbols(spark, sf_dir).select(symbol().alias("production_class"), "module_name")
+
+
 REFERENCE = "CASE l_returnflag WHEN 'A' THEN 'direct_import' WHEN 'N' THEN 'string_ref' ELSE 'transitive_import' END"
 SOURCE = "CASE l_linestatus WHEN 'F' THEN 'patch_ref' ELSE 'method_call' END"
 
