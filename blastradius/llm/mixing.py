@@ -159,8 +159,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     planned = planned.groupBy(F.col("__key").alias("__k"), F.col("source").alias("__src")).agg(F.count("*").alias("__n"), reach.alias("__reach"))
     planned = stash(planned.where("__reach[0] > 0"), "mix-times")
     joined = docs.withColumn("__key", order_key()).join(planned, (F.col("__key") == F.col("__k")) & same(F.col("source").cast("string"), F.col("__src"))).drop("__k", "__src")
-    once = joined.where("__n = 1").withColumn("__copy", F.explode(F.expr("sequence(1L, aggregate(__reach, 0L, (a, x) -> a + x))")))
-    return once.select(*docs.columns).unionByName(_equal_rows(joined.where("__n > 1"), docs.columns))
+    once = joined.where("__n = 1").withColumn("__copy", F.explode(F.expr("sequence(1L, aggregate(__reach, 0L, (a, x) -> a + x))"))).select(*docs.columns)
+    if planned.where("__n > 1").isEmpty():  # no class of several rows: texts go to their numbers once
+        return once
+    return once.unionByName(_equal_rows(joined.where("__n > 1"), docs.columns))
 
 
 def _equal_rows(joined: DataFrame, columns: list[str]) -> DataFrame:
