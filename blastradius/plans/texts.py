@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import jsontext as J
 from ..functions import text as X
 from ..operators import change as K
 from ..operators import diff as D
@@ -281,3 +282,29 @@ def merge_schemas(spark, d):
     first = F.min(F.struct("rank", "name", "namespace"))
     out = rows.groupBy("test_id").agg(first.alias("f"), F.count("*").alias("n_evidence"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
     return out.select("test_id", F.col("f.namespace").alias("source_schema"), "f.name", "n_evidence", "kinds")
+
+
+#: Answers of a model, made of turns of conversations: in a fence, among other text, with a bad escape, or none.
+ANSWER = """CASE turn % 4 WHEN 0 THEN 'Here:' || chr(10) || '```json' || chr(10) || '{"n": {"x": 1}, "variations": ["' || w || '", " ' || role || ' ", ""]}' || chr(10) || '```'
+WHEN 1 THEN 'ok {"a": 1} and {"why": "' || role || '", "variations": ["' || w || chr(92) || 's+"]} bye' WHEN 2 THEN 'no list: ' || w ELSE '{"variations": ["' || w || '"' END"""
+WORDS = "SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' '{g})) AS w FROM conversations"
+
+
+@query(f"""WITH c AS ({WORDS.format(g=", 'g'")}) SELECT conv_id, turn, array_to_string(list_filter(CASE turn % 4 WHEN 0 THEN [w, role] WHEN 1 THEN [w || chr(92) || 's+'] ELSE [] END, lambda v: v <> ''), ';') AS variations FROM c""")
+def rewritten_queries(spark, d):
+    """The lists in a model's answers."""
+    rows = load(spark, d, "conversations").selectExpr("conv_id", "turn", "role", "trim(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ')) as w")
+    return rows.select("conv_id", "turn", F.array_join(J.listed(F.expr(ANSWER)), ";").alias("variations"))
+
+
+@query("""WITH n AS (SELECT doc_id AS test_id, lang AS description, CASE WHEN doc_id % 3 = 0 THEN '[' || '"' || source || '","slow"]' END AS markers, coalesce(CASE WHEN doc_id % 2 = 0 THEN doc_id % 4 = 0 END, false) AS is_async FROM documents),
+o AS (SELECT doc_id + 3 AS test_id, 'old' AS description, NULL AS markers, false AS is_async FROM labels)
+SELECT * FROM n UNION ALL SELECT * FROM o WHERE test_id NOT IN (SELECT test_id FROM n)""")
+def metadata_upsert(spark, d):
+    """New metadata replaces all of a test's; markers as JSON, or null where there are none; missing flags are false."""
+    none = F.array().cast("array<string>")
+    new = docs(spark, d).select(F.col("doc_id").alias("test_id"), F.col("lang").alias("description"), F.when(F.col("doc_id") % 3 == 0, F.array("source", F.lit("slow"))).otherwise(none).alias("markers"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 4 == 0).alias("is_async"))
+    old = load(spark, d, "labels").select((F.col("doc_id") + 3).alias("test_id"), F.lit("old").alias("description"), none.alias("markers"), F.lit(None).cast("boolean").alias("is_async"))
+    both = old.withColumn("__at", F.lit(0)).unionByName(new.withColumn("__at", F.lit(1)))
+    rows = M.latest(both, ["test_id"], [F.desc("__at")])
+    return rows.select("test_id", "description", F.when(F.size("markers") > 0, F.to_json("markers")).alias("markers"), F.coalesce("is_async", F.lit(False)).alias("is_async"))
