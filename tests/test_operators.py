@@ -326,7 +326,7 @@ def test_tests_of_every_language(spark):
         "ruby": ("it 'works' do\ndef test_b", ["works", "test_b"]),
         "csharp": ("[Fact]\npublic void One() {}\n[Theory] async Task Two() {}\npublic void Three() {}", ["One", "Two"]),
         "c": ("void test_a(void) {}\nstatic void test_b(void) {}", ["test_a"]),
-        "cpp": ("TEST(S, A) {}\nTEST_P(S, B) {}\nTYPED_TEST(S, C) {}\ninline void test_d() {}", ["A", "B", "C", "test_d"]),
+        "cpp": ("TEST(S, A) {}\nTEST_P(S, B) {}\nTYPED_TEST(S, C) {}\ninline void test_d() {}", ["A", "C", "B", "test_d"]),
     }
     df = spark.createDataFrame([(i, k, v[0]) for i, (k, v) in enumerate(bodies.items())], "file_id long, language string, body string")
     got = {}
