@@ -136,18 +136,6 @@ def new_file_definitions(spark, d):
     return names.groupBy("doc_id", "file").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("definitions"))
 
 
-@query("SELECT left(trim(n_name), 6) AS branch, min(n_nationkey) AS first_key, bool_or(n_nationkey = 1) AS is_default FROM nation WHERE n_name IS NOT NULL GROUP BY 1")
-def branch_rows(spark, d):
-    return load(spark, d, "nation").where("n_name IS NOT NULL").groupBy(F.substring(F.trim("n_name"), 1, 6).alias("branch")).agg(F.min("n_nationkey").alias("first_key"), F.bool_or(F.col("n_nationkey") == 1).alias("is_default"))
-
-
-@query("SELECT p_type, 'Changed in ' || lower(p_type) || ': ' || array_to_string(list_sort(list(DISTINCT lower(replace(p_brand, '#', ''))))[1:20], ', ') AS description FROM part GROUP BY 1")
-def change_description(spark, d):
-    pairs = load(spark, d, "part").select("p_type", F.expr("lower(replace(p_brand, '#', ''))").alias("f")).distinct()
-    named = R.first_k(pairs, "p_type", "f", 20)
-    return named.select("p_type", F.concat(F.lit("Changed in "), F.lower("p_type"), F.lit(": "), F.array_join("values", ", ")).alias("description"))
-
-
 @query("""SELECT CASE WHEN label IS NULL THEN CAST(vec_id AS VARCHAR) ELSE 'repo' || label || '_' || vec_id END AS id, len(embedding)::INT AS dims, CAST(vec_id AS VARCHAR) AS test_id, left(array_to_string(embedding, ' '), 0) || left(repeat('d', vec_id::INT * 7), 1000) AS description,
  CASE WHEN vec_id % 2 = 0 THEN 'true' ELSE 'false' END AS is_async, CASE WHEN vec_id % 3 = 0 THEN 'slow,db' ELSE '' END AS markers, coalesce('repo' || label, '') AS test_repo_id FROM embeddings WHERE vec_id IS NOT NULL AND label <> 3""")
 def vector_upsert(spark, d):

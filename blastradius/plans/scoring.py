@@ -324,18 +324,6 @@ def risk_gate(spark, d):
     return n.select("repo", "n_changed", F.when(F.col("n_changed") > F.col("threshold"), "run_all").otherwise("select").alias("decision"))
 
 
-@query("""SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 10 = 1 THEN 0.33::DOUBLE END, CASE WHEN c_nationkey % 5 = 0 THEN CASE WHEN c_acctbal > 0 THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.45::DOUBLE END) AS threshold,
-coalesce(CASE WHEN c_custkey % 10 = 2 THEN 2 END, CASE WHEN c_nationkey > 12 THEN least(6, v + 1) ELSE v END) AS variations FROM (SELECT *, CASE WHEN c_nationkey % 5 = 0 THEN 5 WHEN c_mktsegment = 'BUILDING' OR c_acctbal > 0 THEN 3 ELSE 4 END AS v FROM customer)""")
-def adaptive_config(spark, d):
-    """Threshold and number of query variations by what the change holds; a value that the user set stands."""
-    found_none, functions, exact = F.col("c_nationkey") % 5 == 0, F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal") > 0
-    given, fixed = F.when(F.col("c_custkey") % 10 == 1, 0.33), F.when(F.col("c_custkey") % 10 == 2, 2)
-    v = F.when(found_none, 5).when(functions | exact, 3).otherwise(4)
-    threshold = F.when(found_none, F.when(exact, 0.4).otherwise(0.5)).otherwise(0.45)
-    more = F.when(F.col("c_nationkey") > 12, F.least(F.lit(6), v + 1)).otherwise(v)
-    return load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.coalesce(given, threshold).alias("threshold"), F.coalesce(fixed, more).alias("variations"))
-
-
 @query(ALL + f"""SELECT test_id, test_type, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 50 THEN 'medium' ELSE 'low' END AS band, CASE WHEN structural AND sx THEN 'Both' WHEN structural THEN 'AST' ELSE 'Semantic' END AS match_type,
 {QUALITY} AS quality, {RISK} AS risk, {HINT} AS hint, n_evidence FROM s WHERE {GATE}""")
 def select_entities(spark, d):

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import change as K
+from ..operators import describe as W
 from ..operators import extract as E
+from ..operators import programs as P
 from .extract import IMPORTS_SQL, SRC, sources
 from .tables import REGISTRY, load, registry, sql
 from .texts import diff_bodies
@@ -131,5 +133,51 @@ UNION ALL SELECT p_partkey, 'added', b FROM x WHERE k = 1 UNION ALL SELECT p_par
 SELECT p_partkey AS diff_id, kind, value FROM r""")
 def search_terms(spark, d):
     """The search terms of a table of diffs; the twin states them by rule."""
+    return bundles(part_diffs(spark, d))
+
+
+def part_diffs(spark, d):
     part = load(spark, d, "part").selectExpr("p_partkey", "replace(p_name, ' ', '_') as n", "lower(p_type) as t", "lower(replace(p_brand, '#', '')) as b")
-    return bundles(part.select(F.col("p_partkey").alias("diff_id"), F.expr(DIFF_OF).alias("body")))
+    return part.select(F.col("p_partkey").alias("diff_id"), F.expr(DIFF_OF).alias("body"))
+
+
+@query(f"""WITH p AS ({PART_NAMES})
+SELECT p_partkey AS diff_id, CASE p_partkey % 3 WHEN 0 THEN 'Changed in module: ' || t || '.' || n || '. Changed functions: ' || b || '().' WHEN 1 THEN 'Changed in module: ' || t || '.' || n || '. Changed functions: ' || b || '(). File: backend/' || t || '/' || n || '.py. Status: New file.'
+ELSE 'Changed file: ' || n || '. In: src. Changed symbols: NEW_' || b || '.' END AS description FROM p""")
+def change_description(spark, d):
+    """Each diff in words; the twin states them by rule."""
+    diffs = part_diffs(spark, d)
+    split = F.split("value", ":")
+    functions = bundles(diffs).where("kind = 'function'").groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct(split[0].alias("module"), split[1].alias("function")))).alias("functions"))
+    files = P.parse_diffs(diffs).groupBy("diff_id").agg(F.array_sort(F.collect_list(F.struct("file", "status", "classes", "methods"))).alias("files"))  # of one diff each
+    rows = diffs.join(files, "diff_id", "left").join(functions, "diff_id", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    fs, xs = empty(F.col("functions"), "array<struct<module:string,function:string>>"), empty(F.col("files"), "array<struct<file:string,status:string,classes:array<string>,methods:array<string>>>")
+    return rows.select("diff_id", W.description(fs, xs, F.col("body")).alias("description"))
+
+
+@query(f"""WITH p AS ({PART_NAMES}), f AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS found FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45 GROUP BY 1)
+SELECT p_partkey AS diff_id, coalesce(CASE WHEN p_partkey % 10 = 1 THEN 0.33::DOUBLE END, CASE WHEN coalesce(found, 0) = 0 THEN CASE WHEN p_partkey % 3 < 2 THEN 0.4::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.45::DOUBLE END) AS threshold,
+coalesce(CASE WHEN p_partkey % 10 = 2 THEN 2 END, CASE WHEN coalesce(found, 0) = 0 THEN 5 WHEN p_partkey % 3 < 2 THEN 3 ELSE 4 END) AS variations FROM p LEFT JOIN f ON l_partkey = p_partkey""")
+def adaptive_config(spark, d):
+    """Threshold and number of query variations of each diff, by its terms and the tests that the index has for its part."""
+    diffs, kind = part_diffs(spark, d), F.col("kind")
+    terms = bundles(diffs).groupBy("diff_id").agg(F.count_if(kind == "function").alias("functions"), F.count_if(kind == "exact").alias("exact"), F.count_if(kind == "module").alias("modules"))
+    found = load(spark, d, "lineitem").where("l_returnflag = 'A' AND l_quantity > 45").groupBy(F.col("l_partkey").alias("diff_id")).agg(F.countDistinct("l_orderkey").alias("found"))
+    rows = diffs.select("diff_id").join(terms, "diff_id", "left").join(found, "diff_id", "left").na.fill(0)
+    given, fixed = F.when(F.col("diff_id") % 10 == 1, 0.33), F.when(F.col("diff_id") % 10 == 2, 2)
+    threshold, variations = W.adaptive(F.col("found"), F.col("functions"), F.col("exact"), F.col("modules"), F.lit(1), given, fixed)
+    return rows.select("diff_id", threshold.alias("threshold"), variations.alias("variations"))
+
+
+@query("""WITH l AS (SELECT trim(n_name) AS name, n_nationkey % 2 = 0 AS protected, sha256(n_name)[:8] AS commit_id, n_nationkey FROM nation WHERE n_nationkey < 20 AND trim(n_name) <> '' QUALIFY row_number() OVER (PARTITION BY trim(n_name) ORDER BY n_nationkey) = 1)
+SELECT name, name = (SELECT trim(n_name) FROM nation WHERE n_nationkey = 22) AS is_default, protected, commit_id, name AS commit_message, false AS fetched FROM l
+UNION ALL SELECT trim(n_name), n_nationkey = 22, n_nationkey % 2 = 0, sha256(n_name)[:8], trim(n_name), true FROM nation WHERE n_nationkey IN (22, 23) AND trim(n_name) NOT IN (SELECT name FROM l)""")
+def branch_rows(spark, d):
+    """Branches as listed, those that are wanted and weren't, and the one that is the default now."""
+    n = load(spark, d, "nation")
+    rows = n.select(F.concat(F.lit(" "), "n_name").alias("name"), F.lit(True).alias("is_default"), (F.col("n_nationkey") % 2 == 0).alias("protected"), F.sha2("n_name", 256).alias("commit_id"), F.trim("n_name").alias("commit_message"), F.col("n_nationkey").alias("place"))
+    wanted = n.where("n_nationkey IN (3, 22, 23)").select(F.col("n_name").alias("name"))
+    default = n.where("n_nationkey = 22").select(F.trim("n_name").alias("__default"))  # one row
+    found = W.branches(rows.where("place < 20"), rows.where("place >= 20"), wanted, None).crossJoin(default)
+    return found.withColumn("is_default", F.col("name") == F.col("__default")).drop("__default")
