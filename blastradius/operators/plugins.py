@@ -127,3 +127,14 @@ def imports(sources: DataFrame) -> DataFrame:
     for p in LANGUAGES.known.values():
         other = other | ((F.col("language") == p.name) & F.col("module").rlike(p.not_production))
     return rows.withColumn("production", ~other)
+
+
+def references(sources: DataFrame) -> DataFrame:
+    """file_id, module, class_name, reference_type: imports of all registered languages, and what strings refer to."""
+    pairs = [x for p in LANGUAGES.known.values() if p.imports for x in (F.lit(p.name), F.array(*map(F.lit, p.imports)))]
+    rows = extract.references(sources, F.element_at(F.create_map(*pairs), F.col("language")))
+    other = F.lit(False)
+    for p in LANGUAGES.known.values():
+        other = other | ((F.col("language") == p.name) & F.col("module").rlike(p.not_production))
+    kinds = sources.select("file_id", "language")
+    return rows.join(kinds, "file_id").where(~other).drop("language")

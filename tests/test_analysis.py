@@ -108,3 +108,24 @@ def test_java_inference(spark, sources):
 def test_java_inference_stands_back_for_imports(spark):
     row = (1, "java", "src/test/x/ATest.java", "package a.test;\nimport com.shop.Real;\nclass ATest {}")
     assert A.inferred(spark.createDataFrame([row], "file_id long, language string, path string, body string")).count() == 0
+
+
+def test_references_in_strings(spark):
+    rows = [
+        (1, "java", 'Class.forName("a.B"); String x = "com.shop.Cart"; y = "com.shop.cart"; z = "someThing"; w = "org.junit.Test";'),
+        (2, "python", 'patch("app.core.run"); mock.patch(\'app.x\'); open("a.b")'), (3, "javascript", "const m = await import('./lazy/Page')"),
+    ]
+    got = A.E.references(spark.createDataFrame(rows, "file_id long, language string, body string"))
+    assert {(r.file_id, r.module, r.class_name) for r in got.where("reference_type = 'string_ref'").collect()} == {
+        (1, "a.B", "B"), (1, "com.shop.Cart", "Cart"), (2, "app.core.run", "run"), (2, "app.x", "x"), (3, "./lazy/Page", "Page"),
+    }
+
+
+def test_references_of_a_plugged_language(spark):
+    from blastradius.operators import plugins
+
+    plugins.LANGUAGES.add("lua", plugins.Language("lua", (".lua",), (), (r"require\s*\(?['\"]([\w.]+)['\"]",), r"^busted"), replace=True)
+    rows = [(1, "lua", "require('app.cart') require 'busted.core'"), (2, "python", "import shop.cart\nimport os"), (3, "none", "require('x')")]
+    got = plugins.references(spark.createDataFrame(rows, "file_id long, language string, body string"))
+    del plugins.LANGUAGES.known["lua"]
+    assert {(r.file_id, r.module, r.class_name) for r in got.collect()} == {(1, "app.cart", "cart"), (2, "shop.cart", "cart")}
