@@ -65,13 +65,16 @@ def change_type(table: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "file", kind.alias("change_type"))
 
 
-def new_definitions(table: DataFrame, key: str, patterns: dict[str, str]) -> DataFrame:
-    """key, file, name: what the added lines of new files define, by the pattern of the file's extension, else the first."""
+def new_definitions(table: DataFrame, key: str, named: tuple[str, ...], patterns: dict[str, str]) -> DataFrame:
+    """key, file, name: what the added lines of new files define: all that a pattern of named finds in a line, the last one in any case, and
+    what the pattern of the file's extension finds (else the first of patterns)."""
     new = file_stats(table, key).where("status = 'added'").select(key, "file")
-    name = F.regexp_extract("line", next(iter(patterns.values())), 1)
+    one = lambda rx: F.regexp_extract("line", f"(?s){rx}", 1)
+    own = one(next(iter(patterns.values())))
     for ext, rx in patterns.items():
-        name = F.when(F.col("file").endswith(ext), F.regexp_extract("line", rx, 1)).otherwise(name)
-    return with_file(table, key).where(added()).join(new, [key, "file"], "left_semi").select(key, "file", name.alias("name")).where("name <> ''").distinct()
+        own = F.when(F.col("file").endswith(ext), one(rx)).otherwise(own)
+    found = F.flatten(F.array(*[F.regexp_extract_all("line", F.lit(rx), 1) for rx in named], F.array(own, *[one(f"^.*{rx}") for rx in named])))
+    return with_file(table, key).where(added()).join(new, [key, "file"], "left_semi").select(key, "file", F.explode(found).alias("name")).where("name <> ''").distinct()
 
 
 def names(declarations: tuple[str, ...], last: str) -> Column:

@@ -129,10 +129,11 @@ def indirect_imports(spark, d):
 
 
 @query(sql(DIFF) + FILE_OF + f""", a AS (SELECT doc_id, file FROM f WHERE file IS NOT NULL GROUP BY 1, 2 HAVING bool_or(starts_with(line, 'new file')))
-SELECT doc_id, file, string_agg(DISTINCT name, ',' ORDER BY name) AS definitions FROM (SELECT doc_id, file, CASE WHEN ends_with(file, '.java') THEN regexp_extract(line, '{K.DEFINED[".java"]}', 1) ELSE regexp_extract(line, '{K.DEFINED[".py"]}', 1) END AS name FROM f JOIN a USING (doc_id, file) WHERE {ADDED}) WHERE name <> '' GROUP BY 1, 2""")
+SELECT doc_id, file, string_agg(DISTINCT name, ',' ORDER BY name) AS definitions FROM (SELECT doc_id, file, unnest({" || ".join(f"regexp_extract_all(line, '{rx}', 1)" for rx in K.NAMED)} || [{", ".join(f"regexp_extract(line, '^.*{rx}', 1)" for rx in K.NAMED)}]
+ || [CASE WHEN ends_with(file, '.java') THEN regexp_extract(line, '{K.DEFINED[".java"]}', 1) ELSE regexp_extract(line, '{K.DEFINED[".py"]}', 1) END]) AS name FROM f JOIN a USING (doc_id, file) WHERE {ADDED}) WHERE name <> '' GROUP BY 1, 2""")
 def new_file_definitions(spark, d):
-    """What the added lines of new files define, by the language of the file."""
-    names = D.new_definitions(diff_lines(spark, d), "doc_id", K.DEFINED)
+    """The classes and functions that the added lines of new files define, by words of any language and by the file's own pattern."""
+    names = D.new_definitions(diff_lines(spark, d), "doc_id", K.NAMED, K.DEFINED)
     return names.groupBy("doc_id", "file").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("definitions"))
 
 

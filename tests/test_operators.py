@@ -488,3 +488,33 @@ def test_hashed_embeddings_see_whole_texts(spark, tmp_path):
             v[h % 32] += 1.0 if (h >> 40) % 2 == 0 else -1.0
         norm = math.sqrt(sum(x * x for x in v)) or 1.0
         assert all(abs(a - x / norm) < 1e-6 for a, x in zip(got[i], v, strict=True))
+
+
+def test_definitions_of_new_files(spark, tmp_path):
+    import duckdb
+
+    from blastradius.plans import reports
+
+    new, old = "diff --git a/{0} b/{0}\nnew file mode 100644\n@@ -0,0 +1 @@\n", "diff --git a/{0} b/{0}\n@@ -1 +1 @@\n"
+    diffs = [
+        (1, new.format("a.js") + "+function one() {} function two() {}\n+  class Three {\n-function gone()\n function context()"), (2, new.format("b.py") + "+class A: def b(self): def c\n+class subclass last"),
+        (3, new.format("C.java") + "+public class C {"), (4, old.format("d.js") + "+function d() {"), (5, new.format("e.ts") + "+export async function e() {\n" + old.format("f.ts") + "+class F {\n+++ class G"),
+    ]
+    table = D.lines(spark.createDataFrame(diffs, "k int, body string"), "k", "body")
+    got = {tuple(r) for r in D.new_definitions(table, "k", K.NAMED, K.DEFINED).collect()}
+    assert got == {(1, "a.js", n) for n in ("one", "two", "Three")} | {(2, "b.py", n) for n in ("A", "b", "c", "subclass", "last")} | {(3, "C.java", "C"), (5, "e.ts", "e")}
+    # by its number, document 4 is a diff of a new file, of which line 4 is added as it stands and line 5 is +function f1()
+    text = "\n".join(["", "", "", "", "class subclass foo def a def\x0bb\rfunction c class D", "", "function not_added"])
+    spark.createDataFrame([(4, text), (5, text), (6, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [tuple(r) for r in reports.new_file_definitions(spark, str(tmp_path)).collect()]
+    assert rows == [(4, "f0.py", "D,a,b,c,f1,subclass")]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert con.sql(reports.ORACLE_SQL["new_file_definitions"]).fetchall() == rows
+
+
+def test_new_file_definitions_are_found_in_the_tables(spark):
+    from blastradius.plans import reports
+
+    names = {n for r in reports.new_file_definitions(spark, "/root/testdata/sf0.001").collect() for n in r["definitions"].split(",")}
+    assert names >= {"f0", "f1", "f2"}
